@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, media, packing, urls
+from . import chat, decontamination, langid, media, packing, quality, tokencount, urls
 
 QUERIES = {
+    "op1_decontamination": decontamination.query,
+    "op3_quality": quality.query,
+    "op4_token_counts": tokencount.query,
+    "op5_language": langid.query,
     "op7_packing": packing.query,
     "op8_media": media.query,
     "op9_chat": chat.query,
