@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, langid, media, packing, quality, tokencount, urls
+from . import chat, decontamination, langid, media, neardup, packing, quality, tokencount, urls
 
 QUERIES = {
     "op1_decontamination": decontamination.query,
+    "op2_near_duplicates": neardup.query,
     "op3_quality": quality.query,
     "op4_token_counts": tokencount.query,
     "op5_language": langid.query,
