@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, langid, media, neardup, packing, quality, tokencount, urls
+from . import chat, decontamination, langid, media, neardup, packing, passages, quality, tokencount, urls
 
 QUERIES = {
     "op1_decontamination": decontamination.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_quality": quality.query,
     "op4_token_counts": tokencount.query,
     "op5_language": langid.query,
+    "op6_passages": passages.query,
     "op7_packing": packing.query,
     "op8_media": media.query,
     "op9_chat": chat.query,
