@@ -1,18 +1,64 @@
-"""The corpus pipeline: five stages over documents, each written and reread."""
+"""The corpus pipeline: five stages over documents, each written as Parquet
+and read again as the next one's input.
+
+language          rows without a known language go
+near_duplicates   one row of each class of near copies stays
+passages          repeats of passages of over 50 words are cut out of texts
+decontamination   rows that overlap the benchmark go
+packing           what is left, as token sequences
+
+All but the last keep the columns of documents. Tables that a stage wrote in
+the shared folder are dropped when the next one begins.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loamcast.llm import packing
-from loamcast.llm.common import written
+from loamcast.llm import decontamination, langid, neardup, packing, passages
+from loamcast.llm.common import Scratch, table, written
+
+_scratch = Scratch()
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _scratch.drop(spark)
+    return langid.identified(docs, langid.train(langid.training_rows(docs)))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _scratch.drop(spark)
+    return neardup.deduplicated(docs, _scratch)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _scratch.drop(spark)
+    return passages.cleaned(docs, _scratch)
+
+
+def benchmark_overlap(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _scratch.drop(spark)
+    return decontamination.decontaminated(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _scratch.drop(spark)
+    return packing.pack(docs, scope=_scratch)
+
+
+STAGES = [
+    ("language", language),
+    ("near_duplicates", near_duplicates),
+    ("passages", repeated_passages),
+    ("decontamination", benchmark_overlap),
+    ("packing", pack),
+]
 
-STAGES = [("packing", lambda spark, docs, sf_dir: packing.pack(docs))]
-ORACLE_SQL = None
+ORACLE_SQL = None  # models, samples and tokenizers are beyond SQL
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir))
     return docs
