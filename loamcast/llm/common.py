@@ -47,6 +47,12 @@ def written(df: DataFrame, scope: "Scratch | None" = None) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def sized(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """df for the small side of a join: counted first, and broadcast only up
+    to that many rows; beyond it Spark shuffles."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 class Scratch:
     """Tables written for one run, so that they can be dropped when read."""
 

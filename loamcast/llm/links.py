@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, written
+from .common import Scratch, sized, written
 
 ROOM = 16  # pairs a row of a bucket may cost before the bucket is refined
 
@@ -41,11 +41,9 @@ def components(edges: DataFrame, scope: Scratch | None = None) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
-def shared(df: DataFrame, keys: DataFrame, on: list[str], bound: int = 1_000_000) -> DataFrame:
-    """Rows of df whose key is in `keys`. Up to `bound` keys, which are
-    counted first, are broadcast; more are shuffled."""
-    keys = keys.select(*on).distinct()
-    return df.join(F.broadcast(keys) if keys.count() <= bound else keys, on, "left_semi")
+def shared(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """Rows of df whose key is in `keys`."""
+    return df.join(sized(keys.select(*on).distinct()), on, "left_semi")
 
 
 def _pairs(a: Column, b: Column) -> list[Column]:

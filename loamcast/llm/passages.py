@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words
-from .common import Scratch, table, text_blocks, written
+from .common import Scratch, sized, table, text_blocks, written
 from .links import components, shared
 
 PASSAGE = 51  # words: repeats of more than 50 go
@@ -241,9 +241,10 @@ def without(text: str, spans: list) -> str:
 def cleaned(documents: DataFrame, scope: Scratch | None = None) -> DataFrame:
     """`documents` without repeated passages, all rows and columns kept; the
     text, and n_chars if there is one, are those that remain."""
-    found = repeats(documents, scope)
+    scope = scope or Scratch()
+    found = written(repeats(documents, scope), scope)
     cuts = found.groupBy(F.col("doc_id").alias("__doc"), F.col("th").alias("__th")).agg(F.collect_list(F.struct("start", "n_words")).alias("__cuts"))
-    joined = documents.withColumn("__key", F.xxhash64("text")).join(cuts, F.expr("doc_id = __doc and __key = __th"), "left").select(*documents.columns, "__cuts")
+    joined = documents.withColumn("__key", F.xxhash64("text")).join(sized(cuts), F.expr("doc_id = __doc and __key = __th"), "left").select(*documents.columns, "__cuts")
     columns, counted = documents.columns, dict(documents.dtypes).get("n_chars") in ("int", "bigint")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
