@@ -9,15 +9,16 @@ inside, the same one wherever the passage stands.
 Paragraphs are banded by MinHash of their shingles. Those that collide are
 joined with the first of their bucket, and the two texts are laid side by
 side there: 51 words that agree in at least SIMILAR of their shingles (exact
-Jaccard) make a repeated passage. Where a bucket holds more than two and not
-all agree with the first, exact windows around its paragraphs are grouped, so
-passages shared by the others are found too. Linked paragraphs form clusters;
-all of a cluster but its first occurrence is to be removed.
+Jaccard) make a repeated passage. Where some of a bucket don't agree with the
+first, two others can only share a longer passage if they leave the first at
+the same place with the same word; so they are grouped by that, compared with
+the first of the new group, and so on. Linked paragraphs form clusters; all of
+a cluster but its first occurrence is to be removed.
 """
 
 from __future__ import annotations
 
-import functools
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,11 +32,11 @@ from .links import components, shared
 
 PASSAGE = 51  # words: repeats of more than 50 go
 WINDOW, LENGTH, SIZE = 25, 26, 5
-BANDS = 3  # of one row each: finds 0.99 of paragraphs at 0.8, all equal ones
+BANDS, ROWS = 3, 2  # finds 0.95 of paragraphs at 0.8, all equal ones
 SIMILAR = 0.8
 BLOCK = 4 << 20
 
-PARA = "doc long, th long, pos int"
+PARA = "doc long, th long, pos int, last int"
 
 
 def needed(shingles: int) -> int:
@@ -58,17 +59,36 @@ def paragraphs(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return found[found + LENGTH <= ends[found]]
 
 
+def chains(hashes: np.ndarray, counts: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, last): equal paragraphs of one text that overlap, as in words
+    repeated over and over, are one paragraph that reaches to the last."""
+    if not len(at):
+        return at, at
+    own = np.repeat(np.arange(len(counts)), counts)[at]
+    exact = words.shingles(hashes, LENGTH)[at]
+    order = np.lexsort((at, exact, own))
+    a, e, o = at[order], exact[order], own[order]
+    head = np.append(True, (o[1:] != o[:-1]) | (e[1:] != e[:-1]) | (a[1:] - a[:-1] >= LENGTH))
+    first = np.flatnonzero(head)
+    last = np.append(first[1:], len(a)) - 1
+    back = np.argsort(a[first])
+    return a[first][back], a[last][back]
+
+
 def minhash(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """One key a band for each paragraph."""
     grams = words.shingles(hashes, SIZE)
     n = LENGTH - SIZE + 1
     out = np.zeros((len(starts), BANDS), np.uint64)
-    for band in range(BANDS):
-        seed = np.array([band + 1], np.uint64) * words.M2
-        least = words.mix(grams ^ seed)
-        for step in (1, 2, 4, 8, n - 16):
-            least = np.minimum(least[:-step], least[step:]) if len(least) > step else least[:0]
-        out[:, band] = words.mix(least[starts] ^ seed) if len(starts) else 0
+    for band in range(BANDS if len(starts) else 0):
+        key = np.full(len(starts), band + 1, np.uint64)
+        for row in range(ROWS):
+            seed = np.array([band * ROWS + row + 1], np.uint64) * words.M2
+            least = words.mix(grams ^ seed)
+            for step in (1, 2, 4, 8, n - 16):
+                least = np.minimum(least[:-step], least[step:])
+            key = words.mix(key * words.M1 ^ least[starts])
+        out[:, band] = key
     return out
 
 
@@ -79,40 +99,75 @@ def _bodies(column) -> list[bytes]:
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in text_blocks(batches, "text", BLOCK):
         hashes, _, _, counts = words.split(_bodies(batch.column("text")))
-        at = paragraphs(hashes, counts)
+        at, last = chains(hashes, counts, paragraphs(hashes, counts))
         keys = minhash(hashes, at).view(np.int64)
         own = np.repeat(np.arange(len(counts)), counts)[at]
-        pos = at - (np.cumsum(counts) - counts)[own]
+        base = (np.cumsum(counts) - counts)[own]
         yield pa.record_batch(
-            [batch.column("doc").take(pa.array(own)), batch.column("th").take(pa.array(own)), pa.array(pos, pa.int32()), *(pa.array(keys[:, b], pa.int64()) for b in range(BANDS))],
-            names=["doc", "th", "pos", *(f"k{b}" for b in range(BANDS))],
+            [batch.column("doc").take(pa.array(own)), batch.column("th").take(pa.array(own)), pa.array(at - base, pa.int32()), pa.array(last - base, pa.int32()), *(pa.array(keys[:, b], pa.int64()) for b in range(BANDS))],
+            names=["doc", "th", "pos", "last", *(f"k{b}" for b in range(BANDS))],
         )
 
 
 def runs(a: np.ndarray, b: np.ndarray, shift: int) -> list[tuple[int, int]]:
     """Maximal stretches (first word in b, words) where b[i] lies over
-    a[i + shift] and every PASSAGE words agree as SIMILAR asks."""
+    a[i + shift] and every PASSAGE words agree as SIMILAR asks; they begin
+    and end with shingles that agree, and are PASSAGE words at least."""
     lo, hi = max(0, -shift), min(len(b), len(a) - shift)
     if hi - lo < PASSAGE:
         return []
     same = (a[lo + shift : hi + shift] == b[lo:hi]).astype(np.int64)
     word = np.append(0, np.cumsum(same))
-    gram = np.append(0, np.cumsum(word[SIZE:] - word[:-SIZE] == SIZE))
+    agree = word[SIZE:] - word[:-SIZE] == SIZE
+    gram = np.append(0, np.cumsum(agree))
     n = PASSAGE - SIZE + 1
     good = np.flatnonzero(gram[n:] - gram[:-n] >= needed(n))
     if not len(good):
         return []
     breaks = np.flatnonzero(np.diff(good) > 1)
     first, last = np.append(good[0], good[breaks + 1]), np.append(good[breaks], good[-1])
-    return [(int(lo + f), int(x - f + PASSAGE)) for f, x in zip(first, last)]
+    out = []
+    for f, x in zip(first, last):
+        inner = np.flatnonzero(agree[f : x + n]) + f
+        size = inner[-1] - inner[0] + SIZE
+        if size >= PASSAGE:
+            out.append((int(lo + inner[0]), int(size)))
+    return out
+
+
+SPAN = "a_doc long, a_th long, a_pos int, b_doc long, b_th long, b_pos int, b_last int, good boolean, start int, n int, left long, right long"
+
+
+def _leaves(a: np.ndarray, b: np.ndarray, a_pos: int, b_pos: int) -> tuple[int | None, int | None]:
+    """Where the second text leaves the first on either side of a paragraph,
+    with which word: hashes of the words between, that word included. Texts
+    that end there have no word. Paragraphs that differ give their own hash."""
+    mine = b[b_pos : b_pos + LENGTH]
+    if not np.array_equal(mine, a[a_pos : a_pos + LENGTH]):
+        own = _digest(mine)
+        return own, own
+
+    def leaves(x: np.ndarray, y: np.ndarray) -> int | None:
+        """Words that agree before y goes on otherwise; None if y ends first,
+        or a whole passage agrees."""
+        n = min(len(x), len(y), PASSAGE)
+        apart = np.flatnonzero(x[:n] != y[:n])
+        if len(apart):
+            return int(apart[0])
+        return n if n == len(x) < min(len(y), PASSAGE) else None
 
+    m, n = leaves(a[:a_pos][::-1], b[:b_pos][::-1]), leaves(a[a_pos + LENGTH :], b[b_pos + LENGTH :])
+    left = None if m is None else _digest(b[b_pos - m - 1 : b_pos + LENGTH])
+    return left, None if n is None else _digest(b[b_pos : b_pos + LENGTH + n + 1])
 
-SPAN = "a_doc long, a_th long, a_pos int, b_doc long, b_th long, b_pos int, good boolean, start int, n int"
+
+def _digest(part: np.ndarray) -> int:
+    return int.from_bytes(hashlib.blake2b(part.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of texts with aligned paragraphs to repeated spans of the second,
-    and, as rows that aren't good, the paragraphs that are in none."""
+    """Pairs of texts with aligned paragraphs: one row a paragraph, good where
+    it lies in a repeated span of the second text, and then with that span."""
     for batch in text_blocks(batches, "text_b", 2 << 20):
         keys = ("a_doc", "a_th", "b_doc", "b_th", "at")
         rows = list(zip(*(batch.column(k).to_pylist() for k in keys)))
@@ -124,39 +179,21 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a, b = parts[a_doc, a_th], parts[b_doc, b_th]
             by_shift: dict[int, list] = {}
             for x in at:
-                by_shift.setdefault(x["a_pos"] - x["b_pos"], []).append((x["b_pos"], x["a_pos"]))
+                by_shift.setdefault(x["a_pos"] - x["b_pos"], []).append((x["b_pos"], x["a_pos"], x["b_last"]))
             for shift, places in by_shift.items():
                 spans = runs(a, b, shift)
-                used: set = set()
-                for b_pos, a_pos in sorted(places):
+                for b_pos, a_pos, b_last in sorted(places):
                     span = next((s for s in spans if s[0] <= b_pos and b_pos + LENGTH <= s[0] + s[1]), None)
-                    if span is None:
-                        out.append((a_doc, a_th, a_pos, b_doc, b_th, b_pos, False, 0, 0))
-                    elif span not in used:
-                        used.add(span)
-                        out.append((a_doc, a_th, a_pos, b_doc, b_th, b_pos, True, *span))
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.int32())
+                    start, n = span or (0, 0)
+                    n = max(n, b_last + LENGTH - start) if span and b_last > b_pos else n
+                    out.append((a_doc, a_th, a_pos, b_doc, b_th, b_pos, b_last, span is not None, start, n, *_leaves(a, b, a_pos, b_pos)))
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
         yield pa.record_batch([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=[x.split()[0] for x in SPAN.split(", ")])
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hashes of all PASSAGE-word windows around the given paragraphs."""
-    for batch in text_blocks(batches, "text", BLOCK):
-        hashes, _, _, counts = words.split(_bodies(batch.column("text")))
-        whole = words.shingles(hashes, PASSAGE)
-        offsets = np.cumsum(counts) - counts
-        reach = np.arange(LENGTH - PASSAGE, 1)
-        own, starts = [], []
-        for i, at in enumerate(batch.column("at").to_pylist()):
-            s = np.unique(np.array(at, np.int64)[:, None] + reach)
-            s = s[(s >= 0) & (s + PASSAGE <= counts[i])]
-            own.append(np.full(len(s), i))
-            starts.append(s)
-        own, starts = np.concatenate(own), np.concatenate(starts)
-        yield pa.record_batch(
-            [pa.array(whole[offsets[own] + starts].view(np.int64)) if len(own) else pa.array([], pa.int64()), batch.column("doc").take(pa.array(own, pa.int64())), batch.column("th").take(pa.array(own, pa.int64())), pa.array(starts, pa.int32())],
-            names=["h", "doc", "th", "start"],
-        )
+def _together(rows: DataFrame) -> DataFrame:
+    """Aligned paragraphs of two texts in one row; at most their number."""
+    return rows.groupBy("a_doc", "a_th", "b_doc", "b_th").agg(F.collect_set(F.struct("a_pos", "b_pos", "b_last")).alias("at"))
 
 
 REPEATS = "doc_id long, th long, start long, n_words long, cluster string, first_doc long"
@@ -179,30 +216,39 @@ def repeats(documents: DataFrame, scope: Scratch | None = None) -> DataFrame:
     texts = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("th"), "text")
     cut = written(texts.mapInArrow(_cut, PARA + "".join(f", k{b} long" for b in range(BANDS))), scope)
     place = F.struct("doc", "th", "pos")
-    keyed = cut.select("doc", "th", "pos", F.posexplode(F.array(*[f"k{b}" for b in range(BANDS)])).alias("band", "key")).drop("band")
+    keyed = cut.select("doc", "th", "pos", "last", F.posexplode(F.array(*[f"k{b}" for b in range(BANDS)])).alias("band", "key")).drop("band")
     first = keyed.groupBy("key").agg(F.min(place).alias("a"), F.max("doc").alias("last")).where("a.doc != last").select("key", "a")
-    star = keyed.join(first, "key").where("doc != a.doc").select(F.col("a.doc").alias("a_doc"), F.col("a.th").alias("a_th"), F.col("a.pos").alias("a_pos"), F.col("doc").alias("b_doc"), F.col("th").alias("b_th"), F.col("pos").alias("b_pos"))
-    pairs = written(star.groupBy("a_doc", "a_th", "b_doc", "b_th").agg(F.collect_set(F.struct("a_pos", "b_pos")).alias("at")), scope)
-
+    star = keyed.join(first, "key").where("doc != a.doc").select(F.col("a.doc").alias("a_doc"), F.col("a.th").alias("a_th"), F.col("a.pos").alias("a_pos"), F.col("doc").alias("b_doc"), F.col("th").alias("b_th"), F.col("pos").alias("b_pos"), F.col("last").alias("b_last"))
+    pairs = written(_together(star), scope)
     sides = pairs.select(F.col("a_doc").alias("doc"), F.col("a_th").alias("th")).unionByName(pairs.select(F.col("b_doc").alias("doc"), F.col("b_th").alias("th")))
     bodies = written(shared(texts, sides, ["doc", "th"]).dropDuplicates(["doc", "th"]), scope)
     left = bodies.select(F.col("doc").alias("a_doc"), F.col("th").alias("a_th"), F.col("text").alias("text_a"))
     right = bodies.select(F.col("doc").alias("b_doc"), F.col("th").alias("b_th"), F.col("text").alias("text_b"))
-    laid = pairs.join(right, ["b_doc", "b_th"]).join(left, ["a_doc", "a_th"]).select("a_doc", "a_th", "b_doc", "b_th", "at", "text_a", "text_b")
-    seen = written(laid.mapInArrow(_compare, SPAN), scope)
 
-    # Buckets where some don't agree with the first: what do they share?
+    def compared(pairs: DataFrame) -> DataFrame:
+        laid = pairs.join(right, ["b_doc", "b_th"]).join(left, ["a_doc", "a_th"])
+        return written(laid.select("a_doc", "a_th", "b_doc", "b_th", "at", "text_a", "text_b").mapInArrow(_compare, SPAN), scope)
+
     a_place = ["a_doc", "a_th", "a_pos"]
-    apart = seen.where("not good").select(*a_place).distinct()
-    members = pairs.select("a_doc", "a_th", "b_doc", "b_th", F.explode("at").alias("x")).select("a_doc", "a_th", F.col("x.a_pos").alias("a_pos"), "b_doc", "b_th", F.col("x.b_pos").alias("b_pos"))
-    split_up = members.join(apart, a_place, "left_semi")
-    several = split_up.groupBy(*a_place).agg(F.count("*").alias("n")).where("n > 1").select(*a_place)
-    around = split_up.join(several, a_place, "left_semi").groupBy(F.col("b_doc").alias("doc"), F.col("b_th").alias("th")).agg(F.collect_set("b_pos").alias("at"))
-    hashed = bodies.join(around, ["doc", "th"]).select("doc", "th", "text", "at").mapInArrow(_windows, "h long, doc long, th long, start int")
-    hashed = written(hashed, scope)
-    origin = hashed.groupBy("h").agg(F.min(F.struct("doc", "th", "start")).alias("a"), F.max("doc").alias("last")).where("a.doc != last")
-    exact = hashed.join(origin, "h").where("doc != a.doc").select(F.col("a.doc").alias("a_doc"), F.col("a.th").alias("a_th"), F.col("a.start").alias("a_pos"), F.col("doc").alias("b_doc"), F.col("th").alias("b_th"), F.col("start").alias("b_pos"), F.col("start"), F.lit(PASSAGE).alias("n"))
-    spans = written(seen.where("good").drop("good").unionByName(exact), scope)
+    spans = None
+    while True:
+        seen = compared(pairs)
+        good = seen.where("good").select("a_doc", "a_th", "a_pos", "b_doc", "b_th", "b_pos", "start", "n")
+        # A span is a row of each of its paragraphs; its first one stands for it.
+        good = good.groupBy("a_doc", "a_th", "b_doc", "b_th", "start", "n", (F.col("a_pos") - F.col("b_pos")).alias("shift")).agg(F.min("b_pos").alias("b_pos"))
+        good = good.select("a_doc", "a_th", (F.col("b_pos") + F.col("shift")).cast("int").alias("a_pos"), "b_doc", "b_th", "b_pos", "start", "n")
+        spans = good if spans is None else spans.unionByName(good)
+        open_places = seen.groupBy(*a_place).agg(F.count("*").alias("n"), F.bool_and("good").alias("all")).where("n > 1 and not all").select(*a_place)
+        others = seen.join(open_places, a_place, "left_semi")
+        sides = others.select(*a_place, "b_doc", "b_th", "b_pos", "b_last", F.explode(F.array("left", "right")).alias("word")).where("word is not null")
+        member = F.struct(F.col("b_doc").alias("doc"), F.col("b_th").alias("th"), F.col("b_pos").alias("pos"))
+        group = [*a_place, "word"]
+        first = sides.groupBy(*group).agg(F.min(member).alias("first"), F.max("b_doc").alias("last")).where("first.doc != last").select(*group, "first")
+        again = sides.join(first, group).where("b_doc != first.doc").select(F.col("first.doc").alias("a_doc"), F.col("first.th").alias("a_th"), F.col("first.pos").alias("a_pos"), "b_doc", "b_th", "b_pos", "b_last")
+        pairs = written(_together(again), scope)
+        if pairs.isEmpty():
+            break
+    spans = written(spans, scope)
 
     node = lambda s: F.concat_ws(":", f"{s}_doc", f"{s}_th", f"{s}_pos")
     named = spans.withColumns({"u": node("b"), "v": node("a")})
