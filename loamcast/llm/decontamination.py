@@ -33,7 +33,7 @@ class Suffixes:
         self.text[places] = numbers + 1
         self.base = np.cumsum(counts + 1) - counts - 1  # of each document in text
         bits = int(len(self.vocabulary) + 1).bit_length()
-        per = max(1, 63 // bits)
+        per = min(depth, max(1, 63 // bits))
         key = np.zeros(len(self.text), np.uint64)
         for k in range(per):
             key = key << np.uint64(bits)

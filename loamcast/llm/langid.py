@@ -26,6 +26,7 @@ SLICE = 1 << 18  # characters of a text that are taken at once
 ROWS = 512  # texts or slices that are bundled at once
 CACHED = 1 << 15  # trigram vectors that a worker keeps
 UNKNOWN = "und"
+EDGE = "\uffff"  # where a slice is cut; no character
 
 
 @functools.cache
@@ -75,7 +76,8 @@ class Bundler:
         lengths = np.fromiter(map(len, lowered), np.int64, len(parts)) + 2
         owner = np.repeat(np.arange(len(parts)), lengths)[: len(symbols)]
         grams = symbols[:-2] << 16 | symbols[1:-1] << 8 | symbols[2:]
-        inner = np.flatnonzero(symbols[1:-1])  # a trigram's middle is a letter
+        cut = codes == ord(EDGE)
+        inner = np.flatnonzero((symbols[1:-1] > 0) & ~(cut[:-2] | cut[2:]))  # a trigram's middle is a letter
         grams, owner = grams[inner], owner[inner + 1]
         if not len(grams):
             return
@@ -92,8 +94,8 @@ class Bundler:
         size = 0
         for k, text in enumerate(texts):
             for start in range(0, max(1, len(text)), SLICE):
-                part = text[max(0, start - 2) : start + SLICE] if start else text[:SLICE]
-                parts.append(f" {part}" if not start else part)
+                part = text[max(0, start - 2) : start + SLICE]
+                parts.append(f"{EDGE if start else ' '}{part}{EDGE if start + SLICE < len(text) else ''}")
                 owners.append(k)
                 size += len(part)
                 if len(parts) >= ROWS or size >= 8 * SLICE:
