@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from ..functions import special
 from ..functions.normal import Z95, number, pnorm_sql, qnorm_sql, uniform, uniform_sql
-from ..operators import cells, gp, horizons, simulate, stats
+from ..operators import cells, gp, horizons, matching, monte_carlo, simulate, stats
 from ..sources.tables import HORIZONS, read
 from ..sources.tables import horizons as hz
 from ..streaming import quality
@@ -518,3 +519,74 @@ def depth_trends(spark, sf_dir):
 def depth_copula(spark, sf_dir):
     draws = simulate.correlated_triangular(simulate.realizations(hz(spark, sf_dir).where("mukey % 4 = 1").select("cokey", "hz", "hzdept_r", "l", "r", "h", "p1", (F.col("p1") * 0.8).alias("q_l"), (F.col("p1") * 1.2).alias("q_h")), 50), ["cokey", "hz", "sim"], {"a": ("l", "r", "h"), "b": ("q_l", "p1", "q_h")}, MATRIX)
     return gp.reordered(draws.select("cokey", "hz", "hzdept_r", "sim", "a", "b"), ["a", "b"], MATRIX)
+
+
+@query(
+    "band_infill",
+    """, m AS (SELECT mukey, cokey, hz, (hzdept_r + hzdepb_r) / 2 AS mid, CASE WHEN mark % 9 = 0 THEN NULL ELSE r END AS v FROM hz)
+  SELECT m.cokey, m.hz, round(coalesce(m.v, n.near) + 2e-7, 5) AS v FROM m LEFT JOIN (SELECT a.cokey, a.hz, sum(b.v / (1 + abs(a.mid - b.mid))) / sum(1 / (1 + abs(a.mid - b.mid))) AS near FROM m a JOIN m b ON a.mukey = b.mukey AND a.cokey != b.cokey AND abs(a.mid - b.mid) <= 15 WHERE a.v IS NULL AND b.v IS NOT NULL GROUP BY a.cokey, a.hz) n ON m.cokey = n.cokey AND m.hz = n.hz""",
+)
+def band_infill(spark, sf_dir):
+    x = hz(spark, sf_dir).select("mukey", "cokey", "hz", ((F.col("hzdept_r") + F.col("hzdepb_r")) / 2).alias("mid"), F.when(F.col("mark") % 9 != 0, F.col("r")).alias("v"))
+    return matching.across_components(x, "v").select("cokey", "hz", F.round(F.coalesce("v", "near") + 2e-7, 5).alias("v"))
+
+
+@query(
+    "overlaps",
+    "SELECT a.cokey, a.hz, b.hz AS hz2, round(least(a.hzdepb_r, b.hzdepb_r + 10) - greatest(a.hzdept_r, b.hzdept_r + 10), 6) AS shared FROM hz a JOIN hz b ON a.cokey = b.cokey AND least(a.hzdepb_r, b.hzdepb_r + 10) > greatest(a.hzdept_r, b.hzdept_r + 10)",
+)
+def overlaps(spark, sf_dir):
+    x = hz(spark, sf_dir)
+    left = x.select("cokey", "hz", F.col("hzdept_r").alias("top"), F.col("hzdepb_r").alias("bottom"))
+    right = x.select("cokey", F.col("hz").alias("hz2"), (F.col("hzdept_r") + 10).alias("top2"), (F.col("hzdepb_r") + 10).alias("bottom2"))
+    return rounded(matching.overlapping(left, right, ["cokey"]).select("cokey", "hz", "hz2", "shared"))
+
+
+@query("nearest_slices", "SELECT cokey, hz, CASE WHEN m <= 25e-1 THEN 0e0 WHEN m <= 10 THEN 5e0 WHEN m <= 225e-1 THEN 15e0 WHEN m <= 45 THEN 30e0 WHEN m <= 80 THEN 60e0 ELSE 100e0 END AS slice FROM (SELECT cokey, hz, (hzdept_r + hzdepb_r) / 2 AS m FROM hz)")
+def nearest_slices(spark, sf_dir):
+    x = hz(spark, sf_dir).withColumn("m", (F.col("hzdept_r") + F.col("hzdepb_r")) / 2)
+    return matching.nearest(x, [0, 5, 15, 30, 60, 100], "m").select("cokey", "hz", "slice")
+
+
+@query(
+    "name_similarity",
+    "SELECT a.cokey, a.hz, b.hz AS hz2, CASE WHEN a.hzname = b.hzname THEN 1e0 WHEN a.genhz = b.genhz THEN 8e-1 ELSE 0e0 END AS score FROM hz a JOIN hz b ON a.cokey = b.cokey AND a.hz < b.hz",
+)
+def name_similarity(spark, sf_dir):
+    x = hz(spark, sf_dir).select("cokey", "hz", "hzname")
+    y = x.select("cokey", F.col("hz").alias("hz2"), F.col("hzname").alias("other"))
+    return x.join(y, "cokey").where("hz < hz2").select("cokey", "hz", "hz2", matching.name_similarity(F.col("hzname"), F.col("other")).alias("score"))
+
+
+def triplets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = hz(spark, sf_dir).withColumn("hzname", F.when(F.col("genhz") == "R", "Cr").otherwise(F.col("hzname")))
+    return x.select("mukey", "cokey", "hz", "hzname", "hzdept_r", "hzdepb_r", F.when(F.col("mark") % 7 != 0, F.col("l")).alias("a_l"), F.col("r").alias("a_r"), F.col("h").alias("a_h"), (F.col("p1") * 0.9).alias("b_l"), F.col("p1").alias("b_r"), (F.col("p1") * 1.2).alias("b_h"))
+
+
+MC = f"""m AS (SELECT mukey, cokey, hz, sim, {TRI.replace("lo", "a_l").replace("hi", "a_h").replace("md", "r").replace("u", "ua")} AS a, greatest(least({TRI.replace("lo", "b_l").replace("hi", "b_h").replace("md", "p1").replace("u", "ub")}, 40), 5) AS b
+  FROM (SELECT *, {pnorm_sql('y1')} AS ua, {pnorm_sql('y2')} AS ub FROM (SELECT *, z1 AS y1, {number(LOW2[1, 0])} * z1 + {number(LOW2[1, 1])} * z2 AS y2 FROM (SELECT *, {qnorm_sql('e1')} AS z1, {qnorm_sql('e2')} AS z2
+  FROM (SELECT *, coalesce(CASE WHEN mark % 7 = 0 THEN NULL ELSE l END, r * 8e-1) AS a_l, h AS a_h, p1 * 9e-1 AS b_l, p1 * 12e-1 AS b_h, {uniform_sql('cokey', 'hz', 'sim', "'a'", '1')} AS e1, {uniform_sql('cokey', 'hz', 'sim', "'b'", '1')} AS e2 FROM hz, range(1, 11) s(sim) WHERE genhz != 'R' AND hzdept_r <= 250)))))"""
+
+
+@query("monte_carlo", f", {MC} SELECT mukey, count(*) AS n, round(quantile_cont(a, 5e-2), 3) AS a05, round(quantile_cont(a, 5e-1), 3) AS a50, round(quantile_cont(a, 95e-2), 3) AS a95, round(avg(b), 4) AS b FROM m GROUP BY mukey")
+def mc(spark, sf_dir):
+    draws = monte_carlo.simulate(triplets(spark, sf_dir), ["a", "b"], MATRIX, monte_carlo.configured(n=10, limits={"b": (5.0, 40.0)}))
+    p = F.percentile("a", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
+    x = draws.groupBy("mukey").agg(F.count("*").alias("n"), p.alias("p"), F.avg("b").alias("b"))
+    return x.select("mukey", "n", *[F.round(F.col("p")[k], 3).alias(c) for k, c in enumerate(("a05", "a50", "a95"))], F.round("b", 4).alias("b"))
+
+
+@query("property_coverage", "SELECT 'a' AS property, count(*) FILTER (mark % 7 != 0) AS whole, count(*) FILTER (mark % 7 = 0) AS estimated, 0::BIGINT AS missing FROM hz UNION ALL SELECT 'b', count(*), 0, 0 FROM hz")
+def property_coverage(spark, sf_dir):
+    return monte_carlo.coverage(triplets(spark, sf_dir), ["a", "b"])
+
+
+@query("simulation_quality")
+def simulation_quality(spark, sf_dir):
+    return monte_carlo.quality(monte_carlo.simulate(triplets(spark, sf_dir), ["a", "b"], MATRIX, monte_carlo.configured(n=10)), ["a", "b"])
+
+
+@query("beta_draws")
+def beta_draws(spark, sf_dir):
+    x = hz(spark, sf_dir).withColumn("u", uniform(F.col("cokey"), F.col("hz"), "beta"))
+    return x.select("cokey", "hz", special.beta_draw(F.col("p1") * 0.8, F.col("p1"), F.col("p1") * 1.3, F.col("u"), 0.0, 100.0).alias("draw"))
