@@ -228,4 +228,17 @@ def decontaminated(documents: DataFrame, benchmark: DataFrame, window: int = WIN
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
-    return found.drop("matches")
+    return found.drop("matches", "longest_match")
+
+
+ORACLE = r"""
+WITH words AS (SELECT 'd' AS kind, doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+  UNION ALL SELECT 'b', item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
+items AS (SELECT id AS item, least(13, len(w)) AS k, unnest(list_transform(range(1, greatest(len(w) - 12, 1) + 1), lambda i: array_to_string(w[i : i + least(13, len(w)) - 1], ' '))) AS key FROM words WHERE kind = 'b' AND len(w) > 0),
+places AS (SELECT id, k, unnest(range(1, len(w) - k + 2)) AS i, w FROM words, (SELECT DISTINCT k FROM items) WHERE kind = 'd' AND len(w) >= k),
+hits AS (SELECT p.id, p.i, p.k, item FROM (SELECT id, i, k, array_to_string(w[i : i + k - 1], ' ') AS key FROM places) p JOIN items ON p.key = items.key AND p.k = items.k),
+covered AS (SELECT id, count(DISTINCT n) AS n_hit FROM (SELECT id, unnest(range(i, i + k)) AS n FROM hits) GROUP BY id),
+found AS (SELECT id, count(DISTINCT item) AS n_items, array_to_string(list_sort(list(DISTINCT CAST(item AS VARCHAR))), ',') AS ids FROM hits GROUP BY id)
+SELECT d.id AS doc_id, len(d.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(d.w), false) AS contaminated
+FROM words d LEFT JOIN covered c ON c.id = d.id LEFT JOIN found f ON f.id = d.id WHERE d.kind = 'd'
+"""

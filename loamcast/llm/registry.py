@@ -17,4 +17,4 @@ QUERIES = {
     "op10_url_filter": urls.query,
 }
 
-ORACLE_SQL = {"op10_url_filter": urls.ORACLE}
+ORACLE_SQL = {"op1_decontamination": decontamination.ORACLE, "op9_chat": chat.ORACLE, "op10_url_filter": urls.ORACLE}
