@@ -104,3 +104,42 @@ def monotone_share(rows: DataFrame, keys: list[str], order: list[str], value: st
     step = F.col(value) - F.lag(value).over(Window.partitionBy(*keys).orderBy(*order))
     steps = rows.withColumn("step", step).where("step is not null")
     return steps.groupBy(*keys).agg((F.greatest(F.sum((F.col("step") > 0).cast("int")), F.sum((F.col("step") < 0).cast("int"))) / F.count("*")).alias("share"), F.count("*").alias("steps"))
+
+
+def ranked_fits(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, family, aic, place): normal, lognormal and exponential fits by
+    maximum likelihood, from sums alone; families that need positive values
+    are left out where there are others."""
+    x, n = F.col(value), F.count(value)
+    two_pi = 6.283185307179586
+    sums = rows.groupBy(*keys).agg(n.alias("n"), F.avg(x).alias("m"), F.var_pop(x).alias("v"), F.avg(F.log(x)).alias("lm"), F.var_pop(F.log(x)).alias("lv"), F.min(x).alias("lo"))
+    gauss = lambda v: 0.5 * F.col("n") * (F.log(two_pi * v) + 1)
+    fits = F.array(
+        F.struct(F.lit("normal").alias("family"), F.when(F.col("v") > 0, 4 + 2 * gauss(F.col("v"))).alias("aic")),
+        F.struct(F.lit("lognormal").alias("family"), F.when((F.col("lo") > 0) & (F.col("lv") > 0), 4 + 2 * (gauss(F.col("lv")) + F.col("n") * F.col("lm"))).alias("aic")),
+        F.struct(F.lit("exponential").alias("family"), F.when(F.col("lo") > 0, 2 + 2 * F.col("n") * (F.log("m") + 1)).alias("aic")),
+    )
+    long = sums.select(*keys, F.explode(fits).alias("f")).select(*keys, "f.*").where("aic is not null")
+    return long.withColumn("place", F.rank().over(Window.partitionBy(*keys).orderBy("aic")))
+
+
+def intervals(rows: DataFrame, keys: list[str], value: str, z: float = 1.959963984540054) -> DataFrame:
+    """Normal confidence interval of the mean of each group."""
+    half = z * F.stddev_samp(value) / F.sqrt(F.count(value))
+    return rows.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), (F.avg(value) - half).alias("low"), (F.avg(value) + half).alias("high"))
+
+
+def missing(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, n, missing, share) of each column."""
+    wide = rows.agg(F.count("*").alias("n"), *[F.sum(F.col(c).isNull().cast("int")).alias(c) for c in columns])
+    parts = F.array(*[F.struct(F.lit(c).alias("column"), F.coalesce(F.col(c), F.lit(0)).alias("missing")) for c in columns])
+    return wide.select("n", F.explode(parts).alias("x")).select("x.column", "n", "x.missing", F.when(F.col("n") > 0, F.col("x.missing") / F.col("n")).alias("share"))
+
+
+def scores(observed: DataFrame, simulated: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Bias, relative error and spread ratio of simulated against observed
+    groups; groups of one side alone drop out."""
+    side = lambda df, s: df.groupBy(*keys).agg(F.avg(value).alias(f"{s}_m"), F.stddev_samp(value).alias(f"{s}_s"))
+    both = side(observed, "o").join(side(simulated, "s"), keys)
+    bias = F.col("s_m") - F.col("o_m")
+    return both.select(*keys, bias.alias("bias"), F.when(F.col("o_m") != 0, F.abs(bias / F.col("o_m"))).alias("relative"), F.when(F.col("o_s") > 0, F.col("s_s") / F.col("o_s")).alias("spread"))

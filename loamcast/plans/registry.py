@@ -590,3 +590,41 @@ def simulation_quality(spark, sf_dir):
 def beta_draws(spark, sf_dir):
     x = hz(spark, sf_dir).withColumn("u", uniform(F.col("cokey"), F.col("hz"), "beta"))
     return x.select("cokey", "hz", special.beta_draw(F.col("p1") * 0.8, F.col("p1"), F.col("p1") * 1.3, F.col("u"), 0.0, 100.0).alias("draw"))
+
+
+@query(
+    "ranked_fits",
+    """, s AS (SELECT mukey, count(r) AS n, avg(r) AS m, var_pop(r) AS v, avg(ln(r)) AS lm, var_pop(ln(r)) AS lv FROM hz GROUP BY mukey),
+  f AS (SELECT mukey, 'normal' AS family, 4 + n * (ln(6283185307179586e-15 * v) + 1) AS aic FROM s UNION ALL SELECT mukey, 'lognormal', 4 + n * (ln(6283185307179586e-15 * lv) + 1) + 2 * n * lm FROM s UNION ALL SELECT mukey, 'exponential', 2 + 2 * n * (ln(m) + 1) FROM s)
+  SELECT mukey, family, round(aic, 4) AS aic, CAST(rank() OVER (PARTITION BY mukey ORDER BY aic) AS INTEGER) AS place FROM f""",
+)
+def ranked_fits(spark, sf_dir):
+    return rounded(stats.ranked_fits(hz(spark, sf_dir), ["mukey"], "r"), digits=4)
+
+
+@query(
+    "mean_intervals",
+    "SELECT mukey, genhz, count(r) AS n, round(avg(r), 5) AS mean, round(avg(r) - 1959963984540054e-15 * stddev_samp(r) / sqrt(count(r)), 5) AS low, round(avg(r) + 1959963984540054e-15 * stddev_samp(r) / sqrt(count(r)), 5) AS high FROM hz GROUP BY ALL",
+)
+def mean_intervals(spark, sf_dir):
+    return rounded(stats.intervals(hz(spark, sf_dir), ["mukey", "genhz"], "r"), digits=5)
+
+
+@query(
+    "missing_profile",
+    "SELECT 'v' AS \"column\", count(*) AS n, count(*) FILTER (event_id % 3 = 0) AS missing, round(count(*) FILTER (event_id % 3 = 0) / count(*), 8) AS share FROM events UNION ALL SELECT 'user_id', count(*), 0, 0 FROM events",
+)
+def missing_profile(spark, sf_dir):
+    x = read(spark, sf_dir, "events").withColumn("v", F.when(F.col("event_id") % 3 != 0, F.col("value")))
+    return rounded(stats.missing(x, ["v", "user_id"]), digits=8)
+
+
+@query(
+    "simulation_scores",
+    f", {MC}, s AS (SELECT mukey, avg(a) AS m, stddev_samp(a) AS d FROM m GROUP BY mukey), o AS (SELECT mukey, avg(r) AS m, stddev_samp(r) AS d FROM hz WHERE genhz != 'R' AND hzdept_r <= 250 GROUP BY mukey) SELECT o.mukey, round(s.m - o.m, 4) AS bias, round(abs((s.m - o.m) / o.m), 8) AS relative, round(s.d / o.d, 8) AS spread FROM o JOIN s ON o.mukey = s.mukey",
+)
+def simulation_scores(spark, sf_dir):
+    draws = monte_carlo.simulate(triplets(spark, sf_dir), ["a", "b"], MATRIX, monte_carlo.configured(n=10, limits={"b": (5.0, 40.0)}))
+    seen = monte_carlo.usable(triplets(spark, sf_dir), ["a"], monte_carlo.configured()).withColumnRenamed("a_r", "a")
+    x = stats.scores(seen, draws, ["mukey"], "a")
+    return x.select("mukey", F.round("bias", 4).alias("bias"), F.round("relative", 8).alias("relative"), F.round("spread", 8).alias("spread"))

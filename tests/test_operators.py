@@ -180,3 +180,57 @@ def test_every_query_has_a_name():
 
     queries, oracles = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert set(oracles) <= set(queries) and len(queries) > 30
+
+
+def test_cache_is_reused_and_ages(spark, tmp_path):
+    from loamcast.sources import cache
+
+    made = []
+
+    def make():
+        made.append(1)
+        return spark.range(len(made))
+
+    key = cache.key_of(b=2, a=[1])
+    assert key == cache.key_of(a=[1], b=2) != cache.key_of(a=[2], b=2)
+    assert [cache.cached(spark, str(tmp_path), key, make).count() for _ in range(2)] == [1, 1]
+    assert cache.cached(spark, str(tmp_path), key, make, max_age=-1).count() == 2
+
+
+def test_special_functions():
+    from loamcast.functions import special
+
+    assert np.allclose(special.digamma(np.array([1.0, 0.5, 10.0])), [-0.5772156649, -1.9635100260, 2.2517525891])
+    assert np.allclose(special.trigamma(np.array([1.0, 0.5])), [1.6449340668, 4.9348022005])
+    u = np.linspace(0.01, 0.99, 21)
+    for a, b in ((0.5, 0.5), (2, 5), (30, 4), (1, 1)):
+        assert np.allclose(special.beta_cdf(special.beta_quantile(u, a, b), a, b), u)
+    assert np.allclose(special.beta_cdf(u, 2, 2), 3 * u**2 - 2 * u**3)
+    rng = np.random.default_rng(0)
+    a, b = special.beta_fit(100 * rng.beta(2, 5, (1, 20000)), 0, 100)
+    assert abs(a[0] - 2) < 0.1 and abs(b[0] - 5) < 0.2
+    q = special.spline_quantile(np.array([0.05, 0.5, 0.95]), np.array([1.0, 2.0, 9.0]), u)
+    assert (np.diff(q) >= 0).all() and np.allclose(special.spline_quantile(np.array([0.05, 0.5, 0.95]), np.array([1.0, 2.0, 9.0]), np.array([0.05, 0.5, 0.95])), [1, 2, 9])
+
+
+def test_band_join_is_brute_force(spark):
+    from loamcast.operators import matching
+
+    rng = np.random.default_rng(1)
+    x = [(int(k), float(v)) for k, v in zip(rng.integers(0, 3, 80), rng.uniform(-60, 60, 80))]
+    left, right = spark.createDataFrame(x, "k int, a double"), spark.createDataFrame(x, "k int, b double")
+    got = sorted(map(tuple, matching.within(left, right, ["k"], "a", "b", 7.5).collect()))
+    assert got == sorted((k, a, b) for k, a in x for j, b in x if j == k and abs(a - b) <= 7.5)
+
+
+def test_monte_carlo_configuration(spark):
+    from loamcast.operators import monte_carlo
+
+    config = monte_carlo.configured(n=5, limits={"ph": (4.0, 9.0)})
+    assert config.limits["ph"] == (4.0, 9.0) and config.limits["clay"] == (0.0, 100.0)
+    with pytest.raises(ValueError):
+        monte_carlo.configured(n=0)
+    rows = [(1, 1, 1, "A", 0.0, 10.0, None, 6.0, None), (1, 1, 2, "Cr", 10.0, 20.0, 5.0, 6.0, 7.0), (1, 2, 1, "B", 300.0, 310.0, 5.0, 6.0, 7.0), (1, 3, 1, "B", 0.0, 9.0, None, None, None)]
+    x = spark.createDataFrame(rows, "mukey int, cokey int, hz int, hzname string, hzdept_r double, hzdepb_r double, ph_l double, ph_r double, ph_h double")
+    got = monte_carlo.simulate(x, ["ph"], config=config).collect()
+    assert len(got) == 5 and {r.cokey for r in got} == {1} and all(4.8 <= r.ph <= 7.2 for r in got)
