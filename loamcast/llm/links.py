@@ -112,16 +112,16 @@ def link(keys: DataFrame, verify: Callable[[DataFrame], DataFrame], peel: Callab
         pivots = written(tops.select("key", F.col("top.node").alias("pivot"), F.col("top.component").alias("its"), F.col("next.node").alias("second")), scope)
         other = few.select("key", F.col("node").alias("other"), F.col("component").alias("its"))
         pairs = few.join(other, "key").where("node < other and component != its").select(F.col("node").alias("a"), F.col("other").alias("b"))
-        star = many.join(pivots, "key").where("component != its").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
+        star = many.join(sized(pivots), "key").where("component != its").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
         pairs = pairs.unionByName(star).distinct()
-        pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), scope)
+        pairs = written(pairs if tested is None else pairs.join(sized(tested), ["a", "b"], "left_anti"), scope)
         found = written(verify(pairs), scope)
         links, tested = (found, pairs) if links is None else (links.unionByName(found), tested.unionByName(pairs))
         if pivots.isEmpty():
             return links
         labels = written(components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), scope), scope)
         few, many = _crowded(many.select("key", "node"), labels, room, scope)
-        apart = many.join(pivots, "key").where("node != pivot").select("node", "pivot", "second").distinct()
+        apart = many.join(sized(pivots), "key").where("node != pivot").select("node", "pivot", "second").distinct()
         fresh = written(peel(apart), scope)
         pairs_up = fresh.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
         rows = written(few.select("key", "node").unionByName(fresh.join(pairs_up, "key", "left_semi")), scope)
@@ -135,7 +135,7 @@ def _crowded(rows: DataFrame, labels: DataFrame | None, room: int, scope: Scratc
     if labels is None:
         named = rows.withColumn("component", F.col("node"))
     else:
-        named = rows.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+        named = rows.join(sized(labels), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     each = named.groupBy("key", "component").agg(F.count("*").alias("n"))
     total = each.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"), F.count("*").alias("parts")).where("parts > 1")
     pairs = (F.col("n") * F.col("n") - F.col("own")) / 2

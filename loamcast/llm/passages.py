@@ -226,7 +226,9 @@ def repeats(documents: DataFrame, scope: Scratch | None = None) -> DataFrame:
     right = bodies.select(F.col("doc").alias("b_doc"), F.col("th").alias("b_th"), F.col("text").alias("text_b"))
 
     def compared(pairs: DataFrame) -> DataFrame:
-        laid = pairs.join(right, ["b_doc", "b_th"]).join(left, ["a_doc", "a_th"])
+        # Few aligned paragraphs, which are counted, go to the texts; many are shuffled.
+        few = (pairs.agg(F.sum(F.size("at"))).first()[0] or 0) <= 500_000
+        laid = (F.broadcast(pairs) if few else pairs).join(right, ["b_doc", "b_th"]).join(left, ["a_doc", "a_th"])
         return written(laid.select("a_doc", "a_th", "b_doc", "b_th", "at", "text_a", "text_b").mapInArrow(_compare, SPAN), scope)
 
     a_place = ["a_doc", "a_th", "a_pos"]
@@ -239,7 +241,7 @@ def repeats(documents: DataFrame, scope: Scratch | None = None) -> DataFrame:
         good = good.select("a_doc", "a_th", (F.col("b_pos") + F.col("shift")).cast("int").alias("a_pos"), "b_doc", "b_th", "b_pos", "start", "n")
         spans = good if spans is None else spans.unionByName(good)
         open_places = seen.groupBy(*a_place).agg(F.count("*").alias("n"), F.bool_and("good").alias("all")).where("n > 1 and not all").select(*a_place)
-        others = seen.join(open_places, a_place, "left_semi")
+        others = seen.join(sized(open_places), a_place, "left_semi")
         sides = others.select(*a_place, "b_doc", "b_th", "b_pos", "b_last", F.explode(F.array("left", "right")).alias("word")).where("word is not null")
         member = F.struct(F.col("b_doc").alias("doc"), F.col("b_th").alias("th"), F.col("b_pos").alias("pos"))
         group = [*a_place, "word"]
