@@ -517,7 +517,7 @@ def depth_trends(spark, sf_dir):
 
 @query("depth_copula")
 def depth_copula(spark, sf_dir):
-    draws = simulate.correlated_triangular(simulate.realizations(hz(spark, sf_dir).where("mukey % 4 = 1").select("cokey", "hz", "hzdept_r", "l", "r", "h", "p1", (F.col("p1") * 0.8).alias("q_l"), (F.col("p1") * 1.2).alias("q_h")), 50), ["cokey", "hz", "sim"], {"a": ("l", "r", "h"), "b": ("q_l", "p1", "q_h")}, MATRIX)
+    draws = simulate.correlated_triangular(simulate.realizations(hz(spark, sf_dir).select("cokey", "hz", "hzdept_r", "l", "r", "h", "p1", (F.col("p1") * 0.8).alias("q_l"), (F.col("p1") * 1.2).alias("q_h")), 50), ["cokey", "hz", "sim"], {"a": ("l", "r", "h"), "b": ("q_l", "p1", "q_h")}, MATRIX)
     return gp.reordered(draws.select("cokey", "hz", "hzdept_r", "sim", "a", "b"), ["a", "b"], MATRIX)
 
 

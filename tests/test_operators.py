@@ -148,6 +148,26 @@ def test_reordering_keeps_margins(spark):
     assert y.where("hz = 1").agg(F.corr("a", "b")).first()[0] == pytest.approx(0.79, abs=0.08)
 
 
+def test_depth_copula_reorders_every_map_unit(spark, tmp_path):
+    from loamcast.plans import registry
+
+    lines = [(o, k, 10 * o + k, (o + k) % 6, 5.0 + k, 900.0 + 7 * o + k, 0.05, 0.02, "ANR"[o % 3]) for o in range(1, 9) for k in range(1, 2 + o % 4)]
+    cols = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string"
+    spark.createDataFrame(lines, cols).withColumn("l_shipdate", F.lit("1995-01-01").cast("timestamp")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = registry.QUERIES["depth_copula"](spark, str(tmp_path)).toPandas()
+    x = tables.horizons(spark, str(tmp_path)).withColumns({"q_l": F.col("p1") * 0.8, "q_h": F.col("p1") * 1.2})
+    draws = simulate.correlated_triangular(simulate.realizations(x, 50), ["cokey", "hz", "sim"], {"a": ("l", "r", "h"), "b": ("q_l", "p1", "q_h")}, registry.MATRIX).toPandas()
+    assert len(got) == len(draws) == 50 * len(lines) and set(got.cokey) == set(range(1, 9))
+    for cokey, profile in draws.groupby("cokey"):
+        depths = profile.groupby("hz").hzdept_r.first().to_numpy()
+        z = gp.joint_normals(gp.depth_correlation(depths, 50.0) + 1e-9 * np.eye(len(depths)), np.array(registry.MATRIX), 50, 1 + cokey)
+        for i, (hz, horizon) in enumerate(profile.groupby("hz")):
+            mine = got[(got.cokey == cokey) & (got.hz == hz)].sort_values("sim")
+            for k, name in enumerate("ab"):
+                want = [sorted(horizon[name])[sum(z[i, k] < v)] for v in z[i, k]]
+                assert np.allclose(mine[name], want, rtol=1e-12)
+
+
 def test_summary_moments(spark):
     v = [1.0, 2.0, 2.0, 9.0, 4.0]
     r = stats.summary(spark.createDataFrame([(1, x) for x in v], "k int, v double"), ["k"], "v").first()
