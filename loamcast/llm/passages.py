@@ -12,8 +12,10 @@ side there: 51 words that agree in at least SIMILAR of their shingles (exact
 Jaccard) make a repeated passage. Where some of a bucket don't agree with the
 first, two others can only share a longer passage if they leave the first at
 the same place with the same word; so they are grouped by that, compared with
-the first of the new group, and so on. Linked paragraphs form clusters; all of
-a cluster but its first occurrence is to be removed.
+the first of the new group, and so on. Other places of the first's document
+are members too, but only texts of different ids make a repeat. Linked
+paragraphs form clusters; all of a cluster but its first occurrence is to be
+removed.
 """
 
 from __future__ import annotations
@@ -181,7 +183,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for x in at:
                 by_shift.setdefault(x["a_pos"] - x["b_pos"], []).append((x["b_pos"], x["a_pos"], x["b_last"]))
             for shift, places in by_shift.items():
-                spans = runs(a, b, shift)
+                spans = runs(a, b, shift) if a_doc != b_doc else []
                 for b_pos, a_pos, b_last in sorted(places):
                     span = next((s for s in spans if s[0] <= b_pos and b_pos + LENGTH <= s[0] + s[1]), None)
                     start, n = span or (0, 0)
@@ -218,7 +220,7 @@ def repeats(documents: DataFrame, scope: Scratch | None = None) -> DataFrame:
     place = F.struct("doc", "th", "pos")
     keyed = cut.select("doc", "th", "pos", "last", F.posexplode(F.array(*[f"k{b}" for b in range(BANDS)])).alias("band", "key")).drop("band")
     first = keyed.groupBy("key").agg(F.min(place).alias("a"), F.max("doc").alias("last")).where("a.doc != last").select("key", "a")
-    star = keyed.join(first, "key").where("doc != a.doc").select(F.col("a.doc").alias("a_doc"), F.col("a.th").alias("a_th"), F.col("a.pos").alias("a_pos"), F.col("doc").alias("b_doc"), F.col("th").alias("b_th"), F.col("pos").alias("b_pos"), F.col("last").alias("b_last"))
+    star = keyed.join(first, "key").where("struct(doc, th, pos) != a").select(F.col("a.doc").alias("a_doc"), F.col("a.th").alias("a_th"), F.col("a.pos").alias("a_pos"), F.col("doc").alias("b_doc"), F.col("th").alias("b_th"), F.col("pos").alias("b_pos"), F.col("last").alias("b_last"))
     pairs = written(_together(star), scope)
     sides = pairs.select(F.col("a_doc").alias("doc"), F.col("a_th").alias("th")).unionByName(pairs.select(F.col("b_doc").alias("doc"), F.col("b_th").alias("th")))
     bodies = written(shared(texts, sides, ["doc", "th"]).dropDuplicates(["doc", "th"]), scope)
@@ -240,13 +242,13 @@ def repeats(documents: DataFrame, scope: Scratch | None = None) -> DataFrame:
         good = good.groupBy("a_doc", "a_th", "b_doc", "b_th", "start", "n", (F.col("a_pos") - F.col("b_pos")).alias("shift")).agg(F.min("b_pos").alias("b_pos"))
         good = good.select("a_doc", "a_th", (F.col("b_pos") + F.col("shift")).cast("int").alias("a_pos"), "b_doc", "b_th", "b_pos", "start", "n")
         spans = good if spans is None else spans.unionByName(good)
-        open_places = seen.groupBy(*a_place).agg(F.count("*").alias("n"), F.bool_and("good").alias("all")).where("n > 1 and not all").select(*a_place)
+        open_places = seen.groupBy(*a_place).agg(F.count("*").alias("n"), F.bool_and(F.expr("good or a_doc = b_doc")).alias("all")).where("n > 1 and not all").select(*a_place)
         others = seen.join(sized(open_places), a_place, "left_semi")
         sides = others.select(*a_place, "b_doc", "b_th", "b_pos", "b_last", F.explode(F.array("left", "right")).alias("word")).where("word is not null")
         member = F.struct(F.col("b_doc").alias("doc"), F.col("b_th").alias("th"), F.col("b_pos").alias("pos"))
         group = [*a_place, "word"]
         first = sides.groupBy(*group).agg(F.min(member).alias("first"), F.max("b_doc").alias("last")).where("first.doc != last").select(*group, "first")
-        again = sides.join(first, group).where("b_doc != first.doc").select(F.col("first.doc").alias("a_doc"), F.col("first.th").alias("a_th"), F.col("first.pos").alias("a_pos"), "b_doc", "b_th", "b_pos", "b_last")
+        again = sides.join(first, group).where(member != F.col("first")).select(F.col("first.doc").alias("a_doc"), F.col("first.th").alias("a_th"), F.col("first.pos").alias("a_pos"), "b_doc", "b_th", "b_pos", "b_last")
         pairs = written(_together(again), scope)
         if pairs.isEmpty():
             break

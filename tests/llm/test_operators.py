@@ -299,6 +299,22 @@ def test_passages(spark):
     assert cleaned[44].n_chars == len(cleaned[44].text) and cleaned[0].text == rows[0][1]
 
 
+def test_passages_of_a_line_that_stands_twice(spark):
+    """In the document of the smallest id, with different surroundings; a text
+    repeats the second ones."""
+    rows = []
+    for k in range(12):
+        line, second = prose(4000 + k, 45), prose(4100 + k, 10)
+        rows.append((2 * k, f"{prose(4200 + k, 60)} {line} {prose(4300 + k, 60)} {line} {second} {prose(4400 + k, 60)}"))
+        rows.append((2 * k + 1, f"{prose(4500 + k, 60)} {line} {second} {prose(4600 + k, 60)}"))
+    expected, got = exact_repeats(rows), {}
+    for r in passages.repeats(docs(spark, rows)).collect():
+        assert r.doc_id != r.first_doc
+        got.setdefault(r.doc_id, set()).update(range(r.start, r.start + r.n_words))
+    assert set(got) == set(expected) == {2 * k + 1 for k in range(12)}
+    assert all(where <= got[i] for i, where in expected.items())
+
+
 def test_passages_of_nothing(spark):
     assert passages.repeats(docs(spark, [])).count() == 0
     assert passages.cleaned(docs(spark, ODD)).count() == len(ODD)
