@@ -1,15 +1,17 @@
-"""Substring dedup by paragraph MinHash banding.
+"""Substring dedup by content-cut paragraphs.
 
 Shared passages start and end anywhere, often inside a line, so lines alone
-can't show them. A paragraph here is cut by content: in every window of
-WINDOW shingles, the one of the smallest hash opens a paragraph of LENGTH
-words. A passage of LENGTH + WINDOW words has at least one paragraph wholly
-inside, the same one wherever the passage stands.
-
-Paragraphs are banded by MinHash of their shingles. Those that collide are
-joined with the first of their bucket, and the two texts are laid side by
-side there: 51 words that agree in at least SIMILAR of their shingles (exact
-Jaccard) make a repeated passage. Where some of a bucket don't agree with the
+can't show them. A paragraph here is cut by content: in every WINDOW starts
+that follow each other, the one of the smallest hash opens a paragraph of
+LENGTH words. Words that agree WINDOW + LENGTH - 1 times in a row have at
+least one paragraph wholly inside, the same one wherever they stand. A passage
+of PASSAGE words with one changed word has so many on one side of it, and two
+changes inside would leave fewer shingles than SIMILAR asks; so every repeat,
+edited or not, holds an equal paragraph.
+
+Equal paragraphs are joined with the first of their bucket, and the two texts
+are laid side by side there: 51 words that agree in at least SIMILAR of their
+shingles (exact Jaccard) make a repeated passage. Where some of a bucket don't agree with the
 first, two others can only share a longer passage if they leave the first at
 the same place with the same word; so they are grouped by that, compared with
 the first of the new group, and so on. Other places of the first's document
@@ -33,8 +35,7 @@ from .common import Scratch, sized, table, text_blocks, written
 from .links import components, shared
 
 PASSAGE = 51  # words: repeats of more than 50 go
-WINDOW, LENGTH, SIZE = 25, 26, 5
-BANDS, ROWS = 3, 2  # finds 0.95 of paragraphs at 0.8, all equal ones
+WINDOW, LENGTH, SIZE = 9, 17, 5  # 25 words, that PASSAGE words have on one side of a changed one
 SIMILAR = 0.8
 BLOCK = 4 << 20
 
@@ -48,17 +49,16 @@ def needed(shingles: int) -> int:
 
 def paragraphs(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """First words of the content-cut paragraphs, in the order of words."""
-    grams = words.shingles(hashes, SIZE)
+    grams = words.shingles(hashes, LENGTH)
     if len(grams) < WINDOW:
         return np.zeros(0, np.int64)
     low = np.uint64((1 << 28) - 1)
     least = grams & ~low | np.arange(len(grams), dtype=np.uint64)
-    for step in (1, 2, 4, 8, 9):  # windows of 2, 4, 8, 16, 25
+    for step in (1, 2, 4, 1):  # windows of 2, 4, 8, 9
         least = np.minimum(least[:-step], least[step:])
     ends = np.repeat(np.cumsum(counts), counts)
-    inside = np.arange(len(least)) + WINDOW + SIZE - 1 <= ends[: len(least)]
-    found = np.unique((least[inside] & low).astype(np.int64))
-    return found[found + LENGTH <= ends[found]]
+    inside = np.arange(len(least)) + WINDOW + LENGTH - 1 <= ends[: len(least)]
+    return np.unique((least[inside] & low).astype(np.int64))
 
 
 def chains(hashes: np.ndarray, counts: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -77,23 +77,6 @@ def chains(hashes: np.ndarray, counts: np.ndarray, at: np.ndarray) -> tuple[np.n
     return a[first][back], a[last][back]
 
 
-def minhash(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """One key a band for each paragraph."""
-    grams = words.shingles(hashes, SIZE)
-    n = LENGTH - SIZE + 1
-    out = np.zeros((len(starts), BANDS), np.uint64)
-    for band in range(BANDS if len(starts) else 0):
-        key = np.full(len(starts), band + 1, np.uint64)
-        for row in range(ROWS):
-            seed = np.array([band * ROWS + row + 1], np.uint64) * words.M2
-            least = words.mix(grams ^ seed)
-            for step in (1, 2, 4, 8, n - 16):
-                least = np.minimum(least[:-step], least[step:])
-            key = words.mix(key * words.M1 ^ least[starts])
-        out[:, band] = key
-    return out
-
-
 def _bodies(column) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
@@ -102,12 +85,12 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in text_blocks(batches, "text", BLOCK):
         hashes, _, _, counts = words.split(_bodies(batch.column("text")))
         at, last = chains(hashes, counts, paragraphs(hashes, counts))
-        keys = minhash(hashes, at).view(np.int64)
+        keys = (words.shingles(hashes, LENGTH)[at] if len(at) else np.zeros(0, np.uint64)).view(np.int64)
         own = np.repeat(np.arange(len(counts)), counts)[at]
         base = (np.cumsum(counts) - counts)[own]
         yield pa.record_batch(
-            [batch.column("doc").take(pa.array(own)), batch.column("th").take(pa.array(own)), pa.array(at - base, pa.int32()), pa.array(last - base, pa.int32()), *(pa.array(keys[:, b], pa.int64()) for b in range(BANDS))],
-            names=["doc", "th", "pos", "last", *(f"k{b}" for b in range(BANDS))],
+            [batch.column("doc").take(pa.array(own)), batch.column("th").take(pa.array(own)), pa.array(at - base, pa.int32()), pa.array(last - base, pa.int32()), pa.array(keys, pa.int64())],
+            names=["doc", "th", "pos", "last", "key"],
         )
 
 
@@ -216,9 +199,8 @@ def repeats(documents: DataFrame, scope: Scratch | None = None) -> DataFrame:
     """
     scope = scope or Scratch()
     texts = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("th"), "text")
-    cut = written(texts.mapInArrow(_cut, PARA + "".join(f", k{b} long" for b in range(BANDS))), scope)
+    keyed = written(texts.mapInArrow(_cut, PARA + ", key long"), scope)
     place = F.struct("doc", "th", "pos")
-    keyed = cut.select("doc", "th", "pos", "last", F.posexplode(F.array(*[f"k{b}" for b in range(BANDS)])).alias("band", "key")).drop("band")
     first = keyed.groupBy("key").agg(F.min(place).alias("a"), F.max("doc").alias("last")).where("a.doc != last").select("key", "a")
     star = keyed.join(first, "key").where("struct(doc, th, pos) != a").select(F.col("a.doc").alias("a_doc"), F.col("a.th").alias("a_th"), F.col("a.pos").alias("a_pos"), F.col("doc").alias("b_doc"), F.col("th").alias("b_th"), F.col("pos").alias("b_pos"), F.col("last").alias("b_last"))
     pairs = written(_together(star), scope)

@@ -299,6 +299,18 @@ def test_passages(spark):
     assert cleaned[44].n_chars == len(cleaned[44].text) and cleaned[0].text == rows[0][1]
 
 
+def test_passages_with_a_changed_word(spark):
+    """51 words, one of them changed, at every place that leaves 42 of 47
+    shingles: all are found."""
+    rows = []
+    for k in range(5, 46):
+        w = prose(5000 + k, 51).split()
+        edit = [*w[:k], "changed", *w[k + 1 :]]
+        rows += [(2 * k, f"{prose(5100 + k, 60)} {' '.join(w)} {prose(5200 + k, 60)}"), (2 * k + 1, f"{prose(5300 + k, 70)} {' '.join(edit)} {prose(5400 + k, 60)}")]
+    got = {r.doc_id: (r.start, r.n_words) for r in passages.repeats(docs(spark, rows)).collect()}
+    assert got == {2 * k + 1: (70, 51) for k in range(5, 46)}
+
+
 def test_passages_of_a_line_that_stands_twice(spark):
     """In the document of the smallest id, with different surroundings; a text
     repeats the second ones."""
