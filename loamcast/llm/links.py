@@ -94,7 +94,7 @@ def link(keys: DataFrame, verify: Callable[[DataFrame], DataFrame], peel: Callab
     Pairs of different components are compared one by one where a bucket has
     at most ROOM of them a member. In a more crowded bucket all are compared
     with its most central member, its pivot: the one whose buckets are largest
-    together. Two nodes that still are of different components can then only
+    together, and with a second one, which peel takes out too. Two nodes that still are of different components can then only
     be alike by sharing what sets them apart from the pivot; so they are
     banded anew by that, and the same is done again. Pivots drop out each
     time, so this ends. No step makes more pairs than ROOM times its rows.
@@ -109,10 +109,11 @@ def link(keys: DataFrame, verify: Callable[[DataFrame], DataFrame], peel: Callab
         best, side = F.struct("score", "node", "component"), F.pmod(F.xxhash64("node"), F.lit(2))
         tops = many.join(score, "node").groupBy("key").agg(*[F.max(F.when(side == k, best)).alias(f"t{k}") for k in (0, 1)])
         tops = tops.select("key", F.greatest("t0", "t1").alias("top"), F.least("t0", "t1").alias("next"))
-        pivots = written(tops.select("key", F.col("top.node").alias("pivot"), F.col("top.component").alias("its"), F.col("next.node").alias("second")), scope)
+        pivots = written(tops.select("key", F.col("top.node").alias("pivot"), F.col("top.component").alias("its"), F.col("next.node").alias("second"), F.col("next.component").alias("other")), scope)
+        heads = pivots.select("key", "pivot", "its").unionByName(pivots.where("second is not null").select("key", F.col("second").alias("pivot"), F.col("other").alias("its")))
         other = few.select("key", F.col("node").alias("other"), F.col("component").alias("its"))
         pairs = few.join(other, "key").where("node < other and component != its").select(F.col("node").alias("a"), F.col("other").alias("b"))
-        star = many.join(sized(pivots), "key").where("component != its").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
+        star = many.join(sized(heads), "key").where("component != its").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
         pairs = pairs.unionByName(star).distinct()
         pairs = written(pairs if tested is None else pairs.join(sized(tested), ["a", "b"], "left_anti"), scope)
         found = written(verify(pairs), scope)

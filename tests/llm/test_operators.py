@@ -9,7 +9,8 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from loamcast.llm import chat, decontamination, langid, media, neardup, packing, passages, quality, tokencount, urls
+from loamcast.llm import chat, decontamination, langid, links, media, neardup, packing, passages, quality, tokencount, urls
+from loamcast.llm.common import Scratch
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -147,6 +148,16 @@ def test_crowded_bucket_is_settled(spark):
     assert len({got[i] for i in range(200, 205)}) == 1 and got[200] == 200
 
 
+def test_two_families_in_one_bucket(spark):
+    """One of the pivot and one of the second central node, which nothing but
+    the comparison with these can show."""
+    family = lambda c: F.pmod(F.xxhash64(c), F.lit(2))
+    keys = spark.range(40).select(F.lit(1).cast("long").alias("key"), F.col("id").alias("node"))
+    found = links.link(keys, lambda pairs: pairs.where(family("a") == family("b")), lambda apart: apart.select(F.lit(0).cast("long").alias("key"), "node").where("false"), Scratch())
+    united = links.components(found.select(F.col("a").alias("u"), F.col("b").alias("v")), Scratch())
+    assert united.count() == 40 and united.select("component").distinct().count() == 2
+
+
 def test_near_duplicates_of_nothing(spark):
     assert neardup.classes(docs(spark, [])).count() == 0
     assert neardup.deduplicated(docs(spark, [])).count() == 0
