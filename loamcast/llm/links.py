@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, sized, written
 
 ONE_TASK = 500_000  # edges that one task may unite
+SHARES = 256  # a key is frequent with more than 1 / SHARES of the rows
+WIDE = 64 << 20  # bytes of binary columns that spread() may broadcast
 ROOM = 8  # pairs a row of a bucket may cost before the bucket is refined
 
 
@@ -73,6 +75,26 @@ def _by_stars(e: DataFrame, scope: Scratch | None) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
+def frequent(counts: DataFrame, total: int, on: list[str]) -> DataFrame:
+    """Keys with more than 1 / SHARES of all rows, so fewer than SHARES keys;
+    counts: (*on, n)."""
+    return counts.where(F.col("n") > max(total // SHARES, SHARES)).select(*on)
+
+
+def spread(rows: DataFrame, heads: DataFrame, on: list[str], hot: DataFrame, scope: Scratch) -> DataFrame:
+    """rows joined with heads, one row a key, where few keys may hold most
+    rows. Rows of the frequent() keys meet their heads, fewer than SHARES, by
+    broadcast and stay where they are; the others are shuffled, and none of
+    their keys is large. Heads of more than WIDE bytes together are shuffled
+    too."""
+    few = written(heads.join(F.broadcast(hot), on, "left_semi"), scope)
+    size = few.agg(F.sum(sum((F.length(F.col(c)) for c, t in few.dtypes if t == "binary"), F.lit(0)))).first()[0]
+    if size is None or size > WIDE:
+        return rows.join(heads.hint("merge"), on)
+    rest = rows.join(F.broadcast(few.select(*on)), on, "left_anti").join(heads.hint("merge"), on)
+    return rows.join(F.broadcast(few), on).unionByName(rest)
+
+
 def shared(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     """Rows of df whose key is in `keys`."""
     return df.join(sized(keys.select(*on).distinct()), on, "left_semi")

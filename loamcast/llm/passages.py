@@ -1,42 +1,48 @@
-"""Substring dedup by content-cut paragraphs.
+"""Substring dedup by MinHash banding of overlapping paragraphs.
 
 Shared passages start and end anywhere, often inside a line, so lines alone
-can't show them. A paragraph here is cut by content: in every WINDOW starts
-that follow each other, the one of the smallest hash opens a paragraph of
-LENGTH words. Words that agree WINDOW + LENGTH - 1 times in a row have at
-least one paragraph wholly inside, the same one wherever they stand. A passage
-of PASSAGE words with one changed word has so many on one side of it, and two
-changes inside would leave fewer shingles than SIMILAR asks; so every repeat,
-edited or not, holds an equal paragraph.
-
-Equal paragraphs are joined with the first of their bucket, and the two texts
-are laid side by side there: 51 words that agree in at least SIMILAR of their
-shingles (exact Jaccard) make a repeated passage. Where some of a bucket don't agree with the
-first, two others can only share a longer passage if they leave the first at
-the same place with the same word; so they are grouped by that, compared with
-the first of the new group, and so on. Other places of the first's document
-are members too, but only texts of different ids make a repeat. Linked
-paragraphs form clusters; all of a cluster but its first occurrence is to be
-removed.
+can't show them. Every PARAGRAPH words of a text are a paragraph here, and
+neighbours overlap. A paragraph's MinHash is the least of its five-word
+shingles; its band key is that shingle together with the REACH words on the
+side where the paragraph has room. Neighbours mostly share their minimum, so
+only about one key in six words is kept. Words that agree PARAGRAPH times in a
+row hold an equal paragraph, hence an equal key. A passage of PASSAGE words
+with one changed word has so many on one side of it, and two changes inside
+would leave fewer shingles than SIMILAR asks; so one band finds every repeat,
+edited or not.
+
+Colliding paragraphs are joined with the first of their bucket. Around them
+the words of both texts, not the texts, are laid side by side: PASSAGE words
+that agree in at least SIMILAR of their shingles (exact Jaccard) make a
+repeated passage. Where some of a bucket don't agree with the first, two
+others can only share a longer passage if they leave the first at the same
+place with the same word; so they are grouped by that, compared with the first
+of the new group, and so on. Members of a group share at least one word more
+with each other than with the first, and PASSAGE words in common end it, so
+there are fewer than twice PASSAGE rounds; all but a few are empty in
+practice. Other places of the first's document are members too, but only texts
+of different ids make a repeat. Linked paragraphs form clusters; all of a
+cluster but its first occurrence is to be removed.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import words
 from .common import Scratch, sized, table, text_blocks, written
-from .links import components, shared
+from .links import components, frequent, spread
 
 PASSAGE = 51  # words: repeats of more than 50 go
-WINDOW, LENGTH, SIZE = 9, 17, 5  # 25 words, that PASSAGE words have on one side of a changed one
+PARAGRAPH, SIZE, REACH = 25, 5, 10  # PASSAGE words have a whole paragraph on one side of a changed one
+LENGTH = SIZE + REACH  # words of a band key
 SIMILAR = 0.8
+GRAIN = 64  # words: ends of the stretches that are compared are rounded to it
 BLOCK = 4 << 20
 
 PARA = "doc long, th long, pos int, last int"
@@ -47,18 +53,29 @@ def needed(shingles: int) -> int:
     return int(np.ceil(2 * shingles * SIMILAR / (1 + SIMILAR) - 1e-9))
 
 
+def least_of(values: np.ndarray, size: int) -> np.ndarray:
+    """The least of every `size` values that follow each other."""
+    have = 1
+    while have < size:
+        step = min(have, size - have)
+        values = np.minimum(values[:-step], values[step:])
+        have += step
+    return values
+
+
 def paragraphs(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """First words of the content-cut paragraphs, in the order of words."""
-    grams = words.shingles(hashes, LENGTH)
-    if len(grams) < WINDOW:
+    """First words of the band keys of all paragraphs, ascending."""
+    grams = words.shingles(hashes, SIZE)
+    room = PARAGRAPH - SIZE + 1
+    if len(grams) < room:
         return np.zeros(0, np.int64)
     low = np.uint64((1 << 28) - 1)
-    least = grams & ~low | np.arange(len(grams), dtype=np.uint64)
-    for step in (1, 2, 4, 1):  # windows of 2, 4, 8, 9
-        least = np.minimum(least[:-step], least[step:])
+    least = least_of(grams & ~low | np.arange(len(grams), dtype=np.uint64), room)
+    begin = np.arange(len(least))
     ends = np.repeat(np.cumsum(counts), counts)
-    inside = np.arange(len(least)) + WINDOW + LENGTH - 1 <= ends[: len(least)]
-    return np.unique((least[inside] & low).astype(np.int64))
+    inside = begin + PARAGRAPH <= ends[: len(least)]
+    at = (least & low).astype(np.int64)
+    return np.unique(np.where(at - begin <= REACH, at, at - REACH)[inside])
 
 
 def chains(hashes: np.ndarray, counts: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -120,70 +137,64 @@ def runs(a: np.ndarray, b: np.ndarray, shift: int) -> list[tuple[int, int]]:
     return out
 
 
-SPAN = "a_doc long, a_th long, a_pos int, b_doc long, b_th long, b_pos int, b_last int, good boolean, start int, n int, left long, right long"
-
-
-def _leaves(a: np.ndarray, b: np.ndarray, a_pos: int, b_pos: int) -> tuple[int | None, int | None]:
-    """Where the second text leaves the first on either side of a paragraph,
-    with which word: hashes of the words between, that word included. Texts
-    that end there have no word. Paragraphs that differ give their own hash."""
-    mine = b[b_pos : b_pos + LENGTH]
-    if not np.array_equal(mine, a[a_pos : a_pos + LENGTH]):
-        own = _digest(mine)
-        return own, own
-
-    def leaves(x: np.ndarray, y: np.ndarray) -> int | None:
-        """Words that agree before y goes on otherwise; None if y ends first,
-        or a whole passage agrees."""
-        n = min(len(x), len(y), PASSAGE)
-        apart = np.flatnonzero(x[:n] != y[:n])
-        if len(apart):
-            return int(apart[0])
-        return n if n == len(x) < min(len(y), PASSAGE) else None
-
-    m, n = leaves(a[:a_pos][::-1], b[:b_pos][::-1]), leaves(a[a_pos + LENGTH :], b[b_pos + LENGTH :])
-    left = None if m is None else _digest(b[b_pos - m - 1 : b_pos + LENGTH])
-    return left, None if n is None else _digest(b[b_pos : b_pos + LENGTH + n + 1])
-
-
-def _digest(part: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(part.tobytes(), digest_size=8).digest(), "little", signed=True)
+SEEN = "a_doc long, a_th long, a_lo int, a_hi int, a_pos int, b_doc long, b_th long, b_lo int, b_hi int, b_pos int, b_last int, good boolean, head boolean, start int, n int, left long, right long"
+A, B = ["a_doc", "a_th", "a_lo", "a_hi"], ["b_doc", "b_th", "b_lo", "b_hi"]
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of texts with aligned paragraphs: one row a paragraph, good where
-    it lies in a repeated span of the second text, and then with that span."""
-    for batch in text_blocks(batches, "text_b", 2 << 20):
-        keys = ("a_doc", "a_th", "b_doc", "b_th", "at")
-        rows = list(zip(*(batch.column(k).to_pylist() for k in keys)))
-        bodies = {(r[0], r[1]): t for r, t in zip(rows, _bodies(batch.column("text_a")))} | {(r[2], r[3]): t for r, t in zip(rows, _bodies(batch.column("text_b")))}
-        hashes, _, _, counts = words.split(list(bodies.values()))
-        parts = dict(zip(bodies, np.split(hashes, np.cumsum(counts)[:-1])))
+    """Aligned stretches of two texts: one row a paragraph. It is good where it
+    lies in a repeated span of the second text, whose start and words stand in
+    the row of the first such paragraph, its head. left and right: how many
+    words on that side agree before the second text goes on otherwise, with
+    which word; null where it ends first, or a whole passage agrees."""
+    names = [x.split()[0] for x in SEEN.split(", ")]
+    for batch in text_blocks(batches, "words_b", 2 << 20):
         out = []
-        for a_doc, a_th, b_doc, b_th, at in rows:
-            a, b = parts[a_doc, a_th], parts[b_doc, b_th]
-            by_shift: dict[int, list] = {}
-            for x in at:
-                by_shift.setdefault(x["a_pos"] - x["b_pos"], []).append((x["b_pos"], x["a_pos"], x["b_last"]))
-            for shift, places in by_shift.items():
-                spans = runs(a, b, shift) if a_doc != b_doc else []
-                for b_pos, a_pos, b_last in sorted(places):
-                    span = next((s for s in spans if s[0] <= b_pos and b_pos + LENGTH <= s[0] + s[1]), None)
-                    start, n = span or (0, 0)
-                    n = max(n, b_last + LENGTH - start) if span and b_last > b_pos else n
-                    out.append((a_doc, a_th, a_pos, b_doc, b_th, b_pos, b_last, span is not None, start, n, *_leaves(a, b, a_pos, b_pos)))
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
-        yield pa.record_batch([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=[x.split()[0] for x in SPAN.split(", ")])
-
-
-def _together(rows: DataFrame) -> DataFrame:
-    """Aligned paragraphs of two texts in one row; at most their number."""
-    return rows.groupBy("a_doc", "a_th", "b_doc", "b_th").agg(F.collect_set(F.struct("a_pos", "b_pos", "b_last")).alias("at"))
+        columns = [batch.column(k).to_pylist() for k in (*A, *B, "shift", "at", "words_a", "words_b")]
+        for a_doc, a_th, a_lo, a_hi, b_doc, b_th, b_lo, b_hi, shift, at, words_a, words_b in zip(*columns):
+            a, b = np.frombuffer(words_a, "<u4"), np.frombuffer(words_b, "<u4")
+            base, lag = b_lo * GRAIN, shift + (b_lo - a_lo) * GRAIN
+            lo, hi = max(0, -lag), min(len(b), len(a) - lag)
+            apart = lo + np.flatnonzero(a[lo + lag : hi + lag] != b[lo:hi])
+            spans = [[s, n, True] for s, n in runs(a, b, lag)] if a_doc != b_doc else []
+            starts = np.array([s[0] for s in spans])
+            for b_pos, b_last in sorted((x["b_pos"], x["b_last"]) for x in at):
+                p, end = b_pos - base, b_pos - base + LENGTH
+                k = int(np.searchsorted(starts, p, side="right")) - 1
+                span = spans[k] if k >= 0 and end <= spans[k][0] + spans[k][1] else None
+                i = int(np.searchsorted(apart, p))
+                left = int(apart[i - 1]) if i else (lo - 1 if lo else None)
+                right = int(apart[i]) if i < len(apart) else (hi if hi < len(b) else None)
+                left = None if left is None or p - left > PASSAGE else (2 * (p - left) << 32) | int(b[left])
+                right = None if right is None or right - end >= PASSAGE else (2 * (right - end) + 1 << 32) | int(b[right])
+                size = 0 if span is None else max(span[1], b_last + LENGTH - base - span[0] if b_last > b_pos else 0)
+                out.append((a_doc, a_th, a_lo, a_hi, b_pos + shift, b_doc, b_th, b_lo, b_hi, b_pos, b_last, span is not None, bool(span and (span[2] or size > span[1])), span[0] + base if span else 0, size, left, right))
+                if span:
+                    span[2] = False
+        kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
+        yield pa.record_batch([pa.array([r[i] for r in out], kinds[x.split()[1]]) for i, x in enumerate(SEEN.split(", "))], names=names)
+
+
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The asked stretches of texts, as 32-bit word hashes."""
+    for batch in text_blocks(batches, "text", BLOCK):
+        hashes, _, _, counts = words.split(_bodies(batch.column("text")))
+        short = (hashes >> words.S32).astype("<u4")
+        out, at = [], 0
+        for doc, th, asked, n in zip(batch.column("doc").to_pylist(), batch.column("th").to_pylist(), batch.column("asked").to_pylist(), counts.tolist()):
+            out += [(doc, th, x["lo"], x["hi"], short[at + x["lo"] * GRAIN : at + min(n, x["hi"] * GRAIN)].tobytes()) for x in asked]
+            at += n
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+        yield pa.record_batch([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["doc", "th", "lo", "hi", "words"])
 
 
 REPEATS = "doc_id long, th long, start long, n_words long, cluster string, first_doc long"
 
 
+def _place(side: str) -> Column:
+    return F.struct(F.col(f"{side}_doc").alias("doc"), F.col(f"{side}_th").alias("th"), F.col(f"{side}_pos").alias("pos"))
+
+
 def repeats(documents: DataFrame, scope: Scratch | None = None) -> DataFrame:
     """Repeated passages of `documents` (doc_id, text) that are to go.
 
@@ -196,65 +207,70 @@ def repeats(documents: DataFrame, scope: Scratch | None = None) -> DataFrame:
     and texts of fewer than PASSAGE words, have none; repeated rows of one id
     and text are one document; further columns are ignored; no rows give no
     rows. Texts are read whole.
+
+    Three things are shuffled: the keys, the texts once, to cut the stretches
+    that are compared, and these stretches. Joins by keys that hold a large
+    share of the rows are spread().
     """
     scope = scope or Scratch()
     texts = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("th"), "text")
     keyed = written(texts.mapInArrow(_cut, PARA + ", key long"), scope)
-    place = F.struct("doc", "th", "pos")
-    first = keyed.groupBy("key").agg(F.min(place).alias("a"), F.max("doc").alias("last")).where("a.doc != last").select("key", "a")
-    star = keyed.join(first, "key").where("struct(doc, th, pos) != a").select(F.col("a.doc").alias("a_doc"), F.col("a.th").alias("a_th"), F.col("a.pos").alias("a_pos"), F.col("doc").alias("b_doc"), F.col("th").alias("b_th"), F.col("pos").alias("b_pos"), F.col("last").alias("b_last"))
-    pairs = written(_together(star), scope)
-    sides = pairs.select(F.col("a_doc").alias("doc"), F.col("a_th").alias("th")).unionByName(pairs.select(F.col("b_doc").alias("doc"), F.col("b_th").alias("th")))
-    bodies = written(shared(texts, sides, ["doc", "th"]).dropDuplicates(["doc", "th"]), scope)
-    left = bodies.select(F.col("doc").alias("a_doc"), F.col("th").alias("a_th"), F.col("text").alias("text_a"))
-    right = bodies.select(F.col("doc").alias("b_doc"), F.col("th").alias("b_th"), F.col("text").alias("text_b"))
+    first = keyed.groupBy("key").agg(F.min(F.struct("doc", "th", "pos")).alias("a"), F.max("doc").alias("last"), F.count("*").alias("n")).where("a.doc != last").select("key", "a", "n")
+    first = written(first, scope)
+    star = spread(keyed.withColumnRenamed("last", "b_last"), first, ["key"], frequent(first, keyed.count(), ["key"]), scope)
+    star = star.where("struct(doc, th, pos) != a").select(F.col("a.doc").alias("a_doc"), F.col("a.th").alias("a_th"), F.col("doc").alias("b_doc"), F.col("th").alias("b_th"), (F.col("a.pos") - F.col("pos")).alias("shift"), F.col("pos").alias("b_pos"), "b_last")
+    # Paragraphs of two texts that lie over each other alike are one row; at most those of a text.
+    pairs = star.groupBy("a_doc", "a_th", "b_doc", "b_th", "shift").agg(F.collect_set(F.struct("b_pos", "b_last")).alias("at"), F.min("b_pos").alias("lo"), F.max("b_last").alias("hi"))
+    low = lambda pos: F.greatest(F.floor((pos - PASSAGE) / GRAIN), F.lit(0)).cast("int")
+    high = lambda pos: F.ceil((pos + LENGTH + PASSAGE) / GRAIN).cast("int")
+    lo, hi = F.col("lo"), F.col("hi")
+    pairs = pairs.withColumns({"a_lo": low(lo + F.col("shift")), "a_hi": high(hi + F.col("shift")), "b_lo": low(lo), "b_hi": high(hi)}).drop("lo", "hi")
+    pairs = written(pairs, scope)
+    names = ("doc", "th", "lo", "hi")
+    ends = pairs.select(*[F.col(c).alias(n) for c, n in zip(A, names)]).unionByName(pairs.select(*[F.col(c).alias(n) for c, n in zip(B, names)]))
+    asked = ends.groupBy("doc", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("asked"))
+    cut = texts.join(asked.hint("merge"), ["doc", "th"]).select("doc", "th", "text", "asked").mapInArrow(_stretches, "doc long, th long, lo int, hi int, words binary")
+    held = written(cut, scope).groupBy(*names).agg(F.any_value("words").alias("words"))
 
     def compared(pairs: DataFrame) -> DataFrame:
-        # Few aligned paragraphs, which are counted, go to the texts; many are shuffled.
-        few = (pairs.agg(F.sum(F.size("at"))).first()[0] or 0) <= 500_000
-        laid = (F.broadcast(pairs) if few else pairs).join(right, ["b_doc", "b_th"]).join(left, ["a_doc", "a_th"])
-        return written(laid.select("a_doc", "a_th", "b_doc", "b_th", "at", "text_a", "text_b").mapInArrow(_compare, SPAN), scope)
+        left = held.select(*[F.col(n).alias(c) for c, n in zip(A, names)], F.col("words").alias("words_a"))
+        right = held.select(*[F.col(n).alias(c) for c, n in zip(B, names)], F.col("words").alias("words_b"))
+        hot = frequent(pairs.groupBy(*A).agg(F.count("*").alias("n")), pairs.count(), A)
+        laid = spread(pairs.join(right.hint("merge"), B), left, A, hot, scope)
+        return written(laid.select(*A, *B, "shift", "at", "words_a", "words_b").mapInArrow(_compare, SEEN), scope)
 
     a_place = ["a_doc", "a_th", "a_pos"]
+    group = [*a_place, "word"]
     spans = None
     while True:
         seen = compared(pairs)
-        good = seen.where("good").select("a_doc", "a_th", "a_pos", "b_doc", "b_th", "b_pos", "start", "n")
-        # A span is a row of each of its paragraphs; its first one stands for it.
-        good = good.groupBy("a_doc", "a_th", "b_doc", "b_th", "start", "n", (F.col("a_pos") - F.col("b_pos")).alias("shift")).agg(F.min("b_pos").alias("b_pos"))
-        good = good.select("a_doc", "a_th", (F.col("b_pos") + F.col("shift")).cast("int").alias("a_pos"), "b_doc", "b_th", "b_pos", "start", "n")
+        good = seen.where("head").select(_place("a").alias("a"), _place("b").alias("b"), "start", "n")
         spans = good if spans is None else spans.unionByName(good)
-        open_places = seen.groupBy(*a_place).agg(F.count("*").alias("n"), F.bool_and(F.expr("good or a_doc = b_doc")).alias("all")).where("n > 1 and not all").select(*a_place)
-        others = seen.join(sized(open_places), a_place, "left_semi")
-        sides = others.select(*a_place, "b_doc", "b_th", "b_pos", "b_last", F.explode(F.array("left", "right")).alias("word")).where("word is not null")
-        member = F.struct(F.col("b_doc").alias("doc"), F.col("b_th").alias("th"), F.col("b_pos").alias("pos"))
-        group = [*a_place, "word"]
-        first = sides.groupBy(*group).agg(F.min(member).alias("first"), F.max("b_doc").alias("last")).where("first.doc != last").select(*group, "first")
-        again = sides.join(first, group).where(member != F.col("first")).select(F.col("first.doc").alias("a_doc"), F.col("first.th").alias("a_th"), F.col("first.pos").alias("a_pos"), "b_doc", "b_th", "b_pos", "b_last")
-        pairs = written(_together(again), scope)
+        open_places = seen.groupBy(*a_place).agg(F.count("*").alias("n"), F.bool_and(F.expr("good or a_doc = b_doc")).alias("all")).where("n > 1 and not all").select(*a_place, "n")
+        open_places = written(open_places, scope)
+        if open_places.isEmpty():
+            break
+        others = spread(seen, open_places.select(*a_place), a_place, frequent(open_places, seen.count(), a_place), scope)
+        sides = written(others.select(*a_place, *B, "b_pos", "b_last", F.explode(F.array("left", "right")).alias("word")).where("word is not null"), scope)
+        member = F.struct(F.col("b_doc").alias("doc"), F.col("b_th").alias("th"), F.col("b_pos").alias("pos"), F.col("b_lo").alias("lo"), F.col("b_hi").alias("hi"))
+        first = written(sides.groupBy(*group).agg(F.min(member).alias("first"), F.max("b_doc").alias("last"), F.count("*").alias("n")).where("first.doc != last").select(*group, "first", "n"), scope)
+        again = spread(sides, first, group, frequent(first, sides.count(), group), scope).where(member != F.col("first"))
+        again = again.select(F.col("first.doc").alias("a_doc"), F.col("first.th").alias("a_th"), F.col("first.lo").alias("a_lo"), F.col("first.hi").alias("a_hi"), *B, (F.col("first.pos") - F.col("b_pos")).alias("shift"), "b_pos", "b_last")
+        pairs = written(again.groupBy(*A, *B, "shift").agg(F.collect_set(F.struct("b_pos", "b_last")).alias("at")), scope)
         if pairs.isEmpty():
             break
     spans = written(spans, scope)
 
-    node = lambda s: F.concat_ws(":", f"{s}_doc", f"{s}_th", f"{s}_pos")
+    node = lambda s: F.concat_ws(":", f"{s}.doc", f"{s}.th", f"{s}.pos")
     named = spans.withColumns({"u": node("b"), "v": node("a")})
     labels = components(named.select("u", "v"), scope)
-    pieces = named.join(labels, F.col("u") == F.col("node")).select(F.col("b_doc").alias("doc_id"), F.col("b_th").alias("th"), F.col("start").cast("long").alias("start"), (F.col("start") + F.col("n")).cast("long").alias("stop"), F.col("component").alias("cluster"), F.col("a_doc").alias("first_doc"))
-    # The spans of one text are bounded by its words, so they are merged in one array.
-    sorted_spans = F.array_sort(F.collect_set(F.struct("start", "stop")))
-    start = F.struct(F.lit(-1).cast("long").alias("start"), F.lit(-1).cast("long").alias("stop"))
-    none = F.array().cast("array<struct<start:long,stop:long>>")
-    merged = F.aggregate(
-        sorted_spans,
-        F.struct(none.alias("done"), start.alias("now")),
-        lambda acc, x: F.when(
-            x["start"] <= acc["now"]["stop"],
-            F.struct(acc["done"].alias("done"), F.struct(acc["now"]["start"].alias("start"), F.greatest(acc["now"]["stop"], x["stop"]).alias("stop")).alias("now")),
-        ).otherwise(F.struct(F.when(acc["now"]["stop"] < 0, acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["now"]))).alias("done"), x.alias("now"))),
-        lambda acc: F.concat(acc["done"], F.array(acc["now"])),
-    )
-    whole = pieces.groupBy("doc_id", "th").agg(merged.alias("spans"), F.min(F.struct("cluster", "first_doc")).alias("from"))
-    return whole.select("doc_id", "th", F.explode("spans").alias("s"), "from").select("doc_id", "th", F.col("s.start").alias("start"), (F.col("s.stop") - F.col("s.start")).alias("n_words"), F.col("from.cluster").alias("cluster"), F.col("from.first_doc").alias("first_doc"))
+    pieces = named.join(labels, F.col("u") == F.col("node")).select(F.col("b.doc").alias("doc_id"), F.col("b.th").alias("th"), F.col("start").cast("long").alias("start"), (F.col("start") + F.col("n")).cast("long").alias("stop"), F.col("component").alias("cluster"), F.col("a.doc").alias("first_doc"))
+    # The spans of one text are bounded by its words.
+    order = Window.partitionBy("doc_id", "th").orderBy("start", "stop")
+    reached = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opened = pieces.withColumn("opens", F.coalesce(F.col("start") > reached, F.lit(True)).cast("int"))
+    whole = opened.withColumn("part", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0))).groupBy("doc_id", "th", "part")
+    return whole.agg(F.min("start").alias("start"), (F.max("stop") - F.min("start")).alias("n_words"), F.min(F.struct("cluster", "first_doc")).alias("from")).select("doc_id", "th", "start", "n_words", F.col("from.cluster").alias("cluster"), F.col("from.first_doc").alias("first_doc"))
 
 
 def without(text: str, spans: list) -> str:
