@@ -37,10 +37,13 @@ def scratch_dir(spark: SparkSession) -> str:
 
 def written(df: DataFrame, scope: "Scratch | None" = None) -> DataFrame:
     """df as a table in the shared folder: its lineage ends there, so a lost
-    executor costs a reread and nothing upstream is computed twice."""
+    executor costs a reread and nothing upstream is computed twice. It is
+    deleted with its scope, or at the latest when the driver ends."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/loamcast-{uuid.uuid4().hex}"
     schema = df.schema
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
     df.write.option("compression", "zstd").parquet(path)
     if scope is not None:
         scope.paths.append(path)
@@ -68,6 +71,14 @@ class Scratch:
             p.getFileSystem(jsc.hadoopConfiguration()).delete(p, True)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores behind it as no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def ascii_lower(column: Column) -> Column:
     """A-Z to a-z and nothing else."""
     return F.translate(column, A_TO_Z, A_TO_Z.lower())

@@ -13,7 +13,10 @@ from .common import Scratch, sized, written
 ONE_TASK = 500_000  # edges that one task may unite
 SHARES = 256  # a key is frequent with more than 1 / SHARES of the rows
 WIDE = 64 << 20  # bytes of binary columns that spread() may broadcast
-ROOM = 8  # pairs a row of a bucket may cost before the bucket is refined
+ROOM = 8  # pairs a row of a bucket may cost before the bucket counts as crowded
+PIVOTS = 4  # members that a crowded bucket of prefixes is compared with before all its open pairs are
+PART = 2048  # rows of a bucket that one task compares with the others
+SIMILAR = 0.8
 
 
 def components(edges: DataFrame, scope: Scratch | None = None) -> DataFrame:
@@ -100,70 +103,82 @@ def shared(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     return df.join(sized(keys.select(*on).distinct()), on, "left_semi")
 
 
-def _pairs(a: Column, b: Column) -> list[Column]:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+def link(keys: DataFrame, measures: Callable[[DataFrame], DataFrame], alike: Callable, verify: Callable[[DataFrame], DataFrame], prefixes: Callable[[DataFrame], DataFrame], scope: Scratch) -> DataFrame:
+    """(key, node) to verified links (a, b) that join the nodes of all buckets
+    into components.
 
+    measures: of nodes (node), their (node, sketch, weight). alike: a
+    mapInArrow function that drops pairs whose sketches differ. verify: of
+    pairs (a, b), those that hold. prefixes: of nodes, keys (key, node, short)
+    such that two nodes that hold share a key, which is short for the lighter.
 
-def link(keys: DataFrame, verify: Callable[[DataFrame], DataFrame], peel: Callable[[DataFrame], DataFrame], scope: Scratch) -> DataFrame:
-    """(key, node) to the verified links (a, b) that join the nodes of the
-    buckets into components.
-
-    verify: of pairs (a, b), those that hold. peel: of (node, pivot, second),
-    new keys (key, node) by what sets the node apart from both others: from
-    the pivot alone it would also be set apart by the pivot's own oddities,
-    which all nodes share.
-
-    Pairs of different components are compared one by one where a bucket has
-    at most ROOM of them a member. In a more crowded bucket all are compared
-    with its most central member, its pivot: the one whose buckets are largest
-    together, and with a second one, which peel takes out too. Two nodes that still are of different components can then only
-    be alike by sharing what sets them apart from the pivot; so they are
-    banded anew by that, and the same is done again. Pivots drop out each
-    time, so this ends. No step makes more pairs than ROOM times its rows.
+    Open pairs, those of different components, are compared one by one where
+    a bucket has at most ROOM of them a member. In a more crowded bucket all
+    are compared with its most central member: the one whose buckets are
+    largest together. What is open then goes to the buckets of its prefixes,
+    which hold rare keys, so they are small but for texts that are nearly
+    alike. Large ones take PIVOTS such turns, each with the most central member
+    of another component; then all pairs that are still open are compared.
+    How a bucket is treated depends on that bucket alone, and none is dropped.
     """
-    sizes = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    rows = written(keys.join(sizes.select("key"), "key", "left_semi").select("key", "node"), scope)
-    room = rows.count()
-    labels = links = tested = None
+    sizes = written(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), scope)
+    rows = written(spread(keys.select("key", "node"), sizes.select("key"), ["key"], frequent(sizes, keys.count(), ["key"]), scope).withColumn("short", F.lit(True)), scope)
+    held = written(measures(rows.select("node").distinct()), scope)
+    links, left = _settle(rows, held, None, alike, verify, 1, False, scope)
+    if left.isEmpty():
+        return links
+    fresh = written(prefixes(left.select("node").distinct()), scope)
+    sizes = written(fresh.groupBy("key").agg(F.count("*").alias("n"), F.bool_or("short").alias("some")).where("n > 1 and some"), scope)
+    rows = written(spread(fresh, sizes.select("key"), ["key"], frequent(sizes, fresh.count(), ["key"]), scope), scope)
+    return _settle(rows, held, links, alike, verify, PIVOTS, True, scope)[0]
+
+
+def _settle(rows: DataFrame, held: DataFrame, links: DataFrame | None, alike: Callable, verify: Callable[[DataFrame], DataFrame], turns: int, whole: bool, scope: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(links, rows of crowded buckets that are open after so many turns; none
+    if whole, when all pairs that they hold are compared)."""
+    names = rows.columns
+    turn = 0
     while True:
-        few, many = _crowded(rows, labels, room, scope)
-        score = many.groupBy("node").agg(F.sum("n").alias("score"))
-        best, side = F.struct("score", "node", "component"), F.pmod(F.xxhash64("node"), F.lit(2))
-        tops = many.join(score, "node").groupBy("key").agg(*[F.max(F.when(side == k, best)).alias(f"t{k}") for k in (0, 1)])
-        tops = tops.select("key", F.greatest("t0", "t1").alias("top"), F.least("t0", "t1").alias("next"))
-        pivots = written(tops.select("key", F.col("top.node").alias("pivot"), F.col("top.component").alias("its"), F.col("next.node").alias("second"), F.col("next.component").alias("other")), scope)
-        heads = pivots.select("key", "pivot", "its").unionByName(pivots.where("second is not null").select("key", F.col("second").alias("pivot"), F.col("other").alias("its")))
-        other = few.select("key", F.col("node").alias("other"), F.col("component").alias("its"))
-        pairs = few.join(other, "key").where("node < other and component != its").select(F.col("node").alias("a"), F.col("other").alias("b"))
-        star = many.join(sized(heads), "key").where("component != its").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
-        pairs = pairs.unionByName(star).distinct()
-        pairs = written(pairs if tested is None else pairs.join(sized(tested), ["a", "b"], "left_anti"), scope)
-        found = written(verify(pairs), scope)
-        links, tested = (found, pairs) if links is None else (links.unionByName(found), tested.unionByName(pairs))
-        if pivots.isEmpty():
-            return links
-        labels = written(components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), scope), scope)
-        few, many = _crowded(many.select("key", "node"), labels, room, scope)
-        apart = many.join(sized(pivots), "key").where("node != pivot").select("node", "pivot", "second").distinct()
-        fresh = written(peel(apart), scope)
-        pairs_up = fresh.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-        rows = written(few.select("key", "node").unionByName(fresh.join(pairs_up, "key", "left_semi")), scope)
-
-
-def _crowded(rows: DataFrame, labels: DataFrame | None, room: int, scope: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(key, node, component, n) of the buckets with nodes of several
-    components: those with few open pairs, and those with many. n is the
-    number of rows of the bucket. Many count as few where all of them hold at
-    most `room` pairs, the rows that there were at first."""
+        labels = None if links is None else written(components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), scope), scope)
+        last = turn == turns
+        few, many = _open(rows, labels, whole and last, scope)
+        if last and not whole:
+            return links, many
+        measured = few.join(held.hint("merge"), "node")
+        share = F.ceil(F.col("n") / PART).cast("int")  # large buckets are compared in parts
+        left = measured.withColumn("part", F.pmod(F.xxhash64("node"), share).cast("int"))
+        right = measured.select("key", F.explode(F.sequence(F.lit(0), share - 1)).alias("part"), *[F.col(c).alias(f"other_{c}") for c in ("node", "component", "short", "sketch", "weight")])
+        pairs = left.join(right, ["key", "part"]).where("node < other_node and component != other_component and if(weight <= other_weight, short, other_short)")
+        if not last:
+            score = many.groupBy("node").agg(F.sum("n").alias("score"))
+            best = F.struct(F.xxhash64("component", F.lit(turn)) if turn else F.lit(0), "score", "node", "component")
+            pivots = written(many.join(score, "node").groupBy("key").agg(F.max(best).alias("top"), F.count("*").alias("n")).select("key", F.col("top.node").alias("pivot"), F.col("top.component").alias("its"), "n"), scope)
+            heads = pivots.select("key", "pivot", "its").join(held.select(F.col("node").alias("pivot"), F.col("sketch").alias("other_sketch"), F.col("weight").alias("other_weight")), "pivot")
+            star = spread(many.join(held.hint("merge"), "node"), heads, ["key"], frequent(pivots, many.count(), ["key"]), scope)
+            star = star.where("component != its").select("node", F.col("pivot").alias("other_node"), "sketch", "other_sketch", "weight", "other_weight")
+            pairs = pairs.select(*star.columns).unionByName(star)
+        near = pairs.where(f"least(weight, other_weight) >= {SIMILAR} * greatest(weight, other_weight)")
+        near = near.select(F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b"), F.col("sketch").alias("sketch_a"), F.col("other_sketch").alias("sketch_b")).mapInArrow(alike, "a binary, b binary")
+        found = written(verify(written(near.distinct(), scope)), scope)
+        links = found if links is None else links.unionByName(found)
+        if last or many.isEmpty():
+            return links, many
+        rows, turn = many.select(*names), turn + 1
+
+
+def _open(rows: DataFrame, labels: DataFrame | None, whole: bool, scope: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Rows of the buckets with nodes of several components, with component
+    and n, the rows of the bucket: those of buckets with few open pairs, or of
+    all if whole, and those with many."""
     if labels is None:
         named = rows.withColumn("component", F.col("node"))
     else:
-        named = rows.join(sized(labels), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+        named = rows.join(labels.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = written(named, scope)
     each = named.groupBy("key", "component").agg(F.count("*").alias("n"))
     total = each.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"), F.count("*").alias("parts")).where("parts > 1")
-    pairs = (F.col("n") * F.col("n") - F.col("own")) / 2
-    held = written(named.join(total.select("key", "n", (pairs / F.col("n")).alias("each"), (pairs <= ROOM * F.col("n")).alias("few")), "key"), scope)
-    rest = held.where("not few").agg(F.sum("each")).first()[0] or 0
-    if rest <= room:
-        return held.drop("few", "each"), held.where("false").drop("few", "each")
-    return held.where("few").drop("few", "each"), held.where("not few").drop("few", "each")
+    total = written(total.select("key", "n", (F.col("n") * F.col("n") - F.col("own") <= 2 * ROOM * F.col("n")).alias("few")), scope)
+    held = written(spread(named, total, ["key"], frequent(total, named.count(), ["key"]), scope), scope)
+    if whole:
+        return held.drop("few"), held.where("false").drop("few")
+    return held.where("few").drop("few"), held.where("not few").drop("few")

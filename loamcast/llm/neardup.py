@@ -22,13 +22,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words
-from .common import Scratch, sized, table, text_blocks, written
-from .links import components, link, shared
+from .common import Scratch, sized, table, text_blocks, unused, written
+from .links import SIMILAR, components, frequent, link, shared, spread
 
 SIZE = 5  # words of a shingle
-SIMILAR = 0.8
 COARSE = (10, 3)  # bands, rows: finds 0.999 of pairs at 0.8
-OWN, EDITS = 20, (24, 6)  # bands of a peeled text: single rows of its own shingles, six rows of all edits
+COUNTERS = 1 << 18  # of the table of shingle frequencies that orders prefixes
 SKETCH, ALIKE = 64, 38  # samples kept of a text that shares a band; so many agree in all but 1 of 10 000 pairs at 0.8
 BUCKETS = 1 << 16  # of the table of word frequencies
 SMOOTH = 10  # added to each logarithm, so that rare words don't outweigh the rest of a text
@@ -122,21 +121,19 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float(common / (a[1].sum() + b[1].sum() - common))
 
 
-def edit_bands(text: np.ndarray, either: np.ndarray, both: np.ndarray, salt: int) -> list[int]:
-    """Band keys of what sets a text's shingles apart from two others: its own
-    ones, that neither has, and these with the missing ones, that both have."""
-    own, missing = np.setdiff1d(text, either, assume_unique=True), np.setdiff1d(both, text, assume_unique=True)
-    edits = np.concatenate([own, missing ^ words.M1])
-    keys: list[np.ndarray] = []
-    for tag, part, count, rows in ((1, own, OWN, 1), (2, edits, *EDITS)):
-        if len(part):
-            seeds = words.mix(np.arange(1, count * rows + 1, dtype=np.uint64) * words.M2 ^ np.uint64(tag << 40))
-            least = words.mix(part[None, :] ^ seeds[:, None]).min(axis=1).reshape(count, rows)
-            key = words.mix(np.arange(count, dtype=np.uint64) ^ np.uint64(salt ^ tag))
-            for row in least.T:
-                key = words.mix(key * words.M1 ^ row)
-            keys.append(key)
-    return np.concatenate(keys).view(np.int64).tolist() if keys else []
+def prefix(keys: np.ndarray, weights: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, short): the rarest shingles of a text, by (count, key).
+
+    Texts x, not heavier than y, of similarity t share at least 2t / (1 + t)
+    of x's weight and t of y's. So some shingle stands both among the first of
+    x that weigh more than the rest of that share, its short ones, and among
+    the first of y that weigh more than 1 - t.
+    """
+    order = np.lexsort((keys, counts[(keys & np.uint64(COUNTERS - 1)).astype(np.int64)]))
+    before = np.cumsum(weights[order]) - weights[order]
+    total = weights.sum() * (1 + 1e-9)
+    n = int(np.searchsorted(before, (1 - SIMILAR) * total, side="right"))
+    return keys[order[:n]], before[:n] <= (1 - 2 * SIMILAR / (1 + SIMILAR)) * total
 
 
 def _bytes(column) -> list[bytes]:
@@ -164,6 +161,23 @@ def word_weights(documents: DataFrame) -> np.ndarray:
     return np.log((1 + n) / (1 + counts)) + SMOOTH
 
 
+def _counters(texts: DataFrame, idf: object) -> np.ndarray:
+    """How many of the texts hold a shingle, in COUNTERS hashed counters."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in text_blocks(batches, "text", BLOCK):
+            sets, _, _ = weighted(_bytes(batch.column("text")), idf.value)
+            total += np.bincount((sets & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+        seen = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], names=["bucket", "n"])
+
+    rows = texts.select("text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(COUNTERS, np.int64)
+    out[rows.column("bucket").to_numpy()] = rows.column("n").to_numpy()
+    return out
+
+
 SIGNED = "doc_id long, node binary, bands array<long>"
 
 
@@ -195,10 +209,8 @@ def classes(documents: DataFrame, scope: Scratch | None = None) -> DataFrame:
     signed = written(documents.select("doc_id", "text").mapInArrow(sign, SIGNED), scope)
     nodes = written(signed.where("node is not null").groupBy("node").agg(F.first("bands").alias("bands"), F.min("doc_id").alias("doc_id"), F.count("*").alias("n")), scope)
     keys = nodes.select("node", F.explode("bands").alias("key"))
-    crowd = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    wanted = written(keys.join(crowd, "key", "left_semi").select("node").distinct(), scope)
     hashed = documents.where("text is not null").select(F.unhex(F.md5(F.col("text").cast("binary"))).alias("node"), "text")
-    texts = written(shared(hashed, wanted, ["node"]).groupBy("node").agg(F.any_value("text").alias("text")), scope)
+    kept: list[DataFrame] = []  # the texts of nodes that share a bucket, once they are known
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_blocks(batches, "text_b", 2 << 20):
@@ -216,46 +228,44 @@ def classes(documents: DataFrame, scope: Scratch | None = None) -> DataFrame:
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_blocks(batches, "text", BLOCK):
-            yield pa.record_batch([batch.column("node"), pa.array(sketches(_bytes(batch.column("text")), idf.value), pa.binary())], names=["node", "sketch"])
+            bodies = _bytes(batch.column("text"))
+            _, weights, bounds = weighted(bodies, idf.value)
+            total = np.append(0.0, np.cumsum(weights))
+            yield pa.record_batch([batch.column("node"), pa.array(sketches(bodies, idf.value), pa.binary()), pa.array(total[bounds[1:]] - total[bounds[:-1]])], names=["node", "sketch", "weight"])
 
-    held = written(texts.mapInArrow(sketch, "node binary, sketch binary"), scope)
+    def measures(nodes: DataFrame) -> DataFrame:
+        kept.append(written(shared(hashed, written(nodes, scope), ["node"]).groupBy("node").agg(F.any_value("text").alias("text")), scope))
+        return kept[0].mapInArrow(sketch, "node binary, sketch binary, weight double")
 
-    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SKETCH) for c in ("sketch_a", "sketch_b"))
             yield batch.select(["a", "b"]).filter(pa.array((a == b).sum(axis=1) >= ALIKE, pa.bool_()))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        """Sketches drop most pairs, so that few texts are moved."""
-        first = held.select(F.col("node").alias("a"), F.col("sketch").alias("sketch_a"))
-        second = held.select(F.col("node").alias("b"), F.col("sketch").alias("sketch_b"))
-        pairs = sized(pairs).join(second, "b").join(first, "a").select("a", "b", "sketch_a", "sketch_b").mapInArrow(likely, "a binary, b binary")
-        pairs = written(pairs, scope)
-        left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-        right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-        return sized(pairs).join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(compare, "a binary, b binary")
-
-    def peeled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_blocks(batches, "text_a", 2 << 20):
-            nodes, pivots = batch.column("node").to_pylist(), batch.column("pivot").to_pylist()
-            seconds = batch.column("second").to_pylist()
-            bodies = dict(zip(nodes, _bytes(batch.column("text_a")))) | dict(zip(pivots, _bytes(batch.column("text_b")))) | dict(zip(seconds, _bytes(batch.column("text_c"))))
-            place = {node: i for i, node in enumerate(bodies)}
-            sets, _, bounds = weighted(list(bodies.values()), idf.value)
-            found = []
-            for node, pivot, second in zip(nodes, pivots, seconds):
-                x, y, z = (sets[bounds[place[n]] : bounds[place[n] + 1]] for n in (node, pivot, second or pivot))
-                found.append(edit_bands(x, np.union1d(y, z), np.intersect1d(y, z, assume_unique=True), int.from_bytes(pivot[:8], "little")))
-            yield pa.record_batch([batch.column("node"), pa.array(found, pa.list_(pa.int64()))], names=["node", "bands"])
-
-    def peel(apart: DataFrame) -> DataFrame:
-        left = texts.select("node", F.col("text").alias("text_a"))
-        right = texts.select(F.col("node").alias("pivot"), F.col("text").alias("text_b"))
-        third = texts.select(F.col("node").alias("second"), F.col("text").alias("text_c"))
-        rows = apart.join(left, "node").join(right, "pivot").join(third, "second", "left").select("node", "pivot", "second", "text_a", "text_b", "text_c")
-        return rows.mapInArrow(peeled, "node binary, bands array<long>").select("node", F.explode("bands").alias("key")).distinct()
-
-    links = link(keys, verify, peel, scope)
+        """One side of many pairs may be the same text, a pivot."""
+        left = kept[0].select(F.col("node").alias("a"), F.col("text").cast("binary").alias("text_a"))
+        right = kept[0].select(F.col("node").alias("b"), F.col("text").cast("binary").alias("text_b"))
+        total = pairs.count()
+        for side, bodies in (("b", right), ("a", left)):
+            pairs = spread(pairs, bodies, [side], frequent(pairs.groupBy(side).agg(F.count("*").alias("n")), total, [side]), scope)
+        return pairs.select("a", "b", "text_a", "text_b").mapInArrow(compare, "a binary, b binary")
+
+    def prefixes(nodes: DataFrame) -> DataFrame:
+        chosen = written(kept[0].join(nodes.hint("merge"), "node"), scope)
+        counts = spark.sparkContext.broadcast(_counters(chosen, idf))
+
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in text_blocks(batches, "text", BLOCK):
+                sets, weights, bounds = weighted(_bytes(batch.column("text")), idf.value)
+                parts = [prefix(sets[i:j], weights[i:j], counts.value) for i, j in zip(bounds[:-1], bounds[1:])]
+                own = np.repeat(np.arange(len(parts)), [len(k) for k, _ in parts])
+                keys, short = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0) for i in (0, 1))
+                yield pa.record_batch([pa.array(keys.astype(np.int64)), batch.column("node").take(pa.array(own)), pa.array(short.astype(bool))], names=["key", "node", "short"])
+
+        return chosen.mapInArrow(cut, "key long, node binary, short boolean")
+
+    links = link(keys, measures, alike, verify, prefixes, scope)
     labels = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), scope)
     named = nodes.join(labels, "node", "left").select("node", "doc_id", "n", F.coalesce("component", "node").alias("component"))
     whole = named.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.sum("n").alias("class_size"))
@@ -268,18 +278,21 @@ def classes(documents: DataFrame, scope: Scratch | None = None) -> DataFrame:
 def deduplicated(documents: DataFrame, scope: Scratch | None = None) -> DataFrame:
     """`documents` with one row of each class, all columns kept: the smallest
     doc_id, and of rows with one id and text any one. Rows with a null text
-    all stay, as nothing can be said of them; so do classes without an id."""
+    all stay, as nothing can be said of them; so do classes without an id.
+    Columns may have any names."""
     scope = scope or Scratch()
     found = written(classes(documents, scope), scope)
-    copies = found.where("class_id is not null and (doc_id is null or doc_id != class_id)").select(F.col("doc_id").alias("__doc"), F.col("node").alias("__drop")).distinct()
-    marked = documents.withColumn("__node", F.unhex(F.md5(F.col("text").cast("binary"))))
-    kept = marked.join(sized(copies), F.expr("doc_id <=> __doc and __node = __drop"), "left_anti")
-    again = found.where("node is not null").groupBy(F.col("doc_id").alias("__doc"), F.col("node").alias("__same")).agg(F.count("*").alias("__n")).where("__n > 1").drop("__n")
+    doc, node, own = (unused(documents, n) for n in ("__doc", "__node", "__own"))
+    same = (F.col("doc_id").eqNullSafe(F.col(doc))) & (F.col(own) == F.col(node))
+    copies = found.where("class_id is not null and (doc_id is null or doc_id != class_id)").select(F.col("doc_id").alias(doc), F.col("node").alias(node)).distinct()
+    marked = documents.withColumn(own, F.unhex(F.md5(F.col("text").cast("binary"))))
+    kept = marked.join(sized(copies), same, "left_anti")
+    again = found.where("node is not null").groupBy(F.col("doc_id").alias(doc), F.col("node").alias(node)).agg(F.count("*").alias("n")).where("n > 1").drop("n")
     if not again.isEmpty():
-        either = kept.join(sized(again), F.expr("doc_id <=> __doc and __node = __same"), "left").drop("__doc")
-        once = either.where("__same is not null").dropDuplicates(["doc_id", "__node"])
-        kept = either.where("__same is null").unionByName(once).drop("__same")
-    return kept.drop("__node")
+        either = kept.join(sized(again), same, "left").drop(doc)
+        once = either.where(F.col(node).isNotNull()).dropDuplicates(["doc_id", own])
+        kept = either.where(F.col(node).isNull()).unionByName(once).drop(node)
+    return kept.drop(own)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
