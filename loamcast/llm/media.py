@@ -21,6 +21,7 @@ from .common import arrow_map, table, text_blocks
 
 ROW = 576  # samples of one image row
 PNG = b"\x89PNG\r\n\x1a\n"
+OTHER = "application/octet-stream"
 #: Magic bytes and the formats that they announce.
 MAGIC = {PNG: "image/png", b"RIFF": "audio/wav", b"GIF87a": "image/gif", b"GIF89a": "image/gif", b"\xff\xd8\xff": "image/jpeg", b"BM": "image/bmp"}
 
@@ -135,7 +136,7 @@ def carve(blob: bytes) -> list[tuple[int, int, str]]:
 def sniff(blob: bytes) -> str:
     """The type of a blob by its content; octet-stream where none fits whole."""
     found = carve(blob)
-    return found[0][2] if found and found[0][:2] == (0, len(blob)) else "application/octet-stream"
+    return found[0][2] if found and found[0][:2] == (0, len(blob)) else OTHER
 
 
 def encode_png(payload: bytes) -> bytes:
@@ -149,30 +150,57 @@ def encode_png(payload: bytes) -> bytes:
     return PNG + chunk(b"IHDR", struct.pack(">IIBBBBB", ROW, height, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw, 1)) + chunk(b"IEND", b"")
 
 
-def decode_png(blob: bytes) -> bytes:
-    """Samples of a PNG that encode_png wrote (filter 0 on every line)."""
-    pos, data, width = len(PNG), [], 0
+def png_data(blob: bytes) -> bytes:
+    """The unpacked lines of a valid PNG; none where they can't be unpacked."""
+    pos, data = len(PNG), []
     while pos < len(blob):
         n, kind = struct.unpack_from(">I4s", blob, pos)
-        if kind == b"IHDR":
-            width = struct.unpack_from(">I", blob, pos + 8)[0]
-        elif kind == b"IDAT":
+        if kind == b"IDAT":
             data.append(blob[pos + 8 : pos + 8 + n])
         pos += 12 + n
-    raw = zlib.decompress(b"".join(data))
-    return b"".join(raw[i + 1 : i + 1 + width] for i in range(0, len(raw), width + 1))
+    try:
+        return zlib.decompress(b"".join(data))
+    except zlib.error:
+        return b""
+
+
+def unfiltered(raw: bytes, width: int) -> bytes:
+    """Samples of PNG lines of `width` bytes a sample row, one byte a sample."""
+    out, before = [], bytes(width)
+    for i in range(0, len(raw), width + 1):
+        kind, line = raw[i], bytearray(raw[i + 1 : i + 1 + width])
+        for x in range(width) if kind else ():
+            left, up = (line[x - 1] if x else 0), before[x]
+            corner = before[x - 1] if x else 0
+            guess = left + up - corner
+            nearest = min((abs(guess - left), 0, left), (abs(guess - up), 1, up), (abs(guess - corner), 2, corner))[2]
+            line[x] = (line[x] + (0, left, up, (left + up) // 2, nearest)[kind]) & 255
+        before = bytes(line)
+        out.append(before)
+    return b"".join(out)
+
+
+def samples_of(kind: str, blob: bytes) -> tuple[int, bytes] | None:
+    """(samples a line, samples) of grey 8-bit PNG; None of other media, whose
+    bytes are their samples."""
+    if kind != "image/png" or blob[24:29] != b"\x08\0\0\0\0":
+        return None
+    width, height = struct.unpack_from(">II", blob, 16)
+    raw = png_data(blob)
+    return (width, unfiltered(raw, width)) if len(raw) == height * (width + 1) and all(f < 5 for f in raw[:: width + 1]) else None
 
 
-def feature_of(kind: str, samples: bytes) -> str:
+def feature_of(kind: str, samples: bytes, width: int) -> str:
     """Type, size, and mean, spread and entropy of the samples."""
     import numpy as np
 
     counts = np.bincount(np.frombuffer(samples, np.uint8), minlength=256)
-    share = counts[counts > 0] / len(samples)
+    share = counts[counts > 0] / max(1, len(samples))
     level = np.arange(256)
-    mean = float(counts @ level) / len(samples)
-    spread = max(0.0, float(counts @ level**2) / len(samples) - mean**2) ** 0.5
-    return f"{kind} {ROW}x{len(samples) // ROW} mean={mean:.4f} sd={spread:.4f} bits={-float(share @ np.log2(share)):.4f}"
+    mean = float(counts @ level) / max(1, len(samples))
+    spread = max(0.0, float(counts @ level**2) / max(1, len(samples)) - mean**2) ** 0.5
+    bits = abs(float(share @ np.log2(share)))
+    return f"{kind} {width}x{len(samples) // max(1, width)} mean={mean:.4f} sd={spread:.4f} bits={bits:.4f}"
 
 
 def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +211,7 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             data = (text or "").encode("utf-8", "surrogatepass")
             n.append(len(data))
             blobs.append(encode_png(data + b"\xff" * (-len(data) % ROW or (0 if data else ROW))))
-        kinds = pa.array(["application/octet-stream"] * len(n))
+        kinds = pa.array([OTHER] * len(n))
         yield pa.record_batch([ids, pa.array(n, pa.int64()), kinds, pa.array(blobs, pa.binary())], names=["doc_id", "n_bytes", "declared", "media"])
 
 
@@ -197,26 +225,35 @@ def store_texts(documents: DataFrame) -> DataFrame:
     return arrow_map(documents.select("doc_id", "text"), _store, "doc_id long, n_bytes long, declared string, media binary")
 
 
-READ = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, media_type string, n_media long"
+READ = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, declared string, media_type string, n_media long"
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in READ.split(", ")]
     for batch in text_blocks(batches, "media", 8 << 20):
         rows = []
-        for doc, n, blob in zip(batch.column("doc_id").to_pylist(), batch.column("n_bytes").to_pylist(), batch.column("media").to_pylist()):
+        for doc, n, declared, blob in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_bytes", "declared", "media"))):
+            blob = blob or b""
             found = carve(blob)
-            start, end, kind = found[0]
-            payload = decode_png(blob[start:end])
-            rows.append((doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(blob), hashlib.sha256(blob).hexdigest(), feature_of(kind, payload), kind, len(found)))
+            start, end, kind = found[0] if found else (0, len(blob), OTHER)
+            width, payload = samples_of(kind, blob[start:end]) or (end - start, blob[start:end])
+            rows.append((doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(blob), hashlib.sha256(blob).hexdigest(), feature_of(kind, payload, width), declared, kind, len(found)))
         kinds = [{"long": pa.int64(), "string": pa.string()}[x.split()[1]] for x in READ.split(", ")]
         yield pa.record_batch([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
 
 def read_media(stored: DataFrame) -> DataFrame:
     """Reads stored media back: carves the blob by its signatures, corrects
-    the declared type, decodes the samples and computes digests and features."""
-    return arrow_map(stored, _read, READ)
+    the declared type, decodes the samples and computes digests and features.
+
+    stored (doc_id, n_bytes, declared, media); one row per input row. The
+    first medium of a blob counts. Its samples are those of a grey 8-bit PNG,
+    whatever its line filters; of other media, and of a blob that holds none,
+    the bytes themselves. Null and empty blobs have no samples, the type
+    octet-stream and n_media 0. Repeated rows and null ids stay; further
+    columns are ignored; no rows give no rows.
+    """
+    return arrow_map(stored.select("doc_id", "n_bytes", "declared", "media"), _read, READ)
 
 
 def _sniffed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

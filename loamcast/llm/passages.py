@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import words
-from .common import Scratch, sized, table, text_blocks, written
+from .common import Scratch, sized, table, text_blocks, unused, written
 from .links import components, frequent, spread
 
 PASSAGE = 51  # words: repeats of more than 50 go
@@ -287,17 +287,19 @@ def without(text: str, spans: list) -> str:
 
 
 def cleaned(documents: DataFrame, scope: Scratch | None = None) -> DataFrame:
-    """`documents` without repeated passages, all rows and columns kept; the
-    text, and n_chars if there is one, are those that remain."""
+    """`documents` without repeated passages, all rows and columns kept, with
+    any names; the text, and n_chars if there is one, are those that remain.
+    Rows without repeats() stay as they are."""
     scope = scope or Scratch()
     found = written(repeats(documents, scope), scope)
-    cuts = found.groupBy(F.col("doc_id").alias("__doc"), F.col("th").alias("__th")).agg(F.collect_list(F.struct("start", "n_words")).alias("__cuts"))
-    joined = documents.withColumn("__key", F.xxhash64("text")).join(sized(cuts), F.expr("doc_id = __doc and __key = __th"), "left").select(*documents.columns, "__cuts")
+    doc, th, key, cut = (unused(documents, n) for n in ("__doc", "__th", "__key", "__cuts"))
+    cuts = found.groupBy(F.col("doc_id").alias(doc), F.col("th").alias(th)).agg(F.collect_list(F.struct("start", "n_words")).alias(cut))
     columns, counted = documents.columns, dict(documents.dtypes).get("n_chars") in ("int", "bigint")
+    joined = documents.withColumn(key, F.xxhash64("text")).join(sized(cuts), (F.col("doc_id") == F.col(doc)) & (F.col(key) == F.col(th)), "left").select(*[f"`{c}`" for c in columns], cut)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cuts = batch.column("__cuts").to_pylist()
+            cuts = batch.column(cut).to_pylist()
             kept = batch.select(columns)
             if any(cuts):
                 texts = [without(t, c) if c else t for t, c in zip(batch.column("text").to_pylist(), cuts)]

@@ -137,21 +137,21 @@ def train(documents: DataFrame, labels: DataFrame, column: str = "quality", samp
 
     labels (doc_id, quality); null labels are left out, and so are ids without
     a document. A null text counts as empty. Ids are at most about `sample`,
-    so their side of the join is broadcast; only features reach the driver.
+    so their side of the join is broadcast; of several documents of one id,
+    that of the least hash is used, so no more features reach the driver.
     """
     usable = labels.where(F.col(column).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(column).cast("double").alias("label"))
     share = min(1.0, sample / max(1, usable.count()))
     chosen = usable.where(F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).groupBy("doc_id").agg(F.max("label").alias("label"))
-    texts = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label")
+    texts = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", F.xxhash64("text").alias("th"), "text", "label")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [statistics(x or "") for x in batch.column("text").to_pylist()]
-            yield pa.record_batch([pa.array(found, pa.list_(pa.float64())), batch.column("label")], names=["features", "label"])
+            yield pa.record_batch([batch.column("doc_id"), batch.column("th"), pa.array(found, pa.list_(pa.float64())), batch.column("label")], names=["doc_id", "th", "features", "label"])
 
-    rows = texts.mapInArrow(measure, "features array<double>, label double").toArrow()
-    # Several documents of one id would lift the bound: only so many are used.
-    rows = rows.slice(0, 2 * sample)
+    measured = texts.mapInArrow(measure, "doc_id long, th long, features array<double>, label double")
+    rows = measured.groupBy("doc_id").agg(F.min(F.struct("th", "features", "label")).alias("x")).select("x.features", "x.label").toArrow()
     x = np.array(rows.column("features").to_pylist(), np.float64).reshape(-1, len(FEATURES))
     return fit(x, rows.column("label").to_numpy())
 

@@ -130,8 +130,14 @@ def test_crowded_bucket_is_settled(spark):
     rows = [(0, base)] + [(i, edited(base, 100, i)) for i in range(1, 60)] + [(i, edited(base, 18, i)) for i in range(60, 120)]
     variant = edited(base, 18, 999)
     rows += [(i, edited(variant, 100, i)) for i in range(200, 205)]
-    got = {r.doc_id: r.class_id for r in neardup.classes(docs(spark, rows)).collect()}
-    texts = dict(rows)
+    frame = docs(spark, rows)
+    got = {r.doc_id: r.class_id for r in neardup.classes(frame).collect()}
+    assert got == united(dict(rows), weighted_alike(frame, rows))
+    assert len({got[i] for i in range(200, 205)}) == 1 and got[200] == 200
+
+
+def united(texts, alike):
+    """Smallest id of each one's component, by brute force."""
     parent = {i: i for i in texts}
 
     def find(x):
@@ -141,21 +147,92 @@ def test_crowded_bucket_is_settled(spark):
 
     for i in texts:
         for j in texts:
-            if i < j and plain(texts[i], texts[j]) >= 0.8:
+            if i < j and alike(texts[i], texts[j]):
                 a, b = sorted((find(i), find(j)))
                 parent[b] = a
-    assert sum(got[i] != find(i) for i in texts) <= 2  # weighted and plain similarity differ a little at the bar
-    assert len({got[i] for i in range(200, 205)}) == 1 and got[200] == 200
+    return {i: find(i) for i in texts}
+
+
+def weighted_alike(frame, rows):
+    """Exact weighted similarity of two texts."""
+    idf = neardup.word_weights(frame)
+    sets, weights, bounds = neardup.weighted([t.encode() for _, t in rows], idf)
+    of = {t: (sets[x:y], weights[x:y]) for (_, t), x, y in zip(rows, bounds, bounds[1:])}
+    return lambda a, b: neardup.similarity(of[a], of[b]) >= 0.8
 
 
-def test_two_families_in_one_bucket(spark):
-    """One of the pivot and one of the second central node, which nothing but
-    the comparison with these can show."""
-    family = lambda c: F.pmod(F.xxhash64(c), F.lit(2))
-    keys = spark.range(40).select(F.lit(1).cast("long").alias("key"), F.col("id").alias("node"))
-    found = links.link(keys, lambda pairs: pairs.where(family("a") == family("b")), lambda apart: apart.select(F.lit(0).cast("long").alias("key"), "node").where("false"), Scratch())
-    united = links.components(found.select(F.col("a").alias("u"), F.col("b").alias("v")), Scratch())
-    assert united.count() == 40 and united.select("component").distinct().count() == 2
+def test_families_of_one_crowd_are_weighted_brute_force(spark):
+    """Forms that share 85 of 100 words, with families that share edits or
+    deletions among them, so that most buckets are crowded and stay open."""
+    import numpy as np
+
+    rng, base = random.Random(4), prose(1, 300).split()
+
+    def form(share, seed):
+        r = random.Random(seed)
+        at = r.randrange(300)
+        own = set((at + k) % 300 for k in range(int(300 * share)))
+        return [f"own{seed}n{i}" if i in own else w for i, w in enumerate(base)]
+
+    rows = [(i, " ".join(form(0.15, i))) for i in range(80)]
+    rows += [(100 + i, " ".join(form(0.03, 100 + i))) for i in range(20)]
+    for k in range(6):  # families around a form of their own
+        centre = form(0.2, 500 + k)
+        for i in range(6):
+            w = list(centre)
+            w[rng.randrange(300)] = f"edit{k}n{i}"
+            rows.append((1000 + 10 * k + i, " ".join(w)))
+    rows += [(2000 + i, " ".join(base[: 300 - 25 * i])) for i in range(8)]  # each is cut a little shorter
+    frame = docs(spark, rows)
+    expected = united(dict(rows), weighted_alike(frame, rows))
+    got = {r.doc_id: r.class_id for r in neardup.classes(frame).collect()}
+    assert got == expected
+    assert len(set(expected.values())) > 60 and np.unique(list(expected.values()), return_counts=True)[1].max() >= 8
+
+
+def test_recall_of_queries_against_all_rows(spark):
+    """Ids divisible by 100 against all rows, pairs by exact weighted
+    similarity: each pair that holds is in one class, each class is linked."""
+    rows = []
+    for k in range(40):
+        text = prose(k, 60 + 10 * k)
+        rows += [(100 * k, text), *((100 * k + i, edited(text, 40 + 15 * i, 1000 * k + i)) for i in range(1, 9))]
+    rows.append((5000, prose(77, 30_000)))
+    rows.append((5001, edited(rows[-1][1], 90, 8)))
+    frame, texts = docs(spark, rows), dict(rows)
+    alike = weighted_alike(frame, rows)
+    got = {r.doc_id: r.class_id for r in neardup.classes(frame).collect()}
+    pairs = [(q, i) for q in texts if q % 100 == 0 for i in texts if q != i and alike(texts[q], texts[i])]
+    assert len(pairs) > 150 and all(got[q] == got[i] for q, i in pairs)
+    expected = united({i: i for i in texts}, lambda a, b: abs(a - b) < 100 and alike(texts[a], texts[b]))
+    assert got == expected
+
+
+def test_prefixes_meet():
+    """Similar weighted sets share a prefix key that is short for the lighter."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        x = np.sort(rng.choice(10**6, 60, replace=False)).astype(np.uint64)
+        y = np.sort(np.unique(np.concatenate([rng.permutation(x)[: rng.integers(48, 61)], rng.choice(10**6, rng.integers(0, 9)).astype(np.uint64)])))
+        w = lambda s: 1 + (s % np.uint64(7)).astype(float) * rng.integers(1, 3, len(s))
+        a, b = (x, w(x)), (y, w(y))
+        counts = rng.integers(0, 50, neardup.COUNTERS)
+        if neardup.similarity(a, b) >= 0.8:
+            light, heavy = sorted((a, b), key=lambda s: s[1].sum())
+            keys, short = neardup.prefix(*light, counts)
+            assert set(keys[short]) & set(neardup.prefix(*heavy, counts)[0])
+
+
+def test_rows_are_kept_with_any_column_names(spark):
+    odd = docs(spark, [*ODD[:7], (9, prose(5)), (10, f"{prose(8, 30)} {prose(5, 60)}")])
+    for name in ("__cuts", "__node", "__own", "__doc", "__key", "__th", "n", "key"):
+        odd = odd.withColumn(name, F.lit(name))
+    bench = spark.createDataFrame([(1, prose(7, 30))], "item_id long, text string")
+    for kept in (neardup.deduplicated(odd), passages.cleaned(odd), decontamination.decontaminated(odd, bench), langid.identified(odd, {})):
+        assert kept.columns == odd.columns
+        assert all(r["__cuts"] == "__cuts" and r["__node"] == "__node" for r in kept.collect())
 
 
 def test_near_duplicates_of_nothing(spark):
@@ -202,6 +279,54 @@ def test_flat_trees_match_walking(spark):
     assert np.allclose(forest.score(x), [walk(r) for r in x])
 
 
+def test_statistics_by_hand():
+    """Each feature again, character by character."""
+    import math
+
+    for text in ("", "Ab cd, cd!\n<b> 12 é\n\nLast. Ab", prose(3, 40) + "!!", "\ud800 x"):
+        data, w, lines = text.encode("utf-8", "surrogatepass"), text.split(), text.split("\n")
+        n, size = max(1, len(w)), max(1, len(data))
+        share = lambda chars: sum(data.count(c.encode()) for c in chars) / size
+        sizes = [len(x) for x in w] or [0]
+        mean = sum(sizes) / len(sizes)
+        expected = {
+            "log_bytes": math.log(1 + len(data)), "log_words": math.log(1 + len(w)), "word_length": mean, "word_spread": math.sqrt(sum((x - mean) ** 2 for x in sizes) / len(sizes)), "longest_word": max(sizes),
+            "upper": share("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), "digits": share("0123456789"), "marks": share("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"), "exclaims": share("!"), "spaces": share(" \t\n\r\f\v"), "beyond_ascii": sum(b > 127 for b in data) / size,
+            "distinct_words": len(set(w)) / n, "repeated_next": sum(a == b for a, b in zip(w, w[1:])) / n, "top_word": max((w.count(x) for x in w), default=0) / n, "log_lines": math.log(1 + len(lines)), "distinct_lines": len(set(lines)) / len(lines),
+            "sentence_words": len(w) / (1 + sum(text.count(c) for c in ".!?")), "markup": share("<>&=/#@\\|_"), "byte_entropy": -sum(data.count(b) / size * math.log2(data.count(b) / size) for b in set(data)), "capitalised": sum(x.istitle() for x in w) / n, "brackets": share("()[]{}"),
+        }
+        assert quality.statistics(text) == pytest.approx([expected[f] for f in quality.FEATURES], abs=1e-12), text
+
+
+def test_first_split_is_the_best_of_all(monkeypatch):
+    """One tree of one level against every cut of every feature."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    x = np.round(rng.normal(size=(60, len(quality.FEATURES))), 1)
+    y = (x[:, 4] + 0.3 * rng.normal(size=60) > 0.2).astype(float)
+    monkeypatch.setattr(quality, "TREES", 1)
+    monkeypatch.setattr(quality, "DEPTH", 1)
+    forest = quality.fit(x, y)
+    p = (y.sum() + 0.5) / 61
+    grad, hess = y - p, np.full(60, p * (1 - p))
+    gain = lambda m: grad[m].sum() ** 2 / (hess[m].sum() + quality.RIDGE)
+    best = max(gain(x[:, f] <= c) + gain(x[:, f] > c) for f in range(x.shape[1]) for c in np.unique(x[:, f]) if quality.LEAST <= (x[:, f] <= c).sum() <= 60 - quality.LEAST)
+    f, c = forest.feature[forest.roots[0]], forest.threshold[forest.roots[0]]
+    assert gain(x[:, f] <= c) + gain(x[:, f] > c) == pytest.approx(best, rel=0.02)
+    left = x[:, f] <= c
+    for side, node in ((left, forest.left[forest.roots[0]]), (~left, forest.left[forest.roots[0]] + 1)):
+        assert forest.value[node] == pytest.approx(quality.RATE * grad[side].sum() / (hess[side].sum() + quality.RIDGE))
+
+
+def test_quality_takes_one_document_an_id(spark):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    rows = [(i, prose(i, 20 + i)) for i in range(40)]
+    once = quality.train(docs(spark, rows), labels)
+    again = quality.train(docs(spark, rows * 3), labels)
+    assert once.bias == again.bias and list(once.threshold) == list(again.threshold)
+
+
 # 4: token counts
 
 
@@ -263,6 +388,34 @@ def test_languages(spark):
     assert langid.identified(docs(spark, rows), prototypes).count() == 4
 
 
+def test_profiles_are_bound_and_bundled_by_hand(spark):
+    """Letters rotated by their place and multiplied, trigrams added up, one
+    by one; then prototypes, cosines and the choice."""
+    import numpy as np
+
+    letters, symbols = langid.letter_vectors().astype(int), langid.symbol_table()
+
+    def profile(text):
+        total = np.zeros(langid.DIM)
+        codes = [int(symbols[ord(c)]) for c in f" {text.lower()}  "]
+        for a, b, c in zip(codes, codes[1:], codes[2:]):
+            if b:
+                total += np.roll(letters[a], 2) * np.roll(letters[b], 1) * letters[c]
+        return total
+
+    rows = [(i, f"{prose(i, 8)} {'äéñß'[i % 4]}{'un die the los'.split()[i % 4]}", "dfes"[i % 4]) for i in range(24)]
+    prototypes = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    for lang in "dfes":
+        mine = sum(profile(t) / max(1, np.linalg.norm(profile(t))) for _, t, x in rows if x == lang)
+        assert np.allclose(prototypes[lang], mine / np.linalg.norm(mine), atol=1e-6)
+    texts = ["the ñandú los", "Die Äpfel", "x", prose(9, 300)]
+    found, scores = langid.predict(texts, prototypes)
+    for text, lang, score in zip(texts, found, scores):
+        vector = profile(text) / np.linalg.norm(profile(text))
+        cosines = {k: float(vector @ p) for k, p in prototypes.items()}
+        assert cosines[lang] == pytest.approx(max(cosines.values()), abs=1e-5) and score == pytest.approx(max(0, max(cosines.values())), abs=1e-5)
+
+
 def test_slices_change_nothing(monkeypatch):
     import numpy as np
 
@@ -322,6 +475,36 @@ def test_passages_with_a_changed_word(spark):
     assert got == {2 * k + 1: (70, 51) for k in range(5, 46)}
 
 
+def test_near_passages_where_a_third_document_holds_the_middle(spark):
+    """60 words with one changed word; the middle 35 stand in an earlier
+    document too. All pairs hold by exact Jaccard, and all are found."""
+    rng, rows = random.Random(11), []
+    for k in range(60):
+        w = prose(20_000 + k, 60).split()
+        edit = list(w)
+        edit[rng.randrange(60)] = "changed"
+        rows.append((3 * k, f"{prose(21_000 + k, 80)} {' '.join(w[12:47])} {prose(22_000 + k, 80)}"))
+        rows.append((3 * k + 1, f"{prose(23_000 + k, 70)} {' '.join(w)} {prose(24_000 + k, 70)}"))
+        rows.append((3 * k + 2, f"{prose(25_000 + k, 75)} {' '.join(edit)} {prose(26_000 + k, 75)}"))
+    got = {}
+    for r in passages.repeats(docs(spark, rows)).collect():
+        got.setdefault(r.doc_id, []).append((r.start, r.n_words))
+    assert set(got) == {3 * k + 2 for k in range(60)}
+    assert all(len(x) == 1 and 74 <= x[0][0] <= 80 and 51 <= x[0][1] <= 61 for x in got.values())
+
+
+def test_passages_of_one_hot_line(spark, monkeypatch):
+    """A line of 40 words in most texts, with families around it; its keys
+    count as frequent."""
+    monkeypatch.setattr(links, "SHARES", 8)
+    line, tails = prose(30_000, 40), [prose(30_100 + k, 25) for k in range(6)]
+    rows = [(i, f"{prose(31_000 + i, 30)} {line} {tails[i % 6] if i % 3 else prose(32_000 + i, 25)} {prose(33_000 + i, 20)}") for i in range(150)]
+    expected, got = exact_repeats(rows), {}
+    for r in passages.repeats(docs(spark, rows)).collect():
+        got.setdefault(r.doc_id, set()).update(range(r.start, r.start + r.n_words))
+    assert set(got) == set(expected) and all(where <= got[i] for i, where in expected.items())
+
+
 def test_passages_of_a_line_that_stands_twice(spark):
     """In the document of the smallest id, with different surroundings; a text
     repeats the second ones."""
@@ -421,6 +604,60 @@ def test_sniffing_and_carving(spark):
     assert [p.type for p in got[5].parts] == ["audio/wav", "image/png"]
 
 
+def test_foreign_blobs_are_read(spark):
+    import struct
+
+    def png(filters):
+        """Grey 8-bit lines of 4 samples, written with the given filters."""
+        lines, before, raw = [bytes((i * 37 + x * 11) % 256 for x in range(4)) for i in range(len(filters))], bytes(4), b""
+        for kind, line in zip(filters, lines):
+            out = []
+            for x in range(4):
+                a, b, c = (line[x - 1] if x else 0), before[x], (before[x - 1] if x else 0)
+                p = a + b - c
+                paeth = a if abs(p - a) <= abs(p - b) and abs(p - a) <= abs(p - c) else b if abs(p - b) <= abs(p - c) else c
+                out.append((line[x] - (0, a, b, (a + b) // 2, paeth)[kind]) % 256)
+            raw, before = raw + bytes([kind, *out]), line
+        chunk = lambda k, d: struct.pack(">I", len(d)) + k + d + struct.pack(">I", zlib.crc32(k + d))
+        return media.PNG + chunk(b"IHDR", struct.pack(">IIBBBBB", 4, len(lines), 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b""), b"".join(lines)
+
+    blob, samples = png([0, 1, 2, 3, 4, 4, 3])
+    wav = b"RIFF" + struct.pack("<I", 4 + 24 + 12) + b"WAVEfmt " + struct.pack("<I", 16) + b"\1\0\1\0" + b"\0" * 12 + b"data" + struct.pack("<I", 4) + b"abcd"
+    rows = [(1, 5, "image/gif", blob), (2, 0, None, None), (3, 0, "x", b""), (4, 3, "x", b"abc"), (5, 9, "text/plain", b"junk" + wav + blob), (None, None, None, blob[:-3])]
+    stored = spark.createDataFrame(rows, "doc_id long, n_bytes long, declared string, media binary").withColumn("feature", F.lit("clash"))
+    got = {r.doc_id: r for r in media.read_media(stored).collect()}
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    assert (got[1].payload_sha256, got[1].media_type, got[1].declared, got[1].payload_bytes) == (sha(samples), "image/png", "image/gif", 28)
+    for k, body in ((2, b""), (3, b""), (4, b"abc"), (None, blob[:-3])):
+        assert (got[k].payload_sha256, got[k].media_type, got[k].n_media, got[k].media_bytes) == (sha(body), media.OTHER, 0, len(body))
+    assert (got[5].payload_sha256, got[5].media_type, got[5].n_media, got[5].media_sha256) == (sha(wav), "audio/wav", 2, sha(b"junk" + wav + blob))
+    assert got[1].feature.startswith("image/png 4x7 ") and media.read_media(stored.limit(0)).count() == 0
+
+
+def test_stored_png_by_another_decoder(spark):
+    """Chunks, checksums and samples read by hand; features from numpy."""
+    import struct
+
+    import numpy as np
+
+    row = media.store_texts(docs(spark, [(1, prose(3, 300))])).first()
+    at, data = 8, {}
+    while at < len(row.media):
+        n, kind = struct.unpack_from(">I4s", row.media, at)
+        body = bytes(row.media[at + 8 : at + 8 + n])
+        assert struct.unpack_from(">I", row.media, at + 8 + n)[0] == zlib.crc32(kind + body)
+        data[kind], at = data.get(kind, b"") + body, at + 12 + n
+    width, height = struct.unpack_from(">II", data[b"IHDR"])
+    lines = np.frombuffer(zlib.decompress(data[b"IDAT"]), np.uint8).reshape(height, width + 1)
+    samples = lines[:, 1:].ravel()
+    text = prose(3, 300).encode()
+    assert not lines[:, 0].any() and samples.tobytes() == text + b"\xff" * (-len(text) % 576)
+    got = media.read_media(media.store_texts(docs(spark, [(1, prose(3, 300))]))).first()
+    share = np.unique(samples, return_counts=True)[1] / len(samples)
+    assert got.feature == f"image/png 576x{height} mean={samples.mean():.4f} sd={samples.std():.4f} bits={-(share * np.log2(share)).sum():.4f}"
+    assert (got.media_bytes, got.media_sha256) == (len(row.media), hashlib.sha256(row.media).hexdigest())
+
+
 # 9: chat
 
 
@@ -445,9 +682,26 @@ def test_chat(spark):
     examples = {(r.conv_id, r.example): r for r in chat.expanded(pieces).collect()}
     last = examples[1, 1]
     assert chat.unescape(last.input[last.loss_start : last.loss_end]) == "d" and last.input.count(chat.OPEN) == 4
+    mixed = pieces.repartition(7, "piece").orderBy(F.rand(3))
+    assert sorted(map(tuple, chat.digests(mixed).collect()), key=str) == sorted(map(tuple, got.values()), key=str)
+    for e in examples.values():  # every example is the transcript's beginning, its reply at the end
+        mine = sorted((r for r in pieces.collect() if r.conv_id == e.conv_id), key=lambda r: r.piece)
+        reply = next(r for r in mine if r.example == e.example)
+        assert e.input == "".join(r.formatted for r in mine[: reply.piece + 1])
+        assert (reply.context_chars, reply.context_crc32) == (sum(len(r.formatted) for r in mine[: reply.piece]), zlib.crc32("".join(r.formatted for r in mine[: reply.piece]).encode()))
+    for broken in (pieces.where("not (conv_id = 1 and piece = 0)"), pieces.unionByName(pieces), pieces.withColumn("context_chars", F.col("context_chars") + 1), pieces.withColumn("context_crc32", F.lit(1).cast("long"))):
+        with pytest.raises(Exception, match="conversation"):
+            chat.digests(broken).collect()
     assert chat.format_chat(table.limit(0)).count() == chat.digests(chat.format_chat(table.limit(0))).count() == 0
 
 
+def test_long_conversations(spark):
+    rows = [(1, k, "assistant" if k % 2 else "user", f"t{k} </s> " * (1 + 20_000 * (k == 3))) for k in range(400)] + [(2, 0, "user", "x")]
+    got = {r.conv_id: r for r in chat.digests(chat.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
+    loss = "".join(t for c, _, role, t in rows if c == 1 and role == "assistant")
+    assert (got[1].n_turns, got[1].n_examples, got[1].loss_chars, got[1].loss_sha256) == (400, 200, len(loss), hashlib.sha256(loss.encode()).hexdigest())
+
+
 # 10: urls
 
 
