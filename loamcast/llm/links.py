@@ -14,7 +14,7 @@ ONE_TASK = 500_000  # edges that one task may unite
 SHARES = 256  # a key is frequent with more than 1 / SHARES of the rows
 WIDE = 64 << 20  # bytes of binary columns that spread() may broadcast
 ROOM = 8  # pairs a row of a bucket may cost before the bucket counts as crowded
-PIVOTS = 4  # members that a crowded bucket of prefixes is compared with before all its open pairs are
+STEPS = 8  # how often a crowded bucket is divided before all its open pairs are compared
 PART = 2048  # rows of a bucket that one task compares with the others
 SIMILAR = 0.8
 
@@ -103,67 +103,66 @@ def shared(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     return df.join(sized(keys.select(*on).distinct()), on, "left_semi")
 
 
-def link(keys: DataFrame, measures: Callable[[DataFrame], DataFrame], alike: Callable, verify: Callable[[DataFrame], DataFrame], prefixes: Callable[[DataFrame], DataFrame], scope: Scratch) -> DataFrame:
+def link(keys: DataFrame, measures: Callable[[DataFrame], DataFrame], alike: Callable, verify: Callable[[DataFrame], DataFrame], edits: Callable[[DataFrame], DataFrame], scope: Scratch) -> DataFrame:
     """(key, node) to verified links (a, b) that join the nodes of all buckets
     into components.
 
     measures: of nodes (node), their (node, sketch, weight). alike: a
     mapInArrow function that drops pairs whose sketches differ. verify: of
-    pairs (a, b), those that hold. prefixes: of nodes, keys (key, node, short)
-    such that two nodes that hold share a key, which is short for the lighter.
+    pairs (a, b), those that hold. edits: of (node, pivot), keys (key, node,
+    short, apart) by what sets the node apart from the pivot, such that two
+    nodes that hold, but don't both hold with the pivot, share a key that is
+    short for the one less apart.
 
     Open pairs, those of different components, are compared one by one where
     a bucket has at most ROOM of them a member. In a more crowded bucket all
-    are compared with its most central member: the one whose buckets are
-    largest together. What is open then goes to the buckets of its prefixes,
-    which hold rare keys, so they are small but for texts that are nearly
-    alike. Large ones take PIVOTS such turns, each with the most central member
-    of another component; then all pairs that are still open are compared.
-    How a bucket is treated depends on that bucket alone, and none is dropped.
+    are compared with its pivot, the most central member: the one whose
+    buckets are largest together. Where that leaves a bucket crowded, its
+    members go to buckets by their edits, and so on. Each step makes at most
+    ROOM pairs a row; buckets of edits hold only members that changed the
+    pivot alike, so they shrink from step to step. In buckets that are still
+    crowded after STEPS of them all open pairs are compared. How a bucket is
+    treated depends on that bucket alone, and none is dropped.
     """
     sizes = written(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), scope)
-    rows = written(spread(keys.select("key", "node"), sizes.select("key"), ["key"], frequent(sizes, keys.count(), ["key"]), scope).withColumn("short", F.lit(True)), scope)
+    rows = spread(keys.select("key", "node"), sizes.select("key"), ["key"], frequent(sizes, keys.count(), ["key"]), scope)
+    rows = written(rows.select("key", "node", F.lit(True).alias("short"), F.lit(0.0).alias("apart")), scope)
     held = written(measures(rows.select("node").distinct()), scope)
-    links, left = _settle(rows, held, None, alike, verify, 1, False, scope)
-    if left.isEmpty():
-        return links
-    fresh = written(prefixes(left.select("node").distinct()), scope)
-    sizes = written(fresh.groupBy("key").agg(F.count("*").alias("n"), F.bool_or("short").alias("some")).where("n > 1 and some"), scope)
-    rows = written(spread(fresh, sizes.select("key"), ["key"], frequent(sizes, fresh.count(), ["key"]), scope), scope)
-    return _settle(rows, held, links, alike, verify, PIVOTS, True, scope)[0]
-
-
-def _settle(rows: DataFrame, held: DataFrame, links: DataFrame | None, alike: Callable, verify: Callable[[DataFrame], DataFrame], turns: int, whole: bool, scope: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(links, rows of crowded buckets that are open after so many turns; none
-    if whole, when all pairs that they hold are compared)."""
-    names = rows.columns
-    turn = 0
-    while True:
-        labels = None if links is None else written(components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), scope), scope)
-        last = turn == turns
-        few, many = _open(rows, labels, whole and last, scope)
-        if last and not whole:
-            return links, many
-        measured = few.join(held.hint("merge"), "node")
-        share = F.ceil(F.col("n") / PART).cast("int")  # large buckets are compared in parts
-        left = measured.withColumn("part", F.pmod(F.xxhash64("node"), share).cast("int"))
-        right = measured.select("key", F.explode(F.sequence(F.lit(0), share - 1)).alias("part"), *[F.col(c).alias(f"other_{c}") for c in ("node", "component", "short", "sketch", "weight")])
-        pairs = left.join(right, ["key", "part"]).where("node < other_node and component != other_component and if(weight <= other_weight, short, other_short)")
-        if not last:
+    links = labels = None
+    for step in range(STEPS + 1):
+        few, many = _open(rows, labels, step == STEPS, scope)
+        pairs, pivots = _one_by_one(few, held), None
+        if step < STEPS:
             score = many.groupBy("node").agg(F.sum("n").alias("score"))
-            best = F.struct(F.xxhash64("component", F.lit(turn)) if turn else F.lit(0), "score", "node", "component")
-            pivots = written(many.join(score, "node").groupBy("key").agg(F.max(best).alias("top"), F.count("*").alias("n")).select("key", F.col("top.node").alias("pivot"), F.col("top.component").alias("its"), "n"), scope)
+            best = F.max(F.struct("score", "node", "component")).alias("top")
+            pivots = written(many.join(score, "node").groupBy("key").agg(best, F.count("*").alias("n")).select("key", F.col("top.node").alias("pivot"), F.col("top.component").alias("its"), "n"), scope)
             heads = pivots.select("key", "pivot", "its").join(held.select(F.col("node").alias("pivot"), F.col("sketch").alias("other_sketch"), F.col("weight").alias("other_weight")), "pivot")
             star = spread(many.join(held.hint("merge"), "node"), heads, ["key"], frequent(pivots, many.count(), ["key"]), scope)
-            star = star.where("component != its").select("node", F.col("pivot").alias("other_node"), "sketch", "other_sketch", "weight", "other_weight")
-            pairs = pairs.select(*star.columns).unionByName(star)
+            pairs = pairs.unionByName(star.where("component != its").select("node", F.col("pivot").alias("other_node"), "sketch", "other_sketch", "weight", "other_weight"))
         near = pairs.where(f"least(weight, other_weight) >= {SIMILAR} * greatest(weight, other_weight)")
         near = near.select(F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b"), F.col("sketch").alias("sketch_a"), F.col("other_sketch").alias("sketch_b")).mapInArrow(alike, "a binary, b binary")
         found = written(verify(written(near.distinct(), scope)), scope)
         links = found if links is None else links.unionByName(found)
-        if last or many.isEmpty():
-            return links, many
-        rows, turn = many.select(*names), turn + 1
+        if pivots is None or pivots.isEmpty():
+            break
+        labels = written(components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), scope), scope)
+        few, many = _open(many.select("key", "node", "short", "apart"), labels, False, scope)
+        fresh = written(edits(spread(many, pivots.select("key", "pivot"), ["key"], frequent(pivots, many.count(), ["key"]), scope).select("node", "pivot").distinct()), scope)
+        sizes = written(fresh.groupBy("key").agg(F.count("*").alias("n"), F.bool_or("short").alias("some")).where("n > 1 and some"), scope)
+        fresh = spread(fresh, sizes.select("key"), ["key"], frequent(sizes, fresh.count(), ["key"]), scope)
+        rows = written(few.select("key", "node", "short", "apart").unionByName(fresh.select("key", "node", "short", "apart")), scope)
+    return links
+
+
+def _one_by_one(few: DataFrame, held: DataFrame) -> DataFrame:
+    """Open pairs of each bucket; members of large ones are dealt to parts,
+    and each part meets the whole bucket."""
+    measured = few.join(held.hint("merge"), "node")
+    parts = F.ceil(F.col("n") / PART).cast("int")
+    left = measured.withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int"))
+    right = measured.select("key", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), *[F.col(c).alias(f"other_{c}") for c in ("node", "component", "short", "apart", "sketch", "weight")])
+    open_pairs = left.join(right, ["key", "part"]).where("node < other_node and component != other_component and if(apart <= other_apart, short, other_short)")
+    return open_pairs.select("node", "other_node", "sketch", "other_sketch", "weight", "other_weight")
 
 
 def _open(rows: DataFrame, labels: DataFrame | None, whole: bool, scope: Scratch) -> tuple[DataFrame, DataFrame]:

@@ -27,7 +27,8 @@ from .links import SIMILAR, components, frequent, link, shared, spread
 
 SIZE = 5  # words of a shingle
 COARSE = (10, 3)  # bands, rows: finds 0.999 of pairs at 0.8
-COUNTERS = 1 << 18  # of the table of shingle frequencies that orders prefixes
+COUNTERS = 1 << 18  # of the table of edit frequencies, which are ordered by it
+APART = (1 - SIMILAR) / (1 + SIMILAR)  # of both weights together: what similar texts may differ by
 SKETCH, ALIKE = 64, 38  # samples kept of a text that shares a band; so many agree in all but 1 of 10 000 pairs at 0.8
 BUCKETS = 1 << 16  # of the table of word frequencies
 SMOOTH = 10  # added to each logarithm, so that rare words don't outweigh the rest of a text
@@ -121,19 +122,35 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float(common / (a[1].sum() + b[1].sum() - common))
 
 
-def prefix(keys: np.ndarray, weights: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, short): the rarest shingles of a text, by (count, key).
-
-    Texts x, not heavier than y, of similarity t share at least 2t / (1 + t)
-    of x's weight and t of y's. So some shingle stands both among the first of
-    x that weigh more than the rest of that share, its short ones, and among
-    the first of y that weigh more than 1 - t.
+def differences(text: tuple[np.ndarray, np.ndarray], pivot: tuple[np.ndarray, np.ndarray], salt: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, weights): what a text has more of than the pivot, and what it has
+    less of; keys depend on the pivot, by its salt, and on the direction."""
+    every = np.union1d(text[0], pivot[0])
+    change = np.zeros(len(every))
+    change[np.searchsorted(every, text[0])] = text[1]
+    change[np.searchsorted(every, pivot[0])] -= pivot[1]
+    at = np.flatnonzero(np.abs(change) > 1e-9)
+    return words.mix(every[at] << np.uint64(1) ^ (change[at] > 0).astype(np.uint64) ^ np.array([salt], np.uint64) * words.M1), np.abs(change[at])
+
+
+def prefix(keys: np.ndarray, weights: np.ndarray, total: float, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, short): the rarest differences from the pivot of a text of the
+    weight `total`, by (count, key).
+
+    Texts x and y of weights |x| and |y| hold if they differ by at most
+    T = APART (|x| + |y|), at most |x| / 4. With differences Dx <= Dy from the
+    pivot they differ by Dx + Dy - 2c, where c is what the two have in common
+    of these. So c is Dx - T / 2 and Dy - T at least; and if one of them
+    doesn't hold with the pivot, it is more than 4/9 of Dx, as the weights of x
+    and pivot differ by at most Dx. Two sets with so much in common share one
+    of the rarest of each that weigh more than the rest: short ones of x, more
+    than min(5/9 Dx, |x| / 8), and of y more than min(Dy, |y| / 4).
     """
     order = np.lexsort((keys, counts[(keys & np.uint64(COUNTERS - 1)).astype(np.int64)]))
     before = np.cumsum(weights[order]) - weights[order]
-    total = weights.sum() * (1 + 1e-9)
-    n = int(np.searchsorted(before, (1 - SIMILAR) * total, side="right"))
-    return keys[order[:n]], before[:n] <= (1 - 2 * SIMILAR / (1 + SIMILAR)) * total
+    slack = 1 + 1e-9
+    n = int(np.searchsorted(before, total / 4 * slack, side="right"))
+    return keys[order[:n]], before[:n] <= min(weights.sum() * 5 / 9, total / 8) * slack
 
 
 def _bytes(column) -> list[bytes]:
@@ -161,23 +178,6 @@ def word_weights(documents: DataFrame) -> np.ndarray:
     return np.log((1 + n) / (1 + counts)) + SMOOTH
 
 
-def _counters(texts: DataFrame, idf: object) -> np.ndarray:
-    """How many of the texts hold a shingle, in COUNTERS hashed counters."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, np.int64)
-        for batch in text_blocks(batches, "text", BLOCK):
-            sets, _, _ = weighted(_bytes(batch.column("text")), idf.value)
-            total += np.bincount((sets & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
-        seen = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], names=["bucket", "n"])
-
-    rows = texts.select("text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(COUNTERS, np.int64)
-    out[rows.column("bucket").to_numpy()] = rows.column("n").to_numpy()
-    return out
-
-
 SIGNED = "doc_id long, node binary, bands array<long>"
 
 
@@ -251,21 +251,47 @@ def classes(documents: DataFrame, scope: Scratch | None = None) -> DataFrame:
             pairs = spread(pairs, bodies, [side], frequent(pairs.groupBy(side).agg(F.count("*").alias("n")), total, [side]), scope)
         return pairs.select("a", "b", "text_a", "text_b").mapInArrow(compare, "a binary, b binary")
 
-    def prefixes(nodes: DataFrame) -> DataFrame:
-        chosen = written(kept[0].join(nodes.hint("merge"), "node"), scope)
-        counts = spark.sparkContext.broadcast(_counters(chosen, idf))
+    def edits(apart: DataFrame) -> DataFrame:
+        left = kept[0].select("node", F.col("text").cast("binary").alias("text_a"))
+        right = kept[0].select(F.col("node").alias("pivot"), F.col("text").cast("binary").alias("text_b"))
+        apart = written(apart, scope)
+        hot = frequent(apart.groupBy("pivot").agg(F.count("*").alias("n")), apart.count(), ["pivot"])
+        laid = spread(apart.join(left.hint("merge"), "node"), right, ["pivot"], hot, scope).select("node", "pivot", "text_a", "text_b")
+
+        def changed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], list]]:
+            for batch in text_blocks(batches, "text_a", 2 << 20):
+                nodes, pivots = batch.column("node").to_pylist(), batch.column("pivot").to_pylist()
+                bodies = dict(zip(nodes, _bytes(batch.column("text_a")))) | dict(zip(pivots, _bytes(batch.column("text_b"))))
+                place = {node: i for i, node in enumerate(bodies)}
+                sets, weights, bounds = weighted(list(bodies.values()), idf.value)
+                parts = [(sets[i:j], weights[i:j]) for i, j in zip(bounds[:-1], bounds[1:])]
+                yield nodes, [(*differences(parts[place[x]], parts[place[p]], int.from_bytes(p[:8], "little")), parts[place[x]][1].sum()) for x, p in zip(nodes, pivots)]
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(COUNTERS, np.int64)
+            for _, found in changed(batches):
+                for keys, _, _ in found:
+                    total += np.bincount((keys & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+            seen = np.flatnonzero(total)
+            yield pa.record_batch([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], names=["bucket", "n"])
+
+        # COUNTERS numbers reach the driver, whatever the corpus.
+        rows = laid.mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+        table = np.zeros(COUNTERS, np.int64)
+        table[rows.column("bucket").to_numpy()] = rows.column("n").to_numpy()
+        counts = spark.sparkContext.broadcast(table)
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in text_blocks(batches, "text", BLOCK):
-                sets, weights, bounds = weighted(_bytes(batch.column("text")), idf.value)
-                parts = [prefix(sets[i:j], weights[i:j], counts.value) for i, j in zip(bounds[:-1], bounds[1:])]
+            for nodes, found in changed(batches):
+                parts = [prefix(k, w, total, counts.value) for k, w, total in found]
                 own = np.repeat(np.arange(len(parts)), [len(k) for k, _ in parts])
-                keys, short = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0) for i in (0, 1))
-                yield pa.record_batch([pa.array(keys.astype(np.int64)), batch.column("node").take(pa.array(own)), pa.array(short.astype(bool))], names=["key", "node", "short"])
+                apart = np.array([w.sum() for _, w, _ in found])
+                keys, short = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+                yield pa.record_batch([pa.array(keys.view(np.int64)), pa.array(nodes, pa.binary()).take(pa.array(own)), pa.array(short.astype(bool)), pa.array(apart[own])], names=["key", "node", "short", "apart"])
 
-        return chosen.mapInArrow(cut, "key long, node binary, short boolean")
+        return laid.mapInArrow(cut, "key long, node binary, short boolean, apart double")
 
-    links = link(keys, measures, alike, verify, prefixes, scope)
+    links = link(keys, measures, alike, verify, edits, scope)
     labels = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), scope)
     named = nodes.join(labels, "node", "left").select("node", "doc_id", "n", F.coalesce("component", "node").alias("component"))
     whole = named.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.sum("n").alias("class_size"))

@@ -209,20 +209,30 @@ def test_recall_of_queries_against_all_rows(spark):
 
 
 def test_prefixes_meet():
-    """Similar weighted sets share a prefix key that is short for the lighter."""
+    """Similar weighted sets that don't both hold with the pivot share a
+    difference that is short for the one less apart from it."""
     import numpy as np
 
     rng = np.random.default_rng(5)
-    for _ in range(300):
-        x = np.sort(rng.choice(10**6, 60, replace=False)).astype(np.uint64)
-        y = np.sort(np.unique(np.concatenate([rng.permutation(x)[: rng.integers(48, 61)], rng.choice(10**6, rng.integers(0, 9)).astype(np.uint64)])))
-        w = lambda s: 1 + (s % np.uint64(7)).astype(float) * rng.integers(1, 3, len(s))
-        a, b = (x, w(x)), (y, w(y))
+    base = np.sort(rng.choice(10**6, 80, replace=False)).astype(np.uint64)
+
+    def variant(of, most):
+        kept = rng.permutation(of)[rng.integers(0, most) :]
+        return np.unique(np.concatenate([kept, rng.choice(10**6, rng.integers(0, most)).astype(np.uint64)]))
+
+    w = lambda s: (s, 1 + (s % np.uint64(7)).astype(float) * np.where(s % np.uint64(5) == 0, rng.integers(1, 3, len(s)), 1))
+    tested = 0
+    while tested < 300:
+        pivot, x = w(base), variant(base, 24)
+        a, b = w(x), w(variant(x, 10))
+        if neardup.similarity(a, b) < 0.8 or min(neardup.similarity(a, pivot), neardup.similarity(b, pivot)) >= 0.8:
+            continue
+        tested += 1
         counts = rng.integers(0, 50, neardup.COUNTERS)
-        if neardup.similarity(a, b) >= 0.8:
-            light, heavy = sorted((a, b), key=lambda s: s[1].sum())
-            keys, short = neardup.prefix(*light, counts)
-            assert set(keys[short]) & set(neardup.prefix(*heavy, counts)[0])
+        found = [(*neardup.differences(s, pivot, 77), s[1].sum()) for s in (a, b)]
+        near, far = sorted(found, key=lambda f: f[1].sum())
+        keys, short = neardup.prefix(*near, counts)
+        assert set(keys[short]) & set(neardup.prefix(*far, counts)[0])
 
 
 def test_rows_are_kept_with_any_column_names(spark):
