@@ -134,7 +134,7 @@ def link(keys: DataFrame, measures: Callable[[DataFrame], DataFrame], alike: Cal
         pairs, pivots = _one_by_one(few, held), None
         if step < STEPS:
             score = many.groupBy("node").agg(F.sum("n").alias("score"))
-            best = F.max(F.struct("score", "node", "component")).alias("top")
+            best = F.max(F.struct((-F.col("apart")).alias("near"), "score", "node", "component")).alias("top")
             pivots = written(many.join(score, "node").groupBy("key").agg(best, F.count("*").alias("n")).select("key", F.col("top.node").alias("pivot"), F.col("top.component").alias("its"), "n"), scope)
             heads = pivots.select("key", "pivot", "its").join(held.select(F.col("node").alias("pivot"), F.col("sketch").alias("other_sketch"), F.col("weight").alias("other_weight")), "pivot")
             star = spread(many.join(held.hint("merge"), "node"), heads, ["key"], frequent(pivots, many.count(), ["key"]), scope)

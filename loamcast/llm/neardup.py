@@ -27,7 +27,7 @@ from .links import SIMILAR, components, frequent, link, shared, spread
 
 SIZE = 5  # words of a shingle
 COARSE = (10, 3)  # bands, rows: finds 0.999 of pairs at 0.8
-COUNTERS = 1 << 18  # of the table of edit frequencies, which are ordered by it
+COUNTERS = 1 << 20  # of the table of edit frequencies, which are ordered by it
 APART = (1 - SIMILAR) / (1 + SIMILAR)  # of both weights together: what similar texts may differ by
 SKETCH, ALIKE = 64, 38  # samples kept of a text that shares a band; so many agree in all but 1 of 10 000 pairs at 0.8
 BUCKETS = 1 << 16  # of the table of word frequencies
@@ -133,24 +133,26 @@ def differences(text: tuple[np.ndarray, np.ndarray], pivot: tuple[np.ndarray, np
     return words.mix(every[at] << np.uint64(1) ^ (change[at] > 0).astype(np.uint64) ^ np.array([salt], np.uint64) * words.M1), np.abs(change[at])
 
 
-def prefix(keys: np.ndarray, weights: np.ndarray, total: float, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, short): the rarest differences from the pivot of a text of the
-    weight `total`, by (count, key).
+def prefix(keys: np.ndarray, weights: np.ndarray, own: float, pivot: float, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """(keys, short, apart): the rarest differences from the pivot of a text,
+    by (count, key); own and pivot are the weights of the two texts.
 
-    Texts x and y of weights |x| and |y| hold if they differ by at most
-    T = APART (|x| + |y|), at most |x| / 4. With differences Dx <= Dy from the
-    pivot they differ by Dx + Dy - 2c, where c is what the two have in common
-    of these. So c is Dx - T / 2 and Dy - T at least; and if one of them
-    doesn't hold with the pivot, it is more than 4/9 of Dx, as the weights of x
-    and pivot differ by at most Dx. Two sets with so much in common share one
-    of the rarest of each that weigh more than the rest: short ones of x, more
-    than min(5/9 Dx, |x| / 8), and of y more than min(Dy, |y| / 4).
+    Texts x and y of weights |x| and |y| hold if they differ by at most T =
+    APART (|x| + |y|). With differences Dx and Dy from the pivot they differ by
+    Dx + Dy - 2c, where c is what the two have in common of these. With apart
+    gx = Dx - APART |x| it follows that c is (gx + gy) / 2 at least. So for
+    gx <= gy it is gx at least, and, as y doesn't hold with the pivot where gy
+    is more than APART |pivot|, else more than (gx + APART |pivot|) / 2. Two
+    sets with so much in common share one of the rarest of each that weigh
+    more than the rest: of x, the short ones, the smaller of APART |x| and
+    (Dx + APART (|x| - |pivot|)) / 2, and of y, by Dy - T, no more than |y| / 4.
     """
     order = np.lexsort((keys, counts[(keys & np.uint64(COUNTERS - 1)).astype(np.int64)]))
     before = np.cumsum(weights[order]) - weights[order]
-    slack = 1 + 1e-9
-    n = int(np.searchsorted(before, total / 4 * slack, side="right"))
-    return keys[order[:n]], before[:n] <= min(weights.sum() * 5 / 9, total / 8) * slack
+    total = float(weights.sum())
+    n = int(np.searchsorted(before, own / 4 * (1 + 1e-9), side="right"))
+    short = (before[:n] <= APART * own * (1 + 1e-9)) & (before[:n] < (total + APART * (own - pivot)) / 2 * (1 - 1e-9))
+    return keys[order[:n]], short, total - APART * own
 
 
 def _bytes(column) -> list[bytes]:
@@ -265,12 +267,12 @@ def classes(documents: DataFrame, scope: Scratch | None = None) -> DataFrame:
                 place = {node: i for i, node in enumerate(bodies)}
                 sets, weights, bounds = weighted(list(bodies.values()), idf.value)
                 parts = [(sets[i:j], weights[i:j]) for i, j in zip(bounds[:-1], bounds[1:])]
-                yield nodes, [(*differences(parts[place[x]], parts[place[p]], int.from_bytes(p[:8], "little")), parts[place[x]][1].sum()) for x, p in zip(nodes, pivots)]
+                yield nodes, [(*differences(parts[place[x]], parts[place[p]], int.from_bytes(p[:8], "little")), parts[place[x]][1].sum(), parts[place[p]][1].sum()) for x, p in zip(nodes, pivots)]
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros(COUNTERS, np.int64)
             for _, found in changed(batches):
-                for keys, _, _ in found:
+                for keys, *_ in found:
                     total += np.bincount((keys & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
             seen = np.flatnonzero(total)
             yield pa.record_batch([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], names=["bucket", "n"])
@@ -283,9 +285,9 @@ def classes(documents: DataFrame, scope: Scratch | None = None) -> DataFrame:
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for nodes, found in changed(batches):
-                parts = [prefix(k, w, total, counts.value) for k, w, total in found]
-                own = np.repeat(np.arange(len(parts)), [len(k) for k, _ in parts])
-                apart = np.array([w.sum() for _, w, _ in found])
+                parts = [prefix(*x, counts.value) for x in found]
+                own = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
+                apart = np.array([p[2] for p in parts])
                 keys, short = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
                 yield pa.record_batch([pa.array(keys.view(np.int64)), pa.array(nodes, pa.binary()).take(pa.array(own)), pa.array(short.astype(bool)), pa.array(apart[own])], names=["key", "node", "short", "apart"])
 

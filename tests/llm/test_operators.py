@@ -229,10 +229,9 @@ def test_prefixes_meet():
             continue
         tested += 1
         counts = rng.integers(0, 50, neardup.COUNTERS)
-        found = [(*neardup.differences(s, pivot, 77), s[1].sum()) for s in (a, b)]
-        near, far = sorted(found, key=lambda f: f[1].sum())
-        keys, short = neardup.prefix(*near, counts)
-        assert set(keys[short]) & set(neardup.prefix(*far, counts)[0])
+        found = [neardup.prefix(*neardup.differences(s, pivot, 77), s[1].sum(), pivot[1].sum(), counts) for s in (a, b)]
+        (keys, short, _), (other, _, _) = sorted(found, key=lambda f: f[2])
+        assert set(keys[short]) & set(other)
 
 
 def test_rows_are_kept_with_any_column_names(spark):
