@@ -109,36 +109,45 @@ def link(keys: DataFrame, measures: Callable[[DataFrame], DataFrame], alike: Cal
 
     measures: of nodes (node), their (node, sketch, weight). alike: a
     mapInArrow function that drops pairs whose sketches differ. verify: of
-    pairs (a, b), those that hold. edits: of (node, pivot), keys (key, node,
-    short, apart) by what sets the node apart from the pivot, such that two
-    nodes that hold, but don't both hold with the pivot, share a key that is
-    short for the one less apart.
+    pairs (a, b), those that hold. edits: of (node, component, pivot, second),
+    keys (key, node, component, short, apart) by what sets the node apart from
+    the pivot, such that two nodes that hold, but don't both hold with the
+    pivot, share a key that is short for the one less apart; second is another
+    member, which tells rare edits from common ones.
 
     Open pairs, those of different components, are compared one by one where
-    a bucket has at most ROOM of them a member. In a more crowded bucket all
-    are compared with its pivot, the most central member: the one whose
-    buckets are largest together. Where that leaves a bucket crowded, its
-    members go to buckets by their edits, and so on. Each step makes at most
-    ROOM pairs a row; buckets of edits hold only members that changed the
-    pivot alike, so they shrink from step to step. In buckets that are still
+    a bucket has at most 2 ROOM members, or ROOM open pairs a member (one a
+    member in the first buckets, where texts may be wide apart). In a more
+    crowded bucket all are compared with its pivot, the most central member:
+    the one whose buckets are largest together, later the one least apart.
+    Where that leaves a bucket crowded, its members go to buckets by their
+    edits, and so on. Each step makes at most ROOM pairs a row; buckets of
+    edits hold only members that changed the pivot alike, so they shrink from
+    step to step. In buckets that are still
     crowded after STEPS of them all open pairs are compared. How a bucket is
     treated depends on that bucket alone, and none is dropped.
     """
     sizes = written(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), scope)
     rows = spread(keys.select("key", "node"), sizes.select("key"), ["key"], frequent(sizes, keys.count(), ["key"]), scope)
-    rows = written(rows.select("key", "node", F.lit(True).alias("short"), F.lit(0.0).alias("apart")), scope)
+    rows = written(rows.select("key", "node", F.col("node").alias("component"), F.lit(True).alias("short"), F.lit(0.0).alias("apart")), scope)
     held = written(measures(rows.select("node").distinct()), scope)
-    links = labels = None
+    base, links, waiting = rows.columns, None, None
     for step in range(STEPS + 1):
-        few, many = _open(rows, labels, step == STEPS, scope)
-        pairs, pivots = _one_by_one(few, held), None
+        few, many = _open(rows, ROOM, step == STEPS, scope)
+        few = few.join(held.hint("merge"), "node")
+        pairs, pivots = _one_by_one(few if waiting is None else few.unionByName(waiting)), None
         if step < STEPS:
-            score = many.groupBy("node").agg(F.sum("n").alias("score"))
-            best = F.max(F.struct((-F.col("apart")).alias("near"), "score", "node", "component")).alias("top")
-            pivots = written(many.join(score, "node").groupBy("key").agg(best, F.count("*").alias("n")).select("key", F.col("top.node").alias("pivot"), F.col("top.component").alias("its"), "n"), scope)
-            heads = pivots.select("key", "pivot", "its").join(held.select(F.col("node").alias("pivot"), F.col("sketch").alias("other_sketch"), F.col("weight").alias("other_weight")), "pivot")
-            star = spread(many.join(held.hint("merge"), "node"), heads, ["key"], frequent(pivots, many.count(), ["key"]), scope)
-            pairs = pairs.unionByName(star.where("component != its").select("node", F.col("pivot").alias("other_node"), "sketch", "other_sketch", "weight", "other_weight"))
+            many = written(many.join(held.hint("merge"), "node"), scope)
+            scored = many.withColumn("score", F.lit(0)) if step else many.join(many.groupBy("node").agg(F.sum("n").alias("score")), "node")
+            best = F.struct((-F.col("apart")).alias("near"), "score", "node", "component", "sketch", "weight")
+            half = F.pmod(F.xxhash64("node"), F.lit(2))
+            tops = scored.groupBy("key").agg(F.count("*").alias("n"), *[F.max(F.when(half == k, best)).alias(f"t{k}") for k in (0, 1)])
+            tops = written(tops.select("key", "n", F.greatest("t0", "t1").alias("top"), F.least("t0", "t1").alias("next")), scope)
+            pivots = tops.select("key", F.col("top.node").alias("pivot"), F.coalesce("next.node", "top.node").alias("second"))
+            heads = tops.select("key", F.col("top.node").alias("other_node"), F.col("top.component").alias("its"), F.col("top.sketch").alias("other_sketch"), F.col("top.weight").alias("other_weight"))
+            hot = frequent(tops, many.count(), ["key"])
+            star = spread(many, heads, ["key"], hot, scope).where("component != its")
+            pairs = pairs.unionByName(star.select(*pairs.columns))
         near = pairs.where(f"least(weight, other_weight) >= {SIMILAR} * greatest(weight, other_weight)")
         near = near.select(F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b"), F.col("sketch").alias("sketch_a"), F.col("other_sketch").alias("sketch_b")).mapInArrow(alike, "a binary, b binary")
         found = written(verify(written(near.distinct(), scope)), scope)
@@ -146,38 +155,33 @@ def link(keys: DataFrame, measures: Callable[[DataFrame], DataFrame], alike: Cal
         if pivots is None or pivots.isEmpty():
             break
         labels = written(components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), scope), scope)
-        few, many = _open(many.select("key", "node", "short", "apart"), labels, False, scope)
-        fresh = written(edits(spread(many, pivots.select("key", "pivot"), ["key"], frequent(pivots, many.count(), ["key"]), scope).select("node", "pivot").distinct()), scope)
-        sizes = written(fresh.groupBy("key").agg(F.count("*").alias("n"), F.bool_or("short").alias("some")).where("n > 1 and some"), scope)
-        fresh = spread(fresh, sizes.select("key"), ["key"], frequent(sizes, fresh.count(), ["key"]), scope)
-        rows = written(few.select("key", "node", "short", "apart").unionByName(fresh.select("key", "node", "short", "apart")), scope)
+        # Components of before are no longer those of labels, but every node that has a link has a label.
+        named = many.drop("component", "n").join(labels.hint("merge"), "node", "left").withColumn("component", F.coalesce(labels["component"], F.col("node")))
+        waiting, many = _open(named, ROOM if step else 1, False, scope)
+        together = spread(many.select(*base), pivots, ["key"], hot, scope)
+        rows = written(edits(together.select("node", "component", "pivot", "second").distinct()), scope)
     return links
 
 
-def _one_by_one(few: DataFrame, held: DataFrame) -> DataFrame:
+def _one_by_one(few: DataFrame) -> DataFrame:
     """Open pairs of each bucket; members of large ones are dealt to parts,
     and each part meets the whole bucket."""
-    measured = few.join(held.hint("merge"), "node")
     parts = F.ceil(F.col("n") / PART).cast("int")
-    left = measured.withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int"))
-    right = measured.select("key", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), *[F.col(c).alias(f"other_{c}") for c in ("node", "component", "short", "apart", "sketch", "weight")])
+    left = few.withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int"))
+    right = few.select("key", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), *[F.col(c).alias(f"other_{c}") for c in ("node", "component", "short", "apart", "sketch", "weight")])
     open_pairs = left.join(right, ["key", "part"]).where("node < other_node and component != other_component and if(apart <= other_apart, short, other_short)")
     return open_pairs.select("node", "other_node", "sketch", "other_sketch", "weight", "other_weight")
 
 
-def _open(rows: DataFrame, labels: DataFrame | None, whole: bool, scope: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Rows of the buckets with nodes of several components, with component
-    and n, the rows of the bucket: those of buckets with few open pairs, or of
-    all if whole, and those with many."""
-    if labels is None:
-        named = rows.withColumn("component", F.col("node"))
-    else:
-        named = rows.join(labels.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    named = written(named, scope)
-    each = named.groupBy("key", "component").agg(F.count("*").alias("n"))
-    total = each.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"), F.count("*").alias("parts")).where("parts > 1")
-    total = written(total.select("key", "n", (F.col("n") * F.col("n") - F.col("own") <= 2 * ROOM * F.col("n")).alias("few")), scope)
-    held = written(spread(named, total, ["key"], frequent(total, named.count(), ["key"]), scope), scope)
+def _open(rows: DataFrame, room: int, whole: bool, scope: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Rows of the buckets with nodes of several components and a short key,
+    with n, the rows of the bucket: those of small buckets and of those with
+    at most `room` open pairs a row, or of all if whole; and those of the
+    others."""
+    each = rows.groupBy("key", "component").agg(F.count("*").alias("n"), F.bool_or("short").alias("some"))
+    total = each.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"), F.count("*").alias("parts"), F.bool_or("some").alias("some")).where("parts > 1 and some")
+    total = written(total.select("key", "n", ((F.col("n") <= 2 * ROOM) | (F.col("n") * F.col("n") - F.col("own") <= 2 * room * F.col("n"))).alias("few")), scope)
+    held = written(spread(rows, total, ["key"], frequent(total, rows.count(), ["key"]), scope), scope)
     if whole:
         return held.drop("few"), held.where("false").drop("few")
     return held.where("few").drop("few"), held.where("not few").drop("few")

@@ -27,7 +27,6 @@ from .links import SIMILAR, components, frequent, link, shared, spread
 
 SIZE = 5  # words of a shingle
 COARSE = (10, 3)  # bands, rows: finds 0.999 of pairs at 0.8
-COUNTERS = 1 << 20  # of the table of edit frequencies, which are ordered by it
 APART = (1 - SIMILAR) / (1 + SIMILAR)  # of both weights together: what similar texts may differ by
 SKETCH, ALIKE = 64, 38  # samples kept of a text that shares a band; so many agree in all but 1 of 10 000 pairs at 0.8
 BUCKETS = 1 << 16  # of the table of word frequencies
@@ -122,20 +121,28 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float(common / (a[1].sum() + b[1].sum() - common))
 
 
-def differences(text: tuple[np.ndarray, np.ndarray], pivot: tuple[np.ndarray, np.ndarray], salt: int) -> tuple[np.ndarray, np.ndarray]:
+Weighted = tuple[np.ndarray, np.ndarray]  # ascending keys and their weights
+
+
+def differences(text: Weighted, pivot: Weighted, second: Weighted, salt: int) -> Weighted:
     """(keys, weights): what a text has more of than the pivot, and what it has
-    less of; keys depend on the pivot, by its salt, and on the direction."""
+    less of, the rarest first; keys depend on the pivot, by its salt, and on
+    the direction. Rare is what the second text doesn't have either, then what
+    it has and the text lacks; what only the pivot lacks or has is common."""
     every = np.union1d(text[0], pivot[0])
     change = np.zeros(len(every))
     change[np.searchsorted(every, text[0])] = text[1]
     change[np.searchsorted(every, pivot[0])] -= pivot[1]
     at = np.flatnonzero(np.abs(change) > 1e-9)
-    return words.mix(every[at] << np.uint64(1) ^ (change[at] > 0).astype(np.uint64) ^ np.array([salt], np.uint64) * words.M1), np.abs(change[at])
+    keys, more, known = every[at], change[at] > 0, np.isin(every[at], second[0], assume_unique=True)
+    salted = words.mix(keys << np.uint64(1) ^ more.astype(np.uint64) ^ np.array([salt], np.uint64) * words.M1)
+    order = np.lexsort((salted, np.select([more & ~known, ~more & known, more], [0, 1, 2], 3)))
+    return salted[order], np.abs(change[at])[order]
 
 
-def prefix(keys: np.ndarray, weights: np.ndarray, own: float, pivot: float, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """(keys, short, apart): the rarest differences from the pivot of a text,
-    by (count, key); own and pivot are the weights of the two texts.
+def prefix(weights: np.ndarray, own: float, pivot: float) -> tuple[int, np.ndarray, float]:
+    """(n, short, apart): the first n differences() of a text from the pivot,
+    which of them are short; own and pivot are the weights of the two texts.
 
     Texts x and y of weights |x| and |y| hold if they differ by at most T =
     APART (|x| + |y|). With differences Dx and Dy from the pivot they differ by
@@ -143,16 +150,16 @@ def prefix(keys: np.ndarray, weights: np.ndarray, own: float, pivot: float, coun
     gx = Dx - APART |x| it follows that c is (gx + gy) / 2 at least. So for
     gx <= gy it is gx at least, and, as y doesn't hold with the pivot where gy
     is more than APART |pivot|, else more than (gx + APART |pivot|) / 2. Two
-    sets with so much in common share one of the rarest of each that weigh
-    more than the rest: of x, the short ones, the smaller of APART |x| and
-    (Dx + APART (|x| - |pivot|)) / 2, and of y, by Dy - T, no more than |y| / 4.
+    sets with so much in common share one of the first of each, in an order
+    that is the same for all, that weigh more than the rest: of x, the short
+    ones, the smaller of APART |x| and (Dx + APART (|x| - |pivot|)) / 2, and of
+    y, by Dy - T, no more than |y| / 4.
     """
-    order = np.lexsort((keys, counts[(keys & np.uint64(COUNTERS - 1)).astype(np.int64)]))
-    before = np.cumsum(weights[order]) - weights[order]
+    before = np.cumsum(weights) - weights
     total = float(weights.sum())
     n = int(np.searchsorted(before, own / 4 * (1 + 1e-9), side="right"))
     short = (before[:n] <= APART * own * (1 + 1e-9)) & (before[:n] < (total + APART * (own - pivot)) / 2 * (1 - 1e-9))
-    return keys[order[:n]], short, total - APART * own
+    return n, short, total - APART * own
 
 
 def _bytes(column) -> list[bytes]:
@@ -254,44 +261,30 @@ def classes(documents: DataFrame, scope: Scratch | None = None) -> DataFrame:
         return pairs.select("a", "b", "text_a", "text_b").mapInArrow(compare, "a binary, b binary")
 
     def edits(apart: DataFrame) -> DataFrame:
-        left = kept[0].select("node", F.col("text").cast("binary").alias("text_a"))
-        right = kept[0].select(F.col("node").alias("pivot"), F.col("text").cast("binary").alias("text_b"))
         apart = written(apart, scope)
-        hot = frequent(apart.groupBy("pivot").agg(F.count("*").alias("n")), apart.count(), ["pivot"])
-        laid = spread(apart.join(left.hint("merge"), "node"), right, ["pivot"], hot, scope).select("node", "pivot", "text_a", "text_b")
+        total = apart.count()
+        for side, column in (("node", "text_a"), ("pivot", "text_b"), ("second", "text_c")):
+            hot = frequent(apart.groupBy(side).agg(F.count("*").alias("n")), total, [side])
+            apart = spread(apart, kept[0].select(F.col("node").alias(side), F.col("text").cast("binary").alias(column)), [side], hot, scope)
 
-        def changed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], list]]:
-            for batch in text_blocks(batches, "text_a", 2 << 20):
-                nodes, pivots = batch.column("node").to_pylist(), batch.column("pivot").to_pylist()
-                bodies = dict(zip(nodes, _bytes(batch.column("text_a")))) | dict(zip(pivots, _bytes(batch.column("text_b"))))
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in text_blocks(batches, "text_a", 1 << 20):
+                names = [batch.column(c).to_pylist() for c in ("node", "pivot", "second")]
+                bodies = {node: body for column, text in zip(names, "abc") for node, body in zip(column, _bytes(batch.column(f"text_{text}")))}
                 place = {node: i for i, node in enumerate(bodies)}
                 sets, weights, bounds = weighted(list(bodies.values()), idf.value)
-                parts = [(sets[i:j], weights[i:j]) for i, j in zip(bounds[:-1], bounds[1:])]
-                yield nodes, [(*differences(parts[place[x]], parts[place[p]], int.from_bytes(p[:8], "little")), parts[place[x]][1].sum(), parts[place[p]][1].sum()) for x, p in zip(nodes, pivots)]
-
-        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(COUNTERS, np.int64)
-            for _, found in changed(batches):
-                for keys, *_ in found:
-                    total += np.bincount((keys & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
-            seen = np.flatnonzero(total)
-            yield pa.record_batch([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], names=["bucket", "n"])
-
-        # COUNTERS numbers reach the driver, whatever the corpus.
-        rows = laid.mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-        table = np.zeros(COUNTERS, np.int64)
-        table[rows.column("bucket").to_numpy()] = rows.column("n").to_numpy()
-        counts = spark.sparkContext.broadcast(table)
-
-        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for nodes, found in changed(batches):
-                parts = [prefix(*x, counts.value) for x in found]
-                own = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
-                apart = np.array([p[2] for p in parts])
-                keys, short = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
-                yield pa.record_batch([pa.array(keys.view(np.int64)), pa.array(nodes, pa.binary()).take(pa.array(own)), pa.array(short.astype(bool)), pa.array(apart[own])], names=["key", "node", "short", "apart"])
-
-        return laid.mapInArrow(cut, "key long, node binary, short boolean, apart double")
+                of = {node: (sets[bounds[i] : bounds[i + 1]], weights[bounds[i] : bounds[i + 1]]) for node, i in place.items()}
+                out: list[list] = [[], [], [], []]
+                for i, (node, pivot, second) in enumerate(zip(*names)):
+                    keys, change = differences(of[node], of[pivot], of[second], int.from_bytes(pivot[:8], "little"))
+                    n, short, far = prefix(change, of[node][1].sum(), of[pivot][1].sum())
+                    for column, part in zip(out, (keys[:n], np.full(n, i), short, np.full(n, far))):
+                        column.append(part)
+                keys, at, short, far = (np.concatenate(c) for c in out)
+                rows = batch.select(["node", "component"]).take(pa.array(at))
+                yield pa.record_batch([pa.array(keys.view(np.int64)), *rows.columns, pa.array(short), pa.array(far)], names=["key", "node", "component", "short", "apart"])
+
+        return apart.mapInArrow(cut, "key long, node binary, component binary, short boolean, apart double")
 
     links = link(keys, measures, alike, verify, edits, scope)
     labels = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), scope)
