@@ -109,11 +109,10 @@ def link(keys: DataFrame, measures: Callable[[DataFrame], DataFrame], alike: Cal
 
     measures: of nodes (node), their (node, sketch, weight). alike: a
     mapInArrow function that drops pairs whose sketches differ. verify: of
-    pairs (a, b), those that hold. edits: of (node, component, pivot, second),
+    pairs (a, b), those that hold. edits: of (node, component, pivot),
     keys (key, node, component, short, apart) by what sets the node apart from
     the pivot, such that two nodes that hold, but don't both hold with the
-    pivot, share a key that is short for the one less apart; second is another
-    member, which tells rare edits from common ones.
+    pivot, share a key that is short for the one less apart.
 
     Open pairs, those of different components, are compared one by one where
     a bucket has at most 2 ROOM members, or ROOM open pairs a member (one a
@@ -140,10 +139,8 @@ def link(keys: DataFrame, measures: Callable[[DataFrame], DataFrame], alike: Cal
             many = written(many.join(held.hint("merge"), "node"), scope)
             scored = many.withColumn("score", F.lit(0)) if step else many.join(many.groupBy("node").agg(F.sum("n").alias("score")), "node")
             best = F.struct((-F.col("apart")).alias("near"), "score", "node", "component", "sketch", "weight")
-            half = F.pmod(F.xxhash64("node"), F.lit(2))
-            tops = scored.groupBy("key").agg(F.count("*").alias("n"), *[F.max(F.when(half == k, best)).alias(f"t{k}") for k in (0, 1)])
-            tops = written(tops.select("key", "n", F.greatest("t0", "t1").alias("top"), F.least("t0", "t1").alias("next")), scope)
-            pivots = tops.select("key", F.col("top.node").alias("pivot"), F.coalesce("next.node", "top.node").alias("second"))
+            tops = written(scored.groupBy("key").agg(F.count("*").alias("n"), F.max(best).alias("top")), scope)
+            pivots = tops.select("key", F.col("top.node").alias("pivot"))
             heads = tops.select("key", F.col("top.node").alias("other_node"), F.col("top.component").alias("its"), F.col("top.sketch").alias("other_sketch"), F.col("top.weight").alias("other_weight"))
             hot = frequent(tops, many.count(), ["key"])
             star = spread(many, heads, ["key"], hot, scope).where("component != its")
@@ -159,7 +156,7 @@ def link(keys: DataFrame, measures: Callable[[DataFrame], DataFrame], alike: Cal
         named = many.drop("component", "n").join(labels.hint("merge"), "node", "left").withColumn("component", F.coalesce(labels["component"], F.col("node")))
         waiting, many = _open(named, ROOM if step else 1, False, scope)
         together = spread(many.select(*base), pivots, ["key"], hot, scope)
-        rows = written(edits(together.select("node", "component", "pivot", "second").distinct()), scope)
+        rows = written(edits(together.select("node", "component", "pivot").distinct()), scope)
     return links
 
 

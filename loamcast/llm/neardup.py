@@ -27,6 +27,7 @@ from .links import SIMILAR, components, frequent, link, shared, spread
 
 SIZE = 5  # words of a shingle
 COARSE = (10, 3)  # bands, rows: finds 0.999 of pairs at 0.8
+COUNTERS, PARTS = 1 << 18, 16  # of the table of edit frequencies, which orders edits, and of its pieces
 APART = (1 - SIMILAR) / (1 + SIMILAR)  # of both weights together: what similar texts may differ by
 SKETCH, ALIKE = 64, 38  # samples kept of a text that shares a band; so many agree in all but 1 of 10 000 pairs at 0.8
 BUCKETS = 1 << 16  # of the table of word frequencies
@@ -124,24 +125,26 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 Weighted = tuple[np.ndarray, np.ndarray]  # ascending keys and their weights
 
 
-def differences(text: Weighted, pivot: Weighted, second: Weighted, salt: int) -> Weighted:
+def differences(text: Weighted, pivot: Weighted, salt: int) -> Weighted:
     """(keys, weights): what a text has more of than the pivot, and what it has
-    less of, the rarest first; keys depend on the pivot, by its salt, and on
-    the direction. Rare is what the second text doesn't have either, then what
-    it has and the text lacks; what only the pivot lacks or has is common."""
+    less of; keys depend on the pivot, by its salt, and on the direction."""
     every = np.union1d(text[0], pivot[0])
     change = np.zeros(len(every))
     change[np.searchsorted(every, text[0])] = text[1]
     change[np.searchsorted(every, pivot[0])] -= pivot[1]
     at = np.flatnonzero(np.abs(change) > 1e-9)
-    keys, more, known = every[at], change[at] > 0, np.isin(every[at], second[0], assume_unique=True)
-    salted = words.mix(keys << np.uint64(1) ^ more.astype(np.uint64) ^ np.array([salt], np.uint64) * words.M1)
-    order = np.lexsort((salted, np.select([more & ~known, ~more & known, more], [0, 1, 2], 3)))
-    return salted[order], np.abs(change[at])[order]
+    more = (change[at] > 0).astype(np.uint64)
+    return words.mix(every[at] << np.uint64(1) ^ more ^ np.array([salt], np.uint64) * words.M1), np.abs(change[at])
+
+
+def ordered(keys: np.ndarray, weights: np.ndarray, counts: np.ndarray) -> Weighted:
+    """The rarest first, by (count, key)."""
+    order = np.lexsort((keys, counts[(keys & np.uint64(COUNTERS - 1)).astype(np.int64)]))
+    return keys[order], weights[order]
 
 
 def prefix(weights: np.ndarray, own: float, pivot: float) -> tuple[int, np.ndarray, float]:
-    """(n, short, apart): the first n differences() of a text from the pivot,
+    """(n, short, apart): the first n ordered() differences of a text,
     which of them are short; own and pivot are the weights of the two texts.
 
     Texts x and y of weights |x| and |y| hold if they differ by at most T =
@@ -263,21 +266,45 @@ def classes(documents: DataFrame, scope: Scratch | None = None) -> DataFrame:
     def edits(apart: DataFrame) -> DataFrame:
         apart = written(apart, scope)
         total = apart.count()
-        for side, column in (("node", "text_a"), ("pivot", "text_b"), ("second", "text_c")):
+        for side, column in (("node", "text_a"), ("pivot", "text_b")):
             hot = frequent(apart.groupBy(side).agg(F.count("*").alias("n")), total, [side])
             apart = spread(apart, kept[0].select(F.col("node").alias(side), F.col("text").cast("binary").alias(column)), [side], hot, scope)
 
+        def changed(batch: pa.RecordBatch) -> list[tuple]:
+            """(keys, weights, weight of the text, weight of the pivot) of each row."""
+            nodes, pivots = batch.column("node").to_pylist(), batch.column("pivot").to_pylist()
+            bodies = dict(zip(nodes, _bytes(batch.column("text_a")))) | dict(zip(pivots, _bytes(batch.column("text_b"))))
+            sets, weights, bounds = weighted(list(bodies.values()), idf.value)
+            of = {node: (sets[i:j], weights[i:j]) for node, i, j in zip(bodies, bounds, bounds[1:])}
+            return [(*differences(of[x], of[p], int.from_bytes(p[:8], "little")), of[x][1].sum(), of[p][1].sum()) for x, p in zip(nodes, pivots)]
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table = np.zeros(COUNTERS, np.int64)
+            for batch in text_blocks(batches, "text_a", 1 << 20):
+                for keys, *_ in changed(batch):
+                    table += np.bincount((keys & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+            pieces = [(p, *(x.tolist() for x in (np.flatnonzero(t), t[t > 0]))) for p, t in enumerate(table.reshape(PARTS, -1)) if t.any()]
+            yield pa.record_batch([pa.array([x[i] for x in pieces], t) for i, t in enumerate((pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int64())))], names=["part", "place", "n"])
+
+        def add(key: tuple, pieces: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table = np.zeros(COUNTERS // PARTS, np.int64)
+            for batch in pieces:
+                np.add.at(table, batch.column("place").flatten().to_numpy(), batch.column("n").flatten().to_numpy())
+            yield pa.record_batch([pa.array([key[0].as_py()], pa.int32()), pa.array([table.tolist()], pa.list_(pa.int64()))], names=["part", "n"])
+
+        # COUNTERS numbers reach the driver, whatever the corpus.
+        summed = apart.mapInArrow(count, "part int, place array<int>, n array<long>").groupBy("part").applyInArrow(add, "part int, n array<long>").collect()
+        table = np.zeros((PARTS, COUNTERS // PARTS), np.int64)
+        for row in summed:
+            table[row["part"]] = row["n"]
+        counts = spark.sparkContext.broadcast(table.ravel())
+
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in text_blocks(batches, "text_a", 1 << 20):
-                names = [batch.column(c).to_pylist() for c in ("node", "pivot", "second")]
-                bodies = {node: body for column, text in zip(names, "abc") for node, body in zip(column, _bytes(batch.column(f"text_{text}")))}
-                place = {node: i for i, node in enumerate(bodies)}
-                sets, weights, bounds = weighted(list(bodies.values()), idf.value)
-                of = {node: (sets[bounds[i] : bounds[i + 1]], weights[bounds[i] : bounds[i + 1]]) for node, i in place.items()}
                 out: list[list] = [[], [], [], []]
-                for i, (node, pivot, second) in enumerate(zip(*names)):
-                    keys, change = differences(of[node], of[pivot], of[second], int.from_bytes(pivot[:8], "little"))
-                    n, short, far = prefix(change, of[node][1].sum(), of[pivot][1].sum())
+                for i, (keys, change, own, pivot) in enumerate(changed(batch)):
+                    keys, change = ordered(keys, change, counts.value)
+                    n, short, far = prefix(change, own, pivot)
                     for column, part in zip(out, (keys[:n], np.full(n, i), short, np.full(n, far))):
                         column.append(part)
                 keys, at, short, far = (np.concatenate(c) for c in out)
