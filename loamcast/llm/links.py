@@ -84,17 +84,19 @@ def frequent(counts: DataFrame, total: int, on: list[str]) -> DataFrame:
     return counts.where(F.col("n") > max(total // SHARES, SHARES)).select(*on)
 
 
-def spread(rows: DataFrame, heads: DataFrame, on: list[str], hot: DataFrame, scope: Scratch) -> DataFrame:
+def spread(rows: DataFrame, heads: DataFrame, on: list[str], hot: DataFrame, scope: Scratch, *hints: str) -> DataFrame:
     """rows joined with heads, one row a key, where few keys may hold most
     rows. Rows of the frequent() keys meet their heads, fewer than SHARES, by
     broadcast and stay where they are; the others are shuffled, and none of
     their keys is large. Heads of more than WIDE bytes together are shuffled
-    too."""
+    too. The others are small too at times, which Spark sees, unless a hint
+    says how to join them."""
+    cold = heads.hint(*hints) if hints else heads
     few = written(heads.join(F.broadcast(hot), on, "left_semi"), scope)
     size = few.agg(F.sum(sum((F.length(F.col(c)) for c, t in few.dtypes if t == "binary"), F.lit(0)))).first()[0]
     if size is None or size > WIDE:
-        return rows.join(heads.hint("merge"), on)
-    rest = rows.join(F.broadcast(few.select(*on)), on, "left_anti").join(heads.hint("merge"), on)
+        return rows.join(cold, on)
+    rest = rows.join(F.broadcast(few.select(*on)), on, "left_anti").join(cold, on)
     return rows.join(F.broadcast(few), on).unionByName(rest)
 
 
@@ -133,10 +135,10 @@ def link(keys: DataFrame, measures: Callable[[DataFrame], DataFrame], alike: Cal
     base, links, waiting = rows.columns, None, None
     for step in range(STEPS + 1):
         few, many = _open(rows, ROOM, step == STEPS, scope)
-        few = few.join(held.hint("merge"), "node")
+        few = few.join(held, "node")
         pairs, pivots = _one_by_one(few if waiting is None else few.unionByName(waiting)), None
         if step < STEPS:
-            many = written(many.join(held.hint("merge"), "node"), scope)
+            many = written(many.join(held, "node"), scope)
             scored = many.withColumn("score", F.lit(0)) if step else many.join(many.groupBy("node").agg(F.sum("n").alias("score")), "node")
             best = F.struct((-F.col("apart")).alias("near"), "score", "node", "component", "sketch", "weight")
             tops = written(scored.groupBy("key").agg(F.count("*").alias("n"), F.max(best).alias("top")), scope)
@@ -153,7 +155,7 @@ def link(keys: DataFrame, measures: Callable[[DataFrame], DataFrame], alike: Cal
             break
         labels = written(components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), scope), scope)
         # Components of before are no longer those of labels, but every node that has a link has a label.
-        named = many.drop("component", "n").join(labels.hint("merge"), "node", "left").withColumn("component", F.coalesce(labels["component"], F.col("node")))
+        named = many.drop("component", "n").join(labels, "node", "left").withColumn("component", F.coalesce(labels["component"], F.col("node")))
         waiting, many = _open(named, ROOM if step else 1, False, scope)
         together = spread(many.select(*base), pivots, ["key"], hot, scope)
         rows = written(edits(together.select("node", "component", "pivot").distinct()), scope)

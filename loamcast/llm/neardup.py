@@ -156,13 +156,16 @@ def prefix(weights: np.ndarray, own: float, pivot: float) -> tuple[int, np.ndarr
     sets with so much in common share one of the first of each, in an order
     that is the same for all, that weigh more than the rest: of x, the short
     ones, the smaller of APART |x| and (Dx + APART (|x| - |pivot|)) / 2, and of
-    y, by Dy - T, no more than |y| / 4.
+    y, by Dy - T, no more than |y| / 4. A text that holds with the pivot is y
+    only of those that do too, so its short ones are all it needs.
     """
     before = np.cumsum(weights) - weights
     total = float(weights.sum())
     n = int(np.searchsorted(before, own / 4 * (1 + 1e-9), side="right"))
     short = (before[:n] <= APART * own * (1 + 1e-9)) & (before[:n] < (total + APART * (own - pivot)) / 2 * (1 - 1e-9))
-    return n, short, total - APART * own
+    if total - APART * own < APART * pivot * (1 - 1e-9):
+        n = int(short.sum())
+    return n, short[:n], total - APART * own
 
 
 def _bytes(column) -> list[bytes]:

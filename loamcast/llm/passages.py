@@ -217,7 +217,7 @@ def repeats(documents: DataFrame, scope: Scratch | None = None) -> DataFrame:
     keyed = written(texts.mapInArrow(_cut, PARA + ", key long"), scope)
     first = keyed.groupBy("key").agg(F.min(F.struct("doc", "th", "pos")).alias("a"), F.max("doc").alias("last"), F.count("*").alias("n")).where("a.doc != last").select("key", "a", "n")
     first = written(first, scope)
-    star = spread(keyed.withColumnRenamed("last", "b_last"), first, ["key"], frequent(first, keyed.count(), ["key"]), scope)
+    star = spread(keyed.withColumnRenamed("last", "b_last"), first, ["key"], frequent(first, keyed.count(), ["key"]), scope, "merge")
     star = star.where("struct(doc, th, pos) != a").select(F.col("a.doc").alias("a_doc"), F.col("a.th").alias("a_th"), F.col("doc").alias("b_doc"), F.col("th").alias("b_th"), (F.col("a.pos") - F.col("pos")).alias("shift"), F.col("pos").alias("b_pos"), "b_last")
     # Paragraphs of two texts that lie over each other alike are one row; at most those of a text.
     pairs = star.groupBy("a_doc", "a_th", "b_doc", "b_th", "shift").agg(F.collect_set(F.struct("b_pos", "b_last")).alias("at"), F.min("b_pos").alias("lo"), F.max("b_last").alias("hi"))
@@ -236,7 +236,7 @@ def repeats(documents: DataFrame, scope: Scratch | None = None) -> DataFrame:
         left = held.select(*[F.col(n).alias(c) for c, n in zip(A, names)], F.col("words").alias("words_a"))
         right = held.select(*[F.col(n).alias(c) for c, n in zip(B, names)], F.col("words").alias("words_b"))
         hot = frequent(pairs.groupBy(*A).agg(F.count("*").alias("n")), pairs.count(), A)
-        laid = spread(pairs.join(right.hint("merge"), B), left, A, hot, scope)
+        laid = spread(pairs.join(right.hint("merge"), B), left, A, hot, scope, "merge")
         return written(laid.select(*A, *B, "shift", "at", "words_a", "words_b").mapInArrow(_compare, SEEN), scope)
 
     a_place = ["a_doc", "a_th", "a_pos"]
@@ -250,11 +250,11 @@ def repeats(documents: DataFrame, scope: Scratch | None = None) -> DataFrame:
         open_places = written(open_places, scope)
         if open_places.isEmpty():
             break
-        others = spread(seen, open_places.select(*a_place), a_place, frequent(open_places, seen.count(), a_place), scope)
+        others = spread(seen, open_places.select(*a_place), a_place, frequent(open_places, seen.count(), a_place), scope, "merge")
         sides = written(others.select(*a_place, *B, "b_pos", "b_last", F.explode(F.array("left", "right")).alias("word")).where("word is not null"), scope)
         member = F.struct(F.col("b_doc").alias("doc"), F.col("b_th").alias("th"), F.col("b_pos").alias("pos"), F.col("b_lo").alias("lo"), F.col("b_hi").alias("hi"))
         first = written(sides.groupBy(*group).agg(F.min(member).alias("first"), F.max("b_doc").alias("last"), F.count("*").alias("n")).where("first.doc != last").select(*group, "first", "n"), scope)
-        again = spread(sides, first, group, frequent(first, sides.count(), group), scope).where(member != F.col("first"))
+        again = spread(sides, first, group, frequent(first, sides.count(), group), scope, "merge").where(member != F.col("first"))
         again = again.select(F.col("first.doc").alias("a_doc"), F.col("first.th").alias("a_th"), F.col("first.lo").alias("a_lo"), F.col("first.hi").alias("a_hi"), *B, (F.col("first.pos") - F.col("b_pos")).alias("shift"), "b_pos", "b_last")
         pairs = written(again.groupBy(*A, *B, "shift").agg(F.collect_set(F.struct("b_pos", "b_last")).alias("at")), scope)
         if pairs.isEmpty():
