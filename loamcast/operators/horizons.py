@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import HARD
+from .stats import quantiles_at
 
 
 def without_organic(horizons: DataFrame, name: str = "hzname") -> DataFrame:
@@ -48,15 +49,29 @@ def summed_fragments(fragments: DataFrame, key: str, size: str, value: str) -> D
     return first.groupBy(key).agg(F.coalesce(F.sum(value), F.lit(0.0)).alias(value))
 
 
-def recovered(components: DataFrame, horizons: DataFrame, name: str) -> DataFrame:
-    """Components without horizons get those of the components of their name,
-    averaged by horizon number; marked as recovered."""
-    have = horizons.select("cokey").distinct()
-    without = components.join(have, "cokey", "left_anti")
-    pooled = horizons.join(components.select("cokey", name), "cokey").groupBy(name, "hz").agg(*[F.avg(c).alias(c) for c in ("hzdept_r", "hzdepb_r", "r")])
-    found = without.select("cokey", name).join(pooled, name).withColumn("recovered", F.lit(True))
-    own = horizons.join(components.select("cokey", name), "cokey").select("cokey", name, "hz", "hzdept_r", "hzdepb_r", "r", F.lit(False).alias("recovered"))
-    return own.unionByName(found.select(*own.columns))
+def modes(rows: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """(keys, column): its most frequent value in each group, the least of
+    several; nulls don't count."""
+    counts = rows.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count("*").alias("__n"))
+    best = F.min(F.struct((-F.col("__n")).alias("n"), F.col(column).alias("v")))
+    return counts.groupBy(*keys).agg(best.alias("__b")).select(*keys, F.col("__b.v").alias(column))
+
+
+def recovered(components: DataFrame, horizons: DataFrame, name: str, numbers: list[str], labels: list[str], group: str = "genhz") -> tuple[DataFrame, DataFrame]:
+    """(horizons, unresolved). Components without horizons get one for each
+    general horizon of the components of their name: means of `numbers`, modes
+    of `labels`, in order of depth; marked as recovered, with the number of
+    components used. Those without such horizons are unresolved."""
+    named = horizons.join(components.select("cokey", name), "cokey")
+    own = named.select("cokey", name, group, *numbers, *labels, F.lit(False).alias("recovered"), F.lit(None).cast("long").alias("siblings"))
+    usable = named.where(F.col(group).isNotNull() & F.col(name).isNotNull())
+    pooled = usable.groupBy(name, group).agg(*[F.avg(c).alias(c) for c in numbers])
+    for label in labels:
+        pooled = pooled.join(modes(usable, [name, group], label), [name, group], "left")
+    used = usable.groupBy(name).agg(F.countDistinct("cokey").alias("siblings"))
+    without = components.select("cokey", name).join(horizons.select("cokey").distinct(), "cokey", "left_anti")
+    found = without.join(pooled.join(used, name), name).withColumn("recovered", F.lit(True)).select(*own.columns)
+    return own.unionByName(found), without.join(used, name, "left_anti")
 
 
 def restriction_flags(horizons: DataFrame, needed: list[str]) -> DataFrame:
@@ -77,21 +92,6 @@ def restriction_flags(horizons: DataFrame, needed: list[str]) -> DataFrame:
     return flagged.withColumns({"kind_restriction": by_kind, "restrictive": by_kind | F.col("is_cemented") | F.col("named_restriction")})
 
 
-def top_down(horizons: DataFrame, draw: Column) -> DataFrame:
-    """Simulated profiles: each bottom is drawn, rounded half to even and kept
-    below its top; each top is the bottom above. draw: column of the input.
-    Rows need (cokey, sim, hz)."""
-    items = F.array_sort(F.collect_list(F.struct("hz", F.bround(draw, 0).alias("bottom"))))
-    rows = horizons.groupBy("cokey", "sim").agg(items.alias("items"))
-    start = F.array().cast("array<struct<hz:int,top:double,bottom:double>>")
-
-    def step(done: Column, x: Column) -> Column:
-        top = F.when(F.size(done) > 0, F.get(done, F.size(done) - 1)["bottom"]).otherwise(F.lit(0.0))
-        return F.concat(done, F.array(F.struct(x["hz"].cast("int").alias("hz"), top.alias("top"), F.greatest(top + 1, x["bottom"]).alias("bottom"))))
-
-    return rows.select("cokey", "sim", F.explode(F.aggregate("items", start, step)).alias("h")).select("cokey", "sim", "h.hz", "h.top", "h.bottom")
-
-
 def modal_class(rows: DataFrame, keys: list[str], label: str) -> DataFrame:
     """Share of each class in its group, for the most frequent ones; ties all
     stay."""
@@ -121,7 +121,7 @@ def ladder_infill(horizons: DataFrame, value: str, order: str = "mid", band: flo
     ranged = horizons.withColumns({"p": F.last(point, True).over(before), "q": F.first(point, True).over(after), "same": F.avg(v).over(own), "band": near})
     line = F.when(F.col("p").isNull(), F.col("q.y")).when(F.col("q").isNull(), F.col("p.y")).when(F.col("q.x") == F.col("p.x"), (F.col("p.y") + F.col("q.y")) / 2).otherwise(F.col("p.y") + (F.col("q.y") - F.col("p.y")) * (x - F.col("p.x")) / (F.col("q.x") - F.col("p.x")))
     unit = horizons.groupBy("mukey", "genhz").agg(F.median(value).alias("unit_median"))
-    every = horizons.groupBy("genhz").agg(F.median(value).alias("all_median"))
+    every = quantiles_at(horizons, ["genhz"], value, {"all_median": 0.5})
     joined = ranged.withColumn("line", line).join(unit, ["mukey", "genhz"], "left").join(every, "genhz", "left")
     rungs = {"same": "same", "band": "band", "line": "line", "group": "unit_median", "all": "all_median"}
     filled, rung = F.coalesce(v, *rungs.values()), F.when(v.isNotNull(), "own")

@@ -26,24 +26,48 @@ def overlapping(left: DataFrame, right: DataFrame, keys: list[str], size: float
     return both.where(F.col("__k") == first).withColumn("shared", F.least("bottom", "bottom2") - F.greatest("top", "top2")).where("shared > 0").drop("__k")
 
 
+def standard_name(name: Column) -> Column:
+    """Upper case, without closing digits and marks other than the slash;
+    empty for null."""
+    return F.coalesce(F.regexp_replace(F.regexp_replace(F.upper(F.trim(name)), "[0-9]+$", ""), r"[^\w/]", ""), F.lit(""))
+
+
 def name_similarity(a: Column, b: Column) -> Column:
-    """1 for equal names, 0.8 for the same letters without digits, 0.6 for the
-    same master letter, else 0; null names match nothing."""
-    bare = lambda x: F.regexp_replace(F.upper(F.trim(x)), "[0-9]", "")
-    x, y = bare(a), bare(b)
-    score = F.when(F.upper(F.trim(a)) == F.upper(F.trim(b)), 1.0).when((x == y) & (x != ""), 0.8).when((F.substring(x, 1, 1) == F.substring(y, 1, 1)) & (x != ""), 0.6)
-    return F.coalesce(score.otherwise(0.0), F.lit(0.0))
+    """Of two standard names: 1 if equal, 0.8 and up to 0.2 more by the
+    characters that both have if they begin alike, else 0; empty names match
+    nothing but themselves."""
+    letters = lambda x: F.split(x, "")
+    common = F.size(F.array_intersect(letters(a), letters(b)))
+    alike = F.least(F.lit(1.0), 0.8 + 0.2 * common / F.greatest(F.length(a), F.length(b), F.lit(1)))
+    return F.when(a == b, 1.0).when((a != "") & (b != "") & (F.substring(a, 1, 1) == F.substring(b, 1, 1)), alike).otherwise(0.0)
+
+
+def name_infill(horizons: DataFrame, value: str, suitable: str = "suitable") -> DataFrame:
+    """Nulls of suitable horizons from the profile's suitable horizons of
+    similar names (above 0.5), weighted by similarity. Adds `by_name` and
+    `n_names`. Values are added up by name before they are compared."""
+    named = horizons.withColumn("__std", standard_name(F.col("hzname")))
+    known = named.where(F.col(suitable) & F.col(value).isNotNull() & (F.col("__std") != "")).groupBy("cokey", F.col("__std").alias("__other")).agg(F.sum(value).alias("__s"), F.count("*").alias("__n"))
+    wanted = named.where(F.col(suitable) & F.col(value).isNull() & (F.col("__std") != "")).select("cokey", "__std").distinct()
+    weight = name_similarity(F.col("__std"), F.col("__other"))
+    means = wanted.join(known, "cokey").withColumn("__w", weight).where("__w > 0.5").groupBy("cokey", "__std").agg((F.sum(F.col("__s") * F.col("__w")) / F.sum(F.col("__n") * F.col("__w"))).alias("by_name"), F.sum("__n").alias("n_names"))
+    missing = F.col(suitable) & F.col(value).isNull()
+    joined = named.join(means, ["cokey", "__std"], "left")
+    return joined.withColumns({c: F.when(missing, F.col(c)) for c in ("by_name", "n_names")}).drop("__std")
 
 
 def across_components(horizons: DataFrame, value: str, width: float = 15.0) -> DataFrame:
-    """Nulls of `value` from horizons of the map unit's other components with
-    a midpoint within `width`, weighted by nearness. Adds `near`."""
-    wanted = horizons.where(F.col(value).isNull()).select("mukey", "cokey", "hz", "mid")
-    known = horizons.where(F.col(value).isNotNull()).select("mukey", F.col("cokey").alias("other"), F.col("mid").alias("its"), F.col(value).alias("__v"))
-    pairs = within(wanted, known, ["mukey"], "mid", "its", width).where("cokey != other")
-    weight = 1 / (1 + F.abs(F.col("mid") - F.col("its")))
-    means = pairs.groupBy("cokey", "hz").agg((F.sum(F.col("__v") * weight) / F.sum(weight)).alias("near"))
-    return horizons.join(means, ["cokey", "hz"], "left")
+    """Nulls of `value` from the horizons of all components with a midpoint
+    (mid) within `width`, weighted by nearness. Adds `near` and `n_near`.
+    What is known is added up by midpoint first, so the join follows the
+    distinct depths, not the horizons."""
+    known = horizons.where(F.col(value).isNotNull() & F.col("mid").isNotNull()).groupBy(F.col("mid").alias("__its")).agg(F.sum(value).alias("__s"), F.count("*").alias("__n"))
+    wanted = horizons.where(F.col(value).isNull() & F.col("mid").isNotNull()).select(F.col("mid").alias("__mid"), F.lit(0).alias("__all")).distinct()
+    pairs = within(wanted, known.withColumn("__all", F.lit(0)), ["__all"], "__mid", "__its", width)
+    weight = 1 / (1 + F.abs(F.col("__mid") - F.col("__its")))
+    means = pairs.groupBy("__mid").agg((F.sum(F.col("__s") * weight) / F.sum(F.col("__n") * weight)).alias("near"), F.sum("__n").alias("n_near"))
+    joined = horizons.join(means, F.col("mid") == F.col("__mid"), "left").drop("__mid")
+    return joined.withColumns({c: F.when(F.col(value).isNull(), F.col(c)) for c in ("near", "n_near")})
 
 
 def nearest(rows: DataFrame, depths: list[float], at: str) -> DataFrame:

@@ -38,14 +38,44 @@ def outliers(rows: DataFrame, keys: list[str], value: str, z: float = 3.0, modif
     )
 
 
+def positions(rows: DataFrame, keys: list[str], value: str, parts: int = 200) -> DataFrame:
+    """(keys, value, n, before, total): each distinct value of a group, how
+    often it occurs, how many rows are smaller, and all. For groups of any
+    size: distinct values are dealt to parts by approximate quantiles, and
+    only counts of parts are added up in a group's window."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
+    cuts = counts.groupBy(*keys).agg(F.percentile_approx(value, [k / parts for k in range(1, parts)], 1000).alias("__cuts"))
+    dealt = counts.join(cuts, keys).withColumn("__part", F.size(F.filter("__cuts", lambda c: c < F.col(value)))).drop("__cuts")
+    sizes = dealt.groupBy(*keys, "__part").agg(F.sum("n").alias("__n"))
+    by = Window.partitionBy(*keys)
+    up_to = by.orderBy("__part").rowsBetween(Window.unboundedPreceding, 0)
+    sizes = sizes.select(*keys, "__part", (F.sum("__n").over(up_to) - F.col("__n")).alias("__base"), F.sum("__n").over(by).alias("total"))
+    inner = Window.partitionBy(*keys, "__part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    return dealt.join(sizes, [*keys, "__part"]).select(*keys, value, "n", (F.col("__base") + F.sum("n").over(inner) - F.col("n")).alias("before"), "total")
+
+
+def quantiles_at(rows: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
+    """(keys, one column a probability): exact interpolated quantiles, from
+    positions()."""
+    at = positions(rows, keys, value)
+    out = []
+    for name, p in probs.items():
+        place = p * (F.col("total") - 1)
+        low, high = F.floor(place), F.ceil(place)
+        holds = lambda k: (F.col("before") <= k) & (k < F.col("before") + F.col("n"))
+        a, b = F.max(F.when(holds(low), F.col(value))), F.max(F.when(holds(high), F.col(value)))
+        out.append((a + (b - a) * F.max(place - low)).alias(name))
+    return at.groupBy(*keys).agg(*out)
+
+
 def correlations(rows: DataFrame, keys: list[str], columns: list[str], ranks: bool = False) -> DataFrame:
     """(keys, a, b, r, n) for all pairs over complete rows; by Spearman's
     ranks, ties averaged, if asked."""
     whole = rows.dropna(subset=columns)
     if ranks:
         for c in columns:
-            by = Window.partitionBy(*keys)
-            whole = whole.withColumn(f"__{c}", F.rank().over(by.orderBy(c)) + (F.count("*").over(Window.partitionBy(*keys, c)) - 1) / 2)
+            at = positions(whole, keys, c).select(*keys, c, (F.col("before") + (F.col("n") + 1) / 2).alias(f"__{c}"))
+            whole = whole.join(at, [*keys, c])
         whole = whole.drop(*columns).withColumnsRenamed({f"__{c}": c for c in columns})
     pairs = list(combinations(columns, 2))
     wide = whole.groupBy(*keys).agg(F.count("*").alias("n"), *[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
@@ -77,11 +107,13 @@ def mahalanobis(rows: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
 
 def normalized(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Four scalings in the group: z score, range, median and by rank."""
-    x, by = F.col(value), Window.partitionBy(*keys)
-    stats = rows.groupBy(*keys).agg(F.median(x).alias("md"), F.percentile(x, 0.25).alias("q1"), F.percentile(x, 0.75).alias("q3"), F.avg(x).alias("m"), F.stddev_samp(x).alias("s"), F.min(x).alias("lo"), F.max(x).alias("hi"))
+    x = F.col(value)
+    stats = quantiles_at(rows, keys, value, {"md": 0.5, "q1": 0.25, "q3": 0.75})
+    stats = stats.join(rows.groupBy(*keys).agg(F.avg(x).alias("m"), F.stddev_samp(x).alias("s"), F.min(x).alias("lo"), F.max(x).alias("hi")), keys)
+    at = positions(rows, keys, value).select(*keys, value, ((F.col("before") + F.col("n")) / F.col("total")).alias("ecdf"))
     over = lambda up, down: F.when(down > 0, up / down)
-    j = rows.join(stats, keys)
-    return j.select(*rows.columns, over(x - F.col("m"), F.col("s")).alias("z"), over(x - F.col("lo"), F.col("hi") - F.col("lo")).alias("scaled"), over(x - F.col("md"), F.col("q3") - F.col("q1")).alias("robust"), F.cume_dist().over(by.orderBy(value)).alias("ecdf"))
+    j = rows.join(stats, keys).join(at, [*keys, value], "left")
+    return j.select(*rows.columns, over(x - F.col("m"), F.col("s")).alias("z"), over(x - F.col("lo"), F.col("hi") - F.col("lo")).alias("scaled"), over(x - F.col("md"), F.col("q3") - F.col("q1")).alias("robust"), "ecdf")
 
 
 def filled_forward(rows: DataFrame, keys: list[str], order: list[str], value: str) -> Column:

@@ -240,13 +240,14 @@ def organic_removed(spark, sf_dir):
 
 @query(
     "depth_slices",
-    """SELECT cokey, top, bottom, round(avg(r) + 2e-7, 5) AS mean, coalesce(max(d) + 1, bottom) AS reached
+    """SELECT cokey, top, bottom, round(avg(r), 6) AS mean, coalesce(max(d) + 1, bottom) AS reached
   FROM (SELECT cokey, top, bottom, s.r, s.d FROM (SELECT DISTINCT cokey FROM hz), (VALUES (0, 30), (30, 100)) w(top, bottom)
-  LEFT JOIN (SELECT cokey AS ck, r, unnest(range(CAST(hzdept_r AS BIGINT), CAST(hzdepb_r AS BIGINT))) AS d FROM hz) s ON ck = cokey AND d >= top AND d < bottom) GROUP BY cokey, top, bottom""",
+  LEFT JOIN (SELECT cokey AS ck, round(r * 100) AS r, unnest(range(CAST(hzdept_r AS BIGINT), CAST(hzdepb_r AS BIGINT))) AS d FROM hz) s ON ck = cokey AND d >= top AND d < bottom) GROUP BY cokey, top, bottom""",
 )
 def depth_slices(spark, sf_dir):
-    x = horizons.slices(hz(spark, sf_dir), [(0, 30), (30, 100)], "r")
-    return x.select("cokey", "top", "bottom", F.round(F.col("mean") + 2e-7, 5).alias("mean"), F.col("reached").cast("long").alias("reached"))
+    # Whole cents: their sums are exact in both engines.
+    x = horizons.slices(hz(spark, sf_dir).withColumn("r", F.round(F.col("r") * 100)), [(0, 30), (30, 100)], "r")
+    return x.select("cokey", "top", "bottom", F.round("mean", 6).alias("mean"), F.col("reached").cast("long").alias("reached"))
 
 
 @query(
@@ -265,15 +266,17 @@ def fragment_sums(spark, sf_dir):
 
 @query(
     "component_recovery",
-    """, c AS (SELECT o_orderkey AS cokey, o_custkey AS name FROM orders), own AS (SELECT c.cokey, name, hz, hzdept_r, hzdepb_r, r, false AS recovered FROM c JOIN hz ON c.cokey = hz.cokey WHERE c.cokey % 5 != 0)
-  SELECT cokey, name, hz, round(hzdept_r, 6) AS hzdept_r, round(hzdepb_r, 6) AS hzdepb_r, round(r, 7) AS r, recovered FROM own UNION ALL
-  SELECT c.cokey, c.name, p.* FROM c JOIN (SELECT name AS n, hz, round(avg(hzdept_r), 6), round(avg(hzdepb_r), 6), round(avg(r), 7), true FROM own GROUP BY name, hz) p(n, hz, a, b, r, x) ON c.name = p.n WHERE c.cokey NOT IN (SELECT cokey FROM own)""".replace("p.*", "p.hz, p.a, p.b, p.r, p.x"),
+    """, c AS (SELECT o_orderkey AS cokey, o_custkey AS name FROM orders), own AS (SELECT c.cokey, name, genhz, hzname, hzdept_r, hzdepb_r, round(r * 100) AS r FROM c JOIN hz ON c.cokey = hz.cokey WHERE c.cokey % 5 != 0),
+  p AS (SELECT name, genhz, avg(hzdept_r) AS a, avg(hzdepb_r) AS b, avg(r) AS r FROM own GROUP BY ALL), u AS (SELECT name, count(DISTINCT cokey) AS s FROM own GROUP BY ALL),
+  m AS (SELECT name, genhz, hzname FROM (SELECT *, row_number() OVER (PARTITION BY name, genhz ORDER BY n DESC, hzname) AS k FROM (SELECT name, genhz, hzname, count(*) AS n FROM own GROUP BY ALL)) WHERE k = 1)
+  SELECT cokey, name, genhz, hzname, round(hzdept_r, 6) AS hzdept_r, round(hzdepb_r, 6) AS hzdepb_r, round(r, 6) AS r, false AS recovered, NULL::BIGINT AS siblings FROM own UNION ALL
+  SELECT c.cokey, c.name, p.genhz, m.hzname, round(p.a, 6), round(p.b, 6), round(p.r, 6), true, u.s FROM c JOIN p USING (name) JOIN u USING (name) JOIN m ON m.name = p.name AND m.genhz = p.genhz WHERE c.cokey NOT IN (SELECT cokey FROM own)""",
 )
 def component_recovery(spark, sf_dir):
     components = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("cokey"), F.col("o_custkey").alias("name"))
-    known = hz(spark, sf_dir).where("cokey % 5 != 0").join(components.select("cokey"), "cokey", "left_semi")
-    x = horizons.recovered(components, known, "name")
-    return x.select("cokey", "name", "hz", F.round("hzdept_r", 6).alias("hzdept_r"), F.round("hzdepb_r", 6).alias("hzdepb_r"), F.round("r", 7).alias("r"), "recovered")
+    known = hz(spark, sf_dir).withColumn("r", F.round(F.col("r") * 100)).where("cokey % 5 != 0").join(components.select("cokey"), "cokey", "left_semi")
+    x, _ = horizons.recovered(components, known, "name", ["hzdept_r", "hzdepb_r", "r"], ["hzname"])
+    return x.select("cokey", "name", "genhz", "hzname", F.round("hzdept_r", 6).alias("hzdept_r"), F.round("hzdepb_r", 6).alias("hzdepb_r"), F.round("r", 6).alias("r"), "recovered", "siblings")
 
 
 @query(
@@ -305,17 +308,6 @@ def infill_ladder(spark, sf_dir):
     return horizons.ladder_infill(x, "v").select("cokey", "hz", F.round("filled", 8).alias("filled"), "rung")
 
 
-@query(
-    "profile_bottoms",
-    f"""SELECT cokey, sim, sum(d) AS drawn, count(*) AS layers FROM (SELECT cokey, sim, round_even(hzdept_r + 1 + p1 * u, 0) AS d FROM (SELECT *, {uniform_sql('cokey', 'hz', 'sim', "'pb'")} AS u FROM hz, range(1, 4) s(sim))) GROUP BY ALL""",
-)
-def profile_bottoms(spark, sf_dir):
-    x = simulate.realizations(hz(spark, sf_dir), 3).withColumn("u", uniform(F.col("cokey"), F.col("hz"), F.col("sim"), "pb"))
-    stacked = horizons.top_down(x, F.col("hzdept_r") + 1 + F.col("p1") * F.col("u"))
-    back = stacked.join(x.select("cokey", "sim", "hz", F.bround(F.col("hzdept_r") + 1 + F.col("p1") * F.col("u"), 0).alias("d")), ["cokey", "sim", "hz"]).where("bottom > top")
-    return back.groupBy("cokey", F.col("sim").cast("long").alias("sim")).agg(F.sum("d").alias("drawn"), F.count("*").alias("layers"))
-
-
 TRI = "CASE WHEN hi - lo <= 0 THEN md WHEN u < (md - lo) / (hi - lo) THEN lo + sqrt(u * (hi - lo) * (md - lo)) ELSE hi - sqrt((1 - u) * (hi - lo) * (hi - md)) END"
 
 
@@ -523,12 +515,13 @@ def depth_copula(spark, sf_dir):
 
 @query(
     "band_infill",
-    """, m AS (SELECT mukey, cokey, hz, (hzdept_r + hzdepb_r) / 2 AS mid, CASE WHEN mark % 9 = 0 THEN NULL ELSE r END AS v FROM hz)
-  SELECT m.cokey, m.hz, round(coalesce(m.v, n.near) + 2e-7, 5) AS v FROM m LEFT JOIN (SELECT a.cokey, a.hz, sum(b.v / (1 + abs(a.mid - b.mid))) / sum(1 / (1 + abs(a.mid - b.mid))) AS near FROM m a JOIN m b ON a.mukey = b.mukey AND a.cokey != b.cokey AND abs(a.mid - b.mid) <= 15 WHERE a.v IS NULL AND b.v IS NOT NULL GROUP BY a.cokey, a.hz) n ON m.cokey = n.cokey AND m.hz = n.hz""",
+    """, m AS (SELECT cokey, hz, (hzdept_r + hzdepb_r) / 2 AS mid, CASE WHEN mark % 9 = 0 THEN NULL ELSE r END AS v FROM hz), k AS (SELECT mid AS its, sum(v) AS s, count(*) AS n FROM m WHERE v IS NOT NULL GROUP BY mid),
+  w AS (SELECT mid, sum(s / (1 + abs(mid - its))) / sum(n / (1 + abs(mid - its))) AS near, sum(n) AS n FROM (SELECT DISTINCT mid FROM m WHERE v IS NULL) JOIN k ON abs(mid - its) <= 15 GROUP BY mid)
+  SELECT cokey, hz, round(coalesce(v, near), 3) AS v, CASE WHEN v IS NULL THEN CAST(n AS BIGINT) END AS n FROM m LEFT JOIN w USING (mid)""",
 )
 def band_infill(spark, sf_dir):
-    x = hz(spark, sf_dir).select("mukey", "cokey", "hz", ((F.col("hzdept_r") + F.col("hzdepb_r")) / 2).alias("mid"), F.when(F.col("mark") % 9 != 0, F.col("r")).alias("v"))
-    return matching.across_components(x, "v").select("cokey", "hz", F.round(F.coalesce("v", "near") + 2e-7, 5).alias("v"))
+    x = hz(spark, sf_dir).select("cokey", "hz", ((F.col("hzdept_r") + F.col("hzdepb_r")) / 2).alias("mid"), F.when(F.col("mark") % 9 != 0, F.col("r")).alias("v"))
+    return matching.across_components(x, "v").select("cokey", "hz", F.round(F.coalesce("v", "near"), 3).alias("v"), F.col("n_near").alias("n"))
 
 
 @query(
@@ -548,14 +541,36 @@ def nearest_slices(spark, sf_dir):
     return matching.nearest(x, [0, 5, 15, 30, 60, 100], "m").select("cokey", "hz", "slice")
 
 
+STD = "coalesce(regexp_replace(regexp_replace(upper(trim(x)), '[0-9]+$', ''), '[^A-Za-z0-9_/]', '', 'g'), '')"
+LIKE = "CASE WHEN a = b THEN 1e0 WHEN a != '' AND b != '' AND substr(a, 1, 1) = substr(b, 1, 1) THEN least(1e0, 8e-1 + 2e-1 * len(list_intersect(list_distinct(string_split(a, '')), list_distinct(string_split(b, '')))) / greatest(length(a), length(b))) ELSE 0e0 END"
+NAMED = "(VALUES (0, 'Ap'), (1, 'Bt1'), (2, 'Bt2'), (3, ' bw '), (4, 'B/C'), (5, 'Apk2'), (6, NULL), (7, ''), (8, '2Bt'), (9, 'A'), (10, 'E-b'))"
+
+
+def named(x: DataFrame) -> DataFrame:
+    """Horizons with names that reach every rule."""
+    names = F.array(*[F.lit(n).cast("string") for n in ("Ap", "Bt1", "Bt2", " bw ", "B/C", "Apk2", None, "", "2Bt", "A", "E-b")])
+    return x.withColumn("hzname", F.get(names, (F.pmod(F.col("mark") * 7 + F.col("hz"), F.lit(11))).cast("int")))
+
+
 @query(
     "name_similarity",
-    "SELECT a.cokey, a.hz, b.hz AS hz2, CASE WHEN a.hzname = b.hzname THEN 1e0 WHEN a.genhz = b.genhz THEN 8e-1 ELSE 0e0 END AS score FROM hz a JOIN hz b ON a.cokey = b.cokey AND a.hz < b.hz",
+    f""", n AS (SELECT cokey, hz, {STD} AS s FROM (SELECT cokey, hz, n.v AS x FROM hz JOIN {NAMED} n(k, v) ON (mark * 7 + hz) % 11 = n.k)) SELECT cokey, hz, hz2, round({LIKE}, 8) AS score FROM (SELECT a.cokey, a.hz, b.hz AS hz2, a.s AS a, b.s AS b FROM n a JOIN n b ON a.cokey = b.cokey AND a.hz < b.hz)""",
 )
 def name_similarity(spark, sf_dir):
-    x = hz(spark, sf_dir).select("cokey", "hz", "hzname")
-    y = x.select("cokey", F.col("hz").alias("hz2"), F.col("hzname").alias("other"))
-    return x.join(y, "cokey").where("hz < hz2").select("cokey", "hz", "hz2", matching.name_similarity(F.col("hzname"), F.col("other")).alias("score"))
+    x = named(hz(spark, sf_dir)).select("cokey", "hz", matching.standard_name(F.col("hzname")).alias("a"))
+    y = x.select("cokey", F.col("hz").alias("hz2"), F.col("a").alias("b"))
+    return x.join(y, "cokey").where("hz < hz2").select("cokey", "hz", "hz2", F.round(matching.name_similarity(F.col("a"), F.col("b")), 8).alias("score"))
+
+
+@query(
+    "name_infill",
+    f""", n AS (SELECT cokey, hz, {STD} AS s, CASE WHEN mark % 3 = 0 THEN NULL ELSE r END AS v, mark % 13 != 0 AS ok FROM (SELECT cokey, hz, mark, r, n.v AS x FROM hz JOIN {NAMED} n(k, v) ON (mark * 7 + hz) % 11 = n.k)),
+  p AS (SELECT cokey, hz, v, {LIKE} AS w FROM (SELECT a.cokey, a.hz, a.s AS a, b.s AS b, b.v FROM n a JOIN n b ON a.cokey = b.cokey WHERE a.v IS NULL AND a.ok AND a.s != '' AND b.v IS NOT NULL AND b.ok AND b.s != ''))
+  SELECT n.cokey, n.hz, round(coalesce(n.v, q.m), 8) AS v, q.n FROM n LEFT JOIN (SELECT cokey, hz, sum(v * w) / sum(w) AS m, count(*) AS n FROM p WHERE w > 5e-1 GROUP BY ALL) q ON n.cokey = q.cokey AND n.hz = q.hz""",
+)
+def name_infill(spark, sf_dir):
+    x = named(hz(spark, sf_dir)).withColumns({"v": F.when(F.col("mark") % 3 != 0, F.col("r")), "suitable": F.col("mark") % 13 != 0})
+    return matching.name_infill(x, "v").select("cokey", "hz", F.round(F.coalesce("v", "by_name"), 8).alias("v"), F.col("n_names").alias("n"))
 
 
 def triplets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -628,3 +643,6 @@ def simulation_scores(spark, sf_dir):
     seen = monte_carlo.usable(triplets(spark, sf_dir), ["a"], monte_carlo.configured()).withColumnRenamed("a_r", "a")
     x = stats.scores(seen, draws, ["mukey"], "a")
     return x.select("mukey", F.round("bias", 4).alias("bias"), F.round("relative", 8).alias("relative"), F.round("spread", 8).alias("spread"))
+
+
+from . import more  # noqa: E402, F401  (registers further queries)

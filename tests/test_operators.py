@@ -107,12 +107,6 @@ def test_infill_reads_what_came_in(spark):
     assert got == {(1, 1): (1.0, "own"), (1, 2): (1.0, "same"), (1, 3): (1.0, "band"), (1, 4): (1.0, "line"), (2, 1): (1.0, "group"), (3, 1): (None, None)}
 
 
-def test_profiles_stack(spark):
-    x = simulate.realizations(spark.createDataFrame([(1, 1, 9.0), (1, 2, 4.0), (1, 3, 30.5)], "cokey long, hz int, b double"), 2)
-    got = sorted(horizons.top_down(x, F.col("b")).where("sim = 1").collect())
-    assert [(r.top, r.bottom) for r in got] == [(0.0, 9.0), (9.0, 10.0), (10.0, 30.0)]
-
-
 def test_available_water_skips_layers_without_parameters(spark):
     names = ["alpha", "npar", "theta_r", "theta_s"]
     row = (-1.5, 0.15, 0.06, 0.42, 0.1, 0.02, 0.01, 0.01)
@@ -254,3 +248,165 @@ def test_monte_carlo_configuration(spark):
     x = spark.createDataFrame(rows, "mukey int, cokey int, hz int, hzname string, hzdept_r double, hzdepb_r double, ph_l double, ph_r double, ph_h double")
     got = monte_carlo.simulate(x, ["ph"], config=config).collect()
     assert len(got) == 5 and {r.cokey for r in got} == {1} and all(4.8 <= r.ph <= 7.2 for r in got)
+
+
+# Families, fusion, profiles, infilling, cleaning and checks
+
+
+def test_metalogs_of_any_size_pass_their_percentiles(spark):
+    from loamcast.functions import families
+
+    probs, values = [0.05, 0.2, 0.5, 0.7, 0.95], [3.0, 8.0, 20.0, 26.0, 55.0]
+    x = spark.createDataFrame([tuple(values)], "a double, b double, c double, d double, e double")
+    for kind, bounds in (("u", None), ("sl", (1.0, 90.0)), ("su", (1.0, 90.0)), ("b", (1.0, 90.0))):
+        a = families.metalog([F.col(c) for c in "abcde"], probs, bounds, kind)
+        got = x.select(*[families.metalog_at(a, F.lit(p), bounds, kind).alias(f"p{i}") for i, p in enumerate(probs)]).first()
+        assert list(got) == pytest.approx(values, rel=1e-9)
+
+
+def test_families_and_their_checks(spark):
+    from loamcast.functions import families
+
+    rows = [(1.0, 2.0, 3.0, f) for f in ("triangular", "uniform", "normal", "lognormal", "metalog", "linear_cdf", "auto", "odd")] + [(-1.0, 2.0, 9.0, "auto"), (2.0, 2.0, 2.0, "normal"), (None, 2.0, 3.0, "normal"), (float("nan"), 2.0, 3.0, "uniform"), (1.0, 1.01, 9.0, "metalog")]
+    x = spark.createDataFrame(rows, "l double, r double, h double, f string").withColumn("u", F.lit(0.5))
+    fit = families.fit(F.col("l"), F.col("r"), F.col("h"), F.col("f"))
+    got = x.withColumn("fit", fit).select("fit.family", families.quantile(F.col("fit"), "u", triplet=(F.col("l"), F.col("r"), F.col("h"))).alias("q"), families.check(F.col("fit")).alias("c")).collect()
+    assert [r.family for r in got] == ["triangular", "uniform", "normal", "lognormal", "metalog", "linear_cdf", "normal", "odd", "normal", "triangular", "normal", "uniform", "metalog"]
+    assert [None if r.q is None else round(r.q, 6) for r in got] == [2.0] * 7 + [None, 2.0, 2.0, None, None, 1.01]
+    assert [r.c.valid for r in got] == [True] * 7 + [False, True, True, False, False, True]
+    assert got[-1].c.message.startswith("infeasible")
+    beta = spark.createDataFrame([(10.0, 30.0, 60.0, u) for u in (0.05, 0.5, 0.95)], "l double, r double, h double, u double")
+    drawn = beta.withColumn("fit", families.fit(F.col("l"), F.col("r"), F.col("h"), "auto", bounds=(0.0, 100.0))).select(families.quantile(F.col("fit"), "u", bounds=(0.0, 100.0), triplet=(F.col("l"), F.col("r"), F.col("h"))).alias("q"))
+    low, mid, high = (r.q for r in drawn.collect())
+    assert 0 < low < 25 < mid < 40 < high < 100
+
+
+def test_percentile_methods_agree_on_a_smooth_set(spark):
+    from loamcast.operators import percentiles
+
+    columns = {0.0: "a", 0.05: "b", 0.5: "c", 0.95: "d", 1.0: "e"}
+    rows = [(k, 0.0, 5.0, 50.0, 95.0, 100.0, (k + 0.5) / 400) for k in range(400)] + [(900, -1.0, None, 50.0, None, -1.0, 0.5), (901, -1.0, 20.0, 50.0, 80.0, None, 0.5)]
+    x = spark.createDataFrame(rows, "id long, a double, b double, c double, d double, e double, u double")
+    for method in percentiles.METHODS:
+        got = {r.id: r.draw for r in percentiles.simulate(x, columns, method, "u").collect()}
+        assert got[900] is None or got[900] != got[900]
+        assert got[901] == pytest.approx(50, abs=2) and sum(got[k] for k in range(400)) / 400 == pytest.approx(50, abs=1)
+    line = {r.id: r.draw for r in percentiles.simulate(x, columns, "linear_cdf", "u").collect()}
+    assert line[0] == pytest.approx(0.125) and line[200] == pytest.approx(50 + 45 * 0.00125 / 0.45)
+
+
+def test_fusion_by_family(spark):
+    from loamcast.operators import fusion
+
+    prior, likelihood = {0.05: "a", 0.5: "b", 0.95: "c"}, {0.05: "d", 0.5: "e", 0.95: "f"}
+    x = spark.createDataFrame([(8.0, 10.0, 13.0, 9.0, 11.0, 14.0), (1.0, 50.0, 99.0, 2.0, 50.0, 98.0)], "a double, b double, c double, d double, e double, f double")
+    for family in fusion.ROUTES:
+        for r in fusion.fuse_cells(x, prior, likelihood, family, (0.0, 200.0)).collect():
+            p = r.posterior.asDict()
+            mean = p["shape"] / p["rate"] if "shape" in p else p["mu"]
+            low, high = min(r.a, r.d), max(r.c, r.f)
+            assert low < mean < high, (family, mean)
+    wide = spark.createDataFrame([(0.0, 5.0, 10.0, 15.0, 20.0, 6.0, 10.0, 14.0)], "a double, b double, c double, d double, e double, f double, g double, h double")
+    rows, p, q = fusion.aligned(wide, {0.0: "a", 0.05: "b", 0.5: "c", 0.95: "d", 1.0: "e"}, {0.1: "f", 0.5: "g", 0.9: "h"})
+    assert [rows.first()[c] for c in p.values()] == pytest.approx([5 + 5 / 9, 10, 15 - 5 / 9]) and list(q) == [0.1, 0.5, 0.9]
+    with pytest.raises(ValueError):
+        fusion.aligned(wide, {0.2: "a", 0.5: "b", 0.8: "c"}, {0.3: "d", 0.9: "e"})
+    assert fusion.composition_groups(["ph", "sand", "om", "silt", "clay"], {"texture": (["sand", "silt", "clay"], ["z1", "z2"]), "other": (["a", "ph"], ["y"])}) == (["ph", "z1", "z2", "om"], {"texture": True, "other": False})
+
+
+def test_compositions_sum_to_their_total(spark):
+    from loamcast.operators import fusion
+
+    parts = {"sand": (30.0, 40.0, 50.0), "silt": (30.0, 35.0, 40.0), "clay": (20.0, 25.0, 30.0)}
+    x = spark.createDataFrame([(1, *[v for t in parts.values() for v in t])], "id long, " + ", ".join(f"{p}_{e} double" for p in parts for e in "lrh"))
+    side = {p: tuple(f"{p}_{e}" for e in "lrh") for p in parts}
+    post = fusion.fuse_composition(x, ["id"], side, side, 2000, 1.645, 1.645)
+    r = post.first()
+    assert r.sand + r.silt + r.clay == pytest.approx(100) and r.sand == pytest.approx(40, abs=1.5) and r.clay == pytest.approx(25, abs=1.5)
+    draws = fusion.composition_draws(post, ["id"], ("sand", "silt", "clay"), 500).collect()
+    assert all(d.sand + d.silt + d.clay == pytest.approx(100) for d in draws)
+    z = spark.createDataFrame([(0.3, -0.2, 7.0)], "z1 double, z2 double, ph double")
+    back = fusion.restored(z, ["sand", "silt", "clay"], ["z1", "z2"])
+    assert back.columns == ["ph", "sand", "silt", "clay"] and sum(back.first()[1:]) == pytest.approx(100)
+
+
+def test_profiles_hang_together(spark):
+    from loamcast.operators import profiles
+
+    rows = [(1, 1, "A", 0.0, None, 2.0, 20.0, 15.0, 28.0), (1, 2, "Bt", 20.0, 14.0, 27.0, 60.0, None, None), (1, 3, "C", 60.0, 50.0, 70.0, 150.0, 140.0, 180.0), (2, 1, "A", 0.0, 0.0, 0.0, 30.0, 30.0, 30.0)]
+    x = spark.createDataFrame(rows, "cokey long, hz int, hzname string, hzdept_r double, hzdept_l double, hzdept_h double, hzdepb_r double, hzdepb_l double, hzdepb_h double")
+    drawn = simulate.realizations(x, 60)
+    for method in ("top_down", "bottom_up", "mixed"):
+        layers = profiles.simulated(drawn, ["cokey", "sim"], method)
+        by = {}
+        for r in layers.collect():
+            by.setdefault((r.cokey, r.sim), []).append(r)
+        assert len(by) == 120
+        for (cokey, _), parts in by.items():
+            parts.sort(key=lambda r: r.hz)
+            assert parts[0].top == 0 and all(a.bottom == b.top for a, b in zip(parts, parts[1:])) and all(p.bottom >= p.top for p in parts)
+            if cokey == 2:
+                assert (parts[0].top, parts[0].bottom) == (0, 30)
+            elif method == "top_down":
+                assert 15 <= parts[0].bottom <= 28 and 58 <= parts[1].bottom <= 62 and 140 <= parts[2].bottom <= 180
+        assert {r.method for r in layers.select("method").distinct().collect()} == ({"top_down", "bottom_up"} if method == "mixed" else {method})
+    spread = {(r.cokey, r.hz): r.thickness_sd for r in profiles.thickness_spread(layers, ["cokey"]).collect()}
+    assert spread[2, 1] == 0 and spread[1, 1] > 1
+    assert profiles.out_of_range(profiles.clipped(layers, profiles.with_variability(x), ["cokey", "hz"]), profiles.with_variability(x), ["cokey", "hz"]).count() == 0
+
+
+def test_recovery_reports_what_it_cannot_do(spark):
+    components = spark.createDataFrame([(1, "x"), (2, "x"), (3, "x"), (4, "lone")], "cokey long, compname string")
+    rows = [(1, "A", "Ap", 0.0, 20.0), (2, "A", "A1", 0.0, 30.0), (2, "A", "Ap", 30.0, 40.0), (2, None, "?", 40.0, 50.0)]
+    known = spark.createDataFrame(rows, "cokey long, genhz string, hzname string, hzdept_r double, hzdepb_r double")
+    found, lost = horizons.recovered(components, known, "compname", ["hzdept_r", "hzdepb_r"], ["hzname"])
+    new = [r for r in found.collect() if r.recovered]
+    assert [(r.cokey, r.genhz, r.hzname, r.hzdept_r, r.hzdepb_r, r.siblings) for r in new] == [(3, "A", "Ap", 10.0, 30.0, 2)]
+    assert [r.cokey for r in lost.collect()] == [4]
+
+
+def test_positions_are_ranks(spark):
+    import random
+
+    rng = random.Random(1)
+    rows = [(g, float(rng.choice([1, 2, 3, rng.random() * 50]))) for g in "ab" for _ in range(700)] + [("c", 5.0), ("a", None)]
+    x = spark.createDataFrame(rows, "g string, v double")
+    got = {(r.g, r.v): r for r in stats.positions(x, ["g"], "v", parts=7).collect()}
+    for (g, v), r in got.items():
+        mine = [y for k, y in rows if k == g and y is not None]
+        assert (r.n, r.before, r.total) == (mine.count(v), sum(y < v for y in mine), len(mine))
+    q = {r.g: r for r in stats.quantiles_at(x, ["g"], "v", {"m": 0.5, "q": 0.9}).collect()}
+    import numpy as np
+
+    for g in "abc":
+        assert (q[g].m, q[g].q) == pytest.approx(tuple(np.quantile([y for k, y in rows if k == g and y is not None], [0.5, 0.9])))
+
+
+def test_cleaning_rules(spark):
+    from loamcast.operators import cleaning
+
+    x = spark.createDataFrame([(1.0, 2.0, "3.5 %", None), (None, 4.0, "x", "7")], "clay double, clay_total double, a string, b string")
+    assert cleaning.renamed(x).columns == ["claytotal_r", "a", "b"]
+    assert [r.v for r in x.select(cleaning.as_number(F.col("a")).alias("v")).collect()] == [3.5, None]
+    assert [r.v for r in x.select(cleaning.coalesced(x, ["clay", "none", "b"], "double", -1.0).alias("v")).collect()] == [1.0, 7.0]
+    assert x.select(cleaning.converted(F.lit(3.0), "ft", "m").alias("v")).first().v == 0.91
+    with pytest.raises(ValueError):
+        cleaning.converted(F.lit(1.0), "mile", "m")
+    assert cleaning.required(x, {"clay": "double", "a": "double", "zz": None}) == ["zz is missing", "a is string, not double"]
+    parts = cleaning.valid_components(spark.createDataFrame([("1", 120.0), ("", 5.0), ("3", None)], "cokey string, comppct_r double"))
+    assert [r.cokey for r in parts.collect()] == ["3"]
+    assert [r.broken for r in cleaning.rule_violations(spark.createDataFrame([(60.0, 40.0), (60.0, 10.0)], "s double, c double"), [(["s", "c"], 100.0, 0.1)]).collect()] == [0, 1]
+
+
+def test_checks_of_matrices_and_scores(spark):
+    from loamcast.operators import checks
+
+    good, bad = checks.matrix_quality([[1.0, 0.5], [0.5, 1.0]]), checks.matrix_quality([[1.0, 1.2], [1.2, 1.0]])
+    assert good["valid"] and good["condition"] == pytest.approx(3) and good["cholesky_error"] < 1e-12 and not bad["valid"] and bad["cholesky_error"] is None
+    mean, sure = checks.overall([F.lit(0.8), F.lit(None).cast("double"), F.lit(0.6)])
+    r = spark.range(1).select(mean.alias("m"), sure.alias("s")).first()
+    assert r.m == pytest.approx(0.7) and r.s == pytest.approx(0.7 * (1 - 0.02))
+    draws = spark.createDataFrame([(k, 1.0 if k < 8 else 2.0) for k in range(10)], "sim long, v double")
+    assert [(round(r.change, 6), r.converged) for r in checks.convergence(draws, "sim", ["v"]).collect()] == [(1.0, False)]
+    assert checks.convergence(draws.limit(0), "sim", ["v"]).count() == 0
+    assert checks.representation(draws.withColumn("k", F.col("sim") % 3), "k", 4).first().short == 2
