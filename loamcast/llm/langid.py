@@ -26,6 +26,7 @@ SLICE = 1 << 18  # characters of a text that are taken at once
 ROWS = 512  # texts or slices that are bundled at once
 CACHED = 1 << 15  # trigram vectors that a worker keeps
 UNKNOWN = "und"
+LEAST = 0.1  # cosine below which a text is in no learned language; unrelated profiles have about 0.03
 EDGE = "\uffff"  # where a slice is cut; no character
 
 
@@ -170,13 +171,16 @@ def identify(documents: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFra
     return documents.select("doc_id", "text").mapInArrow(score, "doc_id long, lang_pred string, score double")
 
 
-def identified(documents: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
-    """The rows of `documents` whose language is known, all columns kept."""
+def identified(documents: DataFrame, prototypes: dict[str, np.ndarray], least: float = LEAST) -> DataFrame:
+    """The rows of `documents` in a learned language, all columns kept, with
+    any names: those of a cosine of `least` or more. Null and empty texts,
+    texts without a letter and those close to no prototype go, and so does all
+    without prototypes. Repeated rows and null ids are kept."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_blocks(batches, "text", 2 << 20):
-            langs, _ = predict(batch.column("text").to_pylist(), prototypes)
-            yield batch.filter(pa.array([x != UNKNOWN for x in langs], pa.bool_()))
+            langs, scores = predict(batch.column("text").to_pylist(), prototypes)
+            yield batch.filter(pa.array([x != UNKNOWN and s >= least for x, s in zip(langs, scores)], pa.bool_()))
 
     return documents.mapInArrow(keep, documents.schema)
 

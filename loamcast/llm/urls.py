@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, table
 
 WORDS = 8  # 64-bit words of one block: a cache line
-MAX_BLOCKS = 1 << 16  # 4 MiB of filter; more entries only raise its false hits
+MAX_BLOCKS = 1 << 19  # 32 MiB of filter: up to so many blocks it is broadcast, beyond that it is joined
 
 RULES = [  # fixed values: (host, path, verdict)
     ("org", "/", "allow"),
@@ -68,16 +68,18 @@ def url_filter(pages: DataFrame, rules: DataFrame, listed: DataFrame) -> DataFra
     all-allowed results; other columns of the inputs are ignored.
 
     Keys of every distinct url are probed against the filter first. The
-    filter has at most MAX_BLOCKS rows of 8 words, so it is broadcast; the
-    hits go to the exact join by key, which Spark is free to shuffle.
+    filter has 16 bits an entry; up to MAX_BLOCKS rows of 8 words it is
+    broadcast. The hits go to the exact join by key, which Spark is free to
+    shuffle.
     """
     rules = rules.select(F.concat("host", "path").alias("key"), F.col("verdict"), F.length("path").alias("n"), F.size(F.split("host", "[.]")).alias("labels"))
     listed = listed.where(F.col("url").isNotNull()).select(F.concat(F.lit("="), "url").alias("key")).distinct()
     every = rules.groupBy("key").agg(F.min("verdict").alias("verdict")).unionByName(listed.withColumn("verdict", F.lit("block")))
     shape = rules.agg(F.collect_set("n").alias("lengths"), F.max("labels").alias("labels"), F.count("*").alias("rules")).first()
     entries = shape["rules"] + listed.count()
-    blocks = min(MAX_BLOCKS, max(1, entries * 16 // (64 * WORDS) + 1))
-    bloom = F.broadcast(bloom_blocks(every.select("key"), blocks))
+    blocks = max(1, entries * 16 // (64 * WORDS) + 1)
+    bloom = bloom_blocks(every.select("key"), blocks)
+    bloom = F.broadcast(bloom) if blocks <= MAX_BLOCKS else bloom
 
     host, path = split_url(F.col("url"))
     seen = pages.select("url").where(F.col("url").isNotNull()).distinct().select("url", host.alias("host"), path.alias("path")).where("host <> '' or path <> ''")

@@ -398,6 +398,8 @@ def test_languages(spark):
     assert langid.train(train.limit(0)) == {}
     assert {r.lang_pred for r in langid.identify(docs(spark, rows), {}).collect()} == {"und"}
     assert langid.identified(docs(spark, rows), prototypes).count() == 4
+    foreign = docs(spark, [(1, "ждлорпавы " * 40), (2, text("aa", 3)), (3, text("bb", 4, 4))])
+    assert {r.doc_id for r in langid.identified(foreign, prototypes).collect()} == {2, 3}
 
 
 def test_profiles_are_bound_and_bundled_by_hand(spark):

@@ -53,6 +53,12 @@ def test_run_is_the_stages(spark, corpus):
     assert got.select("doc_id").distinct().count() == 60 + 5 + 1
 
 
+def test_run_of_nothing(spark, tmp_path):
+    docs(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_components_both_ways(spark, monkeypatch):
     rng = random.Random(3)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(400, 460)] + [(500, k) for k in range(501, 560)]
