@@ -114,3 +114,33 @@ def unpacked(packed: DataFrame, key: str, columns: list[str], depth: str = "hzde
     """The draws that arrays() packed, one row each."""
     x = packed.select(key, depth, F.explode(F.arrays_zip(F.col("sims"), *columns)).alias("x"))
     return x.select(key, depth, F.col("x.sims").alias(sim), *[F.col(f"x.{c}").alias(c) for c in columns])
+
+
+def scaled(draws: DataFrame, keys: list[str], depth: str, value: str, trend: str) -> DataFrame:
+    """draws whose value follows the trend down: that of the depth above times
+    the ratio of the trends, from 0.1 to 10. Where there is no ratio, at the
+    top, beside a missing trend and below one of 0, the value stays, and what
+    is below follows it. keys: one realization of a profile."""
+    by = Window.partitionBy(*keys).orderBy(depth)
+    share = F.col(trend) / F.nullif(F.lag(trend).over(by), F.lit(0.0))
+    x = draws.withColumn("__log", F.when(share.isNotNull(), F.log(F.least(F.greatest(share, F.lit(0.1)), F.lit(10.0)))))
+    x = x.withColumn("__part", F.count_if(F.col("__log").isNull()).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    inner = Window.partitionBy(*keys, "__part").orderBy(depth).rowsBetween(Window.unboundedPreceding, 0)
+    return x.withColumn(value, F.first(value).over(inner) * F.exp(F.sum(F.coalesce("__log", F.lit(0.0))).over(inner))).drop("__log", "__part")
+
+
+def retrofitted(draws: DataFrame, key: str, depth: str, sim: str, value: str) -> DataFrame:
+    """draws (key, depth, sim, value) with the order of the realizations at
+    the least depth kept at all others: there a value becomes the quantile of
+    its depth's values at the realization's share of surface values that are
+    not larger. Realizations without a surface value stay as they are; nulls
+    are no values. Draws of one depth of a profile meet in a task."""
+    there = draws.where(F.col(value).isNotNull())
+    top = there.groupBy(key).agg(F.min(depth).alias("__top"))
+    ranks = there.join(top, key).where(F.col(depth) == F.col("__top")).select(key, sim, "__top", F.cume_dist().over(Window.partitionBy(key).orderBy(value)).alias("__p"))
+    ordered = there.groupBy(key, depth).agg(F.sort_array(F.collect_list(value)).alias("__q"))
+    place = F.col("__p") * (F.size("__q") - 1)
+    low, high = F.floor(place).cast("int"), F.ceil(place).cast("int")
+    drawn = F.get("__q", low) + (F.get("__q", high) - F.get("__q", low)) * (place - low)
+    out = draws.join(ranks, [key, sim], "left").join(ordered, [key, depth], "left")
+    return out.withColumn(value, F.when(F.col("__p").isNull() | F.col(value).isNull() | (F.col(depth) == F.col("__top")), F.col(value)).otherwise(drawn)).select(*draws.columns)

@@ -164,3 +164,23 @@ def packed_draws(spark, sf_dir):
     x = hz(spark, sf_dir).select("cokey", "genhz", "hzdept_r", (F.col("cokey") * 1000 + F.col("hz")).alias("sim"), "r", "p1")
     back = grouping.unpacked(grouping.arrays(x, "cokey", ["r", "p1"]), "cokey", ["r", "p1"])
     return back.join(x.select("sim", "genhz"), "sim").groupBy("genhz", "hzdept_r").agg(F.count("*").alias("n"), F.round(F.sum("r"), 2).alias("total"), F.min("sim").alias("least"))
+
+
+@query(
+    "trend_scaled",
+    """, a AS (SELECT *, CASE WHEN mark % 5 != 0 THEN p1 END AS t FROM hz), b AS (SELECT *, t / nullif(lag(t) OVER (PARTITION BY cokey ORDER BY hz), 0) AS s FROM a), c AS (SELECT *, count(*) FILTER (s IS NULL) OVER (PARTITION BY cokey ORDER BY hz) AS part FROM b)
+  SELECT cokey, hz, round(ln(first_value(r) OVER w) + sum(CASE WHEN s IS NULL THEN 0 ELSE ln(least(greatest(s, 1e-1), 10)) END) OVER w, 7) AS log_v FROM c WINDOW w AS (PARTITION BY cokey, part ORDER BY hz)""",
+)
+def trend_scaled(spark, sf_dir):
+    x = hz(spark, sf_dir).select("cokey", "hz", F.col("r").alias("v"), F.when(F.col("mark") % 5 != 0, F.col("p1")).alias("t"))
+    return grouping.scaled(x, ["cokey"], "hz", "v", "t").select("cokey", "hz", F.round(F.log("v"), 7).alias("log_v"))
+
+
+@query(
+    "rank_retrofitted",
+    """, t AS (SELECT mukey, min(hz) AS top FROM hz GROUP BY mukey), p AS (SELECT mukey, cokey, top, cume_dist() OVER (PARTITION BY mukey ORDER BY r) AS p FROM hz JOIN t USING (mukey) WHERE hz = top), q AS (SELECT mukey, hz, list_sort(list(r)) AS q FROM hz GROUP BY mukey, hz)
+  SELECT mukey, hz, cokey, round(CASE WHEN p IS NULL OR hz = top THEN r ELSE q[CAST(floor(p * (len(q) - 1)) AS INT) + 1] + (q[CAST(ceil(p * (len(q) - 1)) AS INT) + 1] - q[CAST(floor(p * (len(q) - 1)) AS INT) + 1]) * (p * (len(q) - 1) - floor(p * (len(q) - 1))) END, 3) AS v FROM hz LEFT JOIN p USING (mukey, cokey) JOIN q USING (mukey, hz)""",
+)
+def rank_retrofitted(spark, sf_dir):
+    x = hz(spark, sf_dir).select("mukey", "hz", "cokey", F.col("r").alias("v"))
+    return grouping.retrofitted(x, "mukey", "hz", "cokey", "v").withColumn("v", F.round("v", 3))

@@ -86,3 +86,16 @@ def test_updates_ratios_and_arrays(spark):
     packed = grouping.arrays(draws, "cokey", ["v", "w"])
     assert [(r.sims, r.v, r.w) for r in packed.collect()] == [([1, 2, 3], [1.0, 2.0, 3.0], [1.0, None, 1.0])]
     assert sorted(map(tuple, grouping.unpacked(packed, "cokey", ["v", "w"]).collect())) == sorted(map(tuple, draws.collect()))
+
+
+def test_draws_that_follow_trends(spark):
+    x = spark.createDataFrame([("a", 0, 10.0, 1.0), ("a", 1, 99.0, 2.0), ("a", 2, 98.0, 200.0), ("a", 3, 7.0, None), ("a", 4, 6.0, 5.0), ("a", 5, 1.0, 10.0), ("b", 0, None, 1.0), ("b", 1, 3.0, 1.0)], "k string, d int, v double, t double")
+    assert [r.v if r.v is None else round(r.v, 9) for r in grouping.scaled(x, ["k"], "d", "v", "t").orderBy("k", "d").collect()] == [10.0, 20.0, 200.0, 7.0, 6.0, 12.0, None, None]
+    draws = [(1, 0, s, v) for s, v in enumerate([3.0, 1.0, 2.0, 4.0])] + [(1, 5, s, v) for s, v in enumerate([10.0, 20.0, 40.0, 30.0])] + [(1, 5, 9, 50.0), (1, 5, 2, None), (2, 0, 0, None)]
+    t = spark.createDataFrame([d for d in draws if d != (1, 5, 2, 40.0)], "k int, d int, s int, v double")
+    found = {(r.k, r.d, r.s): r.v for r in grouping.retrofitted(t, "k", "d", "s", "v").collect()}
+    values = [10.0, 20.0, 30.0, 50.0]
+    at = lambda p: values[int(p * 3)] + (values[min(int(p * 3) + 1, 3)] - values[int(p * 3)]) * (p * 3 - int(p * 3))
+    assert found[1, 5, 0] == pytest.approx(at(0.75)) and found[1, 5, 1] == pytest.approx(at(0.25)) and found[1, 5, 3] == pytest.approx(50.0)
+    assert found[1, 5, 9] == 50.0 and found[1, 5, 2] is None and found[2, 0, 0] is None and found[1, 0, 0] == 3.0
+    assert grouping.retrofitted(t.limit(0), "k", "d", "s", "v").count() == 0
