@@ -27,7 +27,7 @@ from .links import SIMILAR, components, frequent, link, shared, spread
 
 SIZE = 5  # words of a shingle
 COARSE = (10, 3)  # bands, rows: finds 0.999 of pairs at 0.8
-COUNTERS, PARTS = 1 << 18, 16  # of the table of edit frequencies, which orders edits, and of its pieces
+COUNTERS, PARTS = 1 << 20, 16  # of the table of edit frequencies, which orders edits, and of its pieces
 APART = (1 - SIMILAR) / (1 + SIMILAR)  # of both weights together: what similar texts may differ by
 SKETCH, ALIKE = 64, 38  # samples kept of a text that shares a band; so many agree in all but 1 of 10 000 pairs at 0.8
 BUCKETS = 1 << 16  # of the table of word frequencies
@@ -143,6 +143,12 @@ def ordered(keys: np.ndarray, weights: np.ndarray, counts: np.ndarray) -> Weight
     return keys[order], weights[order]
 
 
+def repeated(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Which keys more than one text may have; no two texts meet by others,
+    so leaving those out loses nothing."""
+    return counts[(keys & np.uint64(COUNTERS - 1)).astype(np.int64)] > 1
+
+
 def prefix(weights: np.ndarray, own: float, pivot: float) -> tuple[int, np.ndarray, float]:
     """(n, short, apart): the first n ordered() differences of a text,
     which of them are short; own and pivot are the weights of the two texts.
@@ -284,8 +290,8 @@ def classes(documents: DataFrame, scope: Scratch | None = None) -> DataFrame:
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             table = np.zeros(COUNTERS, np.int64)
             for batch in text_blocks(batches, "text_a", 1 << 20):
-                for keys, *_ in changed(batch):
-                    table += np.bincount((keys & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+                keys = np.concatenate([keys for keys, *_ in changed(batch)])
+                np.add.at(table, (keys & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
             pieces = [(p, *(x.tolist() for x in (np.flatnonzero(t), t[t > 0]))) for p, t in enumerate(table.reshape(PARTS, -1)) if t.any()]
             yield pa.record_batch([pa.array([x[i] for x in pieces], t) for i, t in enumerate((pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int64())))], names=["part", "place", "n"])
 
@@ -308,7 +314,8 @@ def classes(documents: DataFrame, scope: Scratch | None = None) -> DataFrame:
                 for i, (keys, change, own, pivot) in enumerate(changed(batch)):
                     keys, change = ordered(keys, change, counts.value)
                     n, short, far = prefix(change, own, pivot)
-                    for column, part in zip(out, (keys[:n], np.full(n, i), short, np.full(n, far))):
+                    again = np.flatnonzero(repeated(keys[:n], counts.value))
+                    for column, part in zip(out, (keys[again], np.full(len(again), i), short[again], np.full(len(again), far))):
                         column.append(part)
                 keys, at, short, far = (np.concatenate(c) for c in out)
                 rows = batch.select(["node", "component"]).take(pa.array(at))
