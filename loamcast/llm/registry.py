@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, langid, media, neardup, packing, passages, quality, tokencount, urls
+from . import chat, clusters, decontamination, langid, media, neardup, packing, passages, quality, tokencount, urls, whitening
 
 QUERIES = {
     "op1_decontamination": decontamination.query,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_media": media.query,
     "op9_chat": chat.query,
     "op10_url_filter": urls.query,
+    "op11_whitening": whitening.query,
+    "op12_clusters": clusters.query,
 }
 
-ORACLE_SQL = {"op1_decontamination": decontamination.ORACLE, "op9_chat": chat.ORACLE, "op10_url_filter": urls.ORACLE}
+ORACLE_SQL = {"op1_decontamination": decontamination.ORACLE, "op9_chat": chat.ORACLE, "op10_url_filter": urls.ORACLE, "op12_clusters": clusters.ORACLE}
