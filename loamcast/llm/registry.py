@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, clusters, decontamination, langid, media, neardup, packing, passages, quality, tokencount, urls, whitening
+from . import chat, clusters, decontamination, langid, lm, media, neardup, packing, passages, quality, tokencount, urls, whitening
 
 QUERIES = {
     "op1_decontamination": decontamination.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_url_filter": urls.query,
     "op11_whitening": whitening.query,
     "op12_clusters": clusters.query,
+    "op13_language_model": lm.query,
 }
 
 ORACLE_SQL = {"op1_decontamination": decontamination.ORACLE, "op9_chat": chat.ORACLE, "op10_url_filter": urls.ORACLE, "op12_clusters": clusters.ORACLE}
