@@ -7,22 +7,25 @@ shingles; its band key is that shingle together with the REACH words on the
 side where the paragraph has room. Neighbours mostly share their minimum, so
 only about one key in six words is kept. Words that agree PARAGRAPH times in a
 row hold an equal paragraph, hence an equal key. A passage of PASSAGE words
-with one changed word has so many on one side of it, and two changes inside
-would leave fewer shingles than SIMILAR asks; so one band finds every repeat,
-edited or not.
+with one word changed, inserted or deleted has so many on one side of it, and
+two apart inside would leave fewer shingles than SIMILAR asks; so one band
+finds every repeat, edited or not.
 
 Colliding paragraphs are joined with the first of their bucket. Around them
-the words of both texts, not the texts, are laid side by side: PASSAGE words
-that agree in at least SIMILAR of their shingles (exact Jaccard) make a
-repeated passage. Where some of a bucket don't agree with the first, two
-others can only share a longer passage if they leave the first at the same
-place with the same word; so they are grouped by that, compared with the first
-of the new group, and so on. Members of a group share at least one word more
-with each other than with the first, and PASSAGE words in common end it, so
-there are fewer than twice PASSAGE rounds; all but a few are empty in
-practice. Other places of the first's document are members too, but only texts
-of different ids make a repeat. Linked paragraphs form clusters; all of a
-cluster but its first occurrence is to be removed.
+the words of both texts, not the texts, are laid side by side, with words
+missing on either side: PASSAGE words whose shingles agree in at least SIMILAR
+(exact Jaccard) make a repeated passage. Where some of a bucket don't agree
+with the first, others may still agree with each other. Those that share more
+words than with the first leave it at the same place with the same word; those
+that share an edited passage, whose sides may both stand in earlier texts,
+meet again within NEAR words of where they leave it. So they are grouped by
+that word and by the shingles from there on, compared with the first of the
+new group, and so on; after STEPS steps by the word alone. Members of a group
+then share at least one word more with each other than with the first, and
+PASSAGE words in common end it, so there are fewer than twice PASSAGE rounds;
+all but a few are empty in practice. Other places of the first's document are
+members too, but only texts of different ids make a repeat. Linked paragraphs
+form clusters; all of a cluster but its first occurrence is to be removed.
 """
 
 from __future__ import annotations
@@ -42,17 +45,14 @@ PASSAGE = 51  # words: repeats of more than 50 go
 PARAGRAPH, SIZE, REACH = 25, 5, 10  # PASSAGE words have a whole paragraph on one side of a changed one
 LENGTH = SIZE + REACH  # words of a band key
 SIMILAR = 0.8
+DRIFT = 12  # words: more inserted or deleted ones leave fewer shared shingles in PASSAGE words than SIMILAR asks
+NEAR, STEPS = 4, 3  # places behind a departure at which texts may meet again, and steps in which they are asked for it
 GRAIN = 64  # words: ends of the stretches that are compared are rounded to it
 BLOCK = 4 << 20
 
 PARA = "doc long, th long, pos int, last int"
 
 
-def needed(shingles: int) -> int:
-    """Shingles of two aligned windows that have to agree for SIMILAR."""
-    return int(np.ceil(2 * shingles * SIMILAR / (1 + SIMILAR) - 1e-9))
-
-
 def least_of(values: np.ndarray, size: int) -> np.ndarray:
     """The least of every `size` values that follow each other."""
     have = 1
@@ -111,33 +111,43 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def runs(a: np.ndarray, b: np.ndarray, shift: int) -> list[tuple[int, int]]:
-    """Maximal stretches (first word in b, words) where b[i] lies over
-    a[i + shift] and every PASSAGE words agree as SIMILAR asks; they begin
-    and end with shingles that agree, and are PASSAGE words at least."""
-    lo, hi = max(0, -shift), min(len(b), len(a) - shift)
-    if hi - lo < PASSAGE:
-        return []
-    same = (a[lo + shift : hi + shift] == b[lo:hi]).astype(np.int64)
-    word = np.append(0, np.cumsum(same))
-    agree = word[SIZE:] - word[:-SIZE] == SIZE
-    gram = np.append(0, np.cumsum(agree))
+def aligned(a: np.ndarray, b: np.ndarray, lag: int) -> np.ndarray:
+    """For each shingle of b, where the same one stands in a, at most DRIFT
+    words from where the lag puts it, the nearest first; else -1."""
+    ga, gb = (words.shingles(x.astype(np.uint64), SIZE) for x in (a, b))
+    out = np.full(len(gb), -1)
+    for d in sorted(range(-DRIFT, DRIFT + 1), key=abs):
+        lo, hi = max(0, -lag - d), min(len(gb), len(ga) - lag - d)
+        if lo < hi:
+            at = lo + np.flatnonzero((gb[lo:hi] == ga[lo + lag + d : hi + lag + d]) & (out[lo:hi] < 0))
+            out[at] = at + lag + d
+    return out
+
+
+def runs(a: np.ndarray, b: np.ndarray, lag: int) -> list[tuple[int, int]]:
+    """Stretches (first word in b, words) made of passages of PASSAGE words of
+    b whose shingles, and those of a between the same ends, have a Jaccard
+    similarity of SIMILAR or more; words may be changed, inserted or deleted.
+    Both ends of a passage agree, and words next to it that agree belong to it."""
     n = PASSAGE - SIZE + 1
-    good = np.flatnonzero(gram[n:] - gram[:-n] >= needed(n))
+    at = aligned(a, b, lag)
+    if len(at) < n:
+        return []
+    shared = np.append(0, np.cumsum(at >= 0))
+    m = shared[n:] - shared[:-n]
+    first, last = at[: len(m)], at[n - 1 :]
+    across = last - first + 1
+    good = np.flatnonzero((first >= 0) & (last >= 0) & (across > 0) & (m >= SIMILAR * (n + across - m) - 1e-9))
     if not len(good):
         return []
-    breaks = np.flatnonzero(np.diff(good) > 1)
-    first, last = np.append(good[0], good[breaks + 1]), np.append(good[breaks], good[-1])
-    out = []
-    for f, x in zip(first, last):
-        inner = np.flatnonzero(agree[f : x + n]) + f
-        size = inner[-1] - inner[0] + SIZE
-        if size >= PASSAGE:
-            out.append((int(lo + inner[0]), int(size)))
-    return out
+    breaks = np.flatnonzero(np.diff(good) > n)
+    starts, ends = np.append(good[0], good[breaks + 1]), np.append(good[breaks], good[-1]) + n
+    gaps = np.concatenate([[-1], np.flatnonzero(at < 0), [len(at)]])
+    starts, ends = gaps[np.searchsorted(gaps, starts) - 1] + 1, gaps[np.searchsorted(gaps, ends)]
+    return [(int(s), int(e - s + SIZE - 1)) for s, e in dict.fromkeys(zip(starts, ends))]
 
 
-SEEN = "a_doc long, a_th long, a_lo int, a_hi int, a_pos int, b_doc long, b_th long, b_lo int, b_hi int, b_pos int, b_last int, good boolean, head boolean, start int, n int, left long, right long"
+SEEN = "a_doc long, a_th long, a_lo int, a_hi int, a_pos int, b_doc long, b_th long, b_lo int, b_hi int, b_pos int, b_last int, good boolean, head boolean, start int, n int, left long, right long, near array<long>"
 A, B = ["a_doc", "a_th", "a_lo", "a_hi"], ["b_doc", "b_th", "b_lo", "b_hi"]
 
 
@@ -146,7 +156,8 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     lies in a repeated span of the second text, whose start and words stand in
     the row of the first such paragraph, its head. left and right: how many
     words on that side agree before the second text goes on otherwise, with
-    which word; null where it ends first, or a whole passage agrees."""
+    which word; null where it ends first, or a whole passage agrees. near: the
+    NEAR shingles from each of these places on, away from the paragraph."""
     names = [x.split()[0] for x in SEEN.split(", ")]
     for batch in text_blocks(batches, "words_b", 2 << 20):
         out = []
@@ -156,6 +167,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             base, lag = b_lo * GRAIN, shift + (b_lo - a_lo) * GRAIN
             lo, hi = max(0, -lag), min(len(b), len(a) - lag)
             apart = lo + np.flatnonzero(a[lo + lag : hi + lag] != b[lo:hi])
+            grams = words.shingles(b.astype(np.uint64), SIZE).view(np.int64)
             spans = [[s, n, True] for s, n in runs(a, b, lag)] if a_doc != b_doc else []
             starts = np.array([s[0] for s in spans])
             for b_pos, b_last in sorted((x["b_pos"], x["b_last"]) for x in at):
@@ -165,13 +177,17 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 i = int(np.searchsorted(apart, p))
                 left = int(apart[i - 1]) if i else (lo - 1 if lo else None)
                 right = int(apart[i]) if i < len(apart) else (hi if hi < len(b) else None)
-                left = None if left is None or p - left > PASSAGE else (2 * (p - left) << 32) | int(b[left])
-                right = None if right is None or right - end >= PASSAGE else (2 * (right - end) + 1 << 32) | int(b[right])
+                left = None if left is None or p - left > PASSAGE else left
+                right = None if right is None or right - end >= PASSAGE else right
+                near = [] if left is None else [k & ~1 for k in grams[max(0, left - SIZE - NEAR + 2) : max(0, left - SIZE + 2)].tolist()]
+                near += [] if right is None else [k | 1 for k in grams[right : right + NEAR].tolist()]
+                left = None if left is None else (2 * (p - left) << 32) | int(b[left])
+                right = None if right is None else (2 * (right - end) + 1 << 32) | int(b[right])
                 size = 0 if span is None else max(span[1], b_last + LENGTH - base - span[0] if b_last > b_pos else 0)
-                out.append((a_doc, a_th, a_lo, a_hi, b_pos + shift, b_doc, b_th, b_lo, b_hi, b_pos, b_last, span is not None, bool(span and (span[2] or size > span[1])), span[0] + base if span else 0, size, left, right))
+                out.append((a_doc, a_th, a_lo, a_hi, b_pos + shift, b_doc, b_th, b_lo, b_hi, b_pos, b_last, span is not None, bool(span and (span[2] or size > span[1])), span[0] + base if span else 0, size, left, right, near))
                 if span:
                     span[2] = False
-        kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
+        kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64())}
         yield pa.record_batch([pa.array([r[i] for r in out], kinds[x.split()[1]]) for i, x in enumerate(SEEN.split(", "))], names=names)
 
 
@@ -241,7 +257,7 @@ def repeats(documents: DataFrame, scope: Scratch | None = None) -> DataFrame:
 
     a_place = ["a_doc", "a_th", "a_pos"]
     group = [*a_place, "word"]
-    spans = None
+    spans, step = None, 0
     while True:
         seen = compared(pairs)
         good = seen.where("head").select(_place("a").alias("a"), _place("b").alias("b"), "start", "n")
@@ -251,7 +267,8 @@ def repeats(documents: DataFrame, scope: Scratch | None = None) -> DataFrame:
         if open_places.isEmpty():
             break
         others = spread(seen, open_places.select(*a_place), a_place, frequent(open_places, seen.count(), a_place), scope, "merge")
-        sides = written(others.select(*a_place, *B, "b_pos", "b_last", F.explode(F.array("left", "right")).alias("word")).where("word is not null"), scope)
+        sides = written(others.select(*a_place, *B, "b_pos", "b_last", F.explode(F.concat(F.array("left", "right"), "near") if step < STEPS else F.array("left", "right")).alias("word")).where("word is not null"), scope)
+        step += 1
         member = F.struct(F.col("b_doc").alias("doc"), F.col("b_th").alias("th"), F.col("b_pos").alias("pos"), F.col("b_lo").alias("lo"), F.col("b_hi").alias("hi"))
         first = written(sides.groupBy(*group).agg(F.min(member).alias("first"), F.max("b_doc").alias("last"), F.count("*").alias("n")).where("first.doc != last").select(*group, "first", "n"), scope)
         again = spread(sides, first, group, frequent(first, sides.count(), group), scope, "merge").where(member != F.col("first"))

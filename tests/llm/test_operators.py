@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -511,6 +512,66 @@ def test_near_passages_where_a_third_document_holds_the_middle(spark):
     assert all(len(x) == 1 and 74 <= x[0][0] <= 80 and 51 <= x[0][1] <= 61 for x in got.values())
 
 
+def shingle_sets(text):
+    w = words_of(text)
+    return {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+
+
+@pytest.mark.parametrize("edit", ["change", "insert", "delete"])
+@pytest.mark.parametrize("earlier", ["none", "middle", "sides"])
+def test_recall_of_edited_passages(spark, edit, earlier):
+    """Passages of 60 and 100 words with one word changed, inserted or deleted
+    anywhere; their middle, or both sides of the edit, may stand in earlier
+    documents. All hold by brute-force Jaccard; 0.9 of them must be found."""
+    rng, rows, edited = random.Random(f"{edit}{earlier}"), [], {}
+    fresh = lambda n: prose(rng.randrange(10**9), n).split()
+    add = lambda *parts: rows.append((len(rows), " ".join(w for p in parts for w in p)))
+    for k in range(60):
+        w = fresh(60 if k % 2 else 100)
+        at = len(w) // 2 if earlier == "sides" or k % 3 else rng.randrange(6, len(w) - 6)
+        other = [*w[:at], *([f"new{k}"] if edit != "delete" else []), *w[at + (edit != "insert") :]]
+        a, b = shingle_sets(" ".join(w)), shingle_sets(" ".join(other))
+        assert len(a & b) >= 0.8 * len(a | b)
+        if earlier == "middle":
+            add(fresh(50), w[12:47], fresh(50))
+        if earlier == "sides":
+            add(fresh(40), w[:at], fresh(40))
+            add(fresh(40), w[at + 1 :], fresh(40))
+        add(fresh(60), w, fresh(60))
+        add(fresh(70), other, fresh(50))
+        edited[len(rows) - 1] = len(other)
+    got = {}
+    for r in passages.repeats(docs(spark, rows)).collect():
+        got.setdefault(r.doc_id, set()).update(range(r.start, r.start + r.n_words))
+    assert not set(got) - set(edited)
+    whole = [i for i, n in edited.items() if set(range(80, 60 + n)) <= got.get(i, set()) <= set(range(70, 70 + n))]
+    assert len(whole) >= 0.9 * len(edited), (len(got), len(whole))
+
+
+def test_runs_are_brute_force():
+    """Every window of PASSAGE words whose ends agree, against sets of shingles."""
+    rng = random.Random(8)
+    for _ in range(30):
+        a = [rng.randrange(1, 500) for _ in range(150)]
+        b = a[20:130]
+        for _ in range(rng.randrange(1, 5)):
+            k = rng.randrange(len(b))
+            b[k : k + rng.randrange(2)] = [rng.randrange(1, 500) for _ in range(rng.randrange(2))]
+        grams = lambda x: [tuple(x[k : k + 5]) for k in range(len(x) - 4)]
+        ga, gb = grams(a), grams(b)
+        covered = set()
+        for s in range(len(b) - passages.PASSAGE + 1):
+            own = gb[s : s + passages.PASSAGE - 4]
+            if own[0] in ga and own[-1] in ga:
+                there = set(ga[ga.index(own[0]) : ga.index(own[-1]) + 1])
+                if len(there & set(own)) >= 0.8 * len(there | set(own)):
+                    covered |= set(range(s, s + passages.PASSAGE))
+        found = passages.runs(np.array(a, "<u4"), np.array(b, "<u4"), 20)
+        spanned = {k for s, n in found for k in range(s, s + n)}
+        assert covered <= spanned and bool(covered) == bool(spanned)
+        assert all(gb[k] in ga for s, n in found for k in (s, s + n - 5))
+
+
 def test_passages_of_one_hot_line(spark, monkeypatch):
     """A line of 40 words in most texts, with families around it; its keys
     count as frequent."""
