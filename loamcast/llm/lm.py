@@ -33,16 +33,16 @@ from pyspark.sql import functions as F
 from .common import Scratch, held_out, table, text_blocks, written
 from .vectors import combined
 
-HEAD, CLASSES = 384, 128  # units of single words and of classes
+HEAD, CLASSES = 256, 96  # units of single words and of classes
 CONTEXT, DIM = 3, 24
 DISCOUNT = 0.5
 KNOWN = 1 << 18  # tokens whose counts every worker holds; those of all others are joined
 BUCKETS = 16  # steps of a frequency's doubling in which KNOWN is found
 HELD = 1 << 18  # tokens that a worker counts before it passes them on
 ROUNDS = 3  # a text is in one round; after each, parameters are averaged
-STEP, NOISE, RATE = 2048, 64, 0.15  # tokens and noise samples of a training step; Adagrad's rate
+STEP, NOISE, RATE = 2048, 32, 0.15  # tokens and noise samples of a training step; Adagrad's rate
 TOKENS = 1 << 15  # tokens that are scored at once
-CELLS = 1 << 20  # numbers of a block of the matrix product
+CELLS = 1 << 19  # numbers of a block of the matrix product
 SLICE = 1 << 20  # bytes of a text that are split at once
 END = b""  # the closing token; no word is empty
 SPACE = re.compile(rb"[\x20\x09-\x0D]")
@@ -202,30 +202,35 @@ class Model:
         the nearest first); a block of the softmax at a time."""
         weighed = [self.context * p for p in self.places]
         right = np.ascontiguousarray(np.hstack([self.target, (self.bias + self.frequency)[:, None]]).T)
-        ones = np.ones(right.shape[1], np.float32)
+        ones, reach = np.ones(right.shape[1], np.float32), np.sqrt((right[:-1] ** 2).sum(axis=0).max())
+        most = 80 - np.abs(right[-1]).max()
         out, step = np.empty(len(units)), max(1, CELLS // right.shape[1])
+        lefts, products = np.ones((step, DIM + 1), np.float32), np.empty((step, right.shape[1]), np.float32)
         for start in range(0, len(units), step):
-            spots = slice(start, start + step)
-            left = np.ones((len(units[spots]), DIM + 1), np.float32)
-            left[:, :DIM] = sum(w[contexts[spots, j]] for j, w in enumerate(weighed))
-            scores = left @ right
-            chosen = scores[np.arange(len(left)), units[spots]].astype(float)
-            top = scores.max(initial=-80.0)
-            if top > 80:
+            block, chosen_units = contexts[start : start + step], units[start : start + step]
+            left, scores = lefts[: len(block)], products[: len(block)]
+            left[:, :DIM] = weighed[0][block[:, 0]]
+            for j in range(1, CONTEXT):
+                left[:, :DIM] += weighed[j][block[:, j]]
+            np.matmul(left, right, out=scores)
+            chosen = scores[np.arange(len(block)), chosen_units].astype(float)
+            # Within reach exp() neither overflows nor vanishes, so no row needs its maximum.
+            if np.sqrt(np.einsum("ij,ij->i", left[:, :DIM], left[:, :DIM]).max(initial=0)) * reach > most:
                 high = scores.max(axis=1, keepdims=True)
                 scores -= high
                 chosen -= high[:, 0]
             np.exp(scores, out=scores)
-            out[spots] = (chosen - np.log(scores @ ones)) / np.log(10)
+            out[start : start + step] = (chosen - np.log(scores @ ones)) / np.log(10)
         return out
 
 
 def _added(ids: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
     """The rows of each id added up."""
     order = np.argsort(ids, kind="stable")
-    present, starts = np.unique(ids[order], return_index=True)
-    out = np.zeros((size, *rows.shape[1:]), np.float32)
-    out[present] = np.add.reduceat(rows[order], starts, axis=0)
+    sorted_ids = ids[order]
+    starts = np.append(0, np.flatnonzero(sorted_ids[1:] != sorted_ids[:-1]) + 1)
+    out = np.zeros((size, *rows.shape[1:]), rows.dtype)
+    out[sorted_ids[starts]] = np.add.reduceat(rows[order], starts, axis=0)
     return out
 
 
@@ -245,16 +250,21 @@ class Trainer:
         A unit's odds against noise are its score over its frequency, so
         frequencies cancel; all tokens of a step share one set of noise."""
         m, size = self.model, len(self.model.bias)
-        vectors = [m.context[contexts[:, j]] for j in range(CONTEXT)]
-        made = sum(v * p for v, p in zip(vectors, m.places))
-        true, false = m.target[units], m.target[noise]
-        yes = -1 / (1 + np.exp(np.clip((made * true).sum(axis=1) + m.bias[units] - np.log(len(noise)), -30, 30)))
-        no = 1 / (1 + np.exp(np.clip(np.log(len(noise)) - made @ false.T - m.bias[noise], -30, 30)))
+        weighed = [m.context * p for p in m.places]
+        made = sum(w[contexts[:, j]] for j, w in enumerate(weighed))
+        true, false, odds = m.target[units], m.target[noise], np.float32(np.log(len(noise)))
+        yes = -1 / (1 + np.exp(np.clip(np.einsum("ij,ij->i", made, true) + m.bias[units] - odds, -30, 30)))
+        no = made @ false.T
+        no += m.bias[noise] - odds
+        np.negative(no, out=no)
+        np.exp(np.minimum(no, 30, out=no), out=no)
+        no += 1
+        np.reciprocal(no, out=no)
         back = yes[:, None] * true + no @ false
-        context = sum(_added(contexts[:, j], back * m.places[j], size) for j in range(CONTEXT))
-        target = _added(units, yes[:, None] * made, size) + _added(noise, no.T @ made, size)
-        places = np.stack([(back * v).sum(axis=0) for v in vectors])
-        return [context, target, places, _added(units, yes, size) + _added(noise, no.sum(axis=0), size)]
+        each = [_added(contexts[:, j], back, size) for j in range(CONTEXT)]
+        own, noised = _added(units, np.hstack([made * yes[:, None], yes[:, None]]), size), np.hstack([no.T @ made, no.sum(axis=0)[:, None]])
+        np.add.at(own, noise, noised)
+        return [sum(e * p for e, p in zip(each, m.places)), own[:, :-1], np.stack([(e * m.context).sum(axis=0) for e in each]), own[:, -1]]
 
     def step(self, contexts: np.ndarray, units: np.ndarray) -> None:
         noise = np.minimum(np.searchsorted(self.noise, self.rng.random(NOISE) * self.noise[-1]), len(self.noise) - 1)
@@ -281,10 +291,12 @@ class Encoder:
             units = np.zeros(len(tokens), np.int32)
         else:
             units = self.words.unit[places]
-        for k in np.flatnonzero(places < 0):
-            units[k] = len(self.words.head) + word_class(tokens[k])
+        unknown = np.flatnonzero(places < 0)
+        if len(unknown):
+            lost = [tokens[k] for k in unknown.tolist()]
+            units[unknown] = [len(self.words.head) + word_class(t) for t in lost]
             if rest is not None:
-                rest[tokens[k]] += 1
+                rest.update(lost)
         return units, places
 
     def runs(self, text: bytes, each=None, rest: Counter | None = None) -> Iterator[np.ndarray]:
