@@ -101,7 +101,7 @@ def test_scores_are_brute_force(spark, monkeypatch, known):
 def test_probabilities_add_to_one(spark):
     words = lm.vocabulary(lm.counted(table_of(spark, [(k, prose(k, 400, 2000)) for k in range(4)])))
     model = random_model(len(words.head) + lm.CLASSES)
-    contexts = np.array([[3, 9, 400], [0, 0, 0]])
+    contexts = np.array([[3, 9, 300], [0, 0, 0]])
     for context in contexts:
         units = 10 ** model.log10(np.tile(context, (len(model.bias), 1)), np.arange(len(model.bias)))
         assert units.sum() == pytest.approx(1, abs=1e-5)
