@@ -22,6 +22,11 @@ LOW = 0.02425
 # Abramowitz and Stegun 26.2.17.
 P, T = 0.2316419, (1.330274429, -1.821255978, 1.781477937, -0.356563782, 0.319381530, 0.0)
 
+# J. F. Hart's rational approximation of the normal tail, to double precision.
+HART_UP = (3.52624965998911e-02, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871, 221.213596169931, 220.206867912376)
+HART_DOWN = (8.83883476483184e-02, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752)
+HART_EDGE, HART_ROOT = 7.07106781186547, 2.506628274631
+
 
 def number(x: float) -> str:
     return f"{x:.17e}"
@@ -49,6 +54,16 @@ def pnorm_sql(z: str) -> str:
     return f"(CASE WHEN ({z}) > 0e0 THEN 1e0 - {tail} ELSE {tail} END)"
 
 
+def tail_sql(z: str) -> str:
+    """Text of the probability above z, with small tails in full precision;
+    phi(z) is the tail of -z."""
+    x = f"abs({z})"
+    near = f"{polynomial(HART_UP, x)} / {polynomial(HART_DOWN, x)}"
+    far = f"1e0 / ({x} + 1e0 / ({x} + 2e0 / ({x} + 3e0 / ({x} + 4e0 / ({x} + 65e-2))))) / {number(HART_ROOT)}"
+    small = f"(CASE WHEN {x} > 37e0 THEN 0e0 WHEN {x} < {number(HART_EDGE)} THEN exp(-({z}) * ({z}) / 2e0) * {near} ELSE exp(-({z}) * ({z}) / 2e0) * {far} END)"
+    return f"(CASE WHEN ({z}) > 0e0 THEN {small} ELSE 1e0 - {small} END)"
+
+
 def uniform(*parts: Column | str | int) -> Column:
     """A draw in (0, 1) that depends on the given parts alone, so it doesn't
     change with the partitioning."""

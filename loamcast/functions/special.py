@@ -73,7 +73,12 @@ def beta_fit(values: np.ndarray, low: float, high: float, steps: int = 15) -> tu
     mean, var = y.mean(axis=1), np.maximum(y.var(axis=1, ddof=1), 1e-9)
     common = mean * (1 - mean) / var - 1
     a, b = np.maximum(mean * common, 0.1), np.maximum((1 - mean) * common, 0.1)
-    ga, gb = np.log(y).mean(axis=1), np.log1p(-y).mean(axis=1)
+    return beta_newton(np.log(y).mean(axis=1), np.log1p(-y).mean(axis=1), a, b, steps)
+
+
+def beta_newton(ga: np.ndarray, gb: np.ndarray, a: np.ndarray, b: np.ndarray, steps: int = 15) -> tuple[np.ndarray, np.ndarray]:
+    """Both shapes from the mean logarithms of the values and of what they
+    leave to 1, starting at a and b."""
     for _ in range(steps):
         whole = digamma(a + b)
         f, g = digamma(a) - whole - ga, digamma(b) - whole - gb
@@ -84,6 +89,57 @@ def beta_fit(values: np.ndarray, low: float, high: float, steps: int = 15) -> tu
     return a, b
 
 
+def gamma_shape(gap: np.ndarray, steps: int = 30) -> np.ndarray:
+    """Maximum-likelihood shape from the logarithm of the mean less the mean
+    of the logarithms, which is above 0."""
+    s = np.maximum(np.asarray(gap, float), 1e-14)
+    k = (3 - s + np.sqrt((s - 3) ** 2 + 24 * s)) / (12 * s)
+    for _ in range(steps):
+        k = np.maximum(k - (np.log(k) - digamma(k) - s) / (1 / k - trigamma(k)), k / 4)
+    return k
+
+
+def gamma_cdf(x: np.ndarray, shape: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(below, above): regularised incomplete gamma functions at x for rate 1;
+    a power series below the shape, a continued fraction above it, each as
+    long as the slowest needs."""
+    x, a = np.broadcast_arrays(np.maximum(np.asarray(x, float), 0), np.asarray(shape, float))
+    x, a = x.copy(), a.copy()
+    with np.errstate(divide="ignore"):
+        front = np.exp(a * np.log(x) - x - LGAMMA(a))
+    low = x < a + 1
+    below, above = np.zeros(len(x)), np.ones(len(x))
+    if low.any():
+        y, b = x[low], a[low]
+        term = total = 1 / b
+        k = 1
+        while (term > 1e-17 * total).any():
+            term = term * y / (b + k)
+            total = total + term
+            k += 1
+        below[low] = front[low] * total
+        above[low] = 1 - below[low]
+    if (~low).any():
+        y, b = x[~low], a[~low]
+        tiny = 1e-300
+        t = y + 1 - b
+        c, d = np.full(len(y), 1 / tiny), 1 / t
+        h = d.copy()
+        k = 1
+        while True:
+            up = -k * (k - b)
+            t = t + 2
+            d = 1 / np.where(np.abs(up * d + t) < tiny, tiny, up * d + t)
+            c = np.where(np.abs(t + up / c) < tiny, tiny, t + up / c)
+            h = h * d * c
+            k += 1
+            if (np.abs(d * c - 1) < 1e-15).all() or k > 100_000:
+                break
+        above[~low] = front[~low] * h
+        below[~low] = 1 - above[~low]
+    return below, above
+
+
 def beta_draw(lo: Column, mid: Column, hi: Column, u: Column, low: float, high: float) -> Column:
     """Column of draws from the Beta that fits each row's triplet on the
     support; null where an input is."""

@@ -6,10 +6,10 @@ fold; draws are hashed from (cokey, sim, hz).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.normal import uniform
+from ..functions.normal import qnorm_sql, uniform
 from ..functions.scalar import quantile_triangular
 
 #: Boundary distinctness of general horizons, and half of a
@@ -115,3 +115,58 @@ def out_of_range(layers: DataFrame, horizons: DataFrame, on: list[str]) -> DataF
     """Simulated layers that begin above or end below the horizon's range."""
     ranges = horizons.groupBy(*on).agg(F.min("hzdept_l").alias("hzdept_l"), F.max("hzdepb_h").alias("hzdepb_h"))
     return layers.join(ranges, on).where("top < hzdept_l or bottom > hzdepb_h")
+
+
+def perturbed(layers: DataFrame, keys: list[str], seed: int = 1, least: float = 1.0) -> DataFrame:
+    """Layers (keys, hz, top, bottom, thickness_sd, bound_sd) with new tops and
+    bottoms: (keys, hz, top, bottom).
+
+    First each thickness gets a normal offset of thickness_sd, and layers are
+    stacked from the first top; then each bottom gets one of bound_sd. Both
+    are rounded to whole cm; a layer is never thinner than `least`, and each
+    begins where the one above ends. Without an sd, or with 0, there is no
+    offset. Offsets are hashed from keys, hz and seed.
+    """
+    spread = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    drawn = layers.withColumns({f"__u{s}": uniform(*[F.col(k) for k in keys], F.col("hz"), s, seed) for s in ("thickness", "bound")})
+    drawn = drawn.withColumns({"__t": spread("thickness_sd") * F.expr(qnorm_sql("__uthickness")), "__b": spread("bound_sd") * F.expr(qnorm_sql("__ubound"))})
+    item = F.struct("hz", F.col("top").cast("double").alias("top"), F.col("bottom").cast("double").alias("bottom"), F.col("__t").alias("t"), F.col("__b").alias("b"))
+    rows = drawn.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("items"))
+
+    def step(done: Column, x: Column) -> Column:
+        last = F.get(done, F.size(done) - 1)
+        first = F.size(done) == 0
+        begins, top = F.when(first, x["top"]).otherwise(last["stacked"]), F.when(first, x["top"]).otherwise(last["bottom"])
+        thick = F.when(x["t"] == 0, x["bottom"] - x["top"]).otherwise(F.bround(x["bottom"] - x["top"] + x["t"], 0))
+        stacked = begins + F.greatest(thick, F.lit(least))
+        moved = F.when(x["b"] == 0, stacked).otherwise(F.bround(stacked + x["b"], 0))
+        return F.concat(done, F.array(F.struct(x["hz"].cast("int").alias("hz"), top.alias("top"), F.greatest(moved, top + least).alias("bottom"), stacked.alias("stacked"))))
+
+    done = F.aggregate("items", F.array().cast("array<struct<hz:int,top:double,bottom:double,stacked:double>>"), step)
+    return rows.select(*keys, F.explode(done).alias("x")).select(*keys, "x.hz", "x.top", "x.bottom")
+
+
+def replicated(horizons: DataFrame, counts: DataFrame) -> DataFrame:
+    """Horizons once for each replication 1..sim_comppct of their component,
+    in column sim; components without a count, or with 0, have none."""
+    counted = horizons.join(counts.select("cokey", "sim_comppct"), "cokey")
+    return counted.where("sim_comppct >= 1").withColumn("sim", F.explode(F.sequence(F.lit(1), F.col("sim_comppct").cast("int")))).drop("sim_comppct")
+
+
+def perturbed_profiles(horizons: DataFrame, counts: DataFrame, seed: int = 1) -> DataFrame:
+    """(cokey, sim, hz, top, bottom): each profile as often as its component
+    counts, perturbed by the spread of its simulated thicknesses and by the
+    distinctness of its boundaries, then held within its depth ranges.
+
+    counts: (cokey, sim_comppct). Profiles of one horizon are only repeated.
+    `bound_sd` is the mean of the profile's horizons of the same general name.
+    No layer ends above its top.
+    """
+    base = with_distinctness(with_variability(horizons)).withColumn("__layers", F.count("*").over(Window.partitionBy("cokey")))
+    rows = replicated(base, counts)
+    spread = thickness_spread(simulated(rows.where("__layers > 1"), ["cokey", "sim"], "mixed"), ["cokey"])
+    sds = base.where("__layers > 1").withColumn("__bound", F.avg("bound_sd").over(Window.partitionBy("cokey", "genhz"))).select("cokey", "hz", "__bound")
+    sds = sds.join(spread, ["cokey", "hz"], "left").select("cokey", "hz", "thickness_sd", F.col("__bound").alias("bound_sd"))
+    layers = rows.select("cokey", "sim", "hz", F.col("hzdept_r").alias("top"), F.col("hzdepb_r").alias("bottom")).join(sds, ["cokey", "hz"], "left")
+    held = clipped(perturbed(layers, ["cokey", "sim"], seed), base, ["cokey", "hz"])
+    return held.withColumn("bottom", F.greatest("top", "bottom"))

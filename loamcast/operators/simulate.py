@@ -61,11 +61,16 @@ def component_shares(components: DataFrame, n: int, seed: int = 1) -> DataFrame:
     return drawn.withColumn("share", F.col("v") * 100 / F.sum("v").over(Window.partitionBy("mukey", "sim")))
 
 
-def component_counts(components: DataFrame, n: int, seed: int = 1) -> DataFrame:
-    """Replications of each component: its draws summed, by 100, to even."""
-    drawn = realizations(components.select("cokey", "pct_l", "pct_r", "pct_h").distinct(), n)
+def component_counts(components: DataFrame, n: int = 1000, seed: int = 1) -> DataFrame:
+    """(cokey, sim_comppct): replications of each component, its n drawn
+    percentages summed, by 100, to even. A missing low or high percentage is 2
+    off; repeated rows count once."""
+    ranges = {"pct_l": F.coalesce("pct_l", F.col("pct_r") - 2), "pct_h": F.coalesce("pct_h", F.col("pct_r") + 2)}
+    # Few rows make many draws: they are dealt to all tasks, by the key that is grouped later.
+    parts = int(components.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    drawn = realizations(components.select("cokey", "pct_l", "pct_r", "pct_h").repartition(parts, "cokey").distinct().withColumns(ranges), n)
     v = quantile_triangular(F.col("pct_l"), F.col("pct_r"), F.col("pct_h"), uniform(F.col("cokey"), F.col("sim"), seed))
-    return drawn.groupBy("cokey").agg(F.bround(F.sum(v) / 100, 0).alias("sim_comppct"))
+    return drawn.groupBy("cokey").agg(F.bround(F.sum(v) / 100, 0).cast("long").alias("sim_comppct"))
 
 
 def constrained(draws: DataFrame, ranges: dict[str, tuple[float, float]], parts: list[str], total: float, ordered: list[tuple[str, str]]) -> DataFrame:
