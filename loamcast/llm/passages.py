@@ -45,8 +45,8 @@ PASSAGE = 51  # words: repeats of more than 50 go
 PARAGRAPH, SIZE, REACH = 25, 5, 10  # PASSAGE words have a whole paragraph on one side of a changed one
 LENGTH = SIZE + REACH  # words of a band key
 SIMILAR = 0.8
-DRIFT = 12  # words: more inserted or deleted ones leave fewer shared shingles in PASSAGE words than SIMILAR asks
-NEAR, STEPS = 4, 3  # places behind a departure at which texts may meet again, and steps in which they are asked for it
+DRIFT = 3  # words: three inserted or deleted ones leave fewer shared shingles in PASSAGE words than SIMILAR asks
+NEAR, STEPS = 4, 1  # places behind a departure at which texts may meet again, and steps in which they are asked for it
 GRAIN = 64  # words: ends of the stretches that are compared are rounded to it
 BLOCK = 4 << 20
 
@@ -121,6 +121,8 @@ def aligned(a: np.ndarray, b: np.ndarray, lag: int) -> np.ndarray:
         if lo < hi:
             at = lo + np.flatnonzero((gb[lo:hi] == ga[lo + lag + d : hi + lag + d]) & (out[lo:hi] < 0))
             out[at] = at + lag + d
+        if d == 0 and not np.isin(gb[out < 0], ga).any():
+            break
     return out
 
 
