@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -85,6 +86,31 @@ def _beta_shapes(lo: Column, mid: Column, hi: Column, bounds: tuple[float, float
     return F.pandas_udf(shapes, "array<double>")(lo, mid, hi)
 
 
+def _params(setup: Setup, lo: Column, mid: Column, hi: Column) -> Column:
+    """Parameters of the families that a setup can resolve to, by __family;
+    null for beta, which is fitted in vectors."""
+    if setup.family not in (*families.FAMILIES, "auto"):
+        raise ValueError(f"unknown family {setup.family}")
+    span = NormalDist().inv_cdf(setup.probs[1]) - NormalDist().inv_cdf(setup.probs[0])
+    flat = F.abs(hi - lo) < 1.5e-8 * F.greatest(F.abs(lo), F.lit(1e-12))
+    found = {"triangular": F.when(flat, F.array(mid, mid, mid)).otherwise(F.array(lo, mid, hi))}
+    if setup.family in ("normal", "lognormal", "auto"):
+        found["normal"] = F.array(mid, (hi - lo) / span)
+    if setup.family in ("lognormal", "auto"):
+        found["lognormal"] = F.array(F.log(mid), (F.log(hi) - F.log(lo)) / span)
+    if setup.family == "uniform":
+        found["uniform"] = F.array(lo, hi)
+    if setup.family == "linear_cdf":
+        found["linear_cdf"] = F.array(lo, mid, hi)
+    if setup.family == "metalog":
+        a = families.metalog([lo, mid, hi], [setup.probs[0], 0.5, setup.probs[1]])
+        found["metalog"] = F.array(*a, families.infeasible(a).cast("double"))
+    out = F.lit(None).cast("array<double>")
+    for name, p in found.items():
+        out = F.when(F.col("__family") == name, p).otherwise(out)
+    return out
+
+
 def fitted(rows: DataFrame, properties: dict[str, Setup]) -> DataFrame:
     """rows with prior_<property>, from its columns _l, _r and _h.
 
@@ -93,51 +119,63 @@ def fitted(rows: DataFrame, properties: dict[str, Setup]) -> DataFrame:
     r, with source "fallback"; without r the prior is null.
     """
     for name, setup in properties.items():
-        r = F.col(f"{name}_r").cast("double")
-        r = F.when(finite(r), r)
-        held = lambda c: F.when(finite(F.col(c).cast("double")), F.col(c).cast("double"))
-        lo, hi = F.least(F.coalesce(held(f"{name}_l"), r - SPREAD * F.abs(r)), r), F.greatest(F.coalesce(held(f"{name}_h"), r + SPREAD * F.abs(r)), r)
-        lo, hi = F.when(r.isNotNull(), lo), F.when(r.isNotNull(), hi)
-        whole = finite(F.coalesce(F.col(f"{name}_l").cast("double"), F.lit(float("nan")))) & finite(F.coalesce(F.col(f"{name}_h").cast("double"), F.lit(float("nan"))))
-        fit = families.fit(lo, r, hi, setup.family, setup.probs, setup.bounds)
-        rows = rows.withColumn("__fit", fit)
-        p = F.col("__fit.p")
+        # Steps are columns of their own, so that expressions stay small.
+        held = {c: F.col(f"{name}_{c}").cast("double") for c in "lrh"}
+        rows = rows.withColumns({f"__{c}": F.when(finite(x), x) for c, x in held.items()})
+        r, spread = F.col("__r"), SPREAD * F.abs("__r")
+        rows = rows.withColumns({"__lo": F.when(r.isNotNull(), F.least(F.coalesce("__l", r - spread), r)), "__hi": F.when(r.isNotNull(), F.greatest(F.coalesce("__h", r + spread), r))})
+        lo, hi = F.col("__lo"), F.col("__hi")
+        whole = F.col("__l").isNotNull() & F.col("__h").isNotNull()
+        rows = rows.withColumn("__family", families.resolved(F.lit(setup.family), lo, r, hi, setup.bounds))
+        p = _params(setup, lo, r, hi)
         if setup.bounds and setup.family in ("auto", "beta"):
-            p = F.when(F.col("__fit.family") == "beta", _beta_shapes(lo, r, hi, setup.bounds)).otherwise(p)
-        good = F.coalesce(families.check(F.struct(F.col("__fit.family").alias("family"), F.col("__fit.valid").alias("valid"), F.col("__fit.p").alias("p")))["valid"], F.lit(False))
-        fallback = _prior("triangular", F.array(r - SPREAD * F.abs(r), r, r + SPREAD * F.abs(r)), "fallback")
-        own = _prior(F.col("__fit.family"), p, F.when(whole, "triplet").otherwise("estimated"))
-        rows = rows.withColumn(f"prior_{name}", F.when(r.isNull(), F.lit(None).cast(PRIOR)).when(good & F.col("__fit.p").isNotNull(), own).otherwise(fallback)).drop("__fit")
+            p = F.when(F.col("__family") == "beta", _beta_shapes(lo, r, hi, setup.bounds)).otherwise(p)
+        fallback = _prior("triangular", F.array(r - spread, r, r + spread), "fallback")
+        rows = rows.withColumn("__params", p)
+        rows = rows.withColumn("__good", F.coalesce(F.forall("__params", finite), F.lit(False)))
+        own = _prior(F.col("__family"), F.col("__params"), F.when(whole, "triplet").otherwise("estimated"))
+        rows = rows.withColumn(f"prior_{name}", F.when(r.isNull(), F.lit(None).cast(PRIOR)).when(F.col("__good"), own).otherwise(fallback))
+        rows = rows.drop("__l", "__r", "__h", "__lo", "__hi", "__family", "__params", "__good")
     return rows
 
 
-def quantile(prior: Column, u: str, probs: tuple[float, float] = (0.05, 0.95)) -> Column:
-    """The value of a prior at the probability in column u; null without."""
-    f, x = prior["family"], F.col(u)
-    p = [F.get(prior["p"], F.lit(i)) for i in range(4)]
-    z = F.expr(qnorm_sql(u))
-    values = prior["p"]
-    at = x * F.size(values) - 0.5  # a sorted sample's k-th value of n stands at (k - 1/2) / n
-    low = F.greatest(F.least(F.floor(at), F.size(values) - 1), F.lit(0)).cast("int")
-    high = F.least(low + 1, F.size(values) - 1).cast("int")
-    share = F.least(F.greatest(at - low, F.lit(0.0)), F.lit(1.0))
-    out = F.when(f == "triangular", quantile_triangular(p[0], p[1], p[2], x)).when(f == "uniform", p[0] + x * (p[1] - p[0]))
-    out = out.when(f == "normal", p[0] + p[1] * z).when(f == "lognormal", F.exp(p[0] + p[1] * z))
-    out = out.when(f == "linear_cdf", quantile_linear(list(zip((probs[0], 0.5, probs[1]), p[:3])), x))
-    out = out.when((f == "metalog") & (p[3] == 1), p[0]).when(f == "metalog", families.metalog_at(p[:3], x))
-    out = out.when(f == "empirical", F.get(values, low) * (1 - share) + F.get(values, high) * share)
+def outcomes(setup: Setup, observed: Observed | None = None) -> tuple[str, ...]:
+    """The families that a prior of this setup can have, after fusion."""
+    usual = {"auto": ("beta",) if setup.bounds else ("normal", "lognormal"), "lognormal": ("normal", "lognormal")}.get(setup.family, (setup.family,))
+    return tuple(dict.fromkeys(("triangular", *usual, *(("empirical",) if observed and observed.sample else ()))))
 
-    def beta(frames: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for family, params, us in frames:
-            found = np.full(len(us), np.nan)
-            at = np.flatnonzero((family == "beta").to_numpy())
-            if len(at):
-                a, b, lo, hi = np.array([params.iloc[k] for k in at], float).T
-                found[at] = lo + (hi - lo) * special.beta_quantile(us.to_numpy(float)[at], a, b)
-            yield pd.Series(found)
 
-    shapes = F.when(f == "beta", prior["p"]).otherwise(F.lit(None).cast("array<double>"))
-    return F.when(f == "beta", F.pandas_udf(beta, "double")(f, shapes, x)).otherwise(out)
+def _beta_at(frames: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for params, us in frames:
+        found = np.full(len(us), np.nan)
+        at = np.flatnonzero(params.notna().to_numpy())
+        if len(at):
+            a, b, lo, hi = np.array([params.iloc[k] for k in at], float).T
+            found[at] = lo + (hi - lo) * special.beta_quantile(us.to_numpy(float)[at], a, b)
+        yield pd.Series(found)
+
+
+def quantile(prior: Column, u: str, kinds: tuple[str, ...] = (*families.FAMILIES, "empirical"), probs: tuple[float, float] = (0.05, 0.95)) -> Column:
+    """The value of a prior at the probability in column u; null without.
+    kinds: the families that occur; others are null."""
+    f, x, values = prior["family"], F.col(u), prior["p"]
+    p = [F.get(values, F.lit(i)) for i in range(4)]
+    z = F.expr(qnorm_sql(u))
+    size = F.size(values)
+    at = x * size - 0.5  # a sorted sample's k-th value of n stands at (k - 1/2) / n
+    low = F.greatest(F.least(F.floor(at), size - 1), F.lit(0)).cast("int")
+    share = F.least(F.greatest(at - low, F.lit(0.0)), F.lit(1.0))
+    through = lambda: quantile_linear([(q, families.metalog_at(p[:3], F.lit(q))) for q in (probs[0], 0.5, probs[1])], x)
+    known = {
+        "triangular": lambda: quantile_triangular(p[0], p[1], p[2], x), "uniform": lambda: p[0] + x * (p[1] - p[0]), "normal": lambda: p[0] + p[1] * z, "lognormal": lambda: F.exp(p[0] + p[1] * z),
+        "linear_cdf": lambda: quantile_linear(list(zip((probs[0], 0.5, probs[1]), p[:3])), x), "metalog": lambda: F.when(p[3] == 1, through()).otherwise(families.metalog_at(p[:3], x)),
+        "empirical": lambda: F.get(values, low) * (1 - share) + F.get(values, F.least(low + 1, size - 1)) * share,
+        "beta": lambda: F.pandas_udf(_beta_at, "double")(F.when(f == "beta", values), x),
+    }
+    out = F.lit(None).cast("double")
+    for kind in kinds:
+        out = F.when(f == kind, known[kind]()).otherwise(out)
+    return out
 
 
 def fused(rows: DataFrame, name: str, observed: Observed, keys: list[str], n: int = 1000, seed: int = 1) -> DataFrame:
@@ -160,7 +198,9 @@ def fused(rows: DataFrame, name: str, observed: Observed, keys: list[str], n: in
         return posted.withColumn(f"prior_{name}", F.when(prior.isNotNull() & F.col("__post").isNotNull(), changed).otherwise(prior)).drop("__rid", "__a", "__b", "__post")
     if observed.mean is None and observed.shapes is None:
         raise ValueError("observed data are a sample, a mean with sd or var, or beta shapes")
-    p = [F.get(prior["p"], F.lit(i)) for i in range(4)]
+    steps = [f"__p{i}" for i in range(4)]
+    rows = rows.withColumns({c: F.get(prior["p"], F.lit(i)) for i, c in enumerate(steps)})
+    p = [F.col(c) for c in steps]
     f, out = prior["family"], F.when(prior.isNull(), prior)
     sd = observed.sd if observed.sd is not None else observed.var**0.5 if observed.var is not None else None
     if observed.mean is not None and sd is not None:
@@ -176,20 +216,20 @@ def fused(rows: DataFrame, name: str, observed: Observed, keys: list[str], n: in
     else:
         scaled = moments_to_beta((F.lit(float(observed.mean)) - p[2]) / width, F.lit(float(sd) ** 2) / (width * width))
         a, b = scaled["alpha"], scaled["beta"]
-    both = fuse_beta(p[0], p[1], a, b)
+    is_beta = f == "beta"
+    rows = rows.withColumns({"__a": F.when(is_beta, a), "__b": F.when(is_beta, b)})
     moments = lambda x, y: (x / (x + y), F.sqrt(x * y / ((x + y) * (x + y) * (x + y + 1))))
-    (m1, s1), (m2, s2) = moments(p[0], p[1]), moments(a, b)
-    normal = update_normal(m1, s1, m2, s2)
+    (m1, s1), (m2, s2) = (moments(F.when(is_beta, x), F.when(is_beta, y)) for x, y in ((p[0], p[1]), (F.col("__a"), F.col("__b"))))
+    rows = rows.withColumns({"__both": fuse_beta(p[0], p[1], F.col("__a"), F.col("__b")), "__normal": update_normal(m1, s1, m2, s2)})
+    both, normal = F.col("__both"), F.col("__normal")
     back = moments_to_beta(normal["mu"], normal["sigma"] * normal["sigma"])
     alpha, beta = F.when(both["feasible"], both["alpha"]).otherwise(back["alpha"]), F.when(both["feasible"], both["beta"]).otherwise(back["beta"])
     out = out.when(f == "beta", _prior("beta", F.array(alpha, beta, p[2], p[3]), "fused_beta")).otherwise(prior)
-    return rows.withColumn(f"prior_{name}", out)
+    return rows.withColumn(f"prior_{name}", out).drop(*steps, "__a", "__b", "__both", "__normal")
 
 
 def _sampled(prior: Column, u: Column, n: int) -> Column:
     """A prior's values at each of an array of probabilities, in vectors."""
-    from statistics import NormalDist
-
     z = np.array([NormalDist().inv_cdf((k - 0.5) / n) for k in range(1, n + 1)])
     probs = (np.arange(n) + 0.5) / n
 
@@ -231,10 +271,12 @@ def summary(rows: DataFrame, properties: list[str]) -> DataFrame:
     return rows.select(F.explode(parts).alias("x")).select("x.*").groupBy("property", "family", "source").agg(F.count("*").alias("n"))
 
 
-def simulated(rows: DataFrame, properties: list[str], keys: list[str], n: int, matrix: list[list[float]], seed: int = 1) -> DataFrame:
+def simulated(rows: DataFrame, properties: dict[str, tuple[str, ...]], keys: list[str], n: int, matrix: list[list[float]], seed: int = 1) -> DataFrame:
     """(keys, sim, one column a property): n draws of each row's priors, under
-    the Gaussian copula of `matrix`. A property without a prior is null."""
-    draws = rows.select(*keys, *[f"prior_{p}" for p in properties]).withColumn("sim", F.explode(F.sequence(F.lit(1), F.lit(n))))
-    out = correlated_uniforms(draws, [*keys, "sim"], properties, matrix, seed)
-    out = out.withColumns({p: quantile(F.col(f"prior_{p}"), f"u_{p}") for p in properties})
-    return out.select(*keys, "sim", *properties)
+    the Gaussian copula of `matrix`. properties: name and families that occur,
+    from outcomes(). A property without a prior is null."""
+    names = list(properties)
+    draws = rows.select(*keys, *[f"prior_{p}" for p in names]).withColumn("sim", F.explode(F.sequence(F.lit(1), F.lit(n))))
+    out = correlated_uniforms(draws, [*keys, "sim"], names, matrix, seed)
+    out = out.withColumns({p: quantile(F.col(f"prior_{p}"), f"u_{p}", kinds) for p, kinds in properties.items()})
+    return out.select(*keys, "sim", *names)

@@ -34,7 +34,9 @@ def empirical(rows: DataFrame, keys: list[str], columns: list[str], least: int =
     whole = rows.dropna(subset=columns)
     pairs = list(combinations(columns, 2))
     r = {p: F.col(f"`{p[0]}|{p[1]}`") for p in pairs}
-    wide = whole.groupBy(*keys).agg(F.count("*").alias("n"), *[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
+    # corr() is an error where a column has no spread.
+    related = lambda a, b: F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+    wide = whole.groupBy(*keys).agg(F.count("*").alias("n"), *[related(a, b).alias(f"{a}|{b}") for a, b in pairs])
     good = F.col("n") > least
     for c in r.values():
         good = good & c.isNotNull() & ~F.isnan(c)

@@ -645,4 +645,4 @@ def simulation_scores(spark, sf_dir):
     return x.select("mukey", F.round("bias", 4).alias("bias"), F.round("relative", 8).alias("relative"), F.round("spread", 8).alias("spread"))
 
 
-from . import fits, judged, more  # noqa: E402, F401  (they register further queries)
+from . import fits, judged, models, more  # noqa: E402, F401  (they register further queries)
