@@ -51,7 +51,7 @@ def _weibull(rows: DataFrame, sums: DataFrame, keys: list[str], value: str) -> D
     """(keys, shape, scale) by Newton's method on power sums: one aggregate
     over the rows a round. Groups with a value that isn't positive, or without
     spread, have none."""
-    start = sums.where("lo > 0 and lv > 0").select(*keys, "n", "lm", (F.lit(np.pi / np.sqrt(6)) / F.sqrt("lv")).alias("shape"))
+    start = sums.where("lo > 0 and lo < hi").select(*keys, "n", "lm", (F.lit(np.pi / np.sqrt(6)) / F.sqrt("lv")).alias("shape"))
     t = F.log(value) - F.col("lm")  # about the mean logarithm, so powers stay in range
     for _ in range(WEIBULL_ROUNDS):
         power = F.exp(F.col("shape") * t)
@@ -77,11 +77,12 @@ def _solved(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         out = frame.copy()
         m, lm = frame["m"].to_numpy(float), frame["lm"].to_numpy(float)
-        good = (frame["lo"].to_numpy(float) > 0) & (frame["v"].to_numpy(float) > 0)
+        apart = frame["lo"].to_numpy(float) < frame["hi"].to_numpy(float)
+        good = apart & (frame["lo"].to_numpy(float) > 0)
         out["gamma_shape"] = np.nan
         if good.any():
             out.loc[good, "gamma_shape"] = special.gamma_shape(np.log(m[good]) - lm[good])
-        spread = frame["yv"].to_numpy(float) > 0
+        spread = apart & (frame["yv"].to_numpy(float) > 0)
         out["beta_a"] = out["beta_b"] = np.nan
         if spread.any():
             ym, yv, ga, gb = (frame[c].to_numpy(float)[spread] for c in ("ym", "yv", "ga", "gb"))
@@ -89,7 +90,7 @@ def _solved(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             out.loc[spread, "beta_a"], out.loc[spread, "beta_b"] = special.beta_newton(ga, gb, np.maximum(ym * common, 0.1), np.maximum((1 - ym) * common, 0.1), 40)
         for name, a in (("gamma_log", out["gamma_shape"]), ("beta_log", out["beta_a"]), ("beta_log2", out["beta_b"]), ("beta_log3", out["beta_a"] + out["beta_b"])):
             out[name] = special.LGAMMA(np.where(np.isfinite(a), a, 1.0))
-        yield out.drop(columns=["lo", "m", "lm", "v", "ym", "yv"])
+        yield out.drop(columns=["lo", "hi", "m", "lm", "ym", "yv"])
 
 
 def fitted(rows: DataFrame, keys: list[str], value: str, families: tuple[str, ...] = FAMILIES) -> DataFrame:
@@ -109,19 +110,19 @@ def fitted(rows: DataFrame, keys: list[str], value: str, families: tuple[str, ..
     if "weibull" in families:
         wide = wide.join(_weibull(x, sums, keys, "__x"), keys, "left")
     if {"gamma", "beta"} & set(families):
-        stats = sums.select(*keys, "lo", "m", "lm", "v").join(_beta_sums(x, sums, keys, "__x"), keys)
+        stats = sums.select(*keys, "lo", "hi", "m", "lm").join(_beta_sums(x, sums, keys, "__x"), keys)
         added = "low double, high double, ga double, gb double, gamma_shape double, beta_a double, beta_b double, gamma_log double, beta_log double, beta_log2 double, beta_log3 double"
         kinds = ", ".join(f"`{k}` {x.schema[k].dataType.simpleString()}" for k in keys)
         wide = wide.join(stats.mapInPandas(_solved, f"{kinds}, {added}"), keys)
     n, m, v, lm, lv = (F.col(c) for c in ("n", "m", "v", "lm", "lv"))
-    positive, none = F.col("lo") > 0, F.lit(None).cast("double")
+    positive, apart, none = F.col("lo") > 0, F.col("lo") < F.col("hi"), F.lit(None).cast("double")  # moments of equal values may be off by rounding
     gauss = lambda s: -0.5 * n * (F.log(2 * np.pi * s) + 1)
 
     def one(name: str, a: Column, b: Column, loglik: Column, count: int, when: Column, low: Column = none, high: Column = none) -> Column:
         parts = {"a": a, "b": b, "low": low, "high": high, "loglik": loglik, "aic": 2 * count - 2 * loglik, "bic": F.log(n) * count - 2 * loglik}
         return F.struct(F.lit(name).alias("family"), *[F.when(when, c).alias(k) for k, c in parts.items()])
 
-    known = {"normal": lambda: one("normal", m, F.sqrt(v), gauss(v), 2, v > 0), "lognormal": lambda: one("lognormal", lm, F.sqrt(lv), gauss(lv) - n * lm, 2, positive & (lv > 0)), "exponential": lambda: one("exponential", 1 / m, none, -n * (F.log(m) + 1), 1, positive)}
+    known = {"normal": lambda: one("normal", m, F.sqrt(v), gauss(v), 2, apart), "lognormal": lambda: one("lognormal", lm, F.sqrt(lv), gauss(lv) - n * lm, 2, positive & apart), "exponential": lambda: one("exponential", 1 / m, none, -n * (F.log(m) + 1), 1, positive)}
     if "weibull" in families:
         k, c = F.col("shape"), F.col("scale")
         known["weibull"] = lambda: one("weibull", k, c, n * (F.log(k) - k * F.log(c) + (k - 1) * lm - 1), 2, positive & k.isNotNull())
