@@ -34,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -111,28 +112,48 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def aligned(a: np.ndarray, b: np.ndarray, lag: int) -> np.ndarray:
-    """For each shingle of b, where the same one stands in a, at most DRIFT
+def aligned(a: np.ndarray, b: np.ndarray, lag: int, drift: int = DRIFT) -> np.ndarray:
+    """For each shingle of b, where the same one stands in a, at most `drift`
     words from where the lag puts it, the nearest first; else -1."""
-    ga, gb = (words.shingles(x.astype(np.uint64), SIZE) for x in (a, b))
-    out = np.full(len(gb), -1)
-    for d in sorted(range(-DRIFT, DRIFT + 1), key=abs):
-        lo, hi = max(0, -lag - d), min(len(gb), len(ga) - lag - d)
-        if lo < hi:
-            at = lo + np.flatnonzero((gb[lo:hi] == ga[lo + lag + d : hi + lag + d]) & (out[lo:hi] < 0))
-            out[at] = at + lag + d
-        if d == 0 and not np.isin(gb[out < 0], ga).any():
-            break
+    out = np.full(max(0, len(b) - SIZE + 1), -1)
+    lo, hi = max(0, -lag), min(len(b), len(a) - lag)
+    if hi - lo >= SIZE:
+        equal = np.append(0, np.cumsum(a[lo + lag : hi + lag] == b[lo:hi]))
+        at = lo + np.flatnonzero(equal[SIZE:] - equal[:-SIZE] == SIZE)
+        out[at] = at + lag
+    if drift:
+        ga, gb = (words.shingles(x.astype(np.uint64), SIZE) for x in (a, b))
+        for d in sorted(range(-drift, drift + 1), key=abs)[1:]:
+            lo, hi = max(0, -lag - d), min(len(gb), len(ga) - lag - d)
+            if lo < hi:
+                at = lo + np.flatnonzero((gb[lo:hi] == ga[lo + lag + d : hi + lag + d]) & (out[lo:hi] < 0))
+                out[at] = at + lag + d
     return out
 
 
-def runs(a: np.ndarray, b: np.ndarray, lag: int) -> list[tuple[int, int]]:
+def _meets(a: bytes, b: bytes, lag: int, place: int, way: int) -> bool:
+    """Whether the texts, which part at word `place` of b, meet again within
+    NEAR words that way, moved by up to DRIFT words."""
+    for o in range(NEAR):
+        first = place + o if way > 0 else place - o - SIZE + 1
+        gram = b[4 * max(first, 0) : 4 * (first + SIZE)]
+        if len(gram) == 4 * SIZE and a.find(gram, 4 * max(0, first + lag - DRIFT), 4 * max(0, first + lag + DRIFT + SIZE)) >= 0:
+            return True
+    return False
+
+
+def _key(gram: bytes, side: int) -> int:
+    """A shingle and a side as a signed 64-bit key."""
+    return (xxhash.xxh64_intdigest(gram) >> 2 << 1) | side
+
+
+def runs(a: np.ndarray, b: np.ndarray, lag: int, drift: int = DRIFT) -> list[tuple[int, int]]:
     """Stretches (first word in b, words) made of passages of PASSAGE words of
     b whose shingles, and those of a between the same ends, have a Jaccard
     similarity of SIMILAR or more; words may be changed, inserted or deleted.
     Both ends of a passage agree, and words next to it that agree belong to it."""
     n = PASSAGE - SIZE + 1
-    at = aligned(a, b, lag)
+    at = aligned(a, b, lag, drift)
     if len(at) < n:
         return []
     shared = np.append(0, np.cumsum(at >= 0))
@@ -169,20 +190,22 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             base, lag = b_lo * GRAIN, shift + (b_lo - a_lo) * GRAIN
             lo, hi = max(0, -lag), min(len(b), len(a) - lag)
             apart = lo + np.flatnonzero(a[lo + lag : hi + lag] != b[lo:hi])
-            grams = words.shingles(b.astype(np.uint64), SIZE).view(np.int64)
-            spans = [[s, n, True] for s, n in runs(a, b, lag)] if a_doc != b_doc else []
-            starts = np.array([s[0] for s in spans])
+            found = []
             for b_pos, b_last in sorted((x["b_pos"], x["b_last"]) for x in at):
                 p, end = b_pos - base, b_pos - base + LENGTH
-                k = int(np.searchsorted(starts, p, side="right")) - 1
-                span = spans[k] if k >= 0 and end <= spans[k][0] + spans[k][1] else None
                 i = int(np.searchsorted(apart, p))
                 left = int(apart[i - 1]) if i else (lo - 1 if lo else None)
                 right = int(apart[i]) if i < len(apart) else (hi if hi < len(b) else None)
-                left = None if left is None or p - left > PASSAGE else left
-                right = None if right is None or right - end >= PASSAGE else right
-                near = [] if left is None else [k & ~1 for k in grams[max(0, left - SIZE - NEAR + 2) : max(0, left - SIZE + 2)].tolist()]
-                near += [] if right is None else [k | 1 for k in grams[right : right + NEAR].tolist()]
+                found.append((b_pos, b_last, p, end, None if left is None or p - left > PASSAGE else left, None if right is None or right - end >= PASSAGE else right))
+            # One edit is all that PASSAGE words may hold, so texts that drift meet again next to where they part.
+            drift = any(left is not None and _meets(words_a, words_b, lag, left, -1) or right is not None and _meets(words_a, words_b, lag, right, 1) for *_, left, right in found) if a_doc != b_doc else False
+            spans = [[s, n, True] for s, n in runs(a, b, lag, DRIFT if drift else 0)] if a_doc != b_doc else []
+            starts = np.array([s[0] for s in spans])
+            for b_pos, b_last, p, end, left, right in found:
+                k = int(np.searchsorted(starts, p, side="right")) - 1
+                span = spans[k] if k >= 0 and end <= spans[k][0] + spans[k][1] else None
+                near = [] if left is None else [_key(words_b[4 * k : 4 * (k + SIZE)], 0) for k in range(max(0, left - SIZE - NEAR + 2), left - SIZE + 2)]
+                near += [] if right is None else [_key(words_b[4 * k : 4 * (k + SIZE)], 1) for k in range(right, min(right + NEAR, len(b) - SIZE + 1))]
                 left = None if left is None else (2 * (p - left) << 32) | int(b[left])
                 right = None if right is None else (2 * (right - end) + 1 << 32) | int(b[right])
                 size = 0 if span is None else max(span[1], b_last + LENGTH - base - span[0] if b_last > b_pos else 0)
