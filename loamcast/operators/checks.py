@@ -11,20 +11,29 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import special
 from . import stats
 
 
 def convergence(draws: DataFrame, sim: str, columns: list[str], batches: int = 5, tolerance: float = 0.05) -> DataFrame:
     """(column, change, converged): by how much the mean of the last batch of
-    realizations differs from that of the one before, in relation to it."""
-    last = draws.agg(F.max(sim).alias("top"), F.min(sim).alias("low")).first()
-    if last["top"] is None:
+    realizations differs from that of the one before, in relation to it.
+
+    Realizations are cut into batches of equal size by their order, whatever
+    their numbers; with fewer of them than batches, into as many. Without two
+    there is no row."""
+    count = draws.agg(F.count_distinct(sim).alias("n")).first()["n"]
+    n = min(batches, count)
+    if n < 2:
         return draws.sparkSession.createDataFrame([], "column string, change double, converged boolean")
-    n = max(2, min(batches, int(last["top"] - last["low"] + 1)))
-    batch = F.least(F.floor((F.col(sim) - last["low"]) * n / (last["top"] - last["low"] + 1)), F.lit(n - 1))
-    means = [F.avg(F.when(batch == k, F.col(c))).alias(f"{c}|{k}") for c in columns for k in (n - 2, n - 1)]
+    # The distinct realizations, of which there are as many as a simulation has draws.
+    numbers = draws.where(F.col(sim).isNotNull()).select(sim).distinct().withColumn("__k", F.row_number().over(Window.orderBy(sim)))
+    size = count / n
+    batch = F.least(F.floor((F.col("__k") - 1) / size), F.lit(n - 1))
+    late = numbers.withColumn("__batch", batch).where(F.col("__batch") >= n - 2).drop("__k")
+    means = [F.avg(F.when(F.col("__batch") == k, F.col(c))).alias(f"{c}|{k}") for c in columns for k in (n - 2, n - 1)]
     rows = F.array(*[F.struct(F.lit(c).alias("column"), (F.abs(F.col(f"`{c}|{n - 1}`") - F.col(f"`{c}|{n - 2}`")) / F.greatest(F.abs(F.col(f"`{c}|{n - 2}`")), F.lit(1e-8))).alias("change")) for c in columns])
-    return draws.agg(*means).select(F.explode(rows).alias("x")).select("x.column", "x.change", (F.col("x.change") <= tolerance).alias("converged"))
+    return draws.join(late, sim).agg(*means).select(F.explode(rows).alias("x")).select("x.column", "x.change", (F.col("x.change") <= tolerance).alias("converged"))
 
 
 def range_coverage(simulated: DataFrame, observed: DataFrame, keys: list[str], value: str, factor: float = 1.2) -> DataFrame:
@@ -105,6 +114,54 @@ def multivariate_outliers(rows: DataFrame, keys: list[str], a: str, b: str, alph
     return stats.mahalanobis(rows, keys, a, b).withColumn("far", F.col("d2") > -2 * math.log(1 - alpha))
 
 
+def chi_square(p: float, degrees: int) -> float:
+    """Quantile of the chi-square distribution, by bisection of its CDF."""
+    low, high = 0.0, 10.0 * degrees + 100
+    for _ in range(200):
+        mid = (low + high) / 2
+        below = special.gamma_cdf(np.array([mid / 2]), np.array([degrees / 2]))[0][0]
+        low, high = (mid, high) if below < p else (low, mid)
+    return (low + high) / 2
+
+
+def distances(rows: DataFrame, keys: list[str], columns: list[str], alpha: float = 0.975) -> DataFrame:
+    """rows with `d2`, the squared Mahalanobis distance from the group's centre
+    in any number of columns, and `far`: beyond the alpha quantile of the
+    chi-square distribution of as many degrees.
+
+    Centres and covariances come from complete rows; others have nulls, and so
+    have groups of fewer complete rows than columns and one. A singular
+    covariance is repaired by raising its eigenvalues. Covariances are sums;
+    a group is one small row when it is inverted.
+    """
+    k = len(columns)
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    whole = rows.dropna(subset=[*keys, *columns])
+    moments = whole.groupBy(*keys).agg(F.count("*").alias("__n"), F.array(*[F.avg(c) for c in columns]).alias("__m"), F.array(*[F.covar_samp(columns[i], columns[j]) for i, j in pairs]).alias("__c")).where(F.col("__n") > k)
+
+    def inverted(frames):
+        for frame in frames:
+            out = frame[[*keys, "__m"]].copy()
+            found = []
+            for flat in frame["__c"]:
+                m = np.zeros((k, k))
+                for (i, j), v in zip(pairs, flat):
+                    m[i, j] = m[j, i] = v
+                values, vectors = np.linalg.eigh(m)
+                values = np.maximum(values, 1e-8 * max(values.max(), 1e-300))
+                found.append((vectors / values @ vectors.T).ravel())
+            out["__i"] = found
+            yield out
+
+    kinds = ", ".join(f"`{c}` {moments.schema[c].dataType.simpleString()}" for c in keys)
+    inverses = moments.mapInPandas(inverted, f"{kinds}, __m array<double>, __i array<double>")
+    joined = rows.join(inverses, keys, "left").withColumns({f"__d{i}": F.col(c) - F.get("__m", F.lit(i)) for i, c in enumerate(columns)})
+    terms = [F.get("__i", F.lit(i * k + j)) * F.col(f"__d{i}") * F.col(f"__d{j}") * (1 if i == j else 2) for i, j in pairs]
+    d2 = sum(terms[1:], terms[0])
+    out = joined.withColumn("d2", d2).withColumn("far", F.col("d2") > chi_square(alpha, k))
+    return out.select(*rows.columns, "d2", "far")
+
+
 def overall(scores: list[Column]) -> tuple[Column, Column]:
     """(mean, confidence) of the scores that are there: the mean, less its
     variance up to a fifth, from 0 to 1."""

@@ -11,6 +11,7 @@ from ..functions import families
 from ..functions import scalar as S
 from ..functions.normal import qnorm_sql, uniform
 from . import simulate
+from .stats import quantiles_at
 
 ROUTES = ("normal", "lognormal", "gamma", "metalog")
 
@@ -114,7 +115,10 @@ def family_of_cells(cells: DataFrame, columns: dict[float, str], bounded: bool =
     """One row (family, skew): what auto stands for, by the medians of the
     outer percentiles over all cells."""
     lo, hi = outer(columns)
-    m = cells.agg(*[F.median(columns[p]).alias(n) for p, n in ((lo, "lo"), (0.5, "mid"), (hi, "hi"))])
+    # Medians by ranks of distinct values: no task holds all cells.
+    names = F.array(*[F.struct(F.lit(n).alias("which"), F.col(columns[p]).cast("double").alias("v")) for p, n in ((lo, "lo"), (0.5, "mid"), (hi, "hi"))])
+    each = quantiles_at(cells.select(F.explode(names).alias("x")).select("x.*"), ["which"], "v", {"md": 0.5})
+    m = each.agg(*[F.max(F.when(F.col("which") == n, F.col("md"))).alias(n) for n in ("lo", "mid", "hi")])
     skew = (F.col("hi") + F.col("lo") - 2 * F.col("mid")) / (F.col("hi") - F.col("lo"))
     return m.select(F.lit("beta").alias("family") if bounded else F.when(F.abs(skew) < bar, "normal").otherwise("lognormal").alias("family"), skew.alias("skew"))
 

@@ -138,9 +138,11 @@ def retrofitted(draws: DataFrame, key: str, depth: str, sim: str, value: str) ->
     there = draws.where(F.col(value).isNotNull())
     top = there.groupBy(key).agg(F.min(depth).alias("__top"))
     ranks = there.join(top, key).where(F.col(depth) == F.col("__top")).select(key, sim, "__top", F.cume_dist().over(Window.partitionBy(key).orderBy(value)).alias("__p"))
-    ordered = there.groupBy(key, depth).agg(F.sort_array(F.collect_list(value)).alias("__q"))
-    place = F.col("__p") * (F.size("__q") - 1)
-    low, high = F.floor(place).cast("int"), F.ceil(place).cast("int")
-    drawn = F.get("__q", low) + (F.get("__q", high) - F.get("__q", low)) * (place - low)
-    out = draws.join(ranks, [key, sim], "left").join(ordered, [key, depth], "left")
+    by = Window.partitionBy(key, depth).orderBy(value)
+    ordered = there.select(key, depth, F.col(value).alias("__v"), (F.row_number().over(by) - 1).alias("__k"), F.lead(value).over(by).alias("__next"))
+    sizes = there.groupBy(key, depth).agg(F.count("*").alias("__n"))
+    # A draw meets the one value at its rank, and that value's neighbour.
+    asked = draws.join(ranks, [key, sim], "left").join(sizes, [key, depth], "left").withColumn("__place", F.col("__p") * (F.col("__n") - 1)).withColumn("__k", F.floor("__place").cast("int"))
+    out = asked.join(ordered, [key, depth, "__k"], "left")
+    drawn = F.col("__v") + F.when(F.col("__place") > F.col("__k"), (F.col("__next") - F.col("__v")) * (F.col("__place") - F.col("__k"))).otherwise(0.0)
     return out.withColumn(value, F.when(F.col("__p").isNull() | F.col(value).isNull() | (F.col(depth) == F.col("__top")), F.col(value)).otherwise(drawn)).select(*draws.columns)

@@ -106,12 +106,18 @@ def compared(rows: DataFrame, columns: dict[float, str], methods: tuple[str, ...
 def ks_distance(a: DataFrame, b: DataFrame, keys: list[str], value: str) -> DataFrame:
     """(keys, ks, n_a, n_b): the largest gap between the two empirical
     distributions of each group. Both are counted by value first."""
-    side = lambda df, x, y: df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n")).select(*keys, value, F.col("n").alias(x), F.lit(0).alias(y))
-    both = side(a, "a", "b").unionByName(side(b, "b", "a")).groupBy(*keys, value).agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    tagged = a.select(*keys, F.col(value).alias("__v"), F.lit(1).alias("__a")).unionByName(b.select(*keys, F.col(value).alias("__v"), F.lit(0).alias("__a")))
+    both = tagged.where(F.col("__v").isNotNull()).groupBy(*keys, "__v").agg(F.sum("__a").alias("a"), F.sum(1 - F.col("__a")).alias("b"))
+    # Distinct values are dealt to parts by approximate quantiles; a group's window holds its parts only.
+    cuts = both.groupBy(*keys).agg(F.percentile_approx("__v", [k / 200 for k in range(1, 200)], 1000).alias("__cuts"))
+    dealt = both.join(cuts, keys).withColumn("__part", F.size(F.filter("__cuts", lambda c: c < F.col("__v")))).drop("__cuts")
+    sizes = dealt.groupBy(*keys, "__part").agg(F.sum("a").alias("__a"), F.sum("b").alias("__b"))
     by = Window.partitionBy(*keys)
-    running = by.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    at = both.select(*keys, F.sum("a").over(running).alias("ra"), F.sum("b").over(running).alias("rb"), F.sum("a").over(by).alias("na"), F.sum("b").over(by).alias("nb"))
-    return at.groupBy(*keys).agg(F.max(F.abs(F.col("ra") / F.col("na") - F.col("rb") / F.col("nb"))).alias("ks"), F.max("na").alias("n_a"), F.max("nb").alias("n_b"))
+    up_to = by.orderBy("__part").rowsBetween(Window.unboundedPreceding, 0)
+    sizes = sizes.select(*keys, "__part", *[(F.sum(f"__{s}").over(up_to) - F.col(f"__{s}")).alias(f"__base_{s}") for s in "ab"], *[F.sum(f"__{s}").over(by).alias(f"n{s}") for s in "ab"])
+    inner = Window.partitionBy(*keys, "__part").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    at = dealt.join(sizes, [*keys, "__part"]).select(*keys, "na", "nb", *[(F.col(f"__base_{s}") + F.sum(s).over(inner)).alias(f"r{s}") for s in "ab"])
+    return at.groupBy(*keys).agg(F.max(F.abs(F.try_divide("ra", "na") - F.try_divide("rb", "nb"))).alias("ks"), F.max("na").alias("n_a"), F.max("nb").alias("n_b"))
 
 
 def method_errors(truth: DataFrame, drawn: DataFrame, keys: list[str], value: str) -> DataFrame:

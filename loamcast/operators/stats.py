@@ -121,14 +121,69 @@ def filled_forward(rows: DataFrame, keys: list[str], order: list[str], value: st
     return F.last(value, True).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
 
 
-def quantile_mapped(rows: DataFrame, keys: list[str], source: str, target: str) -> DataFrame:
-    """Values of `source` replaced by the value of `target` of the same rank
-    in the group; both have the rows' number of values. Ties go by source,
-    then target, so they are settled within the group."""
-    by = Window.partitionBy(*keys)
-    place = rows.select(*keys, F.col(target).alias("mapped"), F.row_number().over(by.orderBy(target)).alias("__k"))
-    ranked = rows.withColumn("__k", F.row_number().over(by.orderBy(source, target)))
-    return ranked.join(place, [*keys, "__k"]).drop("__k")
+def ranked(rows: DataFrame, keys: list[str], order: list[str], name: str, parts: int = 200) -> DataFrame:
+    """rows with their place (1, 2, ...) in the group by the columns of order,
+    for groups of any size: rows are dealt to parts by approximate quantiles
+    of the first column, and only counts of parts are added up in a group's
+    window. Equal rows get places in any order; nulls come first. The first
+    column is a number; rows of one value of it meet in a task."""
+    value = order[0]
+    cuts = rows.groupBy(*keys).agg(F.percentile_approx(value, [k / parts for k in range(1, parts)], 1000).alias("__cuts"))
+    part = F.coalesce(F.size(F.filter("__cuts", lambda c: c < F.col(value))), F.lit(-1))
+    dealt = rows.join(cuts, keys).withColumn("__part", F.when(F.col(value).isNull(), -1).otherwise(part)).drop("__cuts")
+    sizes = dealt.groupBy(*keys, "__part").agg(F.count("*").alias("__n"))
+    up_to = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, 0)
+    sizes = sizes.select(*keys, "__part", (F.sum("__n").over(up_to) - F.col("__n")).alias("__base"))
+    inner = Window.partitionBy(*keys, "__part").orderBy(*order)
+    return dealt.join(sizes, [*keys, "__part"]).withColumn(name, F.col("__base") + F.row_number().over(inner)).drop("__part", "__base")
+
+
+def quantile_mapped(rows: DataFrame, keys: list[str], source: list[str], target: str) -> DataFrame:
+    """rows with `mapped`: the value of `target` of the same rank in the group
+    as the row's by the columns of source, and then by target, which settle
+    ties. Groups may be of any size: see ranked()."""
+    place = ranked(rows.select(*keys, F.col(target).alias("mapped")), keys, ["mapped"], "__k")
+    return ranked(rows, keys, [*source, target], "__k").join(place, [*keys, "__k"]).drop("__k")
+
+
+def bootstrap(rows: DataFrame, keys: list[str], value: str, row_keys: list[str], n: int = 1000, level: float = 0.95, seed: int = 1) -> DataFrame:
+    """(keys, n, estimate, low, high): the mean of each group and percentile
+    limits of its n bootstrap means; for values of 0 and 1 a proportion.
+
+    A row is in a replicate as often as a Poisson number says, hashed from
+    row_keys, the replicate and the seed, so limits don't depend on
+    partitions. A hash serves eight replicates, and sums are added up before
+    the shuffle: a group brings n sums from each task, not its rows. Nulls are
+    no values; a replicate without rows drops out.
+    """
+    lots, each = -(-n // 8), 8
+    held = rows.where(F.col(value).isNotNull()).select(*keys, *[c for c in row_keys if c not in keys], F.col(value).cast("double").alias("__x"))
+    hashed = held.withColumn("__lot", F.explode(F.sequence(F.lit(0), F.lit(lots - 1)))).withColumn("__md5", F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in row_keys], F.col("__lot").cast("string"), F.lit(str(seed)))))
+    weights = [poisson(F.conv(F.substring("__md5", 4 * j + 1, 4), 16, 10).cast("int")) for j in range(each)]
+    drawn = hashed.withColumns({f"__w{j}": w for j, w in enumerate(weights)})
+    sums = drawn.groupBy(*keys, "__lot").agg(*[c for j in range(each) for c in (F.sum(f"__w{j}").alias(f"__n{j}"), F.sum(F.col(f"__w{j}") * F.col("__x")).alias(f"__s{j}"))])
+    long = sums.select(*keys, "__lot", F.posexplode(F.array(*[F.struct(F.col(f"__n{j}").alias("w"), F.col(f"__s{j}").alias("s")) for j in range(each)])).alias("__j", "__v"))
+    means = long.where((F.col("__lot") * each + F.col("__j") < n) & (F.col("__v.w") > 0)).select(*keys, (F.col("__v.s") / F.col("__v.w")).alias("__mean"))
+    # A group's window holds its n means.
+    limits = means.groupBy(*keys).agg(F.percentile("__mean", [(1 - level) / 2, (1 + level) / 2]).alias("__l"))
+    plain = held.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("__x").alias("estimate"))
+    return plain.join(limits, keys).select(*keys, "n", "estimate", F.col("__l")[0].alias("low"), F.col("__l")[1].alias("high"))
+
+
+def poisson_cuts() -> list[int]:
+    """Of 65 536 equal chances, those below each Poisson count of mean 1."""
+    import math
+
+    cuts, total = [], 0.0
+    for k in range(9):
+        total += math.exp(-1) / math.factorial(k)
+        cuts.append(round(total * 65536))
+    return [c for c in cuts if c < 65536]
+
+
+def poisson(chance: Column) -> Column:
+    """A Poisson number of mean 1 from one of 65 536 equal chances."""
+    return sum(((chance >= c).cast("int") for c in poisson_cuts()[1:]), (chance >= poisson_cuts()[0]).cast("int"))
 
 
 def monotone_share(rows: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:

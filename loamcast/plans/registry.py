@@ -447,8 +447,8 @@ def filled_forward(spark, sf_dir):
     "SELECT cokey, hz, round(mapped, 6) AS mapped FROM (SELECT cokey, hz, genhz, row_number() OVER (PARTITION BY genhz ORDER BY r, p1, cokey, hz) AS k FROM hz) a JOIN (SELECT genhz, p1 AS mapped, row_number() OVER (PARTITION BY genhz ORDER BY p1) AS k FROM hz) b ON a.genhz = b.genhz AND a.k = b.k",
 )
 def quantile_mapped(spark, sf_dir):
-    x = hz(spark, sf_dir).select("genhz", "cokey", "hz", "p1", F.struct("r", "p1", "cokey", "hz").alias("source"))
-    return rounded(stats.quantile_mapped(x, ["genhz"], "source", "p1").select("cokey", "hz", "mapped"))
+    x = hz(spark, sf_dir).select("genhz", "cokey", "hz", "p1", "r")
+    return rounded(stats.quantile_mapped(x, ["genhz"], ["r", "p1", "cokey", "hz"], "p1").select("cokey", "hz", "mapped"))
 
 
 @query(
@@ -645,4 +645,4 @@ def simulation_scores(spark, sf_dir):
     return x.select("mukey", F.round("bias", 4).alias("bias"), F.round("relative", 8).alias("relative"), F.round("spread", 8).alias("spread"))
 
 
-from . import fits, judged, models, more  # noqa: E402, F401  (they register further queries)
+from . import fits, judged, models, more, validity  # noqa: E402, F401  (they register further queries)
