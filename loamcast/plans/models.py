@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.normal import number, pnorm_sql, qnorm_sql, uniform_sql
-from ..operators import density, priors, structure
+from ..operators import density, depth_models, priors, simulate, structure
 from ..sources.tables import horizons as hz
 from .registry import TRI, Z, query, rounded
 
@@ -134,3 +134,23 @@ def density_posteriors(spark, sf_dir):
     post = density.fused_property(x, "a", "b", ["mukey"])
     draws = post.select("mukey", F.explode("posterior").alias("v"))
     return rounded(draws.groupBy("mukey").agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("sd")), digits=4)
+
+
+@query("model_predictions")
+def model_predictions(spark, sf_dir):
+    """Trends of prices at every horizon, by models of their general name."""
+    models = depth_models.fitted(hz(spark, sf_dir), "genhz", "hzdept_r", "r")
+    return rounded(depth_models.predicted(hz(spark, sf_dir).select("cokey", "hz", "genhz", "hzdept_r"), models, "genhz", "hzdept_r"), digits=4)
+
+
+@query("gated_copula")
+def gated_copula(spark, sf_dir):
+    """Draws of two properties of each map unit's profiles, 50 a horizon,
+    reordered by the scale of their model and gated by boundary widths."""
+    x = hz(spark, sf_dir).select("cokey", F.col("hz").cast("int").alias("hz"), "hzdept_r", "l", "h", "p1", (F.col("mark") % 10 + 1).cast("double").alias("bound"), "genhz")
+    models = depth_models.fitted(hz(spark, sf_dir), "genhz", "hzdept_r", "r")
+    scales = x.groupBy("cokey").agg(F.min("genhz").alias("genhz")).join(models.select("genhz", "scale"), "genhz").select("cokey", "scale")
+    draws = simulate.correlated_uniforms(simulate.realizations(x, 50), ["cokey", "hz", "sim"], ["a", "b"], [[1.0, 0.6], [0.6, 1.0]])
+    draws = draws.select("cokey", "hz", "hzdept_r", "sim", "bound", (F.col("l") + (F.col("h") - F.col("l")) * F.col("u_a")).alias("a"), (F.col("p1") * (1 + F.col("u_b"))).alias("b"))
+    out = depth_models.reordered(draws, ["a", "b"], [[1.0, 0.6], [0.6, 1.0]], scales, "bound")
+    return rounded(out.groupBy("cokey", "hz").agg(F.count("*").alias("n"), F.avg("a").alias("a"), F.avg("b").alias("b"), F.try_divide(F.covar_pop("a", "b"), F.stddev_pop("a") * F.stddev_pop("b")).alias("rho")), digits=5)
