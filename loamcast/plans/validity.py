@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.normal import number
-from ..operators import checks, rules, stats
+from ..functions.normal import Z95, number
+from ..operators import checks, rules, stage_one, stats
 from ..sources.tables import horizons as hz
+from ..sources.tables import read
 from .registry import query
 
 CUTS = stats.poisson_cuts()
@@ -69,3 +70,22 @@ def rule_report(spark, sf_dir):
 def rule_reasons(spark, sf_dir):
     x = rules.judged(ruled(spark, sf_dir), RULES)
     return x.select("cokey", "hz", F.concat_ws("; ", "reasons.rule").alias("reasons"), "accepted")
+
+
+COARSE, FINE = stage_one.Grid(0.0, 0.0, 3.0), stage_one.Grid(2.0, 1.0, 1.0)
+
+
+@query(
+    "stage_one",
+    f"""WITH p AS (SELECT p_partkey % 40 AS x, p_partkey // 40 AS y, p_retailprice * 8e-1 AS lo, p_retailprice AS md, p_retailprice * 12e-1 AS hi FROM part), l AS (SELECT p_partkey % 50 AS x, p_partkey // 50 AS y, p_retailprice * 9e-1 + p_size AS b05, p_retailprice + p_size AS b50, p_retailprice * 11e-1 + p_size AS b95 FROM part WHERE p_partkey % 7 != 0),
+  t AS (SELECT x, y, b05, b50, b95, (2 + (x + 5e-1)) / 3 - 5e-1 AS px, (1 + (y + 5e-1)) / 3 - 5e-1 AS py FROM l),
+  a AS (SELECT t.x, t.y, sum(lo * w) / sum(w) AS a05, sum(md * w) / sum(w) AS a50, sum(hi * w) / sum(w) AS a95 FROM (SELECT t.x, t.y, lo, md, hi, (1 - abs(px - p.x)) * (1 - abs(py - p.y)) AS w FROM t JOIN p ON p.x BETWEEN px - 1 AND px + 1 AND p.y BETWEEN py - 1 AND py + 1) t WHERE w > 1e-12 GROUP BY ALL),
+  m AS (SELECT t.x, t.y, a50, (a95 - a05) / (2 * {number(Z95)}) AS sa, b50, (b95 - b05) / (2 * {number(Z95)}) AS sb FROM t LEFT JOIN a ON t.x = a.x AND t.y = a.y)
+  SELECT x, y, CASE WHEN a50 IS NULL THEN 'likelihood' ELSE 'normal' END AS route, round(CASE WHEN a50 IS NULL THEN b50 ELSE (a50 / (sa * sa) + b50 / (sb * sb)) / (1 / (sa * sa) + 1 / (sb * sb)) END, 4) AS mu, round(CASE WHEN a50 IS NULL THEN sb ELSE sqrt(1 / (1 / (sa * sa) + 1 / (sb * sb))) END, 5) AS sigma FROM m""",
+)
+def stage_one_query(spark, sf_dir):
+    part, price, size = read(spark, sf_dir, "part"), F.col("p_retailprice"), F.col("p_size")
+    prior = part.select((F.col("p_partkey") % 40).alias("x"), F.floor(F.col("p_partkey") / 40).alias("y"), (price * 0.8).alias("a05"), price.alias("a50"), (price * 1.2).alias("a95"))
+    seen = part.where("p_partkey % 7 != 0").select((F.col("p_partkey") % 50).alias("x"), F.floor(F.col("p_partkey") / 50).alias("y"), (price * 0.9 + size).alias("b05"), (price + size).alias("b50"), (price * 1.1 + size).alias("b95"))
+    x = stage_one.fused(prior, COARSE, seen, FINE, {0.05: "a05", 0.5: "a50", 0.95: "a95"}, {0.05: "b05", 0.5: "b50", 0.95: "b95"})
+    return x.select("x", "y", "route", F.round("posterior.mu", 4).alias("mu"), F.round("posterior.sigma", 5).alias("sigma"))

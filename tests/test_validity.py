@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loamcast.operators import checks, grouping, monte_carlo, percentiles, rules, stats
+from loamcast.operators import checks, grouping, monte_carlo, percentiles, rules, stage_one, stats
 
 
 def test_bootstrap_covers_and_ignores_partitions(spark):
@@ -109,3 +109,32 @@ def test_simulation_quality_by_ranks(spark):
     q1, q3 = np.quantile(good, [0.25, 0.75])
     far = ((good < q1 - 1.5 * (q3 - q1)) | (good > q3 + 1.5 * (q3 - q1))).sum() / 502
     assert got["a"]["finite"] == pytest.approx(501 / 502) and got["a"]["outliers"] == pytest.approx(far) and got["b"]["outliers"] == 0
+
+
+def test_grids_of_different_steps_are_aligned_and_fused(spark):
+    """A plane is the same on any grid; missing cells drop out."""
+    coarse, fine = stage_one.Grid(0.0, 0.0, 3.0), stage_one.Grid(1.0, 2.0, 1.0)
+    plane = lambda x, y: 2 * x + 3 * y + 100
+    rows = [(i, j, *[plane(3 * (i + 0.5), 3 * (j + 0.5)) + d for d in (-10.0, 0.0, 10.0)]) for i in range(6) for j in range(6) if (i, j) != (3, 3)]
+    prior = spark.createDataFrame(rows, "x long, y long, a05 double, a50 double, a95 double")
+    asked = [(i, j, *[plane(1 + i + 0.5, 2 + j + 0.5) + 6 + d for d in (-5.0, 0.0, 5.0)]) for i in range(1, 13) for j in range(12)] + [(90, 90, 1.0, 2.0, 3.0), (2, 80, None, None, None), (5, 90, None, 1.0, None)]
+    seen = spark.createDataFrame(asked, "x long, y long, b05 double, b50 double, b95 double")
+    p, q = {0.05: "a05", 0.5: "a50", 0.95: "a95"}, {0.05: "b05", 0.5: "b50", 0.95: "b95"}
+    found = {(r["x"], r["y"]): r for r in stage_one.fused(prior, coarse, seen, fine, p, q).collect()}
+    assert len(found) == len(asked) and found[90, 90]["route"] == "likelihood" and found[2, 80]["route"] == "none" and found[5, 90]["posterior"] is None
+    inner = [r for (x, y), r in found.items() if x < 7 and y < 6]
+    assert inner and all(r["route"] == "normal" and r["a50"] == pytest.approx(plane(1 + r["x"] + 0.5, 2 + r["y"] + 0.5)) for r in inner)
+    w = 1 / 10**2, 1 / 5**2
+    assert all(r["posterior"]["mu"] == pytest.approx(r["a50"] + 6 * w[1] / sum(w)) for r in inner)
+    with pytest.raises(ValueError):
+        stage_one.onto(prior, coarse, prior, fine, ["a50"])
+
+
+def test_parts_are_fused_together(spark):
+    parts = {p: ((f"{p}_l", f"{p}_r", f"{p}_h"), (f"{p}_a", f"{p}_b", f"{p}_c")) for p in ("clay", "sand", "silt")}
+    middle = {"clay": 20.0, "sand": 50.0, "silt": 30.0}
+    side = lambda k, shift: spark.createDataFrame([(i, j, *[(middle[p] + s) * w for p, s in zip(middle, shift) for w in (0.8, 1.0, 1.2)]) for i in range(3) for j in range(3)], "x long, y long, " + ", ".join(f"{c} double" for p in parts for c in parts[p][k]))
+    out = stage_one.fused_group(side(0, (0, 0, 0)), stage_one.Grid(0, 0, 2), side(1, (4, -4, 0)), stage_one.Grid(1, 1, 1), parts).collect()
+    assert len(out) == 9
+    for r in out:
+        assert r["clay"] + r["sand"] + r["silt"] == pytest.approx(100) and 20 < r["clay"] < 24.5
