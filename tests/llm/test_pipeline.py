@@ -83,5 +83,5 @@ def test_components_both_ways(spark, monkeypatch):
 
 def test_queries_and_their_sql():
     numbers = sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES)
-    assert numbers == list(range(1, 11)) and set(registry.ORACLE_SQL) <= set(registry.QUERIES)
+    assert numbers == list(range(1, 14)) and set(registry.ORACLE_SQL) <= set(registry.QUERIES)
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language", "near_duplicates", "passages", "decontamination", "packing"]
