@@ -98,7 +98,8 @@ def profiles_perturbed(spark, sf_dir):
 
 @query("profiles_simulated")
 def profiles_simulated(spark, sf_dir):
-    """Spread of layers over simulated, perturbed and held profiles."""
-    x = profiles.perturbed_profiles(depths(spark, sf_dir).withColumn("distinctness", F.lit(None).cast("string")), simulate.component_counts(components(spark, sf_dir)))
+    """Spread of layers over simulated, perturbed and held profiles, each
+    repeated 2 to 18 times."""
+    x = profiles.perturbed_profiles(depths(spark, sf_dir).withColumn("distinctness", F.lit(None).cast("string")), simulate.component_counts(components(spark, sf_dir), 200))
     thick = F.col("bottom") - F.col("top")
     return rounded(x.groupBy("cokey", "hz").agg(F.count("*").alias("n"), F.avg(thick).alias("thickness"), F.min(thick).alias("least"), F.stddev_samp("bottom").alias("bottom_sd")))
