@@ -105,10 +105,10 @@ LEVELS = {"cell": "CAST(cell AS VARCHAR)", "mukey": "CAST(mukey AS VARCHAR)", "g
     "group_strategies",
     ", x AS (" + " UNION ALL ".join(f"SELECT '{n}' AS level, {i} AS place, {g} AS g, cokey, hzdept_r FROM hz" for i, (n, g) in enumerate(LEVELS.items()))
     + """), s AS (SELECT level, place, count(*) FILTER (ok) AS adequate, 100 * coalesce(sum(n) FILTER (ok), 0) / sum(n) AS covered FROM (SELECT level, place, g, count(*) AS n, count(DISTINCT cokey) >= 40 AND count(*) >= 60 AND max(hzdept_r) - min(hzdept_r) >= 20 AS ok FROM x GROUP BY level, place, g) GROUP BY level, place)
-  SELECT level, adequate, round(covered, 6) AS covered, adequate >= 3 AS meets, row_number() OVER (ORDER BY adequate >= 3 DESC, CASE WHEN adequate >= 3 THEN 0 ELSE -adequate END, place) = 1 AS chosen FROM s""",
+  SELECT level, CAST(place AS INTEGER) AS place, adequate, round(covered, 6) AS covered, adequate >= 3 AS meets, row_number() OVER (ORDER BY adequate >= 3 DESC, CASE WHEN adequate >= 3 THEN 0 ELSE -adequate END, place) = 1 AS chosen FROM s""",
 )
 def group_strategies(spark, sf_dir):
-    return rounded(grouping.strategies(hz(spark, sf_dir), ["cell", "mukey", "taxorder", "genhz", "none"], 40, 60, 3)).drop("place")
+    return rounded(grouping.strategies(hz(spark, sf_dir), ["cell", "mukey", "taxorder", "genhz", "none"], 40, 60, 3))
 
 
 @query(

@@ -256,11 +256,11 @@ def range_violations(spark, sf_dir):
 
 @query(
     "processing_report",
-    "SELECT a AS rows_before, b AS rows_after, round(c, 8) AS completeness, round(b / a, 8) AS retention, round((4e-1 * 9e-1 + 25e-2 * b / a + 25e-2 * c) / 9e-1, 8) AS score FROM (SELECT count(*) AS a, count(*) FILTER (hzdepb_r <= 120) AS b, (1 + avg(CASE WHEN mark % 3 != 0 THEN 1e0 ELSE 0e0 END) FILTER (hzdepb_r <= 120)) / 2 AS c FROM hz)",
+    "SELECT *, CASE WHEN score >= 9e-1 THEN 'Excellent' WHEN score >= 8e-1 THEN 'Good' WHEN score >= 7e-1 THEN 'Acceptable' WHEN score >= 6e-1 THEN 'Needs Improvement' ELSE 'Poor' END AS grade FROM (SELECT a AS rows_before, b AS rows_after, round(c, 8) AS completeness, round(b / a, 8) AS retention, round((4e-1 * 9e-1 + 25e-2 * b / a + 25e-2 * c) / 9e-1, 8) AS score FROM (SELECT count(*) AS a, count(*) FILTER (hzdepb_r <= 120) AS b, (1 + avg(CASE WHEN mark % 3 != 0 THEN 1e0 ELSE 0e0 END) FILTER (hzdepb_r <= 120)) / 2 AS c FROM hz))",
 )
 def processing_report(spark, sf_dir):
     x = hz(spark, sf_dir).withColumn("v", F.when(F.col("mark") % 3 != 0, F.col("r")))
-    return rounded(cleaning.processing_report(x, cleaning.valid_horizons(x, 120.0), ["r", "v"], 0.9), digits=8).drop("grade")
+    return rounded(cleaning.processing_report(x, cleaning.valid_horizons(x, 120.0), ["r", "v"], 0.9), digits=8)
 
 
 @query(
@@ -285,20 +285,20 @@ def range_coverage(spark, sf_dir):
 @query(
     "spread_coverage",
     """, q AS (SELECT genhz, quantile_cont(r, 5e-2) AS a, quantile_cont(r, 25e-2) AS b, quantile_cont(r, 75e-2) AS c, quantile_cont(r, 95e-2) AS d FROM hz GROUP BY genhz)
-  SELECT genhz, round(max(d - a) / (max(r) - min(r)), 8) AS spread, round(100 * avg(CASE WHEN r < b - 15e-1 * (c - b) OR r > c + 15e-1 * (c - b) THEN 1e0 ELSE 0e0 END), 8) AS outliers FROM hz JOIN q USING (genhz) GROUP BY genhz""",
+  SELECT genhz, round(max(d - a) / (max(r) - min(r)), 8) AS spread, round(100 * avg(CASE WHEN r < b - 15e-1 * (c - b) OR r > c + 15e-1 * (c - b) THEN 1e0 ELSE 0e0 END), 8) AS outliers, 100 * avg(CASE WHEN r < b - 15e-1 * (c - b) OR r > c + 15e-1 * (c - b) THEN 1e0 ELSE 0e0 END) <= 10 AS adequate FROM hz JOIN q USING (genhz) GROUP BY genhz""",
 )
 def spread_coverage(spark, sf_dir):
-    return rounded(checks.spread_coverage(hz(spark, sf_dir), ["genhz"], "r"), digits=8).drop("adequate")
+    return rounded(checks.spread_coverage(hz(spark, sf_dir), ["genhz"], "r"), digits=8)
 
 
 @query(
     "correlation_gaps",
     """, o AS (SELECT genhz, corr(r, p1) AS a, corr(r, p2) AS b, corr(p1, p2) AS c FROM hz WHERE mark % 2 = 0 GROUP BY genhz), s AS (SELECT genhz, corr(r, p1) AS d, corr(r, p2) AS e, corr(p1, p2) AS f FROM hz WHERE mark % 2 = 1 GROUP BY genhz)
-  SELECT genhz, round(greatest(abs(a - d), abs(b - e), abs(c - f)), 7) AS most, round((abs(a - d) + abs(b - e) + abs(c - f)) / 3, 7) AS mean, round(1 - (abs(a - d) + abs(b - e) + abs(c - f)) / 3, 7) AS preserved FROM o JOIN s USING (genhz)""",
+  SELECT genhz, round(greatest(abs(a - d), abs(b - e), abs(c - f)), 7) AS most, round((abs(a - d) + abs(b - e) + abs(c - f)) / 3, 7) AS mean, round(sqrt((pow(a - d, 2) + pow(b - e, 2) + pow(c - f, 2)) / 3), 7) AS rmse, round(1 - (abs(a - d) + abs(b - e) + abs(c - f)) / 3, 7) AS preserved FROM o JOIN s USING (genhz)""",
 )
 def correlation_gaps(spark, sf_dir):
     side = lambda k: stats.correlations(hz(spark, sf_dir).where(F.col("mark") % 2 == k), ["genhz"], ["r", "p1", "p2"])
-    return rounded(checks.correlation_gaps(side(0), side(1), ["genhz"]), digits=7).drop("rmse")
+    return rounded(checks.correlation_gaps(side(0), side(1), ["genhz"]), digits=7)
 
 
 @query(
@@ -311,10 +311,10 @@ def depth_stability(spark, sf_dir):
 
 @query(
     "smoothness",
-    "SELECT cokey, round(greatest(1 - CASE WHEN max(r) > min(r) THEN avg(d) / (max(r) - min(r)) ELSE 0 END, 0), 8) AS smooth FROM (SELECT cokey, r, abs(lead(r) OVER w - 2 * r + lag(r) OVER w) AS d FROM hz WINDOW w AS (PARTITION BY cokey ORDER BY hz)) GROUP BY cokey HAVING count(d) > 0",
+    "SELECT cokey, round(greatest(1 - CASE WHEN max(r) > min(r) THEN avg(d) / (max(r) - min(r)) ELSE 0 END, 0), 8) AS smooth, greatest(1 - CASE WHEN max(r) > min(r) THEN avg(d) / (max(r) - min(r)) ELSE 0 END, 0) >= 9e-1 AS reasonable FROM (SELECT cokey, r, abs(lead(r) OVER w - 2 * r + lag(r) OVER w) AS d FROM hz WINDOW w AS (PARTITION BY cokey ORDER BY hz)) GROUP BY cokey HAVING count(d) > 0",
 )
 def smoothness(spark, sf_dir):
-    return rounded(checks.smoothness(hz(spark, sf_dir), ["cokey"], "hz", "r"), digits=8).drop("reasonable")
+    return rounded(checks.smoothness(hz(spark, sf_dir), ["cokey"], "hz", "r"), digits=8)
 
 
 @query(
