@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -95,10 +96,21 @@ def arrow_map(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iter
     return df.mapInArrow(function, schema)
 
 
+def freed() -> None:
+    """Gives memory that this worker no longer uses back to the system: Spark
+    keeps workers from stage to stage, and allocators keep what was freed."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim is not None:
+        trim(0)
+
+
 def text_blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
-    """Cuts batches into slices of about `limit` text bytes, one row at least."""
+    """Cuts batches into slices of about `limit` text bytes, one row at least;
+    before and after, unused memory is freed()."""
     import numpy as np
 
+    freed()
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -110,3 +122,4 @@ def text_blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> I
             stop = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+    freed()
