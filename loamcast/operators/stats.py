@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.hashing import BLOCK, md5_words
+
 
 def summary(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Count, mean, spread, exact quantiles, and moments with sample sd."""
@@ -152,22 +157,75 @@ def bootstrap(rows: DataFrame, keys: list[str], value: str, row_keys: list[str],
 
     A row is in a replicate as often as a Poisson number says, hashed from
     row_keys, the replicate and the seed, so limits don't depend on
-    partitions. A hash serves eight replicates, and sums are added up before
-    the shuffle: a group brings n sums from each task, not its rows. Nulls are
-    no values; a replicate without rows drops out.
+    partitions. A hash serves eight replicates. Rows meet by group, where their
+    replicates are added up in vectors: a group brings one row of n sums to the
+    next step for every LOT of its rows, and no row is repeated. Nulls are no
+    values; a replicate without rows drops out; null keys are in no group.
     """
-    lots, each = -(-n // 8), 8
-    held = rows.where(F.col(value).isNotNull()).select(*keys, *[c for c in row_keys if c not in keys], F.col(value).cast("double").alias("__x"))
-    hashed = held.withColumn("__lot", F.explode(F.sequence(F.lit(0), F.lit(lots - 1)))).withColumn("__md5", F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in row_keys], F.col("__lot").cast("string"), F.lit(str(seed)))))
-    weights = [poisson(F.conv(F.substring("__md5", 4 * j + 1, 4), 16, 10).cast("int")) for j in range(each)]
-    drawn = hashed.withColumns({f"__w{j}": w for j, w in enumerate(weights)})
-    sums = drawn.groupBy(*keys, "__lot").agg(*[c for j in range(each) for c in (F.sum(f"__w{j}").alias(f"__n{j}"), F.sum(F.col(f"__w{j}") * F.col("__x")).alias(f"__s{j}"))])
-    long = sums.select(*keys, "__lot", F.posexplode(F.array(*[F.struct(F.col(f"__n{j}").alias("w"), F.col(f"__s{j}").alias("s")) for j in range(each)])).alias("__j", "__v"))
-    means = long.where((F.col("__lot") * each + F.col("__j") < n) & (F.col("__v.w") > 0)).select(*keys, (F.col("__v.s") / F.col("__v.w")).alias("__mean"))
-    # A group's window holds its n means.
-    limits = means.groupBy(*keys).agg(F.percentile("__mean", [(1 - level) / 2, (1 + level) / 2]).alias("__l"))
+    held = rows.where(F.col(value).isNotNull()).dropna(subset=keys)
+    text = F.concat_ws("|", *[F.col(c).cast("string") for c in row_keys], F.lit("")).cast("binary")
+    held = held.select(*keys, text.alias("__text"), F.col(value).cast("double").alias("__x"))
     plain = held.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("__x").alias("estimate"))
-    return plain.join(limits, keys).select(*keys, "n", "estimate", F.col("__l")[0].alias("low"), F.col("__l")[1].alias("high"))
+    # Groups of many rows go to several tasks; there is at most one of them for each LOT rows of all.
+    large = F.broadcast(plain.where(F.col("n") > LOT).select(*keys, F.ceil(F.col("n") / LOT).alias("__lots")))
+    dealt = held.join(large, keys, "left").withColumn("__lot", F.coalesce(F.pmod(F.xxhash64("__text"), F.col("__lots")), F.lit(0)))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.repartition(parts, *keys, "__lot").select(*keys, "__text", "__x").sortWithinPartitions(*keys)
+    kinds = ", ".join(f"`{k}` {held.schema[k].dataType.simpleString()}" for k in keys)
+    sums = dealt.mapInArrow(_replicates(len(keys), n, seed), f"{kinds}, __w array<bigint>, __s array<double>")
+    pairs = F.arrays_zip("__w", "__s")
+    added = lambda a, b: F.zip_with(a, b, lambda x, y: F.struct((x["__w"] + y["__w"]).alias("__w"), (x["__s"] + y["__s"]).alias("__s")))
+    lots = sums.groupBy(*keys).agg(F.collect_list(pairs).alias("__l"))
+    whole = lots.withColumn("__l", F.aggregate(F.slice("__l", 2, F.greatest(F.size("__l") - 1, F.lit(0))), F.get("__l", F.lit(0)), added))
+    means = whole.select(*keys, F.array_sort(F.transform(F.filter("__l", lambda p: p["__w"] > 0), lambda p: p["__s"] / p["__w"])).alias("__m"))
+
+    def at(share: float) -> Column:
+        place = (F.size("__m") - 1) * F.lit(share)
+        low, high = F.floor(place).cast("int"), F.ceil(place).cast("int")
+        below, above = F.get("__m", low), F.get("__m", high)
+        return F.when(low == high, below).otherwise((high - place) * below + (place - low) * above)
+
+    return plain.join(means, keys).select(*keys, "n", "estimate", at((1 - level) / 2).alias("low"), at((1 + level) / 2).alias("high"))
+
+
+LOT = 200_000  # rows of a group that one task takes in bootstrap()
+
+
+def _replicates(k: int, n: int, seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (k keys, text, value), a group's rows together, to the sums of
+    weights and of weighted values of each group's n replicates."""
+    endings = [f"{lot}|{seed}".encode() for lot in range(-(-n // 8))]
+    cuts = poisson_cuts()
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.searchsorted(cuts, np.arange(65536), side="right").astype(np.int64)
+        last, weights, values, fields = None, None, None, []
+
+        def row() -> pa.RecordBatch:
+            return pa.record_batch([*[pa.array([v], t) for v, t in zip(last, fields)], pa.array([weights], pa.list_(pa.int64())), pa.array([values], pa.list_(pa.float64()))], names=names)
+
+        for batch in batches:
+            fields, names = [f.type for f in batch.schema][:k], [*batch.schema.names[:k], "__w", "__s"]
+            ids = list(zip(*[batch.column(i).to_pylist() for i in range(k)])) if k else [()] * batch.num_rows
+            texts, x = batch.column(k).to_pylist(), batch.column(k + 1).to_numpy(zero_copy_only=False)
+            step = max(1, BLOCK // len(endings))
+            for at in range(0, len(ids), step):
+                some = ids[at : at + step]
+                words = md5_words(texts[at : at + step], endings)
+                w = counts[words.view(np.uint16).byteswap().reshape(len(some), -1)[:, :n]]
+                begins = [i for i in range(len(some)) if i == 0 or some[i] != some[i - 1]]
+                sw, sx = np.add.reduceat(w, begins, axis=0), np.add.reduceat(w * x[at : at + step, None], begins, axis=0)
+                for i, a, b in zip(begins, sw, sx):
+                    if last == some[i] and weights is not None:
+                        weights, values = weights + a, values + b
+                        continue
+                    if weights is not None:
+                        yield row()
+                    last, weights, values = some[i], a, b
+        if weights is not None:
+            yield row()
+
+    return add
 
 
 def poisson_cuts() -> list[int]:

@@ -138,3 +138,19 @@ def test_parts_are_fused_together(spark):
     assert len(out) == 9
     for r in out:
         assert r["clay"] + r["sand"] + r["silt"] == pytest.approx(100) and 20 < r["clay"] < 24.5
+
+
+def test_bootstrap_adds_up_large_groups_without_repeating_rows(spark, monkeypatch):
+    rows = [(g, k, float((k * 37 + g) % 101)) for g in (1, 2) for k in range(300)] + [(3, 1, 5.0), (None, 1, 5.0)]
+    df = spark.createDataFrame(rows, "g int, k int, v double")
+    whole = stats.bootstrap(df, ["g"], "v", ["g", "k"], 100)
+    assert "Generate" not in whole._jdf.queryExecution().optimizedPlan().toString()
+    a = sorted(map(tuple, whole.collect()))
+    monkeypatch.setattr(stats, "LOT", 50)
+    assert np.allclose(a, sorted(map(tuple, stats.bootstrap(df, ["g"], "v", ["g", "k"], 100).collect()))) and [r[:2] for r in a] == [(1, 300), (2, 300), (3, 1)]
+    # The first replicate by hand: a Poisson number of four hex digits of the row's MD5.
+    text = F.md5(F.concat_ws("|", F.col("g").cast("string"), F.col("k").cast("string"), F.lit("0"), F.lit("1")))
+    drawn = df.where("g = 2").withColumn("w", stats.poisson(F.conv(F.substring(text, 1, 4), 16, 10).cast("int")))
+    by_hand = drawn.agg(F.sum(F.col("w") * F.col("v")) / F.sum("w")).first()[0]
+    one = [r for r in stats.bootstrap(df, ["g"], "v", ["g", "k"], 1).collect() if r["g"] == 2][0]
+    assert one["low"] == pytest.approx(by_hand) and one["high"] == pytest.approx(by_hand)
