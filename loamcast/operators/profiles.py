@@ -43,10 +43,22 @@ def with_variability(horizons: DataFrame, spread: float = 2.0) -> DataFrame:
     return out
 
 
-def _profiles(rows: DataFrame, keys: list[str]) -> DataFrame:
-    draws = {f"u_{s}": uniform(*[F.col(k) for k in keys], F.col("hz"), s) for s in ("top", "bottom")}
-    item = F.struct("hz", *[F.col(c).cast("double").alias(c) for c in DEPTHS], *draws)
-    return rows.withColumns(draws).groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("items"))
+def _profiles(rows: DataFrame, keys: list[str], n: int | str | None = None) -> DataFrame:
+    """One row a profile with its horizons and their draws. With n, a number
+    or the name of a column that the profile's rows share, each profile stands
+    n times, in column sim: rows are repeated as whole profiles, after they
+    have met, so only rows themselves are shuffled."""
+    times = {"__n": F.max(n) if isinstance(n, str) else F.lit(n)} if n is not None else {}
+    if n is not None:  # few rows make many: they are dealt to all tasks, by the profile
+        rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    rows = rows.withColumns({"__low": F.min("hzdept_l").over(Window.partitionBy(*keys, "hz")), "__high": F.max("hzdepb_h").over(Window.partitionBy(*keys, "hz"))})
+    item = F.struct("hz", *[F.col(c).cast("double").alias(c) for c in DEPTHS], F.col("__low").cast("double").alias("low"), F.col("__high").cast("double").alias("high"))
+    met = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("items"), *[c.cast("int").alias(k) for k, c in times.items()])
+    drawn = lambda sim: F.transform("items", lambda x: F.struct(x["hz"].alias("hz"), *[x[c].alias(c) for c in (*DEPTHS, "low", "high")], *[uniform(*[F.col(k) for k in keys], *sim, x["hz"], s).alias(f"u_{s}") for s in ("top", "bottom")]))
+    if n is None:
+        return met.withColumn("items", drawn([]))
+    each = F.transform(F.sequence(F.lit(1), F.col("__n")), lambda sim: F.struct(sim.alias("sim"), drawn([sim]).alias("items")))
+    return met.where("__n >= 1").select(*keys, F.explode(each).alias("x")).select(*keys, "x.sim", "x.items")
 
 
 LAYERS = "array<struct<hz:int,top:double,bottom:double>>"
@@ -88,13 +100,22 @@ def _up(items: Column) -> Column:
     return close(F.aggregate(F.reverse(items), F.array().cast(LAYERS), step))
 
 
-def simulated(horizons: DataFrame, keys: list[str], method: str = "mixed") -> DataFrame:
+def simulated(horizons: DataFrame, keys: list[str], method: str = "mixed", n: int | str | None = None, held: bool = False) -> DataFrame:
     """(keys, method, hz, top, bottom): depths of each profile, one for each
     value of keys; top_down, bottom_up, or mixed, a half of each. Horizons need
-    hz and DEPTHS, which with_variability() completes."""
-    rows = _profiles(with_variability(horizons), keys)
+    hz and DEPTHS, which with_variability() completes.
+
+    With n, each profile is simulated n times, and sim stands behind the keys:
+    the same layers as of horizons repeated before, without shuffling the
+    repeated rows. held: tops and bottoms stay within the horizon's range, as
+    by clipped() with the same horizons.
+    """
+    rows = _profiles(with_variability(horizons), keys, n)
+    keys = [*keys, "sim"] if n is not None else keys
     down = {"top_down": F.lit(True), "bottom_up": F.lit(False), "mixed": uniform(*[F.col(k) for k in keys], "way") < 0.5}[method]
     layers = F.when(down, _down(F.col("items"))).otherwise(_up(F.col("items")))
+    if held:
+        layers = F.zip_with(layers, "items", lambda x, i: _layer(x["hz"], F.greatest(x["top"], i["low"]), F.least(x["bottom"], i["high"])))
     named = rows.select(*keys, F.when(down, "top_down").otherwise("bottom_up").alias("method"), F.explode(layers).alias("x"))
     return named.select(*keys, "method", "x.hz", "x.top", "x.bottom")
 

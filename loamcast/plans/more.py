@@ -153,8 +153,7 @@ def tri(low: str, mode: str, high: str, u: str) -> str:
 
 @query("profiles_top_down")
 def profiles_top_down(spark, sf_dir):
-    x = simulate.realizations(depths(spark, sf_dir), 5)
-    return profiles.simulated(x, ["cokey", "sim"], "top_down").select("cokey", F.col("sim").cast("long").alias("sim"), F.col("hz").cast("long").alias("hz"), "top", "bottom")
+    return profiles.simulated(depths(spark, sf_dir), ["cokey"], "top_down", 5).select("cokey", F.col("sim").cast("long").alias("sim"), F.col("hz").cast("long").alias("hz"), "top", "bottom")
 
 
 ORACLE_SQL["profiles_top_down"] = f"""WITH RECURSIVE {HORIZONS}, d AS (SELECT cokey, sim, hz, {uniform_sql('cokey', 'sim', 'hz', "'bottom'")} AS u, coalesce(CASE WHEN mark % 4 != 0 THEN greatest(hzdepb_r - 3, 0) END, greatest(hzdepb_r - 2, 0)) AS l, hzdepb_r AS r, hzdepb_r + 5 AS h FROM hz, range(1, 6) s(sim)),
@@ -165,10 +164,7 @@ SELECT cokey, sim, hz, top, bottom FROM p"""
 
 @query("profiles_mixed")
 def profiles_mixed(spark, sf_dir):
-    x = simulate.realizations(depths(spark, sf_dir), 20)
-    layers = profiles.simulated(x, ["cokey", "sim"], "mixed")
-    held = profiles.clipped(layers, profiles.with_variability(depths(spark, sf_dir)), ["cokey", "hz"])
-    return profiles.thickness_spread(held, ["cokey"])
+    return profiles.thickness_spread(profiles.simulated(depths(spark, sf_dir), ["cokey"], "mixed", 20, held=True), ["cokey"])
 
 
 @query(

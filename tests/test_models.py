@@ -228,3 +228,19 @@ def test_bounds_of_series_are_attached(spark):
     horizons = spark.createDataFrame([("Alpha", "A", "A"), ("alpha", "Bt", "B"), ("beta", "A", "A")], "compname string, hzname string, genhz string")
     series = spark.createDataFrame([("ALPHA", "A1", "A", "abrupt"), ("ALPHA", "A2", "A", "diffuse"), ("ALPHA", "B", "B", None)], "compname string, hzname string, genhz string, distinctness string")
     assert [r["bound_sd"] for r in profiles.attach_bounds(horizons, series).orderBy("compname", "genhz").collect()] == [5.5, 7.5, None]
+
+
+def test_profiles_meet_before_they_are_repeated(spark):
+    rows = [(c, h, 10.0 * (h - 1), 10.0 * h, 10.0 * (h - 1) - 1 if h % 2 else None, 10.0 * h + 3) for c in range(40) for h in range(1, 2 + c % 4)]
+    df = spark.createDataFrame(rows, "cokey long, hz int, hzdept_r double, hzdepb_r double, hzdept_l double, hzdepb_h double").withColumns({"hzdept_h": F.col("hzdept_r") + 2, "hzdepb_l": F.col("hzdepb_r") - 4})
+    from loamcast.operators import simulate
+
+    for method in ("top_down", "bottom_up", "mixed"):
+        before = profiles.simulated(simulate.realizations(df, 6), ["cokey", "sim"], method)
+        plain = profiles.clipped(before, profiles.with_variability(df), ["cokey", "hz"]).select("cokey", "sim", "method", "hz", "top", "bottom")
+        once = profiles.simulated(df, ["cokey"], method, 6, held=True)
+        assert sorted(map(tuple, once.collect())) == sorted(map(tuple, plain.collect()))
+        assert sorted(map(tuple, profiles.simulated(df, ["cokey"], method, 6).collect())) == sorted(map(tuple, before.select("cokey", "sim", "method", "hz", "top", "bottom").collect()))
+    # Only horizons are shuffled, none of their repetitions.
+    plan = profiles.thickness_spread(once, ["cokey"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
