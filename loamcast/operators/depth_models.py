@@ -71,9 +71,14 @@ def trend(depth: Column) -> Column:
 
 def predicted(rows: DataFrame, models: DataFrame, key: str, depth: str, name: str = "trend") -> DataFrame:
     """rows (key, depth, ...) with the value of their model at their depth;
-    models has the column key. Models are far fewer than rows."""
-    joined = rows.join(models.select(key, *[c.split()[0] for c in MODEL.split(", ")]), key, "left")
-    return joined.withColumn(name, trend(F.col(depth))).select(*rows.columns, name)
+    models has the column key. A model is evaluated once for each distinct
+    depth that its rows ask for, and rows are joined to those values."""
+    asked = rows.select(F.col(key).alias("__key"), F.col(depth).alias("__depth")).where("__key is not null and __depth is not null").distinct()
+    # Few rows, long work each: dealt to all tasks.
+    asked = asked.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "__key", "__depth")
+    held = models.select(F.col(key).alias("__key"), *[c.split()[0] for c in MODEL.split(", ")])
+    found = asked.join(held, "__key").select("__key", "__depth", trend(F.col("__depth")).alias(name))
+    return rows.join(found, (F.col(key) == F.col("__key")) & (F.col(depth) == F.col("__depth")), "left").select(*rows.columns, name)
 
 
 def gates(bound_sd: np.ndarray) -> np.ndarray:

@@ -68,3 +68,15 @@ def test_reordering_is_gated_and_takes_ragged_profiles(spark):
     top = out[(out.cokey == 1) & (out.hz == 1)]
     assert top.a.corr(top.b) == pytest.approx(0.6, abs=0.06)
     assert out[(out.cokey == 3) & out.a.isna()].sim.tolist() == [15]
+
+
+def test_models_are_evaluated_once_a_depth(spark):
+    models = depth_models.fitted(spark.createDataFrame([(g, c, 10.0 * k, float(k * k + c + ord(g))) for g in "ab" for c in range(3) for k in range(6)], "g string, cokey int, d double, v double"), "g", "d", "v")
+    rows = spark.createDataFrame([(k, *r) for k, r in enumerate([("a", 5.0)] * 40 + [("b", 5.0), ("b", 99.0), ("a", None), (None, 5.0), ("c", 5.0), ("a", 0.0), ("a", -0.0)])], "k int, g string, d double")
+    found = depth_models.predicted(rows, models, "g", "d")
+    plain = rows.join(models, "g", "left").withColumn("trend", depth_models.trend(F.col("d"))).select("k", "g", "d", "trend")
+    key = lambda r: r["k"]
+    assert [tuple(r) for r in sorted(found.collect(), key=key)] == [tuple(r) for r in sorted(plain.collect(), key=key)]
+    # The kernel sits above the distinct depths, not above the rows.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join LeftOuter") < plan.index("aggregate(") < plan.index("RepartitionByExpression")
