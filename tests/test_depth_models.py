@@ -80,3 +80,30 @@ def test_models_are_evaluated_once_a_depth(spark):
     # The kernel sits above the distinct depths, not above the rows.
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Join LeftOuter") < plan.index("aggregate(") < plan.index("RepartitionByExpression")
+
+
+def test_profiles_are_reordered_a_batch_at_a_time(spark):
+    rng = np.random.default_rng(5)
+    rows = [(c, h, 10.0 * h, s, float(rng.normal()), float(rng.normal())) for c in range(30) for h in range(1, 2 + c % 5) for s in range(1, 21) if (c, h, s) != (7, 2, 3)]
+    df = spark.createDataFrame(rows, "cokey long, hz int, hzdept_r double, sim int, a double, b double")
+    matrix = [[1.0, 0.6], [0.6, 1.0]]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")  # batches end within profiles
+    try:
+        out = gp.reordered(df.repartition(3), ["a", "b"], matrix)
+        found = out.toPandas().sort_values(["cokey", "hz", "sim"])
+        together = gp.reordered(df.coalesce(1), ["a", "b"], matrix, ordered=True).toPandas().sort_values(["cokey", "hz", "sim"])
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert np.array_equal(found[["a", "b"]], together[["a", "b"]]) and len(found) == len(rows)
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().executedPlan().toString()
+    given = df.toPandas()
+    for c in range(30):
+        x, y = found[found.cokey == c], given[given.cokey == c].sort_values(["hz", "sim"])
+        if c == 7:  # a depth lacks a draw: as it was
+            assert np.array_equal(x[["a", "b"]], y[["a", "b"]])
+            continue
+        d = np.sort(x.hzdept_r.unique())
+        z = gp.joint_normals(gp.depth_correlation(d, 50.0) + 1e-9 * np.eye(len(d)), np.array(matrix), 20, 1 + c)
+        for k, name in enumerate("ab"):
+            want = np.sort(y[name].to_numpy().reshape(len(d), 20), axis=1)
+            assert np.array_equal(x[name].to_numpy(), np.take_along_axis(want, z[:, k, :].argsort(axis=1).argsort(axis=1), axis=1).ravel())
