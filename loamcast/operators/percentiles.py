@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.normal import qnorm_sql
 from ..functions.special import spline_quantile
+from .stats import parted
 
 METHODS = ("linear_cdf", "spline", "kde", "normal")
 _Z = NormalDist().inv_cdf
@@ -108,9 +109,8 @@ def ks_distance(a: DataFrame, b: DataFrame, keys: list[str], value: str) -> Data
     distributions of each group. Both are counted by value first."""
     tagged = a.select(*keys, F.col(value).alias("__v"), F.lit(1).alias("__a")).unionByName(b.select(*keys, F.col(value).alias("__v"), F.lit(0).alias("__a")))
     both = tagged.where(F.col("__v").isNotNull()).groupBy(*keys, "__v").agg(F.sum("__a").alias("a"), F.sum(1 - F.col("__a")).alias("b"))
-    # Distinct values are dealt to parts by approximate quantiles; a group's window holds its parts only.
-    cuts = both.groupBy(*keys).agg(F.percentile_approx("__v", [k / 200 for k in range(1, 200)], 1000).alias("__cuts"))
-    dealt = both.join(cuts, keys).withColumn("__part", F.size(F.filter("__cuts", lambda c: c < F.col("__v")))).drop("__cuts")
+    # Distinct values are dealt to parts; a group's window holds its parts only.
+    dealt = parted(both.dropna(subset=keys), keys, "__v")
     sizes = dealt.groupBy(*keys, "__part").agg(F.sum("a").alias("__a"), F.sum("b").alias("__b"))
     by = Window.partitionBy(*keys)
     up_to = by.orderBy("__part").rowsBetween(Window.unboundedPreceding, 0)

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import BLOCK, md5_words
 
+CROWD = 50_000  # rows beyond which a group is cut into parts
+CUT = 20_000  # values of a group that its cuts are taken from
+
 
 def summary(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Count, mean, spread, exact quantiles, and moments with sample sd."""
@@ -43,14 +46,33 @@ def outliers(rows: DataFrame, keys: list[str], value: str, z: float = 3.0, modif
     )
 
 
+def parted(rows: DataFrame, keys: list[str], value: str, parts: int = 200) -> DataFrame:
+    """rows with __part: 0 in groups of up to CROWD rows; larger ones are cut
+    by value, rows of one value together, into `parts` of about one size.
+
+    Cuts are exact quantiles of values that their hash picks, about CUT a
+    group, so they are the same whenever, and from whatever order of rows,
+    they are computed; approximate quantiles are not, and places that are
+    counted from two such cuts don't fit together. At most one group in CROWD
+    rows has cuts.
+    """
+    held = rows.where(F.col(value).isNotNull())
+    large = F.broadcast(held.groupBy(*keys).agg(F.count("*").alias("__d")).where(F.col("__d") > CROWD))
+    picked = held.select(*keys, value).join(large, keys).where(F.pmod(F.xxhash64(F.col(value).cast("double"), F.lit(7)), F.lit(2**30)) < CUT * 2**30 / F.col("__d"))
+    # A value counts once, also where rows repeat it.
+    picked = picked.select(*keys, value).distinct()
+    cuts = picked.groupBy(*keys).agg(F.percentile(value, [k / parts for k in range(1, parts)]).alias("__cuts"))
+    part = F.coalesce(F.size(F.filter("__cuts", lambda c: c < F.col(value))), F.lit(0))
+    return rows.join(F.broadcast(cuts), keys, "left").withColumn("__part", F.when(F.col("__cuts").isNull(), 0).otherwise(part)).drop("__cuts")
+
+
 def positions(rows: DataFrame, keys: list[str], value: str, parts: int = 200) -> DataFrame:
     """(keys, value, n, before, total): each distinct value of a group, how
     often it occurs, how many rows are smaller, and all. For groups of any
-    size: distinct values are dealt to parts by approximate quantiles, and
-    only counts of parts are added up in a group's window."""
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
-    cuts = counts.groupBy(*keys).agg(F.percentile_approx(value, [k / parts for k in range(1, parts)], 1000).alias("__cuts"))
-    dealt = counts.join(cuts, keys).withColumn("__part", F.size(F.filter("__cuts", lambda c: c < F.col(value)))).drop("__cuts")
+    size: distinct values are dealt to parts, see parted(), and only counts of
+    parts are added up in a group's window. Null keys are in no group."""
+    counts = rows.where(F.col(value).isNotNull()).dropna(subset=keys).groupBy(*keys, value).agg(F.count("*").alias("n"))
+    dealt = parted(counts, keys, value, parts)
     sizes = dealt.groupBy(*keys, "__part").agg(F.sum("n").alias("__n"))
     by = Window.partitionBy(*keys)
     up_to = by.orderBy("__part").rowsBetween(Window.unboundedPreceding, 0)
@@ -128,14 +150,12 @@ def filled_forward(rows: DataFrame, keys: list[str], order: list[str], value: st
 
 def ranked(rows: DataFrame, keys: list[str], order: list[str], name: str, parts: int = 200) -> DataFrame:
     """rows with their place (1, 2, ...) in the group by the columns of order,
-    for groups of any size: rows are dealt to parts by approximate quantiles
-    of the first column, and only counts of parts are added up in a group's
-    window. Equal rows get places in any order; nulls come first. The first
-    column is a number; rows of one value of it meet in a task."""
+    for groups of any size: rows are dealt to parts by the first column, see
+    parted(), and only counts of parts are added up in a group's window. Equal
+    rows get places in any order; nulls come first; null keys are in no group.
+    The first column is a number; rows of one value of it meet in a task."""
     value = order[0]
-    cuts = rows.groupBy(*keys).agg(F.percentile_approx(value, [k / parts for k in range(1, parts)], 1000).alias("__cuts"))
-    part = F.coalesce(F.size(F.filter("__cuts", lambda c: c < F.col(value))), F.lit(-1))
-    dealt = rows.join(cuts, keys).withColumn("__part", F.when(F.col(value).isNull(), -1).otherwise(part)).drop("__cuts")
+    dealt = parted(rows.dropna(subset=keys), keys, value, parts).withColumn("__part", F.when(F.col(value).isNull(), -1).otherwise(F.col("__part")))
     sizes = dealt.groupBy(*keys, "__part").agg(F.count("*").alias("__n"))
     up_to = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, 0)
     sizes = sizes.select(*keys, "__part", (F.sum("__n").over(up_to) - F.col("__n")).alias("__base"))

@@ -154,3 +154,13 @@ def test_bootstrap_adds_up_large_groups_without_repeating_rows(spark, monkeypatc
     by_hand = drawn.agg(F.sum(F.col("w") * F.col("v")) / F.sum("w")).first()[0]
     one = [r for r in stats.bootstrap(df, ["g"], "v", ["g", "k"], 1).collect() if r["g"] == 2][0]
     assert one["low"] == pytest.approx(by_hand) and one["high"] == pytest.approx(by_hand)
+
+
+def test_parts_do_not_depend_on_the_order_of_rows(spark):
+    x = spark.range(0, 120_000, 1, 6).select(F.lit("g").alias("g"), ((F.col("id") * 7919) % 120_000).cast("double").alias("v"))
+    x = x.unionByName(spark.createDataFrame([("few", 1.0), ("few", None), (None, 1.0)], "g string, v double"))
+    up, down = (stats.parted(x.orderBy(o), ["g"], "v").groupBy("g", "__part").agg(F.min("v"), F.max("v"), F.count("*")) for o in (F.asc("v"), F.desc("v")))
+    assert sorted(map(str, up.collect())) == sorted(map(str, down.collect())) and up.where("g = 'g'").count() == 200
+    at = stats.positions(x, ["g"], "v")
+    assert at.where("g = 'g' and before = v and total = 120000").count() == 120_000 and at.where("g = 'few'").first()[1:] == (1.0, 1, 0, 1)
+    assert stats.ranked(x, ["g"], ["v"], "k").where("g = 'g' and k = v + 1").count() == 120_000
