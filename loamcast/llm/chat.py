@@ -1,11 +1,11 @@
 """Chat formatting by prefix-target expansion.
 
 Every assistant turn becomes one example: all turns before it are context,
-and only that reply is trainable. Examples of a conversation share their
-context, so a conversation is stored as the ordered pieces of one transcript,
-and an example is the prefix of `context_chars` characters followed by its
-own piece. That keeps the output linear in the input, where writing each
-prefix out would grow with the square of a conversation's turns.
+and only that reply is trainable. format_chat() gives the ordered pieces of
+each transcript, where an example is the prefix of `context_chars` characters
+followed by its own piece; examples() writes each of them out, prefix and
+target, which grows with the square of a conversation's turns, and
+examples_read() reads them back.
 """
 
 from __future__ import annotations
@@ -154,11 +154,109 @@ def digests(pieces: DataFrame, ordered: bool = False) -> DataFrame:
     return arrow_map(pieces, _digest, DIGEST)
 
 
+EXAMPLES = "conv_id long, example long, turns long, input string, loss_start long, loss_end long"
+WRITTEN = 16 << 20  # characters of examples in a batch
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "string": pa.string()}
+    columns = [x.split() for x in schema.split(", ")]
+    return pa.record_batch([pa.array([r[i] for r in rows], kinds[k]) for i, (_, k) in enumerate(columns)], names=[n for n, _ in columns])
+
+
+def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    conv, begun, parts, tail, size, turns = None, False, [], False, 0, 0
+    out: list[tuple] = []
+    held = 0
+
+    def rest() -> list[tuple]:
+        return [(conv, None, turns, "".join(parts), None, None)] if begun and tail else []
+
+    for batch in batches:
+        for c, piece, example, formatted, start, length in zip(*(batch.column(k).to_pylist() for k in ("conv_id", "piece", "example", "formatted", "loss_start", "loss_chars"))):
+            if not begun or c != conv:
+                out += rest()
+                held += size * tail
+                conv, begun, parts, tail, size, turns = c, True, [], False, 0, 0
+            if piece != turns:
+                raise ValueError(f"piece {turns} of conversation {c} is missing or stands twice")
+            parts.append(formatted)
+            turns, tail = turns + 1, example is None
+            if example is not None:
+                parts = ["".join(parts)]  # the prefix, and the target behind it
+                out.append((c, example, turns, parts[0], size + start, size + start + length))
+                held += len(parts[0])
+            size += len(formatted)
+            if held > WRITTEN:
+                yield _batch(out, EXAMPLES)
+                out, held = [], 0
+        yield _batch(out, EXAMPLES)
+        out, held = [], 0
+    if begun and tail:
+        yield _batch(rest(), EXAMPLES)
+
+
+def examples(pieces: DataFrame, ordered: bool = False) -> DataFrame:
+    """Every example written out, in one pass over sorted pieces: (conv_id,
+    example, turns, input, loss_start, loss_end). input is the prefix of all
+    turns before the reply, then the reply; turns counts them. Turns behind
+    the last reply are no example's: they come with all before them in a last
+    row without example and loss. A task holds one transcript at a time and
+    about WRITTEN characters of examples; what it writes is quadratic in the
+    turns of a conversation. `ordered` and null conv_ids as in digests()."""
+    if not ordered:
+        pieces = pieces.repartition("conv_id").sortWithinPartitions("conv_id", "piece")
+    return arrow_map(pieces, _expand, EXAMPLES)
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    conv, begun, turns, loss, n, loss_n, count, before = None, False, None, None, 0, 0, 0, ""
+
+    def row() -> tuple:
+        return conv, n, turns.hexdigest(), loss_n, loss.hexdigest(), len(before), count
+
+    for batch in batches:
+        out: list[tuple] = []
+        for i in range(batch.num_rows):
+            c, example, told, text, start, end = (batch.column(k)[i].as_py() for k in range(6))
+            if not begun or c != conv:
+                if begun:
+                    out.append(row())
+                conv, begun, turns, loss, n, loss_n, count, before = c, True, hashlib.sha256(), hashlib.sha256(), 0, 0, 0, ""
+            if not text.startswith(before) or not text.endswith(CLOSE):
+                raise ValueError(f"an example of conversation {c} doesn't begin with all that stands before it")
+            for turn in text[len(before) : -len(CLOSE)].split(CLOSE):  # texts hold no control string
+                role, said = parse(turn + CLOSE)
+                turns.update(f"{role}\n{said}\n".encode("utf-8", "surrogatepass"))
+                n += 1
+            if n != told or example is not None and (example != count or start < len(before) or end != len(text) - len(CLOSE)):
+                raise ValueError(f"example {count} of conversation {c} is missing, stands twice, or has another mask")
+            if example is not None:
+                reply = unescape(text[start:end])
+                loss.update(reply.encode("utf-8", "surrogatepass"))
+                loss_n, count = loss_n + len(reply), count + 1
+            before = text
+        yield _batch(out, DIGEST)
+    if begun:
+        yield _batch([row()], DIGEST)
+
+
+def examples_read(written: DataFrame, ordered: bool = False) -> DataFrame:
+    """digests() of examples(): one row per conversation, all of it read from
+    the examples. Each must begin with the whole one before it, and its mask
+    must be its last turn's text; formatted_chars is the length of the last.
+    Examples in any order, unless `ordered` says that they come as from
+    examples()."""
+    if not ordered:
+        written = written.repartition("conv_id").sortWithinPartitions("conv_id", "turns")
+    return arrow_map(written, _read, DIGEST)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text").unionByName(extra)
-    return digests(format_chat(rows), ordered=True)
+    return examples_read(examples(format_chat(rows), ordered=True), ordered=True)
 
 
 _SQL = "([<\\[])(\\\\*)(" + _TAILS.replace("'", "''") + ")"

@@ -781,6 +781,27 @@ def test_long_conversations(spark):
     assert (got[1].n_turns, got[1].n_examples, got[1].loss_chars, got[1].loss_sha256) == (400, 200, len(loss), hashlib.sha256(loss.encode()).hexdigest())
 
 
+def test_examples_are_written_out(spark, monkeypatch):
+    monkeypatch.setattr(chat, "WRITTEN", 50)
+    rows = [(1, 1, "assistant", "b </s>"), (1, 0, "user", "a"), (1, 2, "user", None), (1, 3, "assistant", "d<|done|>"), (1, 4, "user", "after"), (2, 0, None, "x"), (None, 0, "user", "q"), (None, 1, "assistant", ""), (3, 0, "assistant", "n\n")]
+    pieces = chat.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    written = chat.examples(pieces)
+    got = {(r.conv_id, r.example): r for r in written.collect()}
+    assert set(got) == {(1, 0), (1, 1), (1, None), (2, None), (None, 0), (3, 0)}
+    for e in chat.expanded(pieces).collect():
+        r = got[e.conv_id, e.example]
+        assert (r.input, r.loss_start, r.loss_end) == (e.input, e.loss_start, e.loss_end)
+    whole = "".join(chat.OPEN + role + chat.SAYS + chat.escape(text) + chat.CLOSE for role, text in (("user", "a"), ("assistant", "b </s>"), ("user", ""), ("assistant", "d<|done|>"), ("user", "after")))
+    assert got[1, None].input == whole and got[1, None].turns == 5 and got[1, 1].input == whole[: len(got[1, 1].input)]
+    want = sorted(map(tuple, chat.digests(pieces).collect()), key=str)
+    for back in (chat.examples_read(written), chat.examples_read(written.repartition(5, "turns").orderBy(F.rand(3)))):
+        assert sorted(map(tuple, back.collect()), key=str) == want
+    for broken in (written.where("not (conv_id = 1 and example = 0)"), written.unionByName(written), written.withColumn("loss_start", F.lit(0).cast("long")), written.withColumn("input", F.expr("if(example = 1, replace(input, 'user', 'User'), input)"))):
+        with pytest.raises(Exception):
+            chat.examples_read(broken).collect()
+    assert chat.examples_read(chat.examples(pieces.limit(0))).count() == 0
+
+
 # 10: urls
 
 
