@@ -9,10 +9,13 @@ special.beta_draw(), in vectors.
 
 from __future__ import annotations
 
+import functools
 import math
+from collections.abc import Callable, Iterator
 from statistics import NormalDist
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -71,11 +74,42 @@ def metalog_at(a: list[Column], u: Column, bounds: Bounds = None, kind: str = "u
     return from_z(metalog_z(a, u), bounds, kind)
 
 
+@functools.cache
+def _falling() -> Callable:
+    @F.pandas_udf("boolean")
+    def falls(frames: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for rows in frames:
+            yield pd.Series(steps_down(np.array(rows.tolist(), float))) if len(rows) else pd.Series([], dtype=bool)
+
+    return falls
+
+
+def steps_down(a: np.ndarray) -> np.ndarray:
+    """infeasible() of rows of coefficients."""
+    values = sum(a[:, [i]] * np.array(b) for i, b in enumerate(zip(*(basis(k / 50.0, a.shape[1]) for k in range(1, 50)))))
+    with np.errstate(invalid="ignore"):
+        return (np.diff(values, axis=1) < 0).any(axis=1)
+
+
 def infeasible(a: list[Column]) -> Column:
     """True where the quantile function steps down on 0.02, 0.04, ..., 0.98;
-    every kind rises where its z does."""
-    grid = F.transform(F.sequence(F.lit(1), F.lit(49)), lambda k: metalog_z(a, k / 50.0))
-    return F.exists(F.zip_with(F.slice(grid, 1, 48), F.slice(grid, 2, 48), lambda x, y: y - x), lambda d: d < 0)
+    every kind rises where its z does. In vectors: as expressions, every step
+    of a row would work out its coefficients again."""
+    known = a[0].isNotNull()
+    for x in a[1:]:
+        known = known & x.isNotNull()
+    flat = F.array(*[F.coalesce(x, F.lit(0.0)) for x in a])
+    return F.when(known, _falling()(flat))
+
+
+def moments(a: np.ndarray, probs: np.ndarray, bounds: Bounds, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and sd over the given probabilities of rows of coefficients."""
+    z = sum(a[:, [i]] * np.array(b) for i, b in enumerate(zip(*(basis(u, a.shape[1]) for u in probs))))
+    if kind != "u":
+        low, high = bounds
+        z = {"sl": lambda: low + np.exp(z), "su": lambda: high - np.exp(-z), "b": lambda: (low + high * np.exp(z)) / (1 + np.exp(z))}[kind]()
+    mean = np.cumsum(z, axis=1)[:, -1] / len(probs)
+    return mean, np.sqrt(np.cumsum(z * z, axis=1)[:, -1] / len(probs) - mean * mean)
 
 
 def metalog_or_linear(a: list[Column], values: list[Column], probs: list[float], u: Column, bounds: Bounds = None, kind: str = "u") -> Column:

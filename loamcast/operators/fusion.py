@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Iterator
 from statistics import NormalDist
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,11 +79,20 @@ def metalog_moments(columns: dict[float, str], bounds: families.Bounds, kind: st
     percentiles, over 200 probabilities; of the normal where it is infeasible."""
     inner = interior(columns)
     a = families.metalog([F.col(c) for c in inner.values()], list(inner), bounds, kind)
-    values = F.transform(F.sequence(F.lit(0), F.lit(199)), lambda k: families.metalog_at(a, 0.001 + k * 0.005, bounds, kind))
-    total = F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
-    squares = F.aggregate(values, F.lit(0.0), lambda s, x: s + x * x)
-    bad, n = families.infeasible(a), normal_side(columns)
-    return F.struct(F.when(bad, n["mu"]).otherwise(total / 200).alias("mu"), F.when(bad, n["sigma"]).otherwise(F.sqrt(squares / 200 - total / 200 * total / 200)).alias("sigma"), bad.alias("infeasible"))
+    probs = np.array([0.001 + k * 0.005 for k in range(200)])
+
+    @F.pandas_udf("mu double, sigma double, infeasible boolean")
+    def found(frames: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for rows in frames:
+            x = np.array(rows.tolist(), float).reshape(len(rows), len(inner))
+            with np.errstate(over="ignore", invalid="ignore"):
+                mu, sigma = families.moments(x, probs, bounds, kind)
+            yield pd.DataFrame({"mu": mu, "sigma": sigma, "infeasible": families.steps_down(x)})
+
+    known = functools.reduce(lambda x, y: x & y, [x.isNotNull() for x in a])
+    m, n = found(F.array(*[F.coalesce(x, F.lit(0.0)) for x in a])), normal_side(columns)
+    bad = known & m["infeasible"]
+    return F.struct(*[F.when(bad, n[c]).when(known, m[c]).alias(c) for c in ("mu", "sigma")], F.when(known, m["infeasible"]).alias("infeasible"))
 
 
 def fuse_cells(rows: DataFrame, prior: dict[float, str], likelihood: dict[float, str], family: str, bounds: families.Bounds = None, kind: str = "b") -> DataFrame:

@@ -410,3 +410,33 @@ def test_checks_of_matrices_and_scores(spark):
     assert [(round(r.change, 6), r.converged) for r in checks.convergence(draws, "sim", ["v"]).collect()] == [(1.0, False)]
     assert checks.convergence(draws.limit(0), "sim", ["v"]).count() == 0
     assert checks.representation(draws.withColumn("k", F.col("sim") % 3), "k", 4).first().short == 2
+
+
+def test_metalogs_in_vectors(spark):
+    from loamcast.functions import families
+    from loamcast.operators import fusion
+
+    rng = np.random.default_rng(8)
+    rows = [tuple(map(float, np.sort(rng.uniform(5, 95, 3)) if k % 3 else np.array([10, 10.5 + k / 100, 90]))) for k in range(200)]
+    df = spark.createDataFrame([*rows, (1.0, None, 3.0)], "l double, r double, h double")
+    a = families.metalog([F.col(c) for c in "lrh"], [0.05, 0.5, 0.95], (0.0, 100.0), "b")
+    x = df.select("l", "r", "h", families.infeasible(a).alias("bad"), scalar.metalog_feasible(scalar.metalog_fit(*[F.col(c) for c in "lrh"])).alias("rises"), fusion.metalog_moments({0.05: "l", 0.5: "r", 0.95: "h"}, (0.0, 100.0), "b").alias("m"))
+    plan = x._jdf.queryExecution().executedPlan().toString()
+    assert "lambda" not in plan  # no step of a row works its coefficients out again
+    u, seen = np.arange(1, 50) / 50, set()
+    for r in x.collect():
+        if r["r"] is None:
+            assert r["bad"] is None and r["rises"] is None and r["m"]["mu"] is None
+            continue
+        v = np.array([r["l"], r["r"], r["h"]])
+        system = np.linalg.inv(np.array([families.basis(p, 3) for p in (0.05, 0.5, 0.95)]))
+        at = lambda a, p: a[0] + (a[1] + a[2] * (p - 0.5)) * np.log(p / (1 - p))
+        z = system @ np.log(v / (100 - v))
+        assert r["bad"] == bool((np.diff(at(z, u)) < 0).any()) == r["m"]["infeasible"] and r["rises"] == (not (np.diff(at(system @ v, u)) < 0).any())
+        seen.add(r["bad"])
+        if not r["bad"]:
+            q = 100 / (1 + np.exp(-at(z, 0.001 + 0.005 * np.arange(200))))
+            assert r["m"]["mu"] == pytest.approx(q.mean()) and r["m"]["sigma"] == pytest.approx(q.std())
+        else:
+            assert r["m"]["mu"] == r["r"]
+    assert seen == {True, False}
