@@ -65,6 +65,11 @@ def metalog(values: list[Column], probs: list[float], bounds: Bounds = None, kin
     return [sum((float(w) * x for w, x in zip(row[1:], z[1:])), float(row[0]) * z[0]) for row in inverse]
 
 
+def metalog_number(a: tuple[np.ndarray, ...], u) -> np.ndarray:
+    """metalog_at() of an unbounded metalog, of numbers and arrays."""
+    return sum(x * b for x, b in zip(a, basis(u, len(a), np.log)))
+
+
 def metalog_z(a: list[Column], u: Column) -> Column:
     parts = [x * b for x, b in zip(a, basis(u, len(a), F.log))]
     return sum(parts[1:], parts[0])

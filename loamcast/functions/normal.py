@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from statistics import NormalDist
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -54,6 +55,24 @@ def pnorm_sql(z: str) -> str:
     return f"(CASE WHEN ({z}) > 0e0 THEN 1e0 - {tail} ELSE {tail} END)"
 
 
+def qnorm_at(u: np.ndarray) -> np.ndarray:
+    """qnorm_sql() of an array."""
+    middle = u - 0.5
+    square = middle * middle
+    out = middle * np.polyval(A, square) / np.polyval(B, square)
+    for at, p, sign in ((u < LOW, u, 1), (u > 1 - LOW, 1 - u, -1)):
+        t = np.sqrt(-2.0 * np.log(p[at]))
+        out[at] = sign * (np.polyval(C, t) / np.polyval(D, t))
+    return out
+
+
+def pnorm_at(z: np.ndarray) -> np.ndarray:
+    """pnorm_sql() of an array."""
+    t = 1.0 / (1.0 + P * np.abs(z))
+    tail = np.exp(-z * z / 2.0) * 3.98942280401432678e-01 * np.polyval(T, t)
+    return np.where(z > 0, 1.0 - tail, tail)
+
+
 def tail_sql(z: str) -> str:
     """Text of the probability above z, with small tails in full precision;
     phi(z) is the tail of -z."""

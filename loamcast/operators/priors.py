@@ -15,14 +15,16 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import families, special
-from ..functions.normal import qnorm_sql
+from ..functions.hashing import uniforms
+from ..functions.normal import qnorm_at, qnorm_sql
 from ..functions.scalar import finite, fuse_beta, moments_to_beta, normal_to_log, quantile_linear, quantile_triangular, update_normal
 from .density import posterior_samples
-from .simulate import correlated_uniforms
+from .simulate import cholesky, key_text, mixed
 
 PRIOR = "struct<family: string, p: array<double>, source: string>"
 SPREAD = 0.2  # of a value that stands alone
@@ -275,8 +277,71 @@ def simulated(rows: DataFrame, properties: dict[str, tuple[str, ...]], keys: lis
     """(keys, sim, one column a property): n draws of each row's priors, under
     the Gaussian copula of `matrix`. properties: name and families that occur,
     from outcomes(). A property without a prior is null."""
-    names = list(properties)
-    draws = rows.select(*keys, *[f"prior_{p}" for p in names]).withColumn("sim", F.explode(F.sequence(F.lit(1), F.lit(n))))
-    out = correlated_uniforms(draws, [*keys, "sim"], names, matrix, seed)
-    out = out.withColumns({p: quantile(F.col(f"prior_{p}"), f"u_{p}", kinds) for p, kinds in properties.items()})
-    return out.select(*keys, "sim", *names)
+    names, lower = list(properties), cholesky(matrix)
+    endings = [f"{sim}|{name}|{seed}".encode() for sim in range(1, n + 1) for name in names]
+    # Few rows make many draws: they are dealt to all tasks.
+    held = rows.select(*keys, key_text(keys).alias("__text"), *[f"prior_{p}" for p in names])
+    held = held.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, LOT // (n * len(names)))
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                u = uniforms([t.encode() for t in part.column(len(keys)).to_pylist()], endings).reshape(part.num_rows, n, len(names))
+                u = mixed(u, lower)
+                each = pa.array(np.repeat(np.arange(part.num_rows), n))
+                columns = [part.column(k).take(each) for k in range(len(keys))]
+                columns.append(pa.array(np.tile(np.arange(1, n + 1, dtype=np.int32), part.num_rows)))
+                for i, kinds in enumerate(properties.values()):
+                    found = prior_quantiles(part.column(len(keys) + 1 + i).to_pylist(), u[:, :, i], kinds).ravel()
+                    columns.append(pa.array(found, mask=np.isnan(found)))
+                yield pa.record_batch(columns, names=[*keys, "sim", *names])
+
+    kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
+    return held.mapInArrow(drawn, f"{kinds}, sim int, " + ", ".join(f"`{p}` double" for p in names))
+
+
+LOT = 500_000  # draws that simulated() makes at once
+
+
+def prior_quantiles(priors: list[dict | None], u: np.ndarray, kinds: tuple[str, ...], probs: tuple[float, float] = (0.05, 0.95)) -> np.ndarray:
+    """quantile() of rows of probabilities, a prior a row; NaN without."""
+    out = np.full(u.shape, np.nan)
+    families_of = np.array([p["family"] if p and p["p"] is not None and p["family"] in kinds else "" for p in priors])
+    knots = (probs[0], 0.5, probs[1])
+    for kind in np.unique(families_of):
+        at = np.flatnonzero(families_of == kind)
+        x = u[at]
+        if kind == "":
+            continue
+        if kind == "empirical":
+            for k in at:
+                v = np.array(priors[k]["p"], float)
+                place = u[k] * len(v) - 0.5
+                low = np.clip(np.floor(place), 0, len(v) - 1).astype(int)
+                share = np.clip(place - low, 0, 1)
+                out[k] = v[low] * (1 - share) + v[np.minimum(low + 1, len(v) - 1)] * share
+            continue
+        p = np.array([(list(priors[k]["p"]) + [None] * 4)[:4] for k in at], float)[:, :, None]
+        a, b, c, d = (p[:, i] for i in range(4))
+        if kind == "triangular":
+            width = c - a
+            with np.errstate(invalid="ignore", divide="ignore"):
+                sides = np.where(x < (b - a) / width, a + np.sqrt(x * width * (b - a)), c - np.sqrt((1 - x) * width * (c - b)))
+            out[at] = np.where(width <= 0, b, sides)
+        elif kind == "uniform":
+            out[at] = a + x * (b - a)
+        elif kind in ("normal", "lognormal"):
+            z = a + b * qnorm_at(x)
+            out[at] = z if kind == "normal" else np.exp(z)
+        elif kind == "beta":
+            out[at] = c + (d - c) * special.beta_quantile(x, np.broadcast_to(a, x.shape), np.broadcast_to(b, x.shape))
+        elif kind in ("linear_cdf", "metalog"):
+            at_knots = [families.metalog_number((a, b, c), q) for q in knots] if kind == "metalog" else [a, b, c]
+            line = np.where(x <= knots[0], at_knots[0], at_knots[2])
+            for i in (0, 1):
+                inside = (x > knots[i]) & (x <= knots[i + 1])
+                line = np.where(inside, at_knots[i] + (at_knots[i + 1] - at_knots[i]) * (x - knots[i]) / (knots[i + 1] - knots[i]), line)
+            out[at] = line if kind == "linear_cdf" else np.where(d == 1, line, families.metalog_number((a, b, c), x))
+    return out

@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import uniforms
-from ..functions.normal import pnorm_sql, qnorm_sql, uniform
+from ..functions.normal import pnorm_at, qnorm_at, qnorm_sql, uniform
 from ..functions.scalar import ilr, quantile_triangular, water_content
 
 
@@ -40,15 +41,38 @@ def positive_definite(matrix: np.ndarray, least: float = 1e-6) -> np.ndarray:
     return fixed / np.outer(scale, scale)
 
 
+def mixed(u: np.ndarray, lower: np.ndarray) -> np.ndarray:
+    """Independent uniforms (..., k) under the Gaussian copula of a factor."""
+    z = qnorm_at(u)
+    out = np.empty_like(z)
+    for i in range(z.shape[-1]):
+        y = lower[i, 0] * z[..., 0]
+        for j in range(1, i + 1):
+            y = y + lower[i, j] * z[..., j]
+        out[..., i] = pnorm_at(y)
+    return out
+
+
+def key_text(keys: list[str]) -> Column:
+    """What stands before the name and seed in the hash of a draw."""
+    return F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(""))
+
+
 def correlated_uniforms(rows: DataFrame, keys: list[str], names: list[str], matrix: list[list[float]], seed: int = 1) -> DataFrame:
     """Gaussian copula: columns u_<name> with the given normal correlations.
-    The factor of the k x k matrix is folded into the expressions."""
+    Draws are those of uniform(keys, name, seed), made in vectors: as
+    expressions they are more code than the JVM compiles."""
     lower = cholesky(matrix)
-    z = {f"z_{n}": F.expr(qnorm_sql(f"e_{n}")) for n in names}
-    out = rows.withColumns({f"e_{n}": uniform(*[F.col(k) for k in keys], n, seed) for n in names}).withColumns(z)
-    mixed = {f"y_{n}": sum((float(lower[i, j]) * F.col(f"z_{names[j]}") for j in range(1, i + 1)), float(lower[i, 0]) * F.col(f"z_{names[0]}")) for i, n in enumerate(names)}
-    out = out.withColumns(mixed).withColumns({f"u_{n}": F.expr(pnorm_sql(f"y_{n}")) for n in names})
-    return out.drop(*z, *mixed, *[f"e_{n}" for n in names])
+    endings = [f"{n}|{seed}".encode() for n in names]
+
+    @F.pandas_udf(", ".join(f"u{i} double" for i in range(len(names))))
+    def draw(frames: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in frames:
+            u = mixed(uniforms([t.encode() for t in texts], endings), lower) if len(texts) else np.empty((0, len(endings)))
+            yield pd.DataFrame(u, columns=[f"u{i}" for i in range(len(endings))])
+
+    out = rows.withColumn("__u", draw(key_text(keys)))
+    return out.withColumns({f"u_{n}": F.col(f"__u.u{i}") for i, n in enumerate(names)}).drop("__u")
 
 
 def correlated_triangular(rows: DataFrame, keys: list[str], triplets: dict[str, tuple[str, str, str]], matrix: list[list[float]], seed: int = 1) -> DataFrame:

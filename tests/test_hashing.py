@@ -1,5 +1,6 @@
 import hashlib
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from loamcast.functions import hashing
@@ -23,3 +24,28 @@ def test_counts_are_those_of_expressions(spark):
     assert {tuple(r) for r in counted.collect()} == {tuple(r) for r in plain.collect()}
     # Draws are made in vectors, not a row each.
     assert "Generate" not in counted._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_copulas_and_priors_in_vectors(spark):
+    from loamcast.functions.normal import pnorm_at, pnorm_sql, qnorm_at, qnorm_sql, uniform
+    from loamcast.operators import priors, simulate
+
+    df = spark.range(300).select((F.col("id") + 1).cast("double").alias("v"), ((F.col("id") + 0.5) / 300).alias("u"), F.col("id").alias("k"))
+    got = df.select(F.expr(qnorm_sql("u")).alias("q"), F.expr(pnorm_sql("(u - 0.5) * 12")).alias("p"), "u").toPandas()
+    assert np.allclose(got.q, qnorm_at(got.u.to_numpy()), rtol=1e-12) and np.allclose(got.p, pnorm_at((got.u.to_numpy() - 0.5) * 12), rtol=1e-12)
+    drawn = simulate.correlated_uniforms(df, ["k"], ["a", "b"], [[1.0, 0.5], [0.5, 1.0]], 3)
+    assert "lambda" not in (plan := drawn._jdf.queryExecution().executedPlan().toString()) and "md5" not in plan
+    x = drawn.withColumns({"ea": uniform(F.col("k"), "a", 3), "eb": uniform(F.col("k"), "b", 3)}).toPandas()
+    z = np.stack([qnorm_at(x.ea.to_numpy()), qnorm_at(x.eb.to_numpy())])
+    assert np.allclose(x.u_a, pnorm_at(z[0])) and np.allclose(x.u_b, pnorm_at(0.5 * z[0] + np.sqrt(0.75) * z[1]))
+    params = {"triangular": [1.0, 2.0, 4.0], "uniform": [1.0, 3.0], "normal": [5.0, 2.0], "lognormal": [1.0, 0.2], "linear_cdf": [1.0, 2.0, 5.0], "metalog": [2.0, 0.3, 0.1, 0.0], "empirical": [1.0, 2.0, 4.0, 8.0], "beta": [2.0, 3.0, 0.0, 10.0]}
+    rows = spark.createDataFrame([(k, (f, p, "s")) for k, (f, p) in enumerate(params.items())] + [(99, None)], f"k int, prior_a {priors.PRIOR}")
+    out = priors.simulated(rows, {"a": tuple(params)}, ["k"], 40, [[1.0]])
+    want = rows.crossJoin(spark.range(1, 41).withColumnRenamed("id", "sim")).withColumn("e", uniform(F.col("k"), F.col("sim"), "a", 1))
+    want = want.withColumn("z", F.expr(qnorm_sql("e"))).withColumn("u", F.expr(pnorm_sql("z")))
+    want = want.withColumn("v", priors.quantile(F.col("prior_a"), "u", tuple(params))).select("k", "sim", "v")
+    both = out.join(want, ["k", "sim"]).toPandas()
+    assert len(both) == 360 and both[both.k == 99].a.isna().all()
+    held = both[both.k != 99]
+    off = {k: float((x.a / x.v - 1).abs().max()) for k, x in held.groupby("k")}
+    assert len(held) == 320 and max(off.values()) < 1e-7, off
