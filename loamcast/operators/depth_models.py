@@ -4,6 +4,8 @@ across depths, gated at distinct boundaries."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -98,31 +100,39 @@ def reordered(draws: DataFrame, values: list[str], matrix: list[list[float]], sc
     which gates correlation across it. Depths may lack realizations and
     values: a depth's values are put in the order of the copula's draws of the
     realizations that it has. Repeated rows of one realization and depth keep
-    their own values. A task holds one profile's draws.
+    their own values. A batch of rows is taken at a time, and of longer
+    profiles one.
     """
     prop = np.array(matrix, float)
     rows = draws.join(scales.select("cokey", F.col("scale").alias("__scale")), "cokey", "left")
 
-    def reorder(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["hzdept_r", "hz", "sim"])
-        layer = frame.groupby(["hzdept_r", "hz"], sort=True).ngroup().to_numpy()
-        sims, place = np.unique(frame["sim"].to_numpy(), return_inverse=True)
-        first = np.unique(layer, return_index=True)[1]
-        d = frame["hzdept_r"].to_numpy(float)[first]
-        scale = frame["__scale"].iloc[0]
-        r = gp.depth_correlation(d, float(scale)) if scale is not None and np.isfinite(scale) and scale > 0 else np.eye(len(d))
-        if bound is not None and len(d) > 1:
-            logs = np.append(0, np.cumsum(np.log(gates(frame[bound].to_numpy(float)[first][1:]))))
-            r = r * np.exp(-np.abs(logs[:, None] - logs[None, :]))
-        z = gp.joint_normals(r + 1e-9 * np.eye(len(d)), prop, len(sims), seed + int(frame["cokey"].iloc[0]) % 2**31)
-        out = frame.drop(columns="__scale").copy()
-        for k, name in enumerate(values):
-            v = frame[name].to_numpy(float)
-            done = v.copy()
-            for i in range(len(d)):
-                at = np.flatnonzero((layer == i) & ~np.isnan(v))
-                done[at[np.argsort(z[i, k, place[at]], kind="stable")]] = np.sort(v[at])
-            out[name] = done
-        return out
-
-    return rows.groupBy("cokey").applyInPandas(reorder, draws.schema)
+    columns = draws.columns
+
+    def reorder(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame, begins in gp.whole_profiles(frames):
+            depth, hz, sim, key = (frame[c].to_numpy() for c in ("hzdept_r", "hz", "sim", "cokey"))
+            scale = frame["__scale"].to_numpy(float)
+            width = frame[bound].to_numpy(float) if bound is not None else None
+            held = [frame[name].to_numpy(float) for name in values]
+            done = [v.copy() for v in held]
+            for low, high in zip(begins, np.append(begins[1:], len(frame))):
+                part = slice(low, high)
+                starts = np.append(0, np.flatnonzero((depth[low + 1 : high] != depth[low : high - 1]) | (hz[low + 1 : high] != hz[low : high - 1])) + 1)
+                ends = np.append(starts[1:], high - low)
+                sims, place = np.unique(sim[part], return_inverse=True)
+                d = depth[part][starts].astype(float)
+                at_scale = scale[low]
+                r = gp.depth_correlation(d, float(at_scale)) if np.isfinite(at_scale) and at_scale > 0 else np.eye(len(d))
+                if width is not None and len(d) > 1:
+                    logs = np.append(0, np.cumsum(np.log(gates(width[part][starts][1:]))))
+                    r = r * np.exp(-np.abs(logs[:, None] - logs[None, :]))
+                z = gp.joint_normals(r + 1e-9 * np.eye(len(d)), prop, len(sims), seed + int(key[low]) % 2**31)
+                for k, (v, out) in enumerate(zip(held, done)):
+                    for i, (first, last) in enumerate(zip(starts, ends)):
+                        at = np.arange(first, last)
+                        at = at[~np.isnan(v[low + first : low + last])]
+                        out[low + at[np.argsort(z[i, k, place[at]], kind="stable")]] = np.sort(v[low + at])
+            yield frame[columns].assign(**dict(zip(values, done)))
+
+    rows = rows.repartition("cokey").sortWithinPartitions("cokey", "hzdept_r", "hz", "sim")
+    return rows.mapInPandas(reorder, draws.schema)

@@ -107,3 +107,18 @@ def test_profiles_are_reordered_a_batch_at_a_time(spark):
         for k, name in enumerate("ab"):
             want = np.sort(y[name].to_numpy().reshape(len(d), 20), axis=1)
             assert np.array_equal(x[name].to_numpy(), np.take_along_axis(want, z[:, k, :].argsort(axis=1).argsort(axis=1), axis=1).ravel())
+
+
+def test_profiles_of_a_batch_are_reordered_alike(spark):
+    x = spark.range(40).selectExpr("id as cokey").crossJoin(spark.range(3).selectExpr("cast(id as int) as hz", "id * 10.0D as hzdept_r", "5.0D as bound")).crossJoin(spark.range(1, 9).selectExpr("cast(id as int) as sim"))
+    x = x.selectExpr("*", "cast(hash(cokey, hz, sim) as double) as a", "if(sim = 3, null, cast(hash(sim, hz, cokey) as double)) as b").coalesce(1)
+    scales = x.where("cokey % 3 != 0").selectExpr("cokey", "20.0D as scale").distinct()
+    made = depth_models.reordered(x, ["a", "b"], [[1.0, 0.6], [0.6, 1.0]], scales, "bound")
+    assert "FlatMapGroups" not in made._jdf.queryExecution().executedPlan().toString()  # no frame a profile
+    got = {(r.cokey, r.hz, r.sim): (r.a, r.b) for r in made.collect()}
+    alone = {(r.cokey, r.hz, r.sim): (r.a, r.b) for r in depth_models.reordered(x.where("cokey = 7"), ["a", "b"], [[1.0, 0.6], [0.6, 1.0]], scales, "bound").collect()}
+    assert len(got) == 960 and len(alone) == 24 and all(got[k] == v for k, v in alone.items())
+    was = {(r.cokey, r.hz, r.sim): (r.a, r.b) for r in x.collect()}
+    for key in {k[:2] for k in got}:
+        assert sorted(v[0] for k, v in got.items() if k[:2] == key) == sorted(v[0] for k, v in was.items() if k[:2] == key)
+    assert all((v[1] is None) == (k[2] == 3) for k, v in got.items())
