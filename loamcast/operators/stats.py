@@ -72,19 +72,35 @@ def positions(rows: DataFrame, keys: list[str], value: str, parts: int = 200) ->
     size: distinct values are dealt to parts, see parted(), and only counts of
     parts are added up in a group's window. Null keys are in no group."""
     counts = rows.where(F.col(value).isNotNull()).dropna(subset=keys).groupBy(*keys, value).agg(F.count("*").alias("n"))
+    return _placed(*_sized(counts, keys, value, parts), keys, value)
+
+
+def _sized(counts: DataFrame, keys: list[str], value: str, parts: int) -> tuple[DataFrame, DataFrame]:
+    """Counts of distinct values with their part, and of each part how many
+    rows stand before it, in it, and in the group."""
     dealt = parted(counts, keys, value, parts)
     sizes = dealt.groupBy(*keys, "__part").agg(F.sum("n").alias("__n"))
     by = Window.partitionBy(*keys)
     up_to = by.orderBy("__part").rowsBetween(Window.unboundedPreceding, 0)
-    sizes = sizes.select(*keys, "__part", (F.sum("__n").over(up_to) - F.col("__n")).alias("__base"), F.sum("__n").over(by).alias("total"))
+    return dealt, sizes.select(*keys, "__part", "__n", (F.sum("__n").over(up_to) - F.col("__n")).alias("__base"), F.sum("__n").over(by).alias("total"))
+
+
+def _placed(dealt: DataFrame, sizes: DataFrame, keys: list[str], value: str) -> DataFrame:
     inner = Window.partitionBy(*keys, "__part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     return dealt.join(sizes, [*keys, "__part"]).select(*keys, value, "n", (F.col("__base") + F.sum("n").over(inner) - F.col("n")).alias("before"), "total")
 
 
 def quantiles_at(rows: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
     """(keys, one column a probability): exact interpolated quantiles, from
-    positions()."""
-    at = positions(rows, keys, value)
+    positions() in the parts that hold their ranks; others are only counted."""
+    counts = rows.where(F.col(value).isNotNull()).dropna(subset=keys).groupBy(*keys, value).agg(F.count("*").alias("n"))
+    dealt, sizes = _sized(counts, keys, value, 200)
+    held = F.lit(False)
+    for p in probs.values():
+        place = p * (F.col("total") - 1)
+        for k in (F.floor(place), F.ceil(place)):
+            held = held | ((F.col("__base") <= k) & (k < F.col("__base") + F.col("__n")))
+    at = _placed(dealt, sizes.where(held), keys, value)
     out = []
     for name, p in probs.items():
         place = p * (F.col("total") - 1)

@@ -164,3 +164,12 @@ def test_parts_do_not_depend_on_the_order_of_rows(spark):
     at = stats.positions(x, ["g"], "v")
     assert at.where("g = 'g' and before = v and total = 120000").count() == 120_000 and at.where("g = 'few'").first()[1:] == (1.0, 1, 0, 1)
     assert stats.ranked(x, ["g"], ["v"], "k").where("g = 'g' and k = v + 1").count() == 120_000
+
+
+def test_quantiles_sort_only_the_parts_that_hold_them(spark):
+    x = spark.range(0, 120_001, 1, 6).select(F.lit("g").alias("g"), ((F.col("id") * 7919) % 120_001).cast("double").alias("v"))
+    got = stats.quantiles_at(x, ["g"], "v", {"a": 0.0, "b": 0.25, "c": 0.3333, "d": 1.0}).first()
+    assert got[1:4] == pytest.approx((0.0, 30_000.0, 39_996.0)) and got[4] == 120_000.0
+    counts = x.groupBy("g", "v").agg(F.count("*").alias("n"))
+    dealt, sizes = stats._sized(counts, ["g"], "v", 200)
+    assert sizes.agg(F.sum("__n"), F.max("total")).first()[:] == (120_001, 120_001) and dealt.count() == 120_001
