@@ -6,11 +6,18 @@ fold; draws are hashed from (cokey, sim, hz).
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.normal import qnorm_sql, uniform
+from ..functions.hashing import uniforms
+from ..functions.normal import qnorm_at, qnorm_sql, uniform
 from ..functions.scalar import quantile_triangular
+from .simulate import key_text
 
 #: Boundary distinctness of general horizons, and half of a
 #: boundary's width in cm.
@@ -167,6 +174,159 @@ def perturbed(layers: DataFrame, keys: list[str], seed: int = 1, least: float =
     return rows.select(*keys, F.explode(done).alias("x")).select(*keys, "x.hz", "x.top", "x.bottom")
 
 
+LOT = 1 << 18  # layers of repeated profiles that are made at once, or those of one profile
+
+
+def dealt(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """rows by profile, in as many parts as shuffles have: few rows make many
+    draws, so parts are not put together."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def repeated(rows: DataFrame, counts: DataFrame, keys: list[str], fields: list[str], make: Callable) -> DataFrame:
+    """(keys, sim, hz, top, bottom): each profile of rows (keys, hz, fields)
+    for each replication 1..sim_comppct of counts (keys, sim_comppct).
+
+    Profiles meet their count as one row with an array, and are repeated in
+    vectors, so repetitions are neither shuffled nor folded one by one. make:
+    of (values, first, own, draw), tops and bottoms, one row a repetition and
+    one column a layer; values has a matrix a field, one row a profile, null
+    as NaN; repetitions of profile i begin at first[i], and own is the profile
+    of each; draw gives (repetitions, layers, endings) uniforms of the
+    endings, and without a layer those of (repetitions, endings).
+    """
+    item = F.struct(F.col("hz").cast("int").alias("hz"), *[F.col(c).cast("double").alias(c) for c in fields])
+    met = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("__items"))
+    met = met.join(counts.select(*keys, F.col("sim_comppct").cast("int").alias("__n")).where("__n >= 1"), keys)
+    met = met.select(*keys, key_text(keys).cast("binary").alias("__text"), "__n", "__items")
+    names = [*keys, "sim", "hz", "top", "bottom"]
+
+    def lot(batch: pa.RecordBatch, at: np.ndarray, n: np.ndarray, hz: list, values: dict[str, np.ndarray]) -> pa.RecordBatch:
+        first = np.cumsum(n) - n
+        own = np.repeat(np.arange(len(at)), n)
+        sims = np.arange(len(own)) - first[own] + 1
+        heads = batch.column("__text").take(pa.array(at)).to_pylist()
+        texts = [heads[i] + b"%d|" % sim for i, sim in zip(own.tolist(), sims.tolist())]
+
+        def draw(endings: list[str], layers: bool = True) -> np.ndarray:
+            if not layers:
+                return uniforms(texts, [e.encode() for e in endings])
+            each = [(f"{h}|" if h is not None else "") + e for h in hz for e in endings]
+            return uniforms(texts, [e.encode() for e in each]).reshape(len(texts), len(hz), len(endings))
+
+        with np.errstate(invalid="ignore", divide="ignore"):
+            top, bottom = make(values, first, own, draw)
+        wide = np.repeat(at[own], len(hz))
+        floats = [pa.array(x.ravel(), from_pandas=True) for x in (top, bottom)]
+        rest = [pa.array(np.repeat(sims, len(hz)).astype(np.int32)), pa.array(hz * len(own), pa.int32()), *floats]
+        return pa.record_batch([*[batch.column(k).take(pa.array(wide)) for k in keys], *rest], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column, n = batch.column("__items"), batch.column("__n").to_numpy()
+            size = pc.list_value_length(column).to_numpy()
+            begins, flat = np.cumsum(size) - size, column.flatten()
+            every = flat.field("hz").to_pylist()
+            table = {c: flat.field(c).to_numpy(zero_copy_only=False).astype(float) for c in fields}
+            alike: dict[tuple, list[int]] = {}  # profiles whose horizons have the same numbers
+            for i, (b, k) in enumerate(zip(begins.tolist(), size.tolist())):
+                alike.setdefault(tuple(every[b : b + k]), []).append(i)
+            for hz, members in alike.items():
+                at = np.array(members)
+                ends = np.cumsum(n[at].astype(np.int64)) * len(hz)
+                start = 0
+                while start < len(at):
+                    stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + LOT, side="right")))
+                    part = at[start:stop]
+                    place = begins[part][:, None] + np.arange(len(hz))
+                    yield lot(batch, part, n[part], list(hz), {c: v[place] for c, v in table.items()} | {"hz": np.array([np.nan if h is None else h for h in hz])})
+                    start = stop
+
+    kinds = ", ".join(f"`{k}` {met.schema[k].dataType.simpleString()}" for k in keys)
+    return met.mapInArrow(run, f"{kinds}, sim int, hz int, top double, bottom double")
+
+
+def _triangular(lo: np.ndarray, mode: np.ndarray, hi: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """quantile_triangular() of arrays."""
+    width = hi - lo
+    sides = np.where(u < (mode - lo) / width, lo + np.sqrt(u * width * (mode - lo)), hi - np.sqrt((1 - u) * width * (hi - mode)))
+    return np.where(width <= 0, mode, sides)
+
+
+def _down_at(v: dict[str, np.ndarray], u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """_down() of arrays (repetitions, layers); u is that of bottoms."""
+    tops, bottoms = np.zeros(u.shape), np.zeros(u.shape)
+    for i in range(u.shape[1]):
+        if i:
+            tops[:, i] = bottoms[:, i - 1]
+        low = np.fmax(v["hzdepb_l"][:, i], tops[:, i])
+        high = np.fmax(low, v["hzdepb_h"][:, i])
+        drawn = np.rint(_triangular(low, np.fmin(np.fmax(v["hzdepb_r"][:, i], low), high), high, u[:, i]))
+        bottoms[:, i] = np.fmax(drawn, tops[:, i])
+    return tops, bottoms
+
+
+def _up_at(v: dict[str, np.ndarray], u_top: np.ndarray, u_bottom: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """_up() of arrays (repetitions, layers)."""
+    tops, bottoms = np.zeros(u_top.shape), np.zeros(u_top.shape)
+    last = u_top.shape[1] - 1
+    for i in range(last, -1, -1):
+        bottoms[:, i] = tops[:, i + 1] if i < last else np.rint(_triangular(v["hzdepb_l"][:, i], v["hzdepb_r"][:, i], v["hzdepb_h"][:, i], u_bottom[:, i]))
+        low, high = v["hzdept_l"][:, i], np.fmin(v["hzdept_h"][:, i], bottoms[:, i])
+        top = np.rint(_triangular(low, np.fmin(np.fmax(v["hzdept_r"][:, i], low), high), high, u_top[:, i]))
+        tops[:, i] = np.fmin(top, bottoms[:, i])
+    tops[:, 0], bottoms[:, 0] = 0.0, np.fmax(bottoms[:, 0], 0.0)
+    return tops, bottoms
+
+
+def _moved_at(top: np.ndarray, bottom: np.ndarray, t: np.ndarray, b: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """The steps of perturbed() on arrays (repetitions, layers) with offsets."""
+    tops, bottoms = np.empty(t.shape), np.empty(t.shape)
+    stacked = tops[:, 0] = top[:, 0]
+    for i in range(t.shape[1]):
+        if i:
+            tops[:, i] = bottoms[:, i - 1]
+        plain = bottom[:, i] - top[:, i]
+        stacked = stacked + np.fmax(np.where(t[:, i] == 0, plain, np.rint(plain + t[:, i])), least)
+        moved = np.where(b[:, i] == 0, stacked, np.rint(stacked + b[:, i]))
+        bottoms[:, i] = np.fmax(moved, tops[:, i] + least)
+    return tops, bottoms
+
+
+def _offsets(draw: Callable, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Normal draws of thicknesses and of bottoms."""
+    z = qnorm_at(draw([f"thickness|{seed}", f"bound|{seed}"]))
+    return z[:, :, 0], z[:, :, 1]
+
+
+def perturbed_counts(layers: DataFrame, counts: DataFrame, keys: list[str], seed: int = 1, least: float = 1.0) -> DataFrame:
+    """perturbed() of each profile of layers (keys, hz, top, bottom,
+    thickness_sd, bound_sd), once for each replication 1..sim_comppct of
+    counts: (keys, sim, hz, top, bottom), equal to those of perturbed() with
+    keys and sim over replicated() layers."""
+
+    def make(v: dict[str, np.ndarray], first: np.ndarray, own: np.ndarray, draw: Callable) -> tuple[np.ndarray, np.ndarray]:
+        z_thick, z_bound = _offsets(draw, seed)
+        t, b = np.nan_to_num(v["thickness_sd"])[own] * z_thick, np.nan_to_num(v["bound_sd"])[own] * z_bound
+        return _moved_at(v["top"][own], v["bottom"][own], t, b, least)
+
+    return repeated(dealt(layers, keys), counts, keys, ["top", "bottom", "thickness_sd", "bound_sd"], make)
+
+
+def _spread_at(thick: np.ndarray, hz: np.ndarray, first: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """thickness_spread() as (profiles, layers); 0 for fewer than two values."""
+    out = np.zeros((len(first), thick.shape[1]))
+    for h in np.unique(hz):
+        at = np.flatnonzero((hz == h) | np.isnan(hz) & np.isnan(h))
+        part, seen = np.nan_to_num(thick[:, at]), ~np.isnan(thick[:, at])
+        n = np.add.reduceat(seen.sum(axis=1), first)
+        mean = np.add.reduceat(part.sum(axis=1), first) / n
+        off = np.where(seen, part - mean[own, None], 0.0)
+        sd = np.sqrt(np.add.reduceat((off * off).sum(axis=1), first) / (n - 1))
+        out[:, at] = np.where(n > 1, np.floor(sd * 100 + 0.5) / 100, 0.0)[:, None]
+    return out
+
+
 def replicated(horizons: DataFrame, counts: DataFrame) -> DataFrame:
     """Horizons once for each replication 1..sim_comppct of their component,
     in column sim; components without a count, or with 0, have none."""
@@ -183,11 +343,21 @@ def perturbed_profiles(horizons: DataFrame, counts: DataFrame, seed: int = 1) ->
     `bound_sd` is the mean of the profile's horizons of the same general name.
     No layer ends above its top.
     """
-    base = with_distinctness(with_variability(horizons)).withColumn("__layers", F.count("*").over(Window.partitionBy("cokey")))
-    rows = replicated(base, counts)
-    spread = thickness_spread(simulated(rows.where("__layers > 1"), ["cokey", "sim"], "mixed"), ["cokey"])
-    sds = base.where("__layers > 1").withColumn("__bound", F.avg("bound_sd").over(Window.partitionBy("cokey", "genhz"))).select("cokey", "hz", "__bound")
-    sds = sds.join(spread, ["cokey", "hz"], "left").select("cokey", "hz", "thickness_sd", F.col("__bound").alias("bound_sd"))
-    layers = rows.select("cokey", "sim", "hz", F.col("hzdept_r").alias("top"), F.col("hzdepb_r").alias("bottom")).join(sds, ["cokey", "hz"], "left")
-    held = clipped(perturbed(layers, ["cokey", "sim"], seed), base, ["cokey", "hz"])
-    return held.withColumn("bottom", F.greatest("top", "bottom"))
+    rows = with_distinctness(with_variability(dealt(horizons, ["cokey"])))
+    by = Window.partitionBy("cokey", "hz")
+    rows = rows.withColumns({"bound": F.avg("bound_sd").over(Window.partitionBy("cokey", "genhz")), "low": F.min("hzdept_l").over(by), "high": F.max("hzdepb_h").over(by)})
+
+    def make(v: dict[str, np.ndarray], first: np.ndarray, own: np.ndarray, draw: Callable) -> tuple[np.ndarray, np.ndarray]:
+        every = {c: v[c][own] for c in (*DEPTHS, "low", "high")}
+        t = b = np.zeros(every["low"].shape)
+        if t.shape[1] > 1:
+            u = draw(["top", "bottom"])
+            down = draw(["way"], layers=False) < 0.5
+            tops, bottoms = (np.where(down, x, y) for x, y in zip(_down_at(every, u[:, :, 1]), _up_at(every, u[:, :, 0], u[:, :, 1])))
+            z_thick, z_bound = _offsets(draw, seed)
+            t, b = _spread_at(bottoms - tops, v["hz"], first, own)[own] * z_thick, np.nan_to_num(v["bound"])[own] * z_bound
+        top, bottom = _moved_at(every["hzdept_r"], every["hzdepb_r"], t, b, 1.0)
+        top = np.fmax(top, every["low"])
+        return top, np.fmax(top, np.fmin(bottom, every["high"]))
+
+    return repeated(rows, counts, ["cokey"], [*DEPTHS, "low", "high", "bound"], make)

@@ -77,7 +77,7 @@ def component_counts(spark, sf_dir):
 
 def spreads(x):
     """Layers with spreads: an eighth of the thickness, and none where mark is even; 1 to 10 cm at boundaries."""
-    return x.select("cokey", "sim", "hz", F.col("hzdept_r").alias("top"), F.col("hzdepb_r").alias("bottom"), F.when(F.col("mark") % 2 == 1, (F.col("hzdepb_r") - F.col("hzdept_r")) / 8).alias("thickness_sd"), (F.col("mark") % 10 + 1).cast("double").alias("bound_sd"))
+    return x.select("cokey", "hz", F.col("hzdept_r").alias("top"), F.col("hzdepb_r").alias("bottom"), F.when(F.col("mark") % 2 == 1, (F.col("hzdepb_r") - F.col("hzdept_r")) / 8).alias("thickness_sd"), (F.col("mark") % 10 + 1).cast("double").alias("bound_sd"))
 
 
 @query(
@@ -89,11 +89,10 @@ def spreads(x):
   SELECT cokey, hz, count(*) AS n, round(avg(thick), 6) AS thickness, min(thick) AS least, round(stddev_samp(bottom - was), 6) AS offset_sd FROM (SELECT *, bottom - coalesce(lag(bottom) OVER (PARTITION BY cokey, sim ORDER BY hz), surface) AS thick FROM b) GROUP BY cokey, hz""",
 )
 def profiles_perturbed(spark, sf_dir):
-    rows = profiles.replicated(hz(spark, sf_dir), simulate.component_counts(components(spark, sf_dir)))
-    moved = profiles.perturbed(spreads(rows), ["cokey", "sim"])
-    x = moved.join(hz(spark, sf_dir).select("cokey", "hz", F.col("hzdepb_r").alias("was")), ["cokey", "hz"])
+    x = profiles.perturbed_counts(spreads(hz(spark, sf_dir)), simulate.component_counts(components(spark, sf_dir)), ["cokey"])
     thick = F.col("bottom") - F.col("top")
-    return x.groupBy("cokey", F.col("hz").cast("long").alias("hz")).agg(F.count("*").alias("n"), F.round(F.avg(thick), 6).alias("thickness"), F.min(thick).alias("least"), F.round(F.stddev_samp(F.col("bottom") - F.col("was")), 6).alias("offset_sd"))
+    # Bottoms of a group have one offset from where they were, so their spread is that of the offsets.
+    return x.groupBy("cokey", F.col("hz").cast("long").alias("hz")).agg(F.count("*").alias("n"), F.round(F.avg(thick), 6).alias("thickness"), F.min(thick).alias("least"), F.round(F.stddev_samp("bottom"), 6).alias("offset_sd"))
 
 
 @query("profiles_simulated")

@@ -260,3 +260,25 @@ def test_structures_keep_groups_without_spread(spark):
     own = structure.empirical(df, ["g"], ["a", "b", "c"], flat=True)
     mean = structure.combined(own, ["g"]).first()
     assert mean["n"] == 16 and np.isnan(mean["matrix"][2]) and mean["matrix"][1] == pytest.approx((r + np.corrcoef(x[8:, 0], x[8:, 1])[0, 1]) / 2)
+
+
+def test_profiles_are_repeated_in_vectors(spark):
+    rows = [(c, h, "ABC"[h % 3], 10.0 * (h - 1), 10.0 * h, 10.0 * (h - 1) - 1 if c % 2 else None, 10.0 * h + 3, 1.5 if h % 2 else None, 2.0 if c % 3 else 0.0) for c in range(30) for h in range(1, 2 + c % 4)]
+    df = spark.createDataFrame(rows, "cokey long, hz int, genhz string, hzdept_r double, hzdepb_r double, hzdept_l double, hzdepb_h double, thickness_sd double, bound_sd double").withColumns({"hzdept_h": F.col("hzdept_r") + 2, "hzdepb_l": F.col("hzdepb_r") - 4, "hzname": F.lit("x"), "distinctness": F.lit(None).cast("string")})
+    counts = spark.createDataFrame([(c, c % 7) for c in range(29)], "cokey long, sim_comppct long")
+    layers = df.select("cokey", "hz", F.col("hzdept_r").alias("top"), F.col("hzdepb_r").alias("bottom"), "thickness_sd", "bound_sd")
+    each = lambda x: sorted(map(tuple, x.select("cokey", "sim", "hz", "top", "bottom").collect()))
+    fast = profiles.perturbed_counts(layers, counts, ["cokey"])
+    assert each(fast) == each(profiles.perturbed(profiles.replicated(layers, counts), ["cokey", "sim"])) and fast.count() > 100
+    # As by joins and folds over repeated horizons.
+    base = profiles.with_distinctness(profiles.with_variability(df)).drop("thickness_sd")
+    many = base.where("cokey % 4 > 0")
+    spread = profiles.thickness_spread(profiles.simulated(profiles.replicated(many, counts), ["cokey", "sim"]), ["cokey"])
+    bounds = many.groupBy("cokey", "genhz").agg(F.avg("bound_sd").alias("bound_sd"))
+    sds = many.select("cokey", "hz", "genhz").join(bounds, ["cokey", "genhz"]).join(spread, ["cokey", "hz"], "left").drop("genhz")
+    slow = profiles.replicated(layers.drop("thickness_sd", "bound_sd").join(sds, ["cokey", "hz"], "left"), counts)
+    slow = profiles.clipped(profiles.perturbed(slow, ["cokey", "sim"]), base, ["cokey", "hz"]).withColumn("bottom", F.greatest("top", "bottom"))
+    found = profiles.perturbed_profiles(df, counts)
+    assert each(found) == each(slow)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Generate explode" not in plan
