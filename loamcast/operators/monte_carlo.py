@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import finite, unsuitable
-from .simulate import constrained, correlated_triangular, positive_definite, realizations
+from .simulate import cholesky, constrained, constrained_at, key_text, positive_definite, repeated_triangular, triangular_draws
 from .stats import quantiles_at
 
 #: Physical limits of common properties.
@@ -73,22 +76,57 @@ def completed(horizons: DataFrame, properties: list[str], share: float = 0.2) ->
     return out
 
 
-def simulate(horizons: DataFrame, properties: list[str], matrix: list[list[float]] | None = None, config: Config | None = None) -> DataFrame:
-    """Draws of the properties for every usable horizon: (cokey, hz, sim,
-    properties..., changed). One lazy plan: filter, explode, copula, limits."""
+def _checked(properties: list[str], matrix: list[list[float]] | None, config: Config | None) -> tuple[Config, list[list[float]]]:
     config = (config or Config()).checked()
     matrix = matrix or [[float(i == j) for j in properties] for i in properties]
     if len(matrix) != len(properties):
         raise ValueError("the matrix has a row for each property")
-    import numpy as np
+    return config, positive_definite(np.array(matrix, float)).tolist()
 
-    matrix = positive_definite(np.array(matrix, float)).tolist()
+
+def simulate(horizons: DataFrame, properties: list[str], matrix: list[list[float]] | None = None, config: Config | None = None) -> DataFrame:
+    """Draws of the properties for every usable horizon: (cokey, hz, sim,
+    properties..., changed). One lazy plan: filter, copula, explode, limits."""
+    config, matrix = _checked(properties, matrix, config)
     rows = completed(usable(horizons, properties, config), properties)
-    drawn = correlated_triangular(realizations(rows, config.n), ["cokey", "hz", "sim"], {p: (f"{p}_l", f"{p}_r", f"{p}_h") for p in properties}, matrix, config.seed)
+    drawn = repeated_triangular(rows, ["cokey", "hz"], {p: (f"{p}_l", f"{p}_r", f"{p}_h") for p in properties}, matrix, config.n, config.seed)
     limits = {p: config.limits[p] for p in properties if p in config.limits}
     return constrained(drawn, limits, list(config.parts), 100.0, list(config.ordered)).select("mukey", "cokey", "hz", "hzdept_r", "hzdepb_r", "sim", *properties, "changed")
 
 
+def summaries(horizons: DataFrame, keys: list[str], properties: list[str], probs: list[float], matrix: list[list[float]] | None = None, config: Config | None = None) -> DataFrame:
+    """(keys, n, <property>_mean, <property>_q): count, means and exact
+    quantiles of the draws that simulate() makes of each group's horizons.
+    Horizons meet by group and are drawn there, so draws are never rows; a
+    group's draws are held by one task, as by percentile()."""
+    config, matrix = _checked(properties, matrix, config)
+    rows, lower = completed(usable(horizons, properties, config), properties), cholesky(matrix)
+    limits = {p: config.limits[p] for p in properties if p in config.limits}
+    sides = [F.col(f"{p}_{s}").cast("double").alias(f"__{i}{s}") for i, p in enumerate(properties) for s in "lrh"]
+    rows = rows.select(*keys, key_text(["cokey", "hz"]).cast("binary").alias("__text"), *sides)
+    names = [*keys, "n", *[f"{p}_{x}" for p in properties for x in ("mean", "q")]]
+
+    def summary(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drawn: list[list[np.ndarray]] = [[] for _ in properties]
+        for batch in parts:
+            values = [batch.column(f"__{i}{s}").to_numpy(zero_copy_only=False).astype(float) for i in range(len(properties)) for s in "lrh"]
+            found = triangular_draws(batch.column("__text").to_pylist(), values, properties, lower, config.n, config.seed)
+            held = constrained_at(dict(zip(properties, found)), limits, list(config.parts), 100.0, list(config.ordered))
+            for column, p in zip(drawn, properties):
+                column.append(held[p].ravel())
+        out, n = [], 0
+        for column in drawn:
+            every = np.concatenate(column)
+            n, good = len(every), every[~np.isnan(every)]
+            out += [[good.mean() if len(good) else None], [np.quantile(good, probs).tolist() if len(good) else None]]
+        kinds = [pa.float64(), pa.list_(pa.float64())] * len(properties)
+        columns = [*[pa.array([k.as_py()], k.type) for k in key], pa.array([n], pa.int64()), *[pa.array(x, t) for x, t in zip(out, kinds)]]
+        yield pa.record_batch(columns, names=names)
+
+    kinds = [*[f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys], "n long", *[f"`{p}_mean` double, `{p}_q` array<double>" for p in properties]]
+    return rows.groupBy(*keys).applyInArrow(summary, ", ".join(kinds))
+
+
 def quality(draws: DataFrame, properties: list[str]) -> DataFrame:
     """Per property: share of finite draws and of draws within the fences of
     one and a half quartile ranges, and their difference from 1 as a score."""

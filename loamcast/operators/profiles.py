@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import uniforms
 from ..functions.normal import qnorm_at, qnorm_sql, uniform
 from ..functions.scalar import quantile_triangular
-from .simulate import key_text
+from .simulate import key_text, triangular_at
 
 #: Boundary distinctness of general horizons, and half of a
 #: boundary's width in cm.
@@ -246,13 +246,6 @@ def repeated(rows: DataFrame, counts: DataFrame, keys: list[str], fields: list[s
     return met.mapInArrow(run, f"{kinds}, sim int, hz int, top double, bottom double")
 
 
-def _triangular(lo: np.ndarray, mode: np.ndarray, hi: np.ndarray, u: np.ndarray) -> np.ndarray:
-    """quantile_triangular() of arrays."""
-    width = hi - lo
-    sides = np.where(u < (mode - lo) / width, lo + np.sqrt(u * width * (mode - lo)), hi - np.sqrt((1 - u) * width * (hi - mode)))
-    return np.where(width <= 0, mode, sides)
-
-
 def _down_at(v: dict[str, np.ndarray], u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """_down() of arrays (repetitions, layers); u is that of bottoms."""
     tops, bottoms = np.zeros(u.shape), np.zeros(u.shape)
@@ -261,7 +254,7 @@ def _down_at(v: dict[str, np.ndarray], u: np.ndarray) -> tuple[np.ndarray, np.nd
             tops[:, i] = bottoms[:, i - 1]
         low = np.fmax(v["hzdepb_l"][:, i], tops[:, i])
         high = np.fmax(low, v["hzdepb_h"][:, i])
-        drawn = np.rint(_triangular(low, np.fmin(np.fmax(v["hzdepb_r"][:, i], low), high), high, u[:, i]))
+        drawn = np.rint(triangular_at(low, np.fmin(np.fmax(v["hzdepb_r"][:, i], low), high), high, u[:, i]))
         bottoms[:, i] = np.fmax(drawn, tops[:, i])
     return tops, bottoms
 
@@ -271,9 +264,9 @@ def _up_at(v: dict[str, np.ndarray], u_top: np.ndarray, u_bottom: np.ndarray) ->
     tops, bottoms = np.zeros(u_top.shape), np.zeros(u_top.shape)
     last = u_top.shape[1] - 1
     for i in range(last, -1, -1):
-        bottoms[:, i] = tops[:, i + 1] if i < last else np.rint(_triangular(v["hzdepb_l"][:, i], v["hzdepb_r"][:, i], v["hzdepb_h"][:, i], u_bottom[:, i]))
+        bottoms[:, i] = tops[:, i + 1] if i < last else np.rint(triangular_at(v["hzdepb_l"][:, i], v["hzdepb_r"][:, i], v["hzdepb_h"][:, i], u_bottom[:, i]))
         low, high = v["hzdept_l"][:, i], np.fmin(v["hzdept_h"][:, i], bottoms[:, i])
-        top = np.rint(_triangular(low, np.fmin(np.fmax(v["hzdept_r"][:, i], low), high), high, u_top[:, i]))
+        top = np.rint(triangular_at(low, np.fmin(np.fmax(v["hzdept_r"][:, i], low), high), high, u_top[:, i]))
         tops[:, i] = np.fmin(top, bottoms[:, i])
     tops[:, 0], bottoms[:, 0] = 0.0, np.fmax(bottoms[:, 0], 0.0)
     return tops, bottoms

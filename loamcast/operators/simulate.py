@@ -15,6 +15,9 @@ from ..functions.normal import pnorm_at, qnorm_at, qnorm_sql, uniform
 from ..functions.scalar import ilr, quantile_triangular, water_content
 
 
+DRAWS = 1 << 16  # made at once
+
+
 def realizations(rows: DataFrame, n: int) -> DataFrame:
     """Each row once for each realization 1..n, in column sim."""
     return rows.withColumn("sim", F.explode(F.sequence(F.lit(1), F.lit(n))))
@@ -82,6 +85,50 @@ def correlated_triangular(rows: DataFrame, keys: list[str], triplets: dict[str,
     return out.drop(*[f"u_{n}" for n in triplets])
 
 
+def triangular_at(lo: np.ndarray, mode: np.ndarray, hi: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """quantile_triangular() of arrays, NaN above every number as in Spark."""
+    with np.errstate(invalid="ignore", divide="ignore"):
+        width = hi - lo
+        sides = np.where(u >= (mode - lo) / width, hi - np.sqrt((1 - u) * width * (hi - mode)), lo + np.sqrt(u * width * (mode - lo)))
+    return np.where(width <= 0, mode, sides)
+
+
+def triangular_draws(texts: list[bytes], values: list[np.ndarray], names: list[str], lower: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """(names, rows, n) draws of realizations 1..n under the copula of a
+    factor: those of correlated_triangular() with keys and sim. texts are
+    key_text() of the keys; values are low, mode and high of each name, null
+    or NaN as NaN."""
+    endings = [f"{sim}|{name}|{seed}".encode() for sim in range(1, n + 1) for name in names]
+    out = np.empty((len(names), len(texts), n))
+    step = max(1, DRAWS // len(endings))
+    for k in range(0, len(texts), step):
+        u = mixed(uniforms(texts[k : k + step], endings).reshape(-1, n, len(names)), lower)
+        for i in range(len(names)):
+            out[i, k : k + step] = triangular_at(*[v[k : k + step, None] for v in values[3 * i : 3 * i + 3]], u[:, :, i])
+    return out
+
+
+def repeated_triangular(rows: DataFrame, keys: list[str], triplets: dict[str, tuple[str, str, str]], matrix: list[list[float]], n: int, seed: int = 1) -> DataFrame:
+    """rows once for each realization 1..n, in column sim, with one column a
+    property: correlated_triangular() with keys and sim, where a row's draws
+    are made together, from one text."""
+    lower, names = cholesky(matrix), list(triplets)
+    sides = [c for three in triplets.values() for c in three]
+    fields = [f"p{i}" for i in range(len(names))]
+
+    @F.arrow_udf(f"array<struct<sim:int, {', '.join(f'{p}:double' for p in fields)}>>")
+    def draw(texts: pa.Array, *columns: pa.Array) -> pa.Array:
+        whole = [np.asarray(c.is_valid()) for c in columns]
+        out = triangular_draws(texts.to_pylist(), [c.to_numpy(zero_copy_only=False).astype(float) for c in columns], names, lower, n, seed)
+        missing = [np.repeat(~(whole[3 * i] & whole[3 * i + 1] & whole[3 * i + 2]), n) for i in range(len(names))]
+        sims = pa.array(np.tile(np.arange(1, n + 1, dtype=np.int32), len(texts)))
+        items = pa.StructArray.from_arrays([sims, *[pa.array(x.ravel(), mask=m) for x, m in zip(out, missing)]], names=["sim", *fields])
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, n * len(texts) + 1, n, dtype=np.int32)), items)
+
+    drawn = rows.withColumn("__x", F.explode(draw(key_text(keys).cast("binary"), *[F.col(c).cast("double") for c in sides])))
+    return drawn.withColumns({"sim": F.col("__x.sim")} | {p: F.col(f"__x.p{i}") for i, p in enumerate(names)}).drop("__x")
+
+
 def component_shares(components: DataFrame, n: int, seed: int = 1) -> DataFrame:
     """Percentages of the components of each map unit, closed to 100 in every
     realization."""
@@ -131,6 +178,16 @@ def constrained(draws: DataFrame, ranges: dict[str, tuple[float, float]], parts:
     return out.withColumns({low: F.when(F.col(low) > F.col(high), F.col(high)).otherwise(F.col(low)) for low, high in ordered})
 
 
+def constrained_at(draws: dict[str, np.ndarray], ranges: dict[str, tuple[float, float]], parts: list[str], total: float, ordered: list[tuple[str, str]]) -> dict[str, np.ndarray]:
+    """constrained() of arrays, null as NaN."""
+    out = draws | {c: np.minimum(np.maximum(draws[c], lo), hi) for c, (lo, hi) in ranges.items()}
+    if parts:
+        whole = sum(out[c] for c in parts)
+        off = (np.abs(whole - total) > 0.01) & (whole > 0)
+        out |= {c: np.where(off, out[c] * total / whole, out[c]) for c in parts}
+    return out | {low: np.where(out[low] > out[high], out[high], out[low]) for low, high in ordered}
+
+
 def ilr_moments(rows: DataFrame, keys: list[str], parts: dict[str, tuple[str, str, str]], n: int, z: float, seed: int = 1) -> DataFrame:
     """Means and covariances of the isometric log-ratios of three parts whose
     triplets are taken as normal; draws are kept above 0.01."""

@@ -588,10 +588,8 @@ MC = f"""m AS (SELECT mukey, cokey, hz, sim, {TRI.replace("lo", "a_l").replace("
 
 @query("monte_carlo", f", {MC} SELECT mukey, count(*) AS n, round(quantile_cont(a, 5e-2), 3) AS a05, round(quantile_cont(a, 5e-1), 3) AS a50, round(quantile_cont(a, 95e-2), 3) AS a95, round(avg(b), 4) AS b FROM m GROUP BY mukey")
 def mc(spark, sf_dir):
-    draws = monte_carlo.simulate(triplets(spark, sf_dir), ["a", "b"], MATRIX, monte_carlo.configured(n=10, limits={"b": (5.0, 40.0)}))
-    p = F.percentile("a", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
-    x = draws.groupBy("mukey").agg(F.count("*").alias("n"), p.alias("p"), F.avg("b").alias("b"))
-    return x.select("mukey", "n", *[F.round(F.col("p")[k], 3).alias(c) for k, c in enumerate(("a05", "a50", "a95"))], F.round("b", 4).alias("b"))
+    x = monte_carlo.summaries(triplets(spark, sf_dir), ["mukey"], ["a", "b"], [0.05, 0.5, 0.95], MATRIX, monte_carlo.configured(n=10, limits={"b": (5.0, 40.0)}))
+    return x.select("mukey", "n", *[F.round(F.col("a_q")[k], 3).alias(c) for k, c in enumerate(("a05", "a50", "a95"))], F.round("b_mean", 4).alias("b"))
 
 
 @query("property_coverage", "SELECT 'a' AS property, count(*) FILTER (mark % 7 != 0) AS whole, count(*) FILTER (mark % 7 = 0) AS estimated, 0::BIGINT AS missing FROM hz UNION ALL SELECT 'b', count(*), 0, 0 FROM hz")

@@ -173,3 +173,25 @@ def test_quantiles_sort_only_the_parts_that_hold_them(spark):
     counts = x.groupBy("g", "v").agg(F.count("*").alias("n"))
     dealt, sizes = stats._sized(counts, ["g"], "v", 200)
     assert sizes.agg(F.sum("__n"), F.max("total")).first()[:] == (120_001, 120_001) and dealt.count() == 120_001
+
+
+def test_draws_are_summarised_where_horizons_meet(spark):
+    from loamcast.operators import simulate
+
+    rows = [(u, c, h, "A", 10.0 * h, 10.0 * h + 10, 1.0 * c if c % 3 else None, 2.0 + c, 9.0 + c + h, 3.0, 5.0 * h, 40.0) for u in (1, 2) for c in range(u * 10, u * 10 + 6) for h in range(3)]
+    df = spark.createDataFrame(rows, "mukey int, cokey int, hz int, hzname string, hzdept_r double, hzdepb_r double, a_l double, a_r double, a_h double, b_l double, b_r double, b_h double").repartition(3)
+    matrix, config = [[1.0, 0.6], [0.6, 1.0]], monte_carlo.configured(n=7, limits={"b": (6.0, 20.0)}, ordered=(("a", "b"),))
+    drawn = monte_carlo.simulate(df, ["a", "b"], matrix, config)
+    # The draws are those of one row and expression a realization.
+    sides = {p: (f"{p}_l", f"{p}_r", f"{p}_h") for p in "ab"}
+    slow = simulate.correlated_triangular(simulate.realizations(monte_carlo.completed(df, ["a", "b"]), 7), ["cokey", "hz", "sim"], sides, matrix)
+    slow = simulate.constrained(slow, {"b": (6.0, 20.0)}, [], 100.0, [("a", "b")])
+    each = lambda x: sorted(map(tuple, x.select("cokey", "hz", "sim", "a", "b").collect()))
+    assert len(each(drawn)) == 252
+    assert [v for r in each(drawn) for v in r] == pytest.approx([v for r in each(slow) for v in r], rel=1e-12)
+    found = {r["mukey"]: r for r in monte_carlo.summaries(df, ["mukey"], ["a", "b"], [0.05, 0.5, 0.95], matrix, config).collect()}
+    for u, part in drawn.toPandas().groupby("mukey"):
+        assert found[u]["n"] == 126
+        for p in "ab":
+            assert found[u][f"{p}_mean"] == pytest.approx(part[p].mean(), rel=1e-12)
+            assert found[u][f"{p}_q"] == pytest.approx(part[p].quantile([0.05, 0.5, 0.95]).tolist(), rel=1e-12)
