@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from statistics import NormalDist
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.normal import qnorm_sql
-from ..functions.special import spline_quantile
+from ..functions.normal import qnorm_at
+from ..functions.special import spline_quantiles
 from .stats import parted
 
 METHODS = ("linear_cdf", "spline", "kde", "normal")
@@ -26,82 +25,114 @@ def pairs(columns: dict[float, str], absent: float = -1.0) -> Column:
     return F.when(F.size(held) >= 2, held)
 
 
-def linear_at(knots: Column, u: Column) -> Column:
-    """The line through the pairs at probability u; the ends hold outside."""
-    n = F.size(knots)
-    below = F.size(F.filter(knots, lambda x: x["p"] <= u))
-    k = F.least(F.greatest(below, F.lit(1)), n - 1)
-    a, b = F.get(knots, k - 1), F.get(knots, k)
-    inner = a["v"] + (b["v"] - a["v"]) * (u - a["p"]) / (b["p"] - a["p"])
-    return F.when(below == 0, F.get(knots, F.lit(0))["v"]).when(u >= F.get(knots, n - 1)["p"], F.get(knots, n - 1)["v"]).otherwise(inner)
-
-
-def normal_table() -> Column:
-    """Normal quantiles of the probabilities 0.001, 0.002, ..., 0.999."""
-    return F.create_map(*[F.lit(x) for k in range(1, 1000) for x in (round(k / 1000, 3), _Z(k / 1000))])
+BLOCK = 256  # rows whose kernels are added up at once
+
+
+def linear_at(probs: np.ndarray, values: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """The lines through the values of a row, each at its own probability u;
+    the ends hold outside."""
+    row, below = np.arange(len(u)), np.searchsorted(probs, u, side="right")
+    k = np.clip(below, 1, len(probs) - 1)
+    a, b = values[row, k - 1], values[row, k]
+    inner = a + (b - a) * (u - probs[k - 1]) / (probs[k] - probs[k - 1])
+    return np.where(below == 0, values[:, 0], np.where(u >= probs[-1], values[:, -1], inner))
+
+
+def normal_at(probs: np.ndarray, values: np.ndarray, u: np.ndarray) -> np.ndarray | None:
+    """Normal quantiles around the median, by the spread of the outermost inner
+    percentiles; None without a median, or with fewer than two others."""
+    tails = np.flatnonzero((probs > 0) & (probs < 1) & (probs != 0.5))
+    if 0.5 not in probs or len(tails) < 2:
+        return None
+    lo, hi = tails[0], tails[-1]
+    low, high = (round(float(probs[i]), 3) for i in (lo, hi))
+    if low == high or not 0 < low < 1 or not 0 < high < 1:
+        return None
+    sd = (values[:, hi] - values[:, lo]) / (_Z(high) - _Z(low))
+    return values[:, int(np.flatnonzero(probs == 0.5)[0])] + sd * qnorm_at(u)
+
+
+def smooth_quantiles(probs: np.ndarray, values: np.ndarray, u: np.ndarray, size: int = 512) -> np.ndarray:
+    """A kernel at each percentile of a row, as wide as half the way to its
+    nearer neighbour (a third at the ends, which are cut off), added up on a
+    grid between the outermost values; its inverse CDF at the row's u."""
+    k, out = values.shape[1], np.empty(len(u))
+    for start in range(0, len(u), BLOCK):
+        v, at = values[start : start + BLOCK], u[start : start + BLOCK]
+        gap = np.abs(np.diff(v, axis=1))
+        wide = np.maximum(np.column_stack([gap[:, 0] / 3, *[np.minimum(gap[:, i - 1], gap[:, i]) / 2 for i in range(1, k - 1)], gap[:, -1] / 3]), 0.1)
+        x = np.linspace(v.min(axis=1), v.max(axis=1), size, axis=1)
+        cdf, d = np.zeros(x.shape), np.empty(x.shape)
+        for i in range(k):
+            np.subtract(x, v[:, i, None], out=d)
+            np.divide(d, wide[:, i, None], out=d)
+            np.multiply(d, d, out=d)
+            np.multiply(d, -0.5, out=d)
+            np.exp(d, out=d)
+            d *= ((2 if i in (0, k - 1) else 1) / wide[:, i])[:, None]
+            cdf += d
+        np.cumsum(cdf, axis=1, out=cdf)
+        cdf /= cdf[:, -1:]
+        row = np.arange(len(at))
+        below = (cdf <= at[:, None]).sum(axis=1)
+        j = np.clip(below, 1, size - 1)
+        x0, x1, c0, c1 = x[row, j - 1], x[row, j], cdf[row, j - 1], cdf[row, j]
+        with np.errstate(invalid="ignore", divide="ignore"):
+            inner = (x1 - x0) / (c1 - c0) * (at - c0) + x0
+        out[start : start + BLOCK] = np.where(below == 0, x[:, 0], np.where(below >= size, x[:, -1], inner))
+    return out
 
 
-def normal_of(knots: Column) -> Column:
-    """struct(mean, sd): the median, and the spread of the outermost inner
-    percentiles; null without a median, or with fewer than two others."""
-    table = normal_table()
-    middle = F.get(F.filter(knots, lambda x: x["p"] == 0.5), F.lit(0))["v"]
-    tails = F.filter(knots, lambda x: (x["p"] > 0) & (x["p"] < 1) & (x["p"] != 0.5))
-    lo, hi = F.get(tails, F.lit(0)), F.get(tails, F.size(tails) - 1)
-    z = lambda p: F.try_element_at(table, F.round(p, 3))
-    return F.when(middle.isNotNull() & (F.size(tails) >= 2) & (F.size(knots) >= 3), F.struct(middle.alias("mean"), ((hi["v"] - lo["v"]) / (z(hi["p"]) - z(lo["p"]))).alias("sd")))
+def drawn_at(probs: np.ndarray, values: np.ndarray, there: np.ndarray, u: np.ndarray, method: str, bounds: tuple[float, float] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(draws, which are missing) by one of METHODS; rows that have the same
+    percentiles, by `there`, are drawn together."""
+    out, missing = np.full(len(u), np.nan), np.ones(len(u), bool)
+    codes = there @ (1 << np.arange(len(probs)))
+    for code in np.unique(codes):
+        held = (code >> np.arange(len(probs)) & 1).astype(bool)
+        rows = np.flatnonzero((codes == code) & ~np.isnan(u))
+        if held.sum() < 2 or not len(rows):
+            continue
+        p, v, at = probs[held], values[np.ix_(rows, held)], u[rows]
+        found = {"linear_cdf": linear_at, "normal": normal_at, "kde": smooth_quantiles}[method](p, v, at) if method != "spline" else spline_quantiles(p, v, at, bounds)
+        if found is not None:
+            out[rows], missing[rows] = found, False
+    return out, missing
+
+
+def draws(columns: dict[float, str], methods: tuple[str, ...], u: str, bounds: tuple[float, float] | None = None) -> Column:
+    """A struct of a draw a method, at probability u of the distribution that
+    the percentile columns give; null with fewer than two percentiles."""
+    for method in methods:
+        if method not in METHODS:
+            raise ValueError(f"unknown method {method}")
+    probs = np.array(sorted(columns), float)
 
+    @F.arrow_udf("struct<" + ", ".join(f"{m}:double" for m in methods) + ">")
+    def draw(at: pa.Array, *parts: pa.Array) -> pa.Array:
+        point, *sides = (x.to_numpy(zero_copy_only=False).astype(float) for x in (at, *parts))
+        values = np.column_stack(sides)
+        there = np.column_stack([np.asarray(p.is_valid()) for p in parts]) & (values != -1)
+        found = [drawn_at(probs, values, there & np.isfinite(values) if m in ("spline", "kde") else there, point, m, bounds) for m in methods]
+        return pa.StructArray.from_arrays([pa.array(x, mask=m) for x, m in found], names=list(methods))
 
-def smooth_quantile(probs: np.ndarray, values: np.ndarray, u: np.ndarray, size: int = 512) -> np.ndarray:
-    """A kernel at each percentile, as wide as half the way to its nearer
-    neighbour (a third at the ends, which are cut off), added up on a grid
-    between the outermost values; its inverse CDF."""
-    k = len(values)
-    gap = np.abs(np.diff(values))
-    wide = np.array([gap[0] / 3 if i == 0 else gap[-1] / 3 if i == k - 1 else min(gap[i - 1], gap[i]) / 2 for i in range(k)])
-    wide = np.maximum(wide, 0.1)
-    x = np.linspace(values.min(), values.max(), size)
-    density = sum(np.exp(-0.5 * ((x - v) / s) ** 2) / s * (2 if i in (0, k - 1) else 1) for i, (v, s) in enumerate(zip(values, wide)))
-    cdf = np.cumsum(density)
-    return np.interp(u, cdf / cdf[-1], x)
+    return draw(F.col(u).cast("double"), *[F.col(columns[p]).cast("double") for p in sorted(columns)])
 
 
 def simulate(rows: DataFrame, columns: dict[float, str], method: str, u: str, bounds: tuple[float, float] | None = None) -> DataFrame:
     """rows with `draw`: the value at probability u of the distribution that
     the percentile columns give, by one of METHODS. Rows with fewer than two
     percentiles have none."""
-    knots = pairs(columns)
-    if method == "linear_cdf":
-        return rows.withColumn("draw", linear_at(knots, F.col(u)))
-    if method == "normal":
-        return rows.withColumn("__n", normal_of(knots)).withColumn("draw", F.col("__n.mean") + F.col("__n.sd") * F.expr(qnorm_sql(u))).drop("__n")
-    if method not in METHODS:
-        raise ValueError(f"unknown method {method}")
-    probs = np.array(sorted(columns))
-
-    @F.pandas_udf("double")
-    def draw(frames: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        for parts in frames:
-            at, table = parts[0].to_numpy(float), np.column_stack([p.to_numpy(float) for p in parts[1:]])
-            out = np.full(len(at), np.nan)
-            for i, row in enumerate(table):
-                good = np.isfinite(row) & (row != -1)
-                if good.sum() >= 2:
-                    quantile = spline_quantile(probs[good], row[good], at[i : i + 1], bounds) if method == "spline" else smooth_quantile(probs[good], row[good], at[i : i + 1])
-                    out[i] = quantile[0]
-            yield pd.Series(out)
-
-    return rows.withColumn("draw", draw(F.col(u), *[F.col(columns[p]).cast("double") for p in sorted(columns)]))
+    return rows.withColumn("draw", draws(columns, (method,), u, bounds)[method])
 
 
 def compared(rows: DataFrame, columns: dict[float, str], methods: tuple[str, ...], u: str, keys: list[str], bounds: tuple[float, float] | None = None) -> DataFrame:
-    """(method, keys, n, mean, sd, min, max) of the draws of each method."""
-    out = None
-    for method in methods:
-        found = simulate(rows, columns, method, u, bounds).groupBy(*keys).agg(F.count("draw").alias("n"), F.avg("draw").alias("mean"), F.stddev_samp("draw").alias("sd"), F.min("draw").alias("min"), F.max("draw").alias("max"))
-        found = found.select(F.lit(method).alias("method"), *keys, "n", "mean", "sd", "min", "max")
-        out = found if out is None else out.unionByName(found)
-    return out
+    """(method, keys, n, mean, sd, min, max) of the draws of each method, all
+    made in one pass."""
+    drawn = rows.select(*keys, draws(columns, methods, u, bounds).alias("__d"))
+    kinds = {"n": F.count, "mean": F.avg, "sd": F.stddev_samp, "min": F.min, "max": F.max}
+    met = drawn.groupBy(*keys).agg(*[F.struct(F.lit(m).alias("method"), *[f(F.col("__d")[m]).alias(c) for c, f in kinds.items()]).alias(f"__{m}") for m in methods])
+    return met.select(*keys, F.explode(F.array(*[f"__{m}" for m in methods])).alias("__x")).select("__x.method", *keys, *[f"__x.{c}" for c in kinds])
 
 
 def ks_distance(a: DataFrame, b: DataFrame, keys: list[str], value: str) -> DataFrame:

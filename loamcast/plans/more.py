@@ -70,9 +70,8 @@ def measured(spark, sf_dir):
   list_filter([{{'p': 0e0, 'v': CASE WHEN mark % 4 != 0 THEN l * 9e-1 ELSE -1e0 END}}, {{'p': 5e-2, 'v': l}}, {{'p': 5e-1, 'v': CASE WHEN mark % 5 != 0 THEN r END}}, {{'p': 95e-2, 'v': h}}, {{'p': 1e0, 'v': CASE WHEN mark % 3 != 0 THEN h * 11e-1 END}}], lambda x: x.v IS NOT NULL AND x.v != -1) AS p FROM hz ))""",
 )
 def percentile_draws(spark, sf_dir):
-    x = percentiles.simulate(measured(spark, sf_dir), COLUMNS, "linear_cdf", "u")
-    g = percentiles.normal_of(percentiles.pairs(COLUMNS))
-    return x.withColumn("g", g).select("cokey", "hz", F.size(percentiles.pairs(COLUMNS)).cast("long").alias("n"), F.round("draw", 4).alias("draw"), F.round(F.col("g.mean") + F.col("g.sd") * F.expr(qnorm_sql("u")), 4).alias("gauss"))
+    x = measured(spark, sf_dir).withColumn("d", percentiles.draws(COLUMNS, ("linear_cdf", "normal"), "u"))
+    return x.select("cokey", "hz", F.size(percentiles.pairs(COLUMNS)).cast("long").alias("n"), F.round("d.linear_cdf", 4).alias("draw"), F.round("d.normal", 4).alias("gauss"))
 
 
 @query("percentile_methods")

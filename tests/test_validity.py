@@ -195,3 +195,32 @@ def test_draws_are_summarised_where_horizons_meet(spark):
         for p in "ab":
             assert found[u][f"{p}_mean"] == pytest.approx(part[p].mean(), rel=1e-12)
             assert found[u][f"{p}_q"] == pytest.approx(part[p].quantile([0.05, 0.5, 0.95]).tolist(), rel=1e-12)
+
+
+def test_percentile_draws_are_made_in_vectors(spark):
+    from loamcast.functions import special
+
+    columns, rng = {0.0: "a", 0.05: "b", 0.5: "c", 0.95: "d", 1.0: "e"}, np.random.default_rng(3)
+    rows = []
+    for k in range(300):
+        v = [*np.sort(rng.normal(50, 20, 5)).tolist(), float(rng.random())]
+        rows.append((k % 2, k, *[None if rng.random() < 0.2 else -1.0 if rng.random() < 0.1 else x for x in v[:5]], v[5]))
+    x = spark.createDataFrame(rows, "g int, id int, a double, b double, c double, d double, e double, u double").repartition(3)
+    found = {m: {r["id"]: r["draw"] for r in percentiles.simulate(x, columns, m, "u").collect()} for m in percentiles.METHODS}
+    for r in rows:
+        held = [(p, v) for p, v in zip(columns, r[2:7]) if v is not None and v != -1]
+        p, v = np.array([h[0] for h in held]), np.array([h[1] for h in held])
+        if len(held) < 2:
+            assert all(found[m][r[1]] is None for m in percentiles.METHODS)
+            continue
+        assert found["linear_cdf"][r[1]] == pytest.approx(np.interp(r[7], p, v))
+        assert found["spline"][r[1]] == pytest.approx(special.spline_quantile(p, v, np.array([r[7]]))[0])
+        gap, k = np.abs(np.diff(v)), len(v)
+        wide = np.maximum([gap[0] / 3, *[min(gap[i - 1], gap[i]) / 2 for i in range(1, k - 1)], gap[-1] / 3], 0.1)
+        grid = np.linspace(v.min(), v.max(), 512)
+        cdf = np.cumsum(sum(np.exp(-0.5 * ((grid - c) / s) ** 2) / s * (2 if i in (0, k - 1) else 1) for i, (c, s) in enumerate(zip(v, wide))))
+        assert found["kde"][r[1]] == pytest.approx(np.interp(r[7], cdf / cdf[-1], grid))
+        assert (found["normal"][r[1]] is None) == (0.5 not in p or sum(0 < q < 1 and q != 0.5 for q in p) < 2)
+    plan = percentiles.compared(x, columns, percentiles.METHODS, "u", ["g"])
+    assert {(r["method"], r["g"], r["n"]) for r in plan.collect()} == {(m, g, sum(found[m][i] is not None for i in range(300) if i % 2 == g)) for m in percentiles.METHODS for g in (0, 1)}
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1  # one pass for all methods
