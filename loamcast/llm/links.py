@@ -116,9 +116,10 @@ def link(keys: DataFrame, measures: Callable[[DataFrame], DataFrame], alike: Cal
     the pivot, such that two nodes that hold, but don't both hold with the
     pivot, share a key that is short for the one less apart.
 
-    Open pairs, those of different components, are compared one by one where
-    a bucket has at most 2 ROOM members, or ROOM open pairs a member (one a
-    member in the first buckets, where texts may be wide apart). In a more
+    Open pairs, those of different components of which the one less apart has
+    a short key, are compared one by one where a bucket has at most 2 ROOM
+    members, or ROOM open pairs a member (one a member in the first buckets,
+    where texts may be wide apart). In a more
     crowded bucket all are compared with its pivot, the most central member:
     the one whose buckets are largest together, later the one least apart.
     Where that leaves a bucket crowded, its members go to buckets by their
@@ -135,7 +136,7 @@ def link(keys: DataFrame, measures: Callable[[DataFrame], DataFrame], alike: Cal
     base, links, waiting = rows.columns, None, None
     for step in range(STEPS + 1):
         few, many = _open(rows, ROOM, step == STEPS, scope)
-        few = few.join(held, "node")
+        few = written(few.join(held, "node"), scope)
         pairs, pivots = _one_by_one(few if waiting is None else few.unionByName(waiting)), None
         if step < STEPS:
             many = written(many.join(held, "node"), scope)
@@ -163,12 +164,14 @@ def link(keys: DataFrame, measures: Callable[[DataFrame], DataFrame], alike: Cal
 
 
 def _one_by_one(few: DataFrame) -> DataFrame:
-    """Open pairs of each bucket; members of large ones are dealt to parts,
-    and each part meets the whole bucket."""
+    """Open pairs of each bucket: each short row meets the rows as far apart
+    or farther. Members of large buckets are dealt to parts, and each part
+    meets the whole bucket."""
     parts = F.ceil(F.col("n") / PART).cast("int")
-    left = few.withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int"))
+    left = few.where("short").withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int"))
     right = few.select("key", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), *[F.col(c).alias(f"other_{c}") for c in ("node", "component", "short", "apart", "sketch", "weight")])
-    open_pairs = left.join(right, ["key", "part"]).where("node < other_node and component != other_component and if(apart <= other_apart, short, other_short)")
+    later = "apart < other_apart or apart = other_apart and (node < other_node or not other_short)"
+    open_pairs = left.join(right, ["key", "part"]).where(f"component != other_component and ({later})")
     return open_pairs.select("node", "other_node", "sketch", "other_sketch", "weight", "other_weight")
 
 
@@ -176,10 +179,13 @@ def _open(rows: DataFrame, room: int, whole: bool, scope: Scratch) -> tuple[Data
     """Rows of the buckets with nodes of several components and a short key,
     with n, the rows of the bucket: those of small buckets and of those with
     at most `room` open pairs a row, or of all if whole; and those of the
-    others."""
-    each = rows.groupBy("key", "component").agg(F.count("*").alias("n"), F.bool_or("short").alias("some"))
-    total = each.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"), F.count("*").alias("parts"), F.bool_or("some").alias("some")).where("parts > 1 and some")
-    total = written(total.select("key", "n", ((F.col("n") <= 2 * ROOM) | (F.col("n") * F.col("n") - F.col("own") <= 2 * room * F.col("n"))).alias("few")), scope)
+    others. Open pairs are those of two components, or if that is less, those
+    of a short row with one of another component."""
+    each = rows.groupBy("key", "component").agg(F.count("*").alias("n"), F.count_if("short").alias("s"))
+    n, s = F.col("n"), F.col("s")
+    total = each.groupBy("key").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum(n * n).alias("own"), F.sum(s * n).alias("short_own"), F.count("*").alias("parts")).where("parts > 1 and s > 0")
+    pairs = F.least((n * n - F.col("own")) / 2, s * n - F.col("short_own"))
+    total = written(total.select("key", "n", ((n <= 2 * ROOM) | (pairs <= room * n)).alias("few")), scope)
     held = written(spread(rows, total, ["key"], frequent(total, rows.count(), ["key"]), scope), scope)
     if whole:
         return held.drop("few"), held.where("false").drop("few")

@@ -27,7 +27,7 @@ from .links import SIMILAR, components, frequent, link, shared, spread
 
 SIZE = 5  # words of a shingle
 COARSE = (10, 3)  # bands, rows: finds 0.999 of pairs at 0.8
-COUNTERS, PARTS = 1 << 20, 16  # of the table of edit frequencies, which orders edits, and of its pieces
+COUNTERS, PARTS, MOST = 1 << 22, 64, 65535  # of the table of edit frequencies, which orders edits, of its pieces, and where they end
 APART = (1 - SIMILAR) / (1 + SIMILAR)  # of both weights together: what similar texts may differ by
 SKETCH, ALIKE = 64, 38  # samples kept of a text that shares a band; so many agree in all but 1 of 10 000 pairs at 0.8
 BUCKETS = 1 << 16  # of the table of word frequencies
@@ -263,21 +263,21 @@ def classes(documents: DataFrame, scope: Scratch | None = None) -> DataFrame:
             a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SKETCH) for c in ("sketch_a", "sketch_b"))
             yield batch.select(["a", "b"]).filter(pa.array((a == b).sum(axis=1) >= ALIKE, pa.bool_()))
 
+    def with_texts(rows: DataFrame, sides: dict[str, str]) -> DataFrame:
+        """Written rows with the texts of their nodes; many may have the same
+        node, a pivot. Only texts that rows need are moved."""
+        total, out = rows.count(), rows
+        for side, column in sides.items():
+            bodies = shared(kept[0].select(F.col("node").alias(side), F.col("text").cast("binary").alias(column)), rows, [side])
+            out = spread(out, bodies, [side], frequent(rows.groupBy(side).agg(F.count("*").alias("n")), total, [side]), scope)
+        return out
+
     def verify(pairs: DataFrame) -> DataFrame:
-        """One side of many pairs may be the same text, a pivot."""
-        left = kept[0].select(F.col("node").alias("a"), F.col("text").cast("binary").alias("text_a"))
-        right = kept[0].select(F.col("node").alias("b"), F.col("text").cast("binary").alias("text_b"))
-        total = pairs.count()
-        for side, bodies in (("b", right), ("a", left)):
-            pairs = spread(pairs, bodies, [side], frequent(pairs.groupBy(side).agg(F.count("*").alias("n")), total, [side]), scope)
-        return pairs.select("a", "b", "text_a", "text_b").mapInArrow(compare, "a binary, b binary")
+        return with_texts(pairs, {"b": "text_b", "a": "text_a"}).select("a", "b", "text_a", "text_b").mapInArrow(compare, "a binary, b binary")
 
     def edits(apart: DataFrame) -> DataFrame:
-        apart = written(apart, scope)
-        total = apart.count()
-        for side, column in (("node", "text_a"), ("pivot", "text_b")):
-            hot = frequent(apart.groupBy(side).agg(F.count("*").alias("n")), total, [side])
-            apart = spread(apart, kept[0].select(F.col("node").alias(side), F.col("text").cast("binary").alias(column)), [side], hot, scope)
+        # Written with their texts, as they are read twice.
+        apart = written(with_texts(written(apart, scope), {"node": "text_a", "pivot": "text_b"}), scope)
 
         def changed(batch: pa.RecordBatch) -> list[tuple]:
             """(keys, weights, weight of the text, weight of the pivot) of each row."""
@@ -288,7 +288,7 @@ def classes(documents: DataFrame, scope: Scratch | None = None) -> DataFrame:
             return [(*differences(of[x], of[p], int.from_bytes(p[:8], "little")), of[x][1].sum(), of[p][1].sum()) for x, p in zip(nodes, pivots)]
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            table = np.zeros(COUNTERS, np.int64)
+            table = np.zeros(COUNTERS, np.int32)
             for batch in text_blocks(batches, "text_a", 1 << 20):
                 keys = np.concatenate([keys for keys, *_ in changed(batch)])
                 np.add.at(table, (keys & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
@@ -299,13 +299,13 @@ def classes(documents: DataFrame, scope: Scratch | None = None) -> DataFrame:
             table = np.zeros(COUNTERS // PARTS, np.int64)
             for batch in pieces:
                 np.add.at(table, batch.column("place").flatten().to_numpy(), batch.column("n").flatten().to_numpy())
-            yield pa.record_batch([pa.array([key[0].as_py()], pa.int32()), pa.array([table.tolist()], pa.list_(pa.int64()))], names=["part", "n"])
+            yield pa.record_batch([pa.array([key[0].as_py()], pa.int32()), pa.array([np.minimum(table, MOST).astype(np.uint16).tobytes()], pa.binary())], names=["part", "n"])
 
-        # COUNTERS numbers reach the driver, whatever the corpus.
-        summed = apart.mapInArrow(count, "part int, place array<int>, n array<long>").groupBy("part").applyInArrow(add, "part int, n array<long>").collect()
-        table = np.zeros((PARTS, COUNTERS // PARTS), np.int64)
-        for row in summed:
-            table[row["part"]] = row["n"]
+        # COUNTERS numbers of two bytes reach the driver, whatever the corpus.
+        summed = apart.mapInArrow(count, "part int, place array<int>, n array<long>").groupBy("part").applyInArrow(add, "part int, n binary").toArrow()
+        table = np.zeros((PARTS, COUNTERS // PARTS), np.uint16)
+        for part, n in zip(summed.column("part").to_pylist(), summed.column("n").to_pylist()):
+            table[part] = np.frombuffer(n, np.uint16)
         counts = spark.sparkContext.broadcast(table.ravel())
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -242,6 +242,19 @@ def test_prefixes_meet():
         assert near[1] & far[2]
 
 
+def test_few_short_rows_leave_a_bucket_open(spark):
+    """A bucket of many rows, of which few are short, has few open pairs; each
+    is met once, by the one less apart."""
+    few = [(1, f"n{i:03}".encode(), f"n{i:03}".encode(), i % 50 == 0, float(i // 2), 1.0, b"s") for i in range(200)]
+    many = [(2, *row[1:3], True, *row[4:]) for row in few]
+    rows = spark.createDataFrame(few + many, "key long, node binary, component binary, short boolean, apart double, weight double, sketch binary")
+    open_rows, crowded = links._open(rows, links.ROOM, False, Scratch())
+    assert {r.key for r in open_rows.collect()} == {1} and {r.key for r in crowded.collect()} == {2}
+    met = [tuple(sorted((bytes(r.node), bytes(r.other_node)))) for r in links._one_by_one(open_rows).collect()]
+    near = [(a, b) for a in few for b in few if a[3] and a[1] != b[1] and (a[4] < b[4] or a[4] == b[4] and not b[3])]
+    assert sorted(met) == sorted(tuple(sorted((a[1], b[1]))) for a, b in near) and len(met) == len(set(met)) > 400
+
+
 def test_rows_are_kept_with_any_column_names(spark):
     odd = docs(spark, [*ODD[:7], (9, prose(5)), (10, f"{prose(8, 30)} {prose(5, 60)}")])
     for name in ("__cuts", "__node", "__own", "__doc", "__key", "__th", "n", "key"):
