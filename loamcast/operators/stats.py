@@ -14,6 +14,7 @@ from ..functions.hashing import BLOCK, md5_words
 
 CROWD = 50_000  # rows beyond which a group is cut into parts
 CUT = 20_000  # values of a group that its cuts are taken from
+FEW = 100_000  # groups up to which a row a group is broadcast
 
 
 def summary(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -66,12 +67,26 @@ def parted(rows: DataFrame, keys: list[str], value: str, parts: int = 200) -> Da
     return rows.join(F.broadcast(cuts), keys, "left").withColumn("__part", F.when(F.col("__cuts").isNull(), 0).otherwise(part)).drop("__cuts")
 
 
+def small(groups: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """groups, a row a group of `rows`, for a join with them: broadcast where
+    rows have at most FEW groups, which are counted first; so rows aren't
+    gathered by group, of which few may hold them all."""
+    many = rows.select(*keys).distinct().limit(FEW + 1).count() > FEW
+    return groups if many else F.broadcast(groups)
+
+
+def counted(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, value, n): how often a group has each value. Nulls are no
+    values; null keys are in no group."""
+    return rows.where(F.col(value).isNotNull()).dropna(subset=keys).groupBy(*keys, value).agg(F.count("*").alias("n"))
+
+
 def positions(rows: DataFrame, keys: list[str], value: str, parts: int = 200) -> DataFrame:
     """(keys, value, n, before, total): each distinct value of a group, how
     often it occurs, how many rows are smaller, and all. For groups of any
     size: distinct values are dealt to parts, see parted(), and only counts of
     parts are added up in a group's window. Null keys are in no group."""
-    counts = rows.where(F.col(value).isNotNull()).dropna(subset=keys).groupBy(*keys, value).agg(F.count("*").alias("n"))
+    counts = counted(rows, keys, value)
     return _placed(*_sized(counts, keys, value, parts), keys, value)
 
 
@@ -93,7 +108,7 @@ def _placed(dealt: DataFrame, sizes: DataFrame, keys: list[str], value: str) ->
 def quantiles_at(rows: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
     """(keys, one column a probability): exact interpolated quantiles, from
     positions() in the parts that hold their ranks; others are only counted."""
-    counts = rows.where(F.col(value).isNotNull()).dropna(subset=keys).groupBy(*keys, value).agg(F.count("*").alias("n"))
+    counts = counted(rows, keys, value)
     dealt, sizes = _sized(counts, keys, value, 200)
     held = F.lit(False)
     for p in probs.values():
@@ -155,7 +170,7 @@ def normalized(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     stats = stats.join(rows.groupBy(*keys).agg(F.avg(x).alias("m"), F.stddev_samp(x).alias("s"), F.min(x).alias("lo"), F.max(x).alias("hi")), keys)
     at = positions(rows, keys, value).select(*keys, value, ((F.col("before") + F.col("n")) / F.col("total")).alias("ecdf"))
     over = lambda up, down: F.when(down > 0, up / down)
-    j = rows.join(stats, keys).join(at, [*keys, value], "left")
+    j = rows.join(small(stats, rows, keys), keys).join(at, [*keys, value], "left")
     return j.select(*rows.columns, over(x - F.col("m"), F.col("s")).alias("z"), over(x - F.col("lo"), F.col("hi") - F.col("lo")).alias("scaled"), over(x - F.col("md"), F.col("q3") - F.col("q1")).alias("robust"), "ecdf")
 
 
