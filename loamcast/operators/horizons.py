@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import HARD
-from .stats import quantiles_at
+from .stats import quantiles_at, small
 
 
 def without_organic(horizons: DataFrame, name: str = "hzname") -> DataFrame:
@@ -122,7 +122,7 @@ def ladder_infill(horizons: DataFrame, value: str, order: str = "mid", band: flo
     line = F.when(F.col("p").isNull(), F.col("q.y")).when(F.col("q").isNull(), F.col("p.y")).when(F.col("q.x") == F.col("p.x"), (F.col("p.y") + F.col("q.y")) / 2).otherwise(F.col("p.y") + (F.col("q.y") - F.col("p.y")) * (x - F.col("p.x")) / (F.col("q.x") - F.col("p.x")))
     unit = horizons.groupBy("mukey", "genhz").agg(F.median(value).alias("unit_median"))
     every = quantiles_at(horizons, ["genhz"], value, {"all_median": 0.5})
-    joined = ranged.withColumn("line", line).join(unit, ["mukey", "genhz"], "left").join(every, "genhz", "left")
+    joined = ranged.withColumn("line", line).join(unit, ["mukey", "genhz"], "left").join(small(every, horizons, ["genhz"]), "genhz", "left")
     rungs = {"same": "same", "band": "band", "line": "line", "group": "unit_median", "all": "all_median"}
     filled, rung = F.coalesce(v, *rungs.values()), F.when(v.isNotNull(), "own")
     for label, column in rungs.items():
