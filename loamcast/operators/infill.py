@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .stats import quantiles_at
+from .stats import quantiles_at, small
 
 #: Fixed values: (type, low, high, fallback spread) by property.
 PROPERTIES = {
@@ -142,7 +142,9 @@ def with_bounds(horizons: DataFrame, value: str, name: str) -> DataFrame:
     learned, out = learned_spreads(horizons, value), horizons.withColumns({"__zone": F.when(F.col("hzdepb_r") <= 30, "surface").when(F.col("hzdepb_r") <= 100, "subsurface").when(F.col("hzdepb_r").isNotNull(), "deep"), "__every": F.lit("all")})
     for key, frame in learned.items():
         at = "hzname" if key == "hzname" else f"__{key}"
-        out = out.join(frame.select(F.col(key).alias("__k"), F.col("down").alias(f"__down_{key}"), F.col("up").alias(f"__up_{key}")), F.col(at) == F.col("__k"), "left").drop("__k")
+        spreads = frame.select(F.col(key).alias("__k"), F.col("down").alias(f"__down_{key}"), F.col("up").alias(f"__up_{key}"))
+        spreads = small(spreads, horizons, ["hzname"]) if key == "hzname" else F.broadcast(spreads)  # else four rows at most
+        out = out.join(spreads, F.col(at) == F.col("__k"), "left").drop("__k")
     letter = F.upper(F.substring("hzname", 1, 1))
     own = F.when(letter == "A", 0.15).when(letter == "B", 0.12).when(letter == "C", 0.10).otherwise(fallback) if kind == "bulk_density" else F.lit(SPREADS.get(name, fallback))
     positive = lambda c: F.when(F.col(c) > 0, F.col(c))
