@@ -51,13 +51,15 @@ def range_coverage(simulated: DataFrame, observed: DataFrame, keys: list[str], v
 
 def spread_coverage(rows: DataFrame, keys: list[str], value: str, most: float = 10.0) -> DataFrame:
     """(keys, spread, outliers, adequate): the inner 90 percent as a share of
-    the range, and the percentage outside the quartile fences."""
+    the range, and the percentage outside the quartile fences. Rows are only
+    counted by value; the counts give the rest."""
     q = stats.quantiles_at(rows, keys, value, {"p05": 0.05, "q1": 0.25, "q3": 0.75, "p95": 0.95})
-    out = rows.join(q, keys)
-    x, width = F.col(value), 1.5 * (F.col("q3") - F.col("q1"))
+    out = stats.counted(rows, keys, value).join(stats.small(q, rows, keys), keys)
+    x, width, n = F.col(value), 1.5 * (F.col("q3") - F.col("q1")), F.col("n")
     far = (x < F.col("q1") - width) | (x > F.col("q3") + width)
     span = F.max(x) - F.min(x)
-    found = out.groupBy(*keys).agg(F.when(span > 0, F.max(F.col("p95") - F.col("p05")) / span).otherwise(0.0).alias("spread"), (100 * F.avg(far.cast("double"))).alias("outliers"))
+    outside = F.sum(F.when(far, n).otherwise(0)) / F.sum(n)
+    found = out.groupBy(*keys).agg(F.when(span > 0, F.max(F.col("p95") - F.col("p05")) / span).otherwise(0.0).alias("spread"), (100 * outside).alias("outliers"))
     return found.withColumn("adequate", F.col("outliers") <= most)
 
 
