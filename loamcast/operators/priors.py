@@ -193,7 +193,9 @@ def fused(rows: DataFrame, name: str, observed: Observed, keys: list[str], n: in
     prior = F.col(f"prior_{name}")
     if observed.sample:
         u = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda k: (k - 0.5) / n)
-        spread = rows.withColumn("__rid", F.xxhash64(*[F.col(k) for k in keys]))
+        # Few rows, long work each: dealt to all tasks.
+        dealt = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+        spread = dealt.withColumn("__rid", F.xxhash64(*[F.col(k) for k in keys]))
         sampled = spread.withColumn("__a", _sampled(prior, u, n)).withColumn("__b", F.array(*[F.lit(float(v)) for v in observed.sample]))
         posted = posterior_samples(sampled, "__a", "__b", "__post", ["__rid"], n, seed=seed)
         changed = _prior("empirical", F.array_sort("__post"), "fused_sample")

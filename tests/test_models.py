@@ -282,3 +282,16 @@ def test_profiles_are_repeated_in_vectors(spark):
     assert each(found) == each(slow)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Generate explode" not in plan
+
+
+def test_map_units_without_spread_have_no_correlation(spark, tmp_path):
+    """Prices of 0 give draws without spread, on which corr() is an error."""
+    from loamcast.plans import registry
+
+    lines = [(o, 1, o, o % 2, 5.0 + o, 30_000.0 + 900 * o if o % 2 else 0.0, 0.05, 0.02, "A") for o in range(12)]
+    cols = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string"
+    spark.createDataFrame(lines, cols).withColumn("l_shipdate", F.lit("1995-01-01").cast("timestamp")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = {r["mukey"]: r for r in registry.QUERIES["prior_samples"](spark, str(tmp_path)).collect()}
+    assert found[0]["ae"] is None and found[0]["c"] == 0 and 0.2 < found[1]["ae"] < 0.7
+    drawn = {r["mukey"]: r for r in registry.QUERIES["prior_draws"](spark, str(tmp_path)).collect()}
+    assert np.isnan(drawn[0]["cd"]) and drawn[0]["n"] == 1000 and 0.2 < drawn[1]["ab"] < 0.7
