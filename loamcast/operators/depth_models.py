@@ -90,6 +90,18 @@ def gates(bound_sd: np.ndarray) -> np.ndarray:
     return np.clip(np.where(np.isnan(raw), 1.0, raw), LEAST_GATE, 1.0)
 
 
+def gated_correlation(depth: np.ndarray, scale: np.ndarray, bound: np.ndarray | None = None) -> np.ndarray:
+    """Correlations of the depths (profiles, horizons) of profiles, by the
+    scale of each, gated by the widths of the boundaries above horizons;
+    without a scale above 0 depths are independent."""
+    good = np.isfinite(scale) & (scale > 0)
+    r = np.where(good[:, None, None], gp.depth_correlation(depth, np.where(good, scale, 1.0)[:, None, None]), np.eye(depth.shape[1]))
+    if bound is None or depth.shape[1] == 1:
+        return r
+    logs = np.concatenate([np.zeros((len(depth), 1)), np.cumsum(np.log(gates(bound[:, 1:])), axis=1)], axis=1)
+    return r * np.exp(-np.abs(logs[:, :, None] - logs[:, None, :]))
+
+
 def reordered(draws: DataFrame, values: list[str], matrix: list[list[float]], scales: DataFrame, bound: str | None = None, seed: int = 1) -> DataFrame:
     """Draws (cokey, hz, hzdept_r, sim, values) whose order at each depth
     follows one copula of depths and properties; every margin stays.

@@ -1,11 +1,15 @@
 """Depth models as tables, their values, and gated reordering."""
 
+import re
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from loamcast.operators import depth_models, gp, grouping
+from loamcast.functions import hashing
+from loamcast.operators import depth_models, gp, grouping, simulate
 from loamcast.sources.tables import load, save
 
 
@@ -122,3 +126,40 @@ def test_profiles_of_a_batch_are_reordered_alike(spark):
     for key in {k[:2] for k in got}:
         assert sorted(v[0] for k, v in got.items() if k[:2] == key) == sorted(v[0] for k, v in was.items() if k[:2] == key)
     assert all((v[1] is None) == (k[2] == 3) for k, v in got.items())
+
+
+def test_profiles_drawn_where_they_meet_equal_reordered_rows(spark):
+    """Profiles of 1 to 5 horizons, one without a scale, one without a value."""
+    rng = np.random.default_rng(8)
+    rows = [(c, h, 10.0 * h, float(c), None if c == 3 and h == 2 else 5.0 + c + h, float(rng.integers(1, 11)), None if c == 4 else 30.0) for c in range(1, 8) for h in range(1, 2 + c % 5)]
+    x = spark.createDataFrame(rows, "cokey long, hz int, hzdept_r double, lo double, hi double, bound double, scale double").repartition(3, "cokey")
+    matrix = [[1.0, 0.6], [0.6, 1.0]]
+    draws = simulate.correlated_uniforms(simulate.realizations(x, 20), ["cokey", "hz", "sim"], ["a", "b"], matrix)
+    draws = draws.select("cokey", "hz", "hzdept_r", "sim", "bound", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("u_a")).alias("a"), F.col("u_b").alias("b"))
+    want = depth_models.reordered(draws, ["a", "b"], matrix, x.select("cokey", "scale").distinct(), "bound").toPandas().sort_values(["cokey", "hz", "sim"])
+    lower = simulate.cholesky(matrix)
+
+    def make(texts, values):
+        u = simulate.mixed(hashing.uniforms(texts, [f"{s}|{n}|1".encode() for s in range(1, 21) for n in "ab"]).reshape(-1, 20, 2), lower)
+        lo, hi = values[0][:, None], values[1][:, None]
+        return np.stack([lo + (hi - lo) * u[:, :, 0], u[:, :, 1]])
+
+    correlation = lambda depth, v: depth_models.gated_correlation(depth, v[2][:, 0], v[3])
+    every = (x, ["lo", "hi", "scale", "bound"], ["a", "b"], make, correlation, matrix, 20)
+    got = gp.drawn(*every).toPandas().sort_values(["cokey", "hz", "sim"])
+    assert len(got) == 20 * len(rows)
+    for c in ("cokey", "hz", "hzdept_r", "sim", "a", "b"):
+        assert np.allclose(got[c], want[c], rtol=1e-12, equal_nan=True)
+    means = gp.drawn(*every, figures=lambda d: [pa.array(d[1].mean(axis=1))], kinds="m double").toPandas().sort_values(["cokey", "hz"])
+    assert np.allclose(means.m, want.groupby(["cokey", "hz"]).b.mean())
+
+
+def test_copulas_shuffle_rows_once_and_no_draws(spark):
+    from loamcast.plans import registry
+
+    plan = lambda name: registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan("depth_copula").count("Exchange") == 1
+    # Draws never are rows, and both sides' first shuffles are of the same columns, so they are one.
+    gated = plan("gated_copula")
+    scans = [line[line.index("[l_orderkey") : line.index("Batched")] for line in gated.splitlines() if "FileScan" in line]
+    assert "Generate" not in gated and len({re.sub(r"#\d+L?", "", s) for s in scans}) == 1
