@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import finite, unsuitable
 from .simulate import cholesky, constrained, constrained_at, key_text, positive_definite, repeated_triangular, triangular_draws
-from .stats import quantiles_at
+from .stats import column_quantiles
 
 #: Physical limits of common properties.
 LIMITS = {"sand": (0.0, 100.0), "silt": (0.0, 100.0), "clay": (0.0, 100.0), "bulk_density": (0.3, 3.0), "ph": (2.5, 11.0)}
@@ -130,10 +130,10 @@ def summaries(horizons: DataFrame, keys: list[str], properties: list[str], probs
 def quality(draws: DataFrame, properties: list[str]) -> DataFrame:
     """Per property: share of finite draws and of draws within the fences of
     one and a half quartile ranges, and their difference from 1 as a score."""
-    # One row a draw and property; fences by ranks, so no task holds a property's draws.
+    # One row a draw and property; fences from the few draws beside them, so no task holds a property's draws.
     parts = F.array(*[F.struct(F.lit(p).alias("property"), F.col(p).alias("v")) for p in properties])
     long = draws.select(F.explode(parts).alias("x")).select("x.*")
-    fences = quantiles_at(long, ["property"], "v", {"q1": 0.25, "q3": 0.75})
+    fences = column_quantiles(draws, properties, {"q1": 0.25, "q3": 0.75})
     out = (F.col("v") < F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))) | (F.col("v") > F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
     rates = long.join(F.broadcast(fences), "property").groupBy("property").agg(F.avg(finite(F.col("v")).cast("double")).alias("finite"), F.avg(F.coalesce(out, F.lit(False)).cast("double")).alias("outliers"))
     return rates.withColumn("score", F.col("finite") - F.col("outliers"))

@@ -115,7 +115,10 @@ def quantiles_at(rows: DataFrame, keys: list[str], value: str, probs: dict[str,
         place = p * (F.col("total") - 1)
         for k in (F.floor(place), F.ceil(place)):
             held = held | ((F.col("__base") <= k) & (k < F.col("__base") + F.col("__n")))
-    at = _placed(dealt, sizes.where(held), keys, value)
+    return _interpolated(_placed(dealt, sizes.where(held), keys, value), keys, value, probs)
+
+
+def _interpolated(at: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
     out = []
     for name, p in probs.items():
         place = p * (F.col("total") - 1)
@@ -126,6 +129,64 @@ def quantiles_at(rows: DataFrame, keys: list[str], value: str, probs: dict[str,
     return at.groupBy(*keys).agg(*out)
 
 
+SPAN = 40  # bits of a double that a span leaves out: 12 bits of the fraction tell spans apart
+
+
+def spans(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """(property, span, low, high, n): how many values of each column lie in
+    each span of doubles, low to high; nulls are no values. A task adds up its
+    values in vectors and brings a row a span."""
+    ordered = lambda bits: bits ^ ((bits >> 63) & (2**63 - 1))  # noqa: E731  (its own inverse)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(0, np.int64)
+        found, waiting, rows_held = [(none, none) for _ in columns], [[] for _ in columns], 0
+
+        def add() -> None:
+            for i, keys in enumerate(waiting):
+                one, own = np.unique(np.concatenate([none, *keys]), return_counts=True)
+                both, at = np.unique(np.concatenate([found[i][0], one]), return_inverse=True)
+                found[i] = both, np.bincount(at, np.concatenate([found[i][1], own]), len(both)).astype(np.int64)
+                keys.clear()
+
+        for batch in batches:
+            for keys, column in zip(waiting, batch.columns):
+                v = column.drop_null().to_numpy(zero_copy_only=False) + 0.0  # one zero, and one NaN
+                v[np.isnan(v)] = np.nan
+                keys.append(ordered(v.view(np.int64)) >> SPAN)
+            rows_held += batch.num_rows
+            if rows_held > 1 << 19:
+                add()
+                rows_held = 0
+        add()
+        for name, (at, n) in zip(columns, found):
+            ends = [ordered(x).view(np.float64) for x in (at << SPAN, (at << SPAN) | (2**SPAN - 1))]
+            yield pa.record_batch([pa.array([name] * len(at), pa.string()), pa.array(at), *map(pa.array, ends), pa.array(n)], names=["property", "span", "low", "high", "n"])
+
+    each = rows.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    each = each.mapInArrow(count, "property string, span long, low double, high double, n long")
+    return each.groupBy("property", "span").agg(F.first("low").alias("low"), F.first("high").alias("high"), F.sum("n").alias("n"))
+
+
+def column_quantiles(rows: DataFrame, columns: list[str], probs: dict[str, float]) -> DataFrame:
+    """(property, one column a probability): exact interpolated quantiles of
+    whole columns. Values are counted by spans(), and only those in the spans
+    that hold the quantiles' ranks are shuffled and sorted, so rows are read
+    twice."""
+    by = Window.partitionBy("property")
+    sums = spans(rows, columns).withColumns({"__base": F.sum("n").over(by.orderBy("span").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"), "total": F.sum("n").over(by)})
+    ranks = [r for p in probs.values() for r in (F.floor(p * (F.col("total") - 1)), F.ceil(p * (F.col("total") - 1)))]
+    sums = sums.where(F.exists(F.array(*ranks), lambda r: (F.col("__base") <= r) & (r < F.col("__base") + F.col("n")))).drop("n")
+    parts = F.array(*[F.struct(F.lit(c).alias("property"), F.col(c).cast("double").alias("v")) for c in columns])
+    values = rows.select(F.explode(parts).alias("x")).select("x.*")
+    # At most two spans a probability and column.
+    inside = values.join(F.broadcast(sums), "property").where((F.col("v") >= F.col("low")) & (F.col("v") <= F.col("high")))
+    counts = inside.groupBy("property", "span", "__base", "total", "v").agg(F.count("*").alias("n"))
+    up_to = Window.partitionBy("property", "span").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    at = counts.select("property", "v", "n", "total", (F.col("__base") + F.sum("n").over(up_to) - F.col("n")).alias("before"))
+    return _interpolated(at, ["property"], "v", probs)
+
+
 def correlations(rows: DataFrame, keys: list[str], columns: list[str], ranks: bool = False) -> DataFrame:
     """(keys, a, b, r, n) for all pairs over complete rows; by Spearman's
     ranks, ties averaged, if asked."""

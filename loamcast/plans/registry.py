@@ -575,8 +575,8 @@ def name_infill(spark, sf_dir):
     return matching.name_infill(x, "v").select("cokey", "hz", F.round(F.coalesce("v", "by_name"), 8).alias("v"), F.col("n_names").alias("n"))
 
 
-def triplets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = hz(spark, sf_dir).withColumn("hzname", F.when(F.col("genhz") == "R", "Cr").otherwise(F.col("hzname")))
+def triplets(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
+    x = hz(spark, sf_dir, dealt).withColumn("hzname", F.when(F.col("genhz") == "R", "Cr").otherwise(F.col("hzname")))
     return x.select("mukey", "cokey", "hz", "hzname", "hzdept_r", "hzdepb_r", F.when(F.col("mark") % 7 != 0, F.col("l")).alias("a_l"), F.col("r").alias("a_r"), F.col("h").alias("a_h"), (F.col("p1") * 0.9).alias("b_l"), F.col("p1").alias("b_r"), (F.col("p1") * 1.2).alias("b_h"))
 
 
@@ -604,7 +604,7 @@ FREE = MC.replace("greatest(least(", "((").replace(", 40), 5) AS b", ")) AS b")
     f", {FREE}, v AS (SELECT 'a' AS property, a AS v FROM m UNION ALL SELECT 'b', b FROM m), q AS (SELECT property, quantile_cont(v, 25e-2) AS q1, quantile_cont(v, 75e-2) AS q3 FROM v GROUP BY property) SELECT property, 1e0 AS finite, round(avg(CAST(v < q1 - 15e-1 * (q3 - q1) OR v > q3 + 15e-1 * (q3 - q1) AS INTEGER)), 8) AS outliers, round(1 - avg(CAST(v < q1 - 15e-1 * (q3 - q1) OR v > q3 + 15e-1 * (q3 - q1) AS INTEGER)), 8) AS score FROM v JOIN q USING (property) GROUP BY property",
 )
 def simulation_quality(spark, sf_dir):
-    return rounded(monte_carlo.quality(monte_carlo.simulate(triplets(spark, sf_dir), ["a", "b"], MATRIX, monte_carlo.configured(n=10)), ["a", "b"]), digits=8)
+    return rounded(monte_carlo.quality(monte_carlo.simulate(triplets(spark, sf_dir, dealt=True), ["a", "b"], MATRIX, monte_carlo.configured(n=10)), ["a", "b"]), digits=8)
 
 
 @query("beta_draws")

@@ -224,3 +224,24 @@ def test_percentile_draws_are_made_in_vectors(spark):
     plan = percentiles.compared(x, columns, percentiles.METHODS, "u", ["g"])
     assert {(r["method"], r["g"], r["n"]) for r in plan.collect()} == {(m, g, sum(found[m][i] is not None for i in range(300) if i % 2 == g)) for m in percentiles.METHODS for g in (0, 1)}
     assert plan._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1  # one pass for all methods
+
+
+def test_quantiles_of_columns_sort_only_their_spans(spark):
+    """Exact among ties, both signs, zeros, infinite values and NaN; only the
+    spans that hold ranks are sorted, so values are never shuffled by value."""
+    rng = np.random.default_rng(4)
+    a = np.concatenate([rng.normal(0, 3, 4000), np.full(900, 1.25), [0.0, -0.0, np.inf, -np.inf, 1e300, -1e-300]])
+    rng.shuffle(a)
+    b = np.where(rng.random(len(a)) < 0.2, np.nan, np.exp(rng.normal(5, 4, len(a))))
+    df = spark.createDataFrame([(float(x), float(y)) for x, y in zip(a, b)], "a double, b double").repartition(5)
+    probs = {"q1": 0.25, "md": 0.5, "q3": 0.75, "top": 0.99}
+    got = {r["property"]: r for r in stats.column_quantiles(df.withColumn("b", F.nanvl("b", F.lit(None).cast("double"))), ["a", "b"], probs).collect()}
+    for c, v in (("a", a), ("b", b[~np.isnan(b)])):
+        for name, p in probs.items():
+            assert got[c][name] == pytest.approx(np.quantile(v[np.isfinite(v)] if c == "b" else v, p), rel=1e-12), (c, name)
+    sums = {(r["property"], r["low"] <= 1.25 <= r["high"]): r["n"] for r in stats.spans(df.where("a = 1.25"), ["a"]).collect()}
+    assert sums == {("a", True): 900}
+    inside = stats.spans(df.where("not isnan(a)"), ["a"]).agg(F.sum("n")).first()[0]
+    assert inside == len(a)
+    q = monte_carlo.quality(df.select("a", F.col("a").alias("c")), ["a", "c"])
+    assert "v#" not in "".join(line for line in q._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in line and "span" not in line)
