@@ -183,9 +183,10 @@ def dealt(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
-def repeated(rows: DataFrame, counts: DataFrame, keys: list[str], fields: list[str], make: Callable) -> DataFrame:
+def repeated(rows: DataFrame, counts: DataFrame | int, keys: list[str], fields: list[str], make: Callable, figures: Callable | None = None, kinds: str = "") -> DataFrame:
     """(keys, sim, hz, top, bottom): each profile of rows (keys, hz, fields)
-    for each replication 1..sim_comppct of counts (keys, sim_comppct).
+    for each replication 1..sim_comppct of counts (keys, sim_comppct), or as
+    often as a number says.
 
     Profiles meet their count as one row with an array, and are repeated in
     vectors, so repetitions are neither shuffled nor folded one by one. make:
@@ -194,10 +195,17 @@ def repeated(rows: DataFrame, counts: DataFrame, keys: list[str], fields: list[s
     as NaN; repetitions of profile i begin at first[i], and own is the profile
     of each; draw gives (repetitions, layers, endings) uniforms of the
     endings, and without a layer those of (repetitions, endings).
+
+    figures: of (tops, bottoms, first, own), one column a layer of the same
+    hz, an array a figure of `kinds` with a value a profile, NaN for null;
+    then the result is (keys, hz, kinds), and layers are never rows.
     """
     item = F.struct(F.col("hz").cast("int").alias("hz"), *[F.col(c).cast("double").alias(c) for c in fields])
     met = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("__items"))
-    met = met.join(counts.select(*keys, F.col("sim_comppct").cast("int").alias("__n")).where("__n >= 1"), keys)
+    if isinstance(counts, int):
+        met = met.withColumn("__n", F.lit(counts))
+    else:
+        met = met.join(counts.select(*keys, F.col("sim_comppct").cast("int").alias("__n")).where("__n >= 1"), keys)
     met = met.select(*keys, key_text(keys).cast("binary").alias("__text"), "__n", "__items")
     names = [*keys, "sim", "hz", "top", "bottom"]
 
@@ -216,11 +224,22 @@ def repeated(rows: DataFrame, counts: DataFrame, keys: list[str], fields: list[s
 
         with np.errstate(invalid="ignore", divide="ignore"):
             top, bottom = make(values, first, own, draw)
+            if figures:
+                return summed(batch, at, hz, [figures(top[:, k], bottom[:, k], first, own) for k in alike_at(hz)])
         wide = np.repeat(at[own], len(hz))
         floats = [pa.array(x.ravel(), from_pandas=True) for x in (top, bottom)]
         rest = [pa.array(np.repeat(sims, len(hz)).astype(np.int32)), pa.array(hz * len(own), pa.int32()), *floats]
         return pa.record_batch([*[batch.column(k).take(pa.array(wide)) for k in keys], *rest], names=names)
 
+    def alike_at(hz: list) -> list[list[int]]:
+        return [[i for i, h in enumerate(hz) if h == one] for one in dict.fromkeys(hz)]
+
+    def summed(batch: pa.RecordBatch, at: np.ndarray, hz: list, found: list[list[np.ndarray]]) -> pa.RecordBatch:
+        each = [k[0] for k in alike_at(hz)]
+        heads = [batch.column(k).take(pa.array(np.tile(at, len(each)))) for k in keys]
+        floats = [pa.array(np.concatenate(x), from_pandas=True) for x in zip(*found)]
+        return pa.record_batch([*heads, pa.array([hz[k] for k in each for _ in at], pa.int32()), *floats], names=[*keys, "hz", *[k.split()[0] for k in kinds.split(", ")]])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column, n = batch.column("__items"), batch.column("__n").to_numpy()
@@ -242,8 +261,8 @@ def repeated(rows: DataFrame, counts: DataFrame, keys: list[str], fields: list[s
                     yield lot(batch, part, n[part], list(hz), {c: v[place] for c, v in table.items()} | {"hz": np.array([np.nan if h is None else h for h in hz])})
                     start = stop
 
-    kinds = ", ".join(f"`{k}` {met.schema[k].dataType.simpleString()}" for k in keys)
-    return met.mapInArrow(run, f"{kinds}, sim int, hz int, top double, bottom double")
+    heads = ", ".join(f"`{k}` {met.schema[k].dataType.simpleString()}" for k in keys)
+    return met.mapInArrow(run, f"{heads}, hz int, {kinds}" if figures else f"{heads}, sim int, hz int, top double, bottom double")
 
 
 def _down_at(v: dict[str, np.ndarray], u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -292,18 +311,52 @@ def _offsets(draw: Callable, seed: int) -> tuple[np.ndarray, np.ndarray]:
     return z[:, :, 0], z[:, :, 1]
 
 
-def perturbed_counts(layers: DataFrame, counts: DataFrame, keys: list[str], seed: int = 1, least: float = 1.0) -> DataFrame:
+def _mixed_at(v: dict[str, np.ndarray], draw: Callable) -> tuple[np.ndarray, np.ndarray]:
+    """Tops and bottoms of repetitions, top down or bottom up as drawn."""
+    u = draw(["top", "bottom"])
+    down = draw(["way"], layers=False) < 0.5
+    return tuple(np.where(down, x, y) for x, y in zip(_down_at(v, u[:, :, 1]), _up_at(v, u[:, :, 0], u[:, :, 1])))
+
+
+def sd_at(x: np.ndarray, first: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """stddev_samp() of each profile's repetitions; NaN for fewer than two values."""
+    seen = ~np.isnan(x)
+    part = np.where(seen, x, 0.0)
+    n = np.add.reduceat(seen.sum(axis=1), first)
+    off = np.where(seen, part - (np.add.reduceat(part.sum(axis=1), first) / n)[own, None], 0.0)
+    return np.where(n > 1, np.sqrt(np.add.reduceat((off * off).sum(axis=1), first) / (n - 1)), np.nan)
+
+
+def mixed_spread(horizons: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """(keys, hz, thickness_sd): thickness_spread() of simulated() profiles,
+    mixed, n times and held, made in vectors where a profile's horizons meet.
+    Parts are those of horizons, see dealt()."""
+    by = Window.partitionBy(*keys, "hz")
+    rows = with_variability(horizons).withColumns({"low": F.min("hzdept_l").over(by), "high": F.max("hzdepb_h").over(by)})
+
+    def make(v: dict[str, np.ndarray], first: np.ndarray, own: np.ndarray, draw: Callable) -> tuple[np.ndarray, np.ndarray]:
+        every = {c: v[c][own] for c in (*DEPTHS, "low", "high")}
+        top, bottom = _mixed_at(every, draw)
+        return np.fmax(top, every["low"]), np.fmin(bottom, every["high"])
+
+    spread = lambda top, bottom, first, own: [sd_at(bottom - top, first, own)]
+    found = repeated(rows, n, keys, [*DEPTHS, "low", "high"], make, spread, "thickness_sd double")
+    return found.withColumn("thickness_sd", F.round("thickness_sd", 2))
+
+
+def perturbed_counts(layers: DataFrame, counts: DataFrame, keys: list[str], seed: int = 1, least: float = 1.0, figures: Callable | None = None, kinds: str = "") -> DataFrame:
     """perturbed() of each profile of layers (keys, hz, top, bottom,
     thickness_sd, bound_sd), once for each replication 1..sim_comppct of
     counts: (keys, sim, hz, top, bottom), equal to those of perturbed() with
-    keys and sim over replicated() layers."""
+    keys and sim over replicated() layers. figures, kinds: see repeated(). Parts
+    are those of layers, see dealt()."""
 
     def make(v: dict[str, np.ndarray], first: np.ndarray, own: np.ndarray, draw: Callable) -> tuple[np.ndarray, np.ndarray]:
         z_thick, z_bound = _offsets(draw, seed)
         t, b = np.nan_to_num(v["thickness_sd"])[own] * z_thick, np.nan_to_num(v["bound_sd"])[own] * z_bound
         return _moved_at(v["top"][own], v["bottom"][own], t, b, least)
 
-    return repeated(dealt(layers, keys), counts, keys, ["top", "bottom", "thickness_sd", "bound_sd"], make)
+    return repeated(layers, counts, keys, ["top", "bottom", "thickness_sd", "bound_sd"], make, figures, kinds)
 
 
 def _spread_at(thick: np.ndarray, hz: np.ndarray, first: np.ndarray, own: np.ndarray) -> np.ndarray:
@@ -344,9 +397,7 @@ def perturbed_profiles(horizons: DataFrame, counts: DataFrame, seed: int = 1) ->
         every = {c: v[c][own] for c in (*DEPTHS, "low", "high")}
         t = b = np.zeros(every["low"].shape)
         if t.shape[1] > 1:
-            u = draw(["top", "bottom"])
-            down = draw(["way"], layers=False) < 0.5
-            tops, bottoms = (np.where(down, x, y) for x, y in zip(_down_at(every, u[:, :, 1]), _up_at(every, u[:, :, 0], u[:, :, 1])))
+            tops, bottoms = _mixed_at(every, draw)
             z_thick, z_bound = _offsets(draw, seed)
             t, b = _spread_at(bottoms - tops, v["hz"], first, own)[own] * z_thick, np.nan_to_num(v["bound"])[own] * z_bound
         top, bottom = _moved_at(every["hzdept_r"], every["hzdepb_r"], t, b, 1.0)

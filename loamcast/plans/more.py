@@ -140,8 +140,8 @@ def composition_posterior(spark, sf_dir):
     return rounded(post.join(spread, "mukey"))
 
 
-def depths(spark, sf_dir):
-    x = hz(spark, sf_dir)
+def depths(spark, sf_dir, dealt=False):
+    x = hz(spark, sf_dir, dealt)
     low = lambda c: F.when(F.col("mark") % 4 != 0, F.greatest(F.col(c) - 3, F.lit(0.0)))
     return x.select("mukey", "cokey", "hz", "hzname", "genhz", "hzdept_r", "hzdepb_r", low("hzdept_r").alias("hzdept_l"), (F.col("hzdept_r") + 4).alias("hzdept_h"), low("hzdepb_r").alias("hzdepb_l"), (F.col("hzdepb_r") + 5).alias("hzdepb_h"))
 
@@ -163,7 +163,7 @@ SELECT cokey, sim, hz, top, bottom FROM p"""
 
 @query("profiles_mixed")
 def profiles_mixed(spark, sf_dir):
-    return profiles.thickness_spread(profiles.simulated(depths(spark, sf_dir), ["cokey"], "mixed", 20, held=True), ["cokey"])
+    return profiles.mixed_spread(depths(spark, sf_dir, dealt=True), ["cokey"], 20)
 
 
 @query(

@@ -295,3 +295,17 @@ def test_map_units_without_spread_have_no_correlation(spark, tmp_path):
     assert found[0]["ae"] is None and found[0]["c"] == 0 and 0.2 < found[1]["ae"] < 0.7
     drawn = {r["mukey"]: r for r in registry.QUERIES["prior_draws"](spark, str(tmp_path)).collect()}
     assert np.isnan(drawn[0]["cd"]) and drawn[0]["n"] == 1000 and 0.2 < drawn[1]["ab"] < 0.7
+
+
+def test_mixed_spread_equals_the_spread_of_simulated_layers(spark):
+    """Profiles of 1 to 4 horizons, missing depths, and a horizon that stands
+    twice; layers are never rows."""
+    rng = np.random.default_rng(12)
+    rows = [(c, h, None if (c + h) % 3 == 0 else 20.0 * h - 3, 20.0 * h, 20.0 * h + 4, None if h == 1 else 20.0 * h + 17, 20.0 * h + 20, 20.0 * h + float(rng.integers(20, 29))) for c in range(40) for h in range(1, 2 + c % 4)]
+    rows += [(3, 2, 37.0, 40.0, 44.0, 55.0, 60.0, 61.0), (50, 1, None, None, None, None, None, None)]
+    x = spark.createDataFrame(rows, "cokey long, hz int, hzdept_l double, hzdept_r double, hzdept_h double, hzdepb_l double, hzdepb_r double, hzdepb_h double")
+    got = profiles.mixed_spread(x, ["cokey"], 20)
+    want = profiles.thickness_spread(profiles.simulated(x, ["cokey"], "mixed", 20, held=True), ["cokey"])
+    key = lambda r: (r["cokey"], r["hz"])
+    assert sorted(got.collect(), key=key) == sorted(want.collect(), key=key)
+    assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
