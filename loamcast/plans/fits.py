@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions.normal import number, qnorm_sql, tail_sql, uniform_sql
@@ -89,10 +90,17 @@ def spreads(x):
   SELECT cokey, hz, count(*) AS n, round(avg(thick), 6) AS thickness, min(thick) AS least, round(stddev_samp(bottom - was), 6) AS offset_sd FROM (SELECT *, bottom - coalesce(lag(bottom) OVER (PARTITION BY cokey, sim ORDER BY hz), surface) AS thick FROM b) GROUP BY cokey, hz""",
 )
 def profiles_perturbed(spark, sf_dir):
-    x = profiles.perturbed_counts(spreads(hz(spark, sf_dir)), simulate.component_counts(components(spark, sf_dir)), ["cokey"])
-    thick = F.col("bottom") - F.col("top")
-    # Bottoms of a group have one offset from where they were, so their spread is that of the offsets.
-    return x.groupBy("cokey", F.col("hz").cast("long").alias("hz")).agg(F.count("*").alias("n"), F.round(F.avg(thick), 6).alias("thickness"), F.min(thick).alias("least"), F.round(F.stddev_samp("bottom"), 6).alias("offset_sd"))
+    def figures(top, bottom, first, own):
+        thick = bottom - top
+        n = np.diff(np.append(first, len(own))) * top.shape[1]
+        seen = ~np.isnan(thick)
+        mean = np.add.reduceat(np.where(seen, thick, 0.0).sum(axis=1), first) / np.add.reduceat(seen.sum(axis=1), first)
+        least = np.minimum.reduceat(np.where(seen, thick, np.inf).min(axis=1), first)
+        # Bottoms of a group have one offset from where they were, so their spread is that of the offsets.
+        return n, mean, np.where(np.isinf(least), np.nan, least), profiles.sd_at(bottom, first, own)
+
+    x = profiles.perturbed_counts(spreads(hz(spark, sf_dir, dealt=True)), simulate.component_counts(components(spark, sf_dir)), ["cokey"], figures=figures, kinds="n long, thickness double, least double, offset_sd double")
+    return x.select("cokey", F.col("hz").cast("long").alias("hz"), "n", F.round("thickness", 6).alias("thickness"), "least", F.round("offset_sd", 6).alias("offset_sd"))
 
 
 @query("profiles_simulated")
