@@ -309,3 +309,24 @@ def test_mixed_spread_equals_the_spread_of_simulated_layers(spark):
     key = lambda r: (r["cokey"], r["hz"])
     assert sorted(got.collect(), key=key) == sorted(want.collect(), key=key)
     assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_perturbed_profiles_are_summed_where_they_are_made(spark):
+    rows = [(c, h, 10.0 * (h - 1), 10.0 * h, 1.5 if h % 2 else None, 2.0) for c in range(20) for h in (1, 2, 2, 3)[: 1 + c % 4]]
+    layers = spark.createDataFrame(rows, "cokey long, hz int, top double, bottom double, thickness_sd double, bound_sd double")
+    counts = spark.createDataFrame([(c, c % 6) for c in range(19)], "cokey long, sim_comppct long")
+    figures = lambda top, bottom, first, own: (np.add.reduceat(bottom.sum(axis=1), first), profiles.sd_at(bottom, first, own))
+    got = profiles.perturbed_counts(layers, counts, ["cokey"], figures=figures, kinds="total double, sd double")
+    want = profiles.perturbed_counts(layers, counts, ["cokey"]).groupBy("cokey", "hz").agg(F.sum("bottom").alias("total"), F.stddev_samp("bottom").alias("sd"))
+    each = lambda x: sorted(x.select("cokey", "hz", "total", F.round("sd", 9)).collect(), key=lambda r: (r[0], r[1]))
+    assert each(got) == each(want) and got.count() > 20
+
+
+def test_sums_of_triangular_draws(spark):
+    """Also where low, mode and high are equal, crossed or missing."""
+    rng = np.random.default_rng(2)
+    words = rng.integers(0, 2**32, (5, 400), dtype=np.uint32)
+    lo, mode, hi = np.array([[1.0, 3.0, 4.0], [2.0, 2.0, 2.0], [5.0, 4.0, 7.0], [1.0, 9.0, 7.0], [np.nan, 1.0, 2.0]]).T
+    u = (words.byteswap() + 0.5) / 2.0**32
+    want = np.array([[simulate.triangular_at(*(np.array([x]) for x in (lo[i], mode[i], hi[i])), np.array([v]))[0] for v in u[i]] for i in range(5)]).sum(axis=1)
+    assert np.allclose(simulate._triangular_sums(words, lo, mode, hi), want, equal_nan=True, rtol=1e-12)
